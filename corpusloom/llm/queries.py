@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import fused_ranking, lookalikes, splitting, tokenizing
+from corpusloom.llm import fused_ranking, languages, lookalikes, splitting, tokenizing
 from corpusloom.session import table
 
 TOKENIZERS = os.environ.get("CORPUSLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -45,6 +45,27 @@ def p4_normalized(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.normalized(table(spark, sf, "normalized_texts"))
 
 
+def _p6_rows(spark: SparkSession, sf: str) -> DataFrame:
+    texts = table(spark, sf, "normalized_texts").select(F.col("id").alias("row_id"), F.col("original_text").alias("text"), F.col("language").alias("label"))
+    hits = table(spark, sf, "search_hits").select(F.col("hit_id").alias("row_id"), F.col("matched_text").alias("text"), F.col("language").alias("label"))
+    return texts.unionByName(hits)
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _p6_rows(spark, sf)
+    return languages.unnamed_languages(rows, languages.train_from(rows, text="text", label="label"))
+
+
+def p6_segments(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _p6_rows(spark, sf)
+    return languages.segments(rows, languages.train_from(rows, text="text", label="label"))
+
+
+def p6_documents(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _p6_rows(spark, sf).distinct()
+    return languages.document_languages(languages.segments(rows, languages.train_from(rows, text="text", label="label")))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizing.encode(table(spark, sf, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
