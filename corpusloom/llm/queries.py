@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import fused_ranking, languages, lookalikes, splitting, tokenizing
+from corpusloom.llm import contamination, fused_ranking, languages, lookalikes, prose, quality, splitting, tokenizing
 from corpusloom.session import table
 
 TOKENIZERS = os.environ.get("CORPUSLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -70,6 +70,32 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizing.encode(table(spark, sf, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_leaks(spark, sf).select("doc_id", "item_id").distinct()
+
+
+def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p8_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Which test items leaked, into how many documents."""
+    return p8_found(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_kinds(spark, sf).filter("other >= 0.5").select("doc_id")
+
+
+def p9_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return prose.classify(docs, prose.train_from(docs))
+
+
+def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.statistics(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
