@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import contamination, fused_ranking, languages, lookalikes, prose, quality, splitting, tokenizing
+from corpusloom.llm import contamination, fused_ranking, languages, lookalikes, neighbours, prose, quality, splitting, tokenizing
 from corpusloom.session import table
 
 TOKENIZERS = os.environ.get("CORPUSLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -36,6 +36,20 @@ def p2_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return fused_ranking.borda(table(spark, sf, "hybrid_hits"), EQUAL_SAY)
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = neighbours.neighbours(neighbours.valid_vectors(table(spark, sf, "chunk_vectors")), min_cosine=0.9)
+    a, b = F.col("_key"), F.col("_other")
+    return found.select(F.least(a, b).alias("chunk_id_a"), F.greatest(a, b).alias("chunk_id_b")).distinct()
+
+
+def p3_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The five most similar vectors, whatever their similarity, of every row whose id is divisible by 20."""
+    rows = table(spark, sf, "chunk_vectors")
+    asked = rows.filter(F.regexp_extract("id", "([0-9]+)$", 1).cast("long") % 20 == 0).select(F.col("model_name").alias("_model"), F.col("chunk_id").alias("_key"))
+    found = neighbours.neighbours(neighbours.valid_vectors(rows), queries=asked)
+    return found.select(F.col("_model").alias("model_name"), F.col("_key").alias("chunk_id"), F.col("_other").alias("neighbour_id"), F.round("_cos", 5).alias("cosine"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = lookalikes.look_alike_pairs(table(spark, sf, "normalized_texts"))
     return pairs.select(F.col("key_a").alias("block_id_a"), F.col("key_b").alias("block_id_b"))
