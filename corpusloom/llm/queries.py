@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import contamination, fused_ranking, languages, lookalikes, neighbours, prose, quality, splitting, tokenizing
+from corpusloom.llm import contamination, fused_ranking, languages, lookalikes, name_variants, neighbours, prose, quality, splitting, tokenizing
 from corpusloom.session import table
 
 TOKENIZERS = os.environ.get("CORPUSLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -59,6 +59,19 @@ def p4_normalized(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.normalized(table(spark, sf, "normalized_texts"))
 
 
+def _p5_names(spark: SparkSession, sf: str) -> DataFrame:
+    people = table(spark, sf, "metadata_candidates").filter(F.col("field").isin("author", "translator", "editor", "publisher")).select(F.col("value").alias("name"))
+    return people.unionByName(table(spark, sf, "search_hits").select(F.col("author").alias("name")))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return name_variants.variant_pairs(_p5_names(spark, sf))
+
+
+def p5_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return name_variants.variant_classes(_p5_names(spark, sf)).select("name", F.md5("star").alias("entity"))
+
+
 def _p6_rows(spark: SparkSession, sf: str) -> DataFrame:
     texts = table(spark, sf, "normalized_texts").select(F.col("id").alias("row_id"), F.col("original_text").alias("text"), F.col("language").alias("label"))
     hits = table(spark, sf, "search_hits").select(F.col("hit_id").alias("row_id"), F.col("matched_text").alias("text"), F.col("language").alias("label"))
