@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 JOIN_COST = 2  # tokens of the blank line between two paragraphs
 
@@ -19,29 +18,40 @@ class ChunkConfig:
     overlap_tokens: int = 64
 
 
-def group_paragraphs(sizes: list[int], config: ChunkConfig) -> list[list[int]]:
-    """Positions of the paragraphs of each chunk of one section.
+def group_units(units: Iterable[tuple], config: ChunkConfig) -> Iterator[list[tuple]]:
+    """Chunks as lists of the units ``(section, tokens, ...)``, which come in book order.
 
-    A chunk takes paragraphs while they fit. The next one begins with the longest tail of the last chunk
-    within the overlap, if the paragraph still fits behind it. A paragraph above the limit stands alone.
+    A chunk takes units of one section while they fit. The next one of the section begins with the longest
+    tail of the last chunk within the overlap, if the unit still fits behind it. A unit above the limit
+    stands alone. Only the open chunk is held.
     """
-    out: list[list[int]] = []
-    now: list[int] = []
+    now: list[tuple] = []
     total = 0
-    for i, size in enumerate(sizes):
-        if now and (size > config.max_tokens or total + size + JOIN_COST > config.max_tokens):
-            out.append(now)
-            tail, spent = [], 0
-            for j in reversed(now):
-                if spent + sizes[j] > config.overlap_tokens:
+    for unit in units:
+        size = unit[1]
+        if now and unit[0] != now[-1][0]:
+            yield now
+            now, total = [], 0
+        elif now and (size > config.max_tokens or total + size + JOIN_COST > config.max_tokens):
+            yield now
+            tail: list[tuple] = []
+            spent = 0
+            for u in reversed(now):
+                if spent + u[1] > config.overlap_tokens:
                     break
-                tail.insert(0, j)
-                spent += sizes[j]
+                tail.insert(0, u)
+                spent += u[1]
             fits = size <= config.max_tokens and spent + size + JOIN_COST * len(tail) <= config.max_tokens
             now, total = (tail, spent + JOIN_COST * max(0, len(tail) - 1)) if fits else ([], 0)
         total += size + (JOIN_COST if now else 0)
-        now = [*now, i]
-    return [*out, now] if now else out
+        now = [*now, unit]
+    if now:
+        yield now
+
+
+def group_paragraphs(sizes: list[int], config: ChunkConfig) -> list[list[int]]:
+    """Positions of the paragraphs of each chunk of one section."""
+    return [[u[2] for u in group] for group in group_units(((0, n, i) for i, n in enumerate(sizes)), config)]
 
 
 def chunk_id(source: Column, chapter: Column, section: Column, page: Column, index: Column) -> Column:
@@ -53,32 +63,39 @@ def chunk_id(source: Column, chapter: Column, section: Column, page: Column, ind
 def build_chunks(units: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Chunks of paragraph rows ``(source, block_id, chapter_no, section_no, page, sequence, text, tokens)``.
 
-    Runs of one section are numbered by a change in book order and grouped one by one, so a task holds a
-    section, not a book; the running index comes from the counts of the runs before.
+    One shuffle by source and a sort; a task streams through its sources in book order and holds the open
+    chunk only, so neither a large book nor a large section has to fit in memory. A change of chapter or
+    section ends a chunk, and the index runs through the book.
     """
-    order = Window.partitionBy("source").orderBy("sequence", "block_id")
-    here = F.struct("chapter_no", "section_no")
-    changed = F.coalesce((~here.eqNullSafe(F.lag(here).over(order))).cast("int"), F.lit(1))
-    runs = units.withColumn("_new", F.when(F.row_number().over(order) == 1, 0).otherwise(changed)).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    schema = "source string, _run long, _local int, chapter_no int, section_no int, page_start int, page_end int, token_count long, block_ids array<string>, text string"
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["sequence", "block_id"], kind="stable")
-        out = []
-        for n, group in enumerate(group_paragraphs(rows["tokens"].astype(int).tolist(), config)):
-            part = rows.iloc[group]
-            pages = part["page"].dropna()
-            ends = (int(pages.min()), int(pages.max())) if len(pages) else (None, None)
-            first = part.iloc[0]
-            number = lambda x: None if pd.isna(x) else int(x)
-            out.append((first["source"], first["_run"], n, number(first["chapter_no"]), number(first["section_no"]), *ends, int(part["tokens"].sum()) + JOIN_COST * (len(part) - 1), part["block_id"].tolist(), "\n\n".join(part["text"])))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    grouped = runs.groupBy("source", "_run").applyInPandas(one, schema)
-    counts = grouped.groupBy("source", "_run").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = grouped.join(counts.withColumn("_before", before).drop("_n"), ["source", "_run"]).withColumn("chunk_index", (F.col("_before") + F.col("_local")).cast("long"))
-    return placed.withColumn("chunk_id", chunk_id(F.col("source"), F.col("chapter_no"), F.col("section_no"), F.col("page_start"), F.col("chunk_index"))).drop("_run", "_local", "_before")
+    schema = "source string, chapter_no int, section_no int, page_start int, page_end int, token_count long, block_ids array<string>, text string, chunk_index long"
+    names = ["source", "chapter_no", "section_no", "page", "block_id", "tokens", "text"]
+
+    def stream(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for source, chapter, section, page, block, tokens, text in zip(*(b.column(i).to_pylist() for i in range(len(names)))):
+                yield (source, chapter, section), tokens, source, page, block, text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        source, index = None, 0
+        for group in group_units(stream(batches), config):
+            index = index + 1 if group[0][2] == source else 0
+            (source, chapter, section), pages = group[0][0], [u[3] for u in group if u[3] is not None]
+            size = sum(u[1] for u in group) + JOIN_COST * (len(group) - 1)
+            rows.append((source, chapter, section, min(pages, default=None), max(pages, default=None), size, [u[4] for u in group], "\n\n".join(u[5] for u in group), index))
+            if len(rows) == 1000:
+                yield _batch(rows)
+                rows = []
+        yield _batch(rows)
+
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), *[pa.int32()] * 4, pa.int64(), pa.list_(pa.string()), pa.string(), pa.int64()]
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
+
+    ordered = units.filter(F.col("source").isNotNull()).repartition("source").sortWithinPartitions("source", "sequence", "block_id").select(*names)
+    made = ordered.mapInArrow(run, schema)
+    return made.withColumn("chunk_id", chunk_id(F.col("source"), F.col("chapter_no"), F.col("section_no"), F.col("page_start"), F.col("chunk_index")))
 
 
 def paragraphs(df: DataFrame, *, source: str, text: str, language: str, page: str | None = None) -> DataFrame:

@@ -222,7 +222,7 @@ def year_facts(pages: DataFrame, key: str = "file") -> DataFrame:
     hijri = F.regexp_extract(line, "([0-9]{3,4}) *[هھ]", 1)
     plain = F.regexp_extract(line, "(?<![0-9])(1[2-9][0-9]{2}|2[0-9]{3})(?![0-9])", 1)
     words = "هجری|هجري|قمری|قمرے|سنة|سنه|سال|ھ|هـ"
-    is_hijri = (hijri != "") & hijri.cast("int").between(100, 1699)
+    is_hijri = (hijri != "") & hijri.try_cast("int").between(100, 1699)
     sure = F.when(is_hijri, F.concat(hijri, F.lit(" (AH)"))).when((plain != "") & line.rlike(words), plain)
     rows = rows.withColumn("_sure", sure).withColumn("_plain", F.when(plain != "", plain)).filter("_sure is not null or _plain is not null")
     best = F.min_by(F.struct(F.coalesce("_sure", "_plain").alias("value"), F.when(F.col("_sure").isNotNull(), "high").otherwise("medium").alias("confidence")), F.struct(F.col("_sure").isNull(), "page", "at"))

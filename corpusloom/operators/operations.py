@@ -106,8 +106,8 @@ def browse(df: DataFrame, *, category: str = "all", language: str = "all", conta
 
 def recent_distinct(df: DataFrame, user: str, item: Column, at: str, most: int) -> DataFrame:
     """Per user the latest distinct items, at most so many."""
-    last = df.groupBy(user, item.alias("item")).agg(F.max(at).alias("at"))
-    w = Window.partitionBy(user).orderBy(F.desc("at"), "item")
+    last = df.groupBy(user, item.alias("item")).agg(F.max(at).alias("last_at"))
+    w = Window.partitionBy(user).orderBy(F.desc("last_at"), "item")
     return last.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= most)
 
 

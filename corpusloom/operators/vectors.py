@@ -108,7 +108,7 @@ def fuse(keyword: DataFrame, vector: DataFrame, *, on: list[str], weight_fts: fl
     most = f.agg(F.max("rank").alias("most"))
     both = f.join(v, key, "full").crossJoin(F.broadcast(most))  # one row
     fts = F.when(F.col("most") > 0, F.col("rank") / F.col("most")).otherwise(F.lit(0.0))
-    score = F.round(weight_fts * F.coalesce(fts, F.lit(0.0)) + weight_vector * F.coalesce("vec", F.lit(0.0)), 6)
+    score = F.round(weight_fts * F.coalesce(fts, F.lit(0.0)) + weight_vector * F.coalesce("vec", F.lit(0.0)), 9)
     names = F.array_join(F.array_compact(F.array(F.when(F.col("rank").isNotNull(), "fts"), F.when(F.col("vec").isNotNull(), "vector"))), "+")
     out = both.select(*key, F.round(fts, 6).alias("fts"), F.round("vec", 6).alias("vec"), score.alias("score"), names.alias("retrievers"))
     return out if k is None else out.orderBy(F.desc("score"), *key).limit(k)

@@ -15,7 +15,12 @@ EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, valu
 
 
 def source(spark: SparkSession, path: str, schema: str = EVENTS, files_a_batch: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+    """New files of a folder, or of one file name in its folder."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        return reader.option("pathGlobFilter", at.getName()).parquet(str(at.getParent()))
+    return reader.parquet(path)
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
