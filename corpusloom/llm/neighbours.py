@@ -168,12 +168,13 @@ def _search(points: DataFrame, queries: DataFrame, trees: dict[str | None, Tree]
                         leaf, row = tree.home(proj), np.arange(len(x))
                         if is_query and reach != "home":
                             home = leaf
-                            row, leaf = tree.reached(proj, bound, max(p, 0.995))
+                            row, leaf = tree.reached(proj, bound, p)
                             if reach == "away":
                                 keep = leaf != home[row]
                                 row, leaf = row[keep], leaf[keep]
-                        small = [r.tobytes() for r in (x.astype(np.float16) if is_query else x)]
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(row), pa.string()), pa.array(leaf, pa.int32()), pa.array(np.full(len(row), is_query)), rows.column(1).take(pa.array(row)), pa.array([small[i] for i in row], pa.binary()), pa.array(bound[row].astype(np.float32))], names=["_model", "_leaf", "_query", "_class", "_unit", "_squared"])
+                        at_row = pa.array(row)
+                        small = pa.array([r.tobytes() for r in (x.astype(np.float16) if is_query else x)], pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name, pa.string()), len(row)), pa.array(leaf, pa.int32()), pa.array(np.full(len(row), is_query)), rows.column(1).take(at_row), small.take(at_row), pa.array(bound[row].astype(np.float32))], names=["_model", "_leaf", "_query", "_class", "_unit", "_squared"])
 
         return run
 
@@ -205,7 +206,7 @@ def _search(points: DataFrame, queries: DataFrame, trees: dict[str | None, Tree]
                     some = part.slice(s, 256)
                     found = _verified(some.column(3).to_numpy(), _matrix(some.column(4), np.float16).astype(np.float32), some.column(5).to_numpy(), ids, unit, proj, norm, k, threshold)
                     if len(found[0]):
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(found[0]), pa.string()), *map(pa.array, found)], names=["_model", "_q", "_p", "_cos"])
+                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name, pa.string()), len(found[0])), *map(pa.array, found)], names=["_model", "_q", "_p", "_cos"])
 
     return met.mapInArrow(verify, "_model string, _q long, _p long, _cos double")
 
@@ -237,7 +238,7 @@ def _cosine(a: pa.Array, b: pa.Array) -> np.ndarray:
     return np.array([float(np.frombuffer(x, np.float32).astype(float) @ np.frombuffer(y, np.float32).astype(float)) for x, y in zip(a.to_pylist(), b.to_pylist())])
 
 
-def class_neighbours(classes: DataFrame, *, k: int = 5, min_cosine: float | None = None, queries: DataFrame | None = None, p: float = 0.99, leaf_rows: int = 8192, sample_rows: int = 20_000) -> DataFrame:
+def class_neighbours(classes: DataFrame, *, k: int = 5, min_cosine: float | None = None, queries: DataFrame | None = None, p: float = 0.95, leaf_rows: int = 8192, sample_rows: int = 20_000) -> DataFrame:
     """(_model, _q, _p, _cos, _rank): the k most similar other classes of each class of directions.
 
     ``classes`` has (_model, _class, _unit) and must be materialised. With ``min_cosine`` only pairs at
@@ -288,7 +289,7 @@ def _prepared(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return units.select("_model", "_class", "_key"), materialize(classes.select("_model", "_class", "_n", F.col("_m._unit").alias("_unit")))
 
 
-def neighbours(vectors: DataFrame, *, k: int = 5, min_cosine: float | None = None, queries: DataFrame | None = None, p: float = 0.99, bucket: int = 10_000) -> DataFrame:
+def neighbours(vectors: DataFrame, *, k: int = 5, min_cosine: float | None = None, queries: DataFrame | None = None, p: float = 0.95, bucket: int = 10_000) -> DataFrame:
     """(_model, _key, _other, _cos): for each key of a model its k most similar other keys of the model.
 
     ``vectors`` is what ``valid_vectors`` gives; ``queries`` (_model, _key) restricts who is asked for, not
