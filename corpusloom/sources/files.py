@@ -26,7 +26,7 @@ def html_text(c):
     out = F.regexp_replace(F.regexp_replace(out, "(?i)<(br|/p|/div|/li|/tr|/h[1-6])[^>]*>", "\n"), "<[^>]+>", " ")
     for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(out, "[ \t]+", " "))
+    return F.btrim(F.regexp_replace(out, "[ \t]+", " "), F.lit(" \n"))
 
 
 def read_page_folder(spark: SparkSession, path: str) -> DataFrame:
