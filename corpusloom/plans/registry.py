@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.session import shipped
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -13,7 +15,7 @@ ORACLE: dict[str, str] = {}
 def query(sql: str | None = None):
     """Registers a function (spark, folder) under its name, with the SQL that must give the same rows."""
     def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = shipped(f)
         if sql:
             ORACLE[f.__name__] = sql
         return f

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,3 +49,28 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the executors, once for each context, so that they need no installed copy."""
+    sc = spark.sparkContext
+    if getattr(sc, "_corpusloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="corpusloom-code-")) / "corpusloom.zip"  # read by the driver's file server only
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*")):
+            if p.suffix in (".py", ".json"):
+                z.write(p, Path("corpusloom") / p.relative_to(root))
+    sc.addPyFile(str(at))
+    sc._corpusloom_shipped = True
+
+
+def shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that hands over the package before it runs."""
+    @wraps(f)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf)
+
+    return run
