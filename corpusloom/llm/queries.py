@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import contamination, fused_ranking, languages, lookalikes, name_variants, neighbours, prose, quality, splitting, tokenizing
-from corpusloom.session import table
+from corpusloom.session import shipped, table
 
 TOKENIZERS = os.environ.get("CORPUSLOOM_TOKENIZERS", "/opt/tokenizers")
 EQUAL_SAY = {"fts_score": 1.0, "vector_score": 1.0, "score": 1.0}
@@ -124,7 +124,7 @@ def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
+    return {name: shipped(f) for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
