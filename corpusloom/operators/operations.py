@@ -90,10 +90,10 @@ def page_of(df: DataFrame, order: list[Column], page: int, size: int) -> DataFra
     Only the rows up to the page's end are ordered globally (a top-k), the total is a separate count.
     """
     last = page * size
-    total = df.agg(F.count(F.lit(1)).alias("total"))
     top = df.orderBy(*order).limit(last)
     numbered = top.withColumn("position", F.row_number().over(Window.orderBy(*order)))  # at most page * size rows
-    return numbered.filter(F.col("position") > last - size).crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > last)
+    shown = numbered.filter(F.col("position") > last - size).withColumn("total", df.agg(F.count(F.lit(1))).scalar())
+    return shown.withColumn("has_more", F.col("total") > last)
 
 
 def browse(df: DataFrame, *, category: str = "all", language: str = "all", contains: str = "", text: list[str]) -> DataFrame:

@@ -105,8 +105,7 @@ def fuse(keyword: DataFrame, vector: DataFrame, *, on: list[str], weight_fts: fl
     key = on
     f = keyword.groupBy(*key).agg(F.max("rank").alias("rank")).filter(F.lit(weight_fts > 0))
     v = vector.groupBy(*key).agg(F.max("score").alias("vec")).filter(F.lit(weight_vector > 0))
-    most = f.agg(F.max("rank").alias("most"))
-    both = f.join(v, key, "full").crossJoin(F.broadcast(most))  # one row
+    both = f.join(v, key, "full").withColumn("most", f.agg(F.max("rank")).scalar())
     fts = F.when(F.col("most") > 0, F.col("rank") / F.col("most")).otherwise(F.lit(0.0))
     score = F.round(weight_fts * F.coalesce(fts, F.lit(0.0)) + weight_vector * F.coalesce("vec", F.lit(0.0)), 9)
     names = F.array_join(F.array_compact(F.array(F.when(F.col("rank").isNotNull(), "fts"), F.when(F.col("vec").isNotNull(), "vector"))), "+")
