@@ -25,7 +25,7 @@ GIVEN = {
     "alexander": "alex sandy alec sasha lex", "benjamin": "ben benny benjy", "charles": "charlie chas chuck chaz", "daniel": "dan danny", "edward": "ed eddie ted ned teddy", "elizabeth": "beth liz eliza lizzie betty betsy libby", "gregory": "greg gregg", "katherine": "kate kathy katie kathryn catherine kat", "margaret": "maggie peggy meg madge", "nicholas": "nick nico nicky nicolas", "ottilie": "otty tilly ottie", "patricia": "pat trish patty tricia", "robert": "rob bob bobby robt robbie", "thomas": "tom thos tommy", "victoria": "vicky vicki tori", "william": "will bill wm billy willie",
     "abdullah": "abdulla abdallah abdoullah", "fatimah": "fatima fatma fatema", "husayn": "hussein hossein hussain husain husein", "ibrahim": "ebrahim ibraheem ibrahem", "jaafar": "jafar jaffar jafer", "khadijah": "khadija khadeeja khadeejah", "laylah": "layla leila leyla laila", "muhammad": "mohammed md mohamed mohammad muhammed mohamad mhd", "nuruddin": "noureddine nureddin nooruddin nuraldin nurdin", "qasim": "qasem qassem kasim kassim qassim", "rashid": "rasheed rachid rashed", "sulayman": "suleiman soliman sulaiman sulayman", "tariq": "tarek tarik tareq", "uthman": "osman othman usman uthmaan", "yusuf": "yousef youssef yusef yousuf yousof", "zaynab": "zainab zeinab zaineb zeynep", "ziyad": "ziad zeyad",
 }
-ORGANISATION = {"society": "soc", "press": "pr", "university": "univ", "library": "lib", "international": "intl int", "publishers": "pub publ publishing pubs publrs publisher", "company": "co", "institute": "inst", "studies": "stud", "manuscript": "ms mss manuscripts", "house": "", "sons": "", "books": "", "old": "", "dar": "darul", "maktabat": "maktaba maktabah", "foundation": "found fdn", "academy": "acad", "centre": "center ctr", "association": "assoc", "brothers": "bros", "editions": "ed", "printing": ""}
+ORGANISATION = {"society": "soc", "press": "pr", "university": "univ", "library": "lib", "international": "intl int", "publishers": "pub publ publishing pubs publrs publisher", "company": "co", "institute": "inst", "studies": "stud", "manuscript": "ms mss manuscripts", "house": "", "sons": "", "books": "", "old": "", "dar": "darul", "maktabat": "maktaba maktabah", "foundation": "found fdn", "academy": "acad", "centre": "center ctr", "association": "assoc", "brothers": "bros", "editions": "edns", "printing": ""}
 #: Words that an organisation's name can do without.
 EXTRA = {"ltd", "inc", "limited", "llc", "plc", "and", "of", "for", "the", "al", "el", "ul", "company"}
 KINDS = {"society", "press", "university", "library", "publishers", "institute", "house", "sons", "dar", "maktabat", "foundation", "academy", "centre", "association", "editions"}

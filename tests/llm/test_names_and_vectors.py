@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import name_variants, neighbours
 
-SAME = [("Elizabeth bin Yusuf al-Miskigozun", "al-Miskigozun, Elizabeth bin Yusuf"), ("Dr. Benjamin Numkekoros", "BENJAMIN NUMKEKOROS"), ("William Tugtomudug", "Bill Tugtomudug"), ("Lotmūgulūn, Vicky", "Victoria ibn Khadijah Lotmugulun"), ("V. S. Rimzulokig", "Victoria Sulayman Rimzulokig"), ("Yusuf Zeglozufub", "Yousef Zeglozufub"), ("Kesbuzigek University Press", "Kesbuzigek Univ. Pr."), ("University Press (Kesbuzigek)", "The Kesbuzigek University Press"), ("Yusuf Relrumofil", "Ysuuf Relrumofil"), ("Zaynab Tariq allonzezodos", "Zaynab Tariq al-Lonzezodos")]
+SAME = [("Elizabeth bin Yusuf al-Miskigozun", "al-Miskigozun, Elizabeth bin Yusuf"), ("Dr. Benjamin Numkekoros", "BENJAMIN NUMKEKOROS"), ("William Tugtomudug", "Bill Tugtomudug"), ("Lotmūgulūn, Vicky", "Victoria ibn Khadijah Lotmugulun"), ("V. S. Rimzulokig", "Victoria Sulayman Rimzulokig"), ("Yusuf Zeglozufub", "Yousef Zeglozufub"), ("Kesbuzigek University Press", "Kesbuzigek Univ. Pr."), ("University Press (Kesbuzigek)", "The Kesbuzigek University Press"), ("Yusuf Relrumofil", "Ysuuf Relrumofil"), ("Ed al-Bubgizunos", "Edward al-Būbgizunos"), ("Zaynab Tariq allonzezodos", "Zaynab Tariq al-Lonzezodos")]
 OTHER = [("Rashid Ribdatagen", "Jaafar Ribdatagen"), ("R. Ribdatagen", "Jaafar Ribdatagen"), ("Kesbuzigek University Press", "Kesbuzigek & Sons, Publishers"), ("Benjamin bin Laylah Darbunibal", "Benjamin bin Yusuf Darbunibal"), ("Thomas Nizmadudog", "Thomas Reslufutun")]
 
 
