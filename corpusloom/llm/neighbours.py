@@ -184,7 +184,7 @@ def _search(points: DataFrame, queries: DataFrame, trees: dict[str | None, Tree]
     met = both.repartition(max(1, min(n_leaves, 4096)), "_leaf").sortWithinPartitions("_leaf", "_query")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaf, held, ids, unit, proj, norm = None, [], None, None, None, None
+        leaf, held, ids, unit, proj = None, [], None, None, None
         for b in batches:
             leaves, asks = b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
             edges = np.flatnonzero(np.append(True, (leaves[1:] != leaves[:-1]) | (asks[1:] != asks[:-1]))) if len(leaves) else []
@@ -199,24 +199,24 @@ def _search(points: DataFrame, queries: DataFrame, trees: dict[str | None, Tree]
                     continue
                 if unit is None:
                     ids, unit = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-                    proj = project(unit)
-                    norm = (proj**2).sum(axis=1)
+                    proj = project(unit)  # with half of the squared length, so that one product gives the distance
+                    proj = np.ascontiguousarray(np.hstack([proj, -(proj**2).sum(axis=1, keepdims=True) / 2]).T)
                 name = part.column(0)[0].as_py()
-                for s in range(0, len(part), 256):
-                    some = part.slice(s, 256)
-                    found = _verified(some.column(3).to_numpy(), _matrix(some.column(4), np.float16).astype(np.float32), some.column(5).to_numpy(), ids, unit, proj, norm, k, threshold)
+                for s in range(0, len(part), 128):
+                    some = part.slice(s, 128)
+                    found = _verified(some.column(3).to_numpy(), _matrix(some.column(4), np.float16).astype(np.float32), some.column(5).to_numpy(), ids, unit, proj, k, threshold)
                     if len(found[0]):
                         yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name, pa.string()), len(found[0])), *map(pa.array, found)], names=["_model", "_q", "_p", "_cos"])
 
     return met.mapInArrow(verify, "_model string, _q long, _p long, _cos double")
 
 
-def _verified(q_ids: np.ndarray, q: np.ndarray, squared: np.ndarray, ids: np.ndarray, unit: np.ndarray, proj: np.ndarray, norm: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _verified(q_ids: np.ndarray, q: np.ndarray, squared: np.ndarray, ids: np.ndarray, unit: np.ndarray, proj: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     qp = project(q)
-    far = norm - 2 * (qp @ proj.T)
-    limit = squared * threshold - (qp**2).sum(axis=1)
-    r, c = np.nonzero(far <= limit[:, None])
-    if len(r) * 4 > far.size:
+    least = ((qp**2).sum(axis=1) - squared * threshold) / 2
+    near = np.hstack([qp, np.ones((len(qp), 1), np.float32)]) @ proj >= least[:, None].astype(np.float32)
+    r, c = np.divmod(np.flatnonzero(near), near.shape[1])
+    if len(r) * 4 > near.size:
         cos = (q @ unit.T)[r, c]
     else:
         cos = np.concatenate([np.einsum("ij,ij->i", q[r[s : s + 65536]], unit[c[s : s + 65536]]) for s in range(0, len(r), 65536)]) if len(r) else np.zeros(0, np.float32)
