@@ -34,6 +34,7 @@ NAMES = {
 LANGUAGES = list(NAMES)
 
 _WORD = re.compile(r"[^\W\d_]+")
+_END = re.compile("[.!?؟۔…．。！？]+[\"'”»’)\\]]*[\u00ad\u200b-\u200f\u2060\ufeff]*(?=\\s|$)|\\n\\s*\\n")
 _QUOTED = re.compile(r"“[^”]{1,80}”|«[^»]{1,80}»|\"[^\"]{1,80}\"")
 _BUCKETS = 1 << 15
 
@@ -65,7 +66,7 @@ def _plain(text: str) -> str:
 def sentences(text: str) -> list[tuple[int, int]]:
     """Spans between sentence ends and empty lines; a single line break is a blank."""
     out, start = [], 0
-    for m in re.finditer(r"[.!?؟۔…]+[\"'”»’)\]]*(?=\s|$)|\n\s*\n", text):
+    for m in _END.finditer(text):
         if m.end() > start:
             out.append((start, m.end()))
         start = m.end()

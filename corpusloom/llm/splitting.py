@@ -20,7 +20,7 @@ CHARS_PER_TOKEN = {"ar": 3, "ur": 3}
 DEFAULT_CHARS = 4
 
 _PARAGRAPH = r"\s*(?:\n|\r\n?|\u2029)[^\S\n\r]*(?:\n|\r\n?|\u2029)\s*"
-_STRONG = re.compile(rf"(?P<paragraph>{_PARAGRAPH})|(?P<sentence>[.!?؟۔…][\"'”»)\]]*\s+)|(?P<line>\s*[\n\r]\s*(?=[-*•]|\d))")
+_STRONG = re.compile(rf"(?P<paragraph>{_PARAGRAPH})|(?P<sentence>[.!?؟۔…．。！？][\"'”»)\]]*\s+)|(?P<line>\s*[\n\r]\s*(?=[-*•]|\d))")
 _WEAK = re.compile(r"(?P<clause>[,;:،؛—–|][\"'”»)\]]*\s+|[^\S\n\r]*[\n\r]\s*)|(?P<word>\s+)")
 #: A mark, joiner or variation selector belongs to the character before it.
 _STAYS = re.compile(r"[\u0300-\u036f\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06ed\u200c\u200d\ufe00-\ufe0f]")
