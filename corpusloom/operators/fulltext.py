@@ -68,6 +68,20 @@ def matches(q: Query) -> Column:
     return reduce(lambda a, b: a & b, parts) if not q.empty else F.lit(False)
 
 
+def may_match(q: Query, text: Column) -> Column:
+    """A cheap necessary condition on the raw text, so that only likely matches are tokenised."""
+    low = F.lower(text)
+    parts = [low.contains(w) for p in q.phrases for w in p]
+    if q.terms:
+        parts.append(reduce((lambda a, b: a & b) if q.every else (lambda a, b: a | b), [low.contains(t) for t in q.terms]))
+    return reduce(lambda a, b: a & b, parts) if parts else F.lit(False)
+
+
+def matching(df: DataFrame, q: Query, text: Column) -> DataFrame:
+    """The rows that match, with their tokens."""
+    return indexed(df.filter(may_match(q, text)), text).filter(matches(q))
+
+
 def term_rank(q: Query) -> Column:
     """0.1 for each occurrence of a word of the query."""
     return F.size(F.filter("tokens", lambda t: t.isin(*q.words))) * F.lit(0.1)
@@ -110,5 +124,5 @@ def highlight(text: Column, terms: list[str]) -> Column:
 
 def search(df: DataFrame, q: Query, *, text: Column, keys: list[str], limit: int = 20, rank: str = "terms") -> DataFrame:
     """The ``limit`` best matches, by rank and then by the keys; the filter comes before any rank."""
-    hits = indexed(df, text).filter(matches(q)).withColumn("rank", F.round(cover_rank(q) if rank == "cover" else term_rank(q), 6))
+    hits = matching(df, q, text).withColumn("rank", F.round(cover_rank(q) if rank == "cover" else term_rank(q), 6))
     return hits.orderBy(F.desc("rank"), *keys).limit(limit)

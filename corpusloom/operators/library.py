@@ -73,10 +73,10 @@ def verse_search(verses: DataFrame, query: str, *, language: str | None = None,
     parts = []
     if language in (None, "", "ar", "other"):
         asked = fulltext.Query(tuple(_fold(t) for t in q.terms), tuple(tuple(map(_fold, p)) for p in q.phrases), q.excluded, q.every)
-        hits = fulltext.indexed(folded, F.col("_f")).filter(fulltext.matches(asked))
+        hits = fulltext.matching(folded, asked, F.col("_f"))
         parts.append(hits.select(ref.alias("citation"), "text", F.lit("ar").alias("language"), F.round(fulltext.term_rank(asked), 6).alias("rank")))
     if language in (None, "", "en", "ur", "other"):
-        hits = fulltext.indexed(verses.filter("translation is not null"), F.col("translation")).filter(fulltext.matches(q))
+        hits = fulltext.matching(verses.filter("translation is not null"), q, F.col("translation"))
         parts.append(hits.select(F.concat(ref, F.lit(" ("), F.col("translator"), F.lit(")")).alias("citation"), F.col("translation").alias("text"), "language", F.round(fulltext.term_rank(q), 6).alias("rank")))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out.orderBy(F.desc("rank"), "citation").limit(limit)
@@ -95,7 +95,7 @@ def report_search(reports: DataFrame, query: str, *, limit: int = 20) -> DataFra
     q = fulltext.parse_query(query)
     asked = fulltext.Query(tuple(_fold(t) for t in q.terms), tuple(tuple(map(_fold, p)) for p in q.phrases), q.excluded, q.every)
     both = F.concat_ws(" ", tx.search_fold(F.col("text")), tx.search_fold(F.col("text_arabic")))
-    hits = fulltext.indexed(reports, both).filter(fulltext.matches(asked))
+    hits = fulltext.matching(reports, asked, both)
     return hits.select(F.concat("collection", F.lit(" #"), F.col("number").cast("string")).alias("citation"), "text", F.round(fulltext.term_rank(asked), 6).alias("rank")).orderBy(F.desc("rank"), "citation").limit(limit)
 
 

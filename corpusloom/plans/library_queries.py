@@ -40,13 +40,13 @@ def citation_urls(spark, sf):
 @query()
 def snippets(spark, sf):
     q = fulltext.parse_query("treasurer lamps")
-    return fulltext.indexed(_docs(spark, sf), F.col("text")).filter(fulltext.matches(q)).select("doc_id", library.snippet(F.col("text"), ["treasurer", "lamps"]).alias("snippet"))
+    return fulltext.matching(_docs(spark, sf), q, F.col("text")).select("doc_id", library.snippet(F.col("text"), ["treasurer", "lamps"]).alias("snippet"))
 
 
 @query(f"SELECT count(*) AS n, count(DISTINCT doc_id) AS docs FROM {_DOCS} WHERE {_hit('treasurer')} OR {_hit('lamps')}")
 def match_counts(spark, sf):
     q = fulltext.parse_query("treasurer lamps")
-    return fulltext.indexed(_docs(spark, sf), F.col("text")).filter(fulltext.matches(q)).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
+    return fulltext.matching(_docs(spark, sf), q, F.col("text")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, a[i] AS line, CASE WHEN i > 1 THEN a[i - 1] ELSE '' END AS p, CASE WHEN i < len(a) THEN a[i + 1] ELSE '' END AS n

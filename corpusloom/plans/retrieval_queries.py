@@ -55,19 +55,19 @@ def fts_any_terms(spark, sf):
 @query(f"SELECT doc_id, {_tf('copyist', 'sealed')} AS rank FROM {_DOCS} WHERE {_hit('copyist')} AND {_hit('sealed')}")
 def fts_all_terms(spark, sf):
     q = fulltext.parse_query("copyist sealed", every=True)
-    return fulltext.indexed(_docs(spark, sf), F.col("text")).filter(fulltext.matches(q)).select("doc_id", F.round(fulltext.term_rank(q), 6).alias("rank"))
+    return fulltext.matching(_docs(spark, sf), q, F.col("text")).select("doc_id", F.round(fulltext.term_rank(q), 6).alias("rank"))
 
 
 @query(f"SELECT doc_id, {_tf('the', 'care', 'of', 'books')} AS rank FROM {_DOCS} WHERE {_hit('the', 'care', 'of', 'books')}")
 def fts_phrase(spark, sf):
     q = fulltext.parse_query('"the care of books"')
-    return fulltext.indexed(_docs(spark, sf), F.col("text")).filter(fulltext.matches(q)).select("doc_id", F.round(fulltext.term_rank(q), 6).alias("rank"))
+    return fulltext.matching(_docs(spark, sf), q, F.col("text")).select("doc_id", F.round(fulltext.term_rank(q), 6).alias("rank"))
 
 
 @query(f"SELECT doc_id FROM {_DOCS} WHERE {_hit('the', 'price', 'of')} AND ({_hit('judge')} OR {_hit('scribe')}) AND NOT {_hit('water')}")
 def fts_exclude(spark, sf):
     q = fulltext.parse_query('"the price of" judge scribe -water')
-    return fulltext.indexed(_docs(spark, sf), F.col("text")).filter(fulltext.matches(q)).select("doc_id")
+    return fulltext.matching(_docs(spark, sf), q, F.col("text")).select("doc_id")
 
 
 @query(f"""WITH t AS (SELECT doc_id, u.t AS t, u.i AS i FROM (SELECT doc_id, unnest(list_transform(range(1, len(tokens) + 1), lambda i: {{'t': tokens[i], 'i': i}})) AS u FROM {_DOCS} WHERE {_hit('scribe')} AND {_hit('ledger')})),
@@ -76,7 +76,7 @@ def fts_exclude(spark, sf):
     SELECT doc_id, round(sum(0.2 / (1 + (e - s + 1) - 2)), 6) AS rank FROM c GROUP BY doc_id""")
 def fts_cover_and(spark, sf):
     q = fulltext.parse_query("scribe ledger", every=True)
-    return fulltext.indexed(_docs(spark, sf), F.col("text")).filter(fulltext.matches(q)).select("doc_id", F.round(fulltext.cover_rank(q), 6).alias("rank"))
+    return fulltext.matching(_docs(spark, sf), q, F.col("text")).select("doc_id", F.round(fulltext.cover_rank(q), 6).alias("rank"))
 
 
 @query(f"""SELECT chunk_id, book_id, title, category_id, rank, page FROM (
@@ -95,7 +95,7 @@ def content_search(spark, sf):
 def highlight_terms(spark, sf):
     q = fulltext.parse_query("scribe gate")
     t = F.col("text")
-    return fulltext.indexed(_docs(spark, sf), t).filter(fulltext.matches(q)).select("doc_id", fulltext.excerpt(t, ["scribe", "gate"]).alias("excerpt"), fulltext.highlight(t, ["scribe", "gate"]).alias("marked"))
+    return fulltext.matching(_docs(spark, sf), q, t).select("doc_id", fulltext.excerpt(t, ["scribe", "gate"]).alias("excerpt"), fulltext.highlight(t, ["scribe", "gate"]).alias("marked"))
 
 
 def _grams(c: str) -> str:
