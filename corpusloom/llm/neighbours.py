@@ -148,8 +148,9 @@ def _matrix(column: pa.Array, kind: type) -> np.ndarray:
 def _search(points: DataFrame, queries: DataFrame, trees: dict[str | None, Tree], k: int, p: float, reach: str) -> DataFrame:
     """(_model, _q, _p, _cos): of every leaf that a query reaches, its k most similar there.
 
-    ``queries`` has ``_squared``, the squared distance to be beaten; ``reach`` is "home", "all" or "away"
-    (all but home). Points and queries of a leaf meet in a sorted stream, so that a task holds the points
+    ``queries`` has ``_squared``, the squared distance to be beaten; ``reach`` is "home", "all", "away"
+    (all but home) or "after" (home and the leaves after it). With "after", where every point is a query,
+    a pair of leaves is visited once and its finds count for both sides. Points and queries of a leaf meet in a sorted stream, so that a task holds the points
     of one leaf and one batch of queries, however many there are.
     """
     threshold = chi_square_quantile(p, DIMENSIONS)
@@ -165,20 +166,20 @@ def _search(points: DataFrame, queries: DataFrame, trees: dict[str | None, Tree]
                         x = _matrix(rows.column(2), np.float32)
                         tree, proj = trees[name], project(x)
                         bound = rows.column(3).to_numpy() if is_query else np.zeros(len(x))
-                        leaf, row = tree.home(proj), np.arange(len(x))
+                        home = leaf = tree.home(proj)
+                        row = np.arange(len(x))
                         if is_query and reach != "home":
-                            home = leaf
                             row, leaf = tree.reached(proj, bound, p)
-                            if reach == "away":
-                                keep = leaf != home[row]
+                            if reach != "all":
+                                keep = leaf != home[row] if reach == "away" else leaf >= home[row]
                                 row, leaf = row[keep], leaf[keep]
                         at_row = pa.array(row)
                         small = pa.array([r.tobytes() for r in (x.astype(np.float16) if is_query else x)], pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name, pa.string()), len(row)), pa.array(leaf, pa.int32()), pa.array(np.full(len(row), is_query)), rows.column(1).take(at_row), small.take(at_row), pa.array(bound[row].astype(np.float32))], names=["_model", "_leaf", "_query", "_class", "_unit", "_squared"])
+                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name, pa.string()), len(row)), pa.array(leaf, pa.int32()), pa.array(np.full(len(row), is_query)), rows.column(1).take(at_row), small.take(at_row), pa.array(bound[row].astype(np.float32)), pa.array(leaf == home[row])], names=["_model", "_leaf", "_query", "_class", "_unit", "_squared", "_own"])
 
         return run
 
-    shape = "_model string, _leaf int, _query boolean, _class long, _unit binary, _squared float"
+    shape = "_model string, _leaf int, _query boolean, _class long, _unit binary, _squared float, _own boolean"
     both = points.select("_model", "_class", "_unit").mapInArrow(place(False), shape).unionByName(queries.select("_model", "_class", "_unit", "_squared").mapInArrow(place(True), shape))
     n_leaves = sum(2**t.depth for t in trees.values())
     met = both.repartition(max(1, min(n_leaves, 4096)), "_leaf").sortWithinPartitions("_leaf", "_query")
@@ -204,14 +205,14 @@ def _search(points: DataFrame, queries: DataFrame, trees: dict[str | None, Tree]
                 name = part.column(0)[0].as_py()
                 for s in range(0, len(part), 128):
                     some = part.slice(s, 128)
-                    found = _verified(some.column(3).to_numpy(), _matrix(some.column(4), np.float16).astype(np.float32), some.column(5).to_numpy(), ids, unit, proj, k, threshold)
+                    found = _verified(some.column(3).to_numpy(), _matrix(some.column(4), np.float16).astype(np.float32), some.column(5).to_numpy(), ids, unit, proj, k, threshold, some.column(6).to_numpy(zero_copy_only=False) if reach == "after" else None)
                     if len(found[0]):
                         yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name, pa.string()), len(found[0])), *map(pa.array, found)], names=["_model", "_q", "_p", "_cos"])
 
     return met.mapInArrow(verify, "_model string, _q long, _p long, _cos double")
 
 
-def _verified(q_ids: np.ndarray, q: np.ndarray, squared: np.ndarray, ids: np.ndarray, unit: np.ndarray, proj: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _verified(q_ids: np.ndarray, q: np.ndarray, squared: np.ndarray, ids: np.ndarray, unit: np.ndarray, proj: np.ndarray, k: int, threshold: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     qp = project(q)
     least = ((qp**2).sum(axis=1) - squared * threshold) / 2
     near = np.hstack([qp, np.ones((len(qp), 1), np.float32)]) @ proj >= least[:, None].astype(np.float32)
@@ -222,11 +223,19 @@ def _verified(q_ids: np.ndarray, q: np.ndarray, squared: np.ndarray, ids: np.nda
         cos = np.concatenate([np.einsum("ij,ij->i", q[r[s : s + 65536]], unit[c[s : s + 65536]]) for s in range(0, len(r), 65536)]) if len(r) else np.zeros(0, np.float32)
     keep = (cos >= 1 - squared[r] / 2 - 1e-3) & (q_ids[r] != ids[c])
     r, c, cos = r[keep], c[keep], cos[keep]
-    order = np.lexsort((ids[c], -cos, r))
-    r, c, cos = r[order], c[order], cos[order]
-    rank = np.arange(len(r)) - np.searchsorted(r, r)
-    top = rank < k
-    return q_ids[r[top]], ids[c[top]], cos[top].astype(np.float64)
+    a, b, score = _top(q_ids[r], ids[c], cos, k)
+    if own is not None:  # the points found by queries from another leaf have found these in turn
+        abroad = ~own[r]
+        back = _top(ids[c[abroad]], q_ids[r[abroad]], cos[abroad], k)
+        a, b, score = (np.append(x, y) for x, y in zip((a, b, score), back))
+    return a, b, score.astype(np.float64)
+
+
+def _top(of: np.ndarray, other: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((other, -cos, of))
+    of, other, cos = of[order], other[order], cos[order]
+    top = np.arange(len(of)) - np.searchsorted(of, of) < k
+    return of[top], other[top], cos[top]
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -259,7 +268,7 @@ def class_neighbours(classes: DataFrame, *, k: int = 5, min_cosine: float | None
         return classes.sparkSession.createDataFrame([], "_model string, _q long, _p long, _cos double, _rank int")
     asked = classes if queries is None else queries
     if min_cosine is not None:
-        found = _search(classes, asked.withColumn("_squared", F.lit(2 - 2 * min_cosine)), trees, k, p, "all")
+        found = _search(classes, asked.withColumn("_squared", F.lit(2 - 2 * min_cosine)), trees, k, p, "after" if queries is None else "all")
         return _best(found, k)
     near = materialize(_best(_search(classes, asked.withColumn("_squared", F.lit(4.0)), trees, k, p, "home"), k))
     beat = near.groupBy("_model", "_q").agg(F.count(F.lit(1)).alias("_n"), F.min("_cos").alias("_worst"))
