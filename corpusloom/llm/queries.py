@@ -144,5 +144,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT chunk_id FROM (SELECT chunk_id, language, text, row_number() OVER (PARTITION BY chunk_id ORDER BY updated_at DESC, text DESC) k FROM content_chunks)
             WHERE k = 1 AND ceil(length(text) / CASE WHEN language IN ('ar', 'ur') THEN 3.0 ELSE 4.0 END) > 512""",
         "p2_ranking": ranking,
+        "p3_found": """
+            WITH v AS (SELECT model_name, chunk_id, vector, row_number() OVER (PARTITION BY model_name, chunk_id ORDER BY updated_at DESC, vector DESC) k FROM chunk_vectors),
+            d AS (SELECT model_name, arg_max(dimensions, n) AS size FROM (SELECT model_name, dimensions, count(*) n FROM chunk_vectors WHERE dimensions IS NOT NULL GROUP BY ALL) GROUP BY model_name),
+            ok AS (SELECT model_name, chunk_id, CAST(vector AS DOUBLE[]) AS vec FROM v JOIN d USING (model_name) WHERE k = 1 AND len(vector) = size
+                AND len(list_filter(vector, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+            s AS (SELECT a.model_name, a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.vec, b.vec) AS cos FROM ok a JOIN ok b ON a.model_name = b.model_name AND a.chunk_id <> b.chunk_id),
+            r AS (SELECT a, b, cos, row_number() OVER (PARTITION BY model_name, a ORDER BY cos DESC, b) AS rank FROM s)
+            SELECT DISTINCT least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM r WHERE rank <= 5 AND cos >= 0.9""",
         "p2_found": f"SELECT query_id, chunk_id FROM ({ranking}) WHERE position <= 5",
     }
