@@ -5,7 +5,7 @@ import pandas as pd
 def plain(df: pd.DataFrame) -> list[tuple]:
     """Rows with columns by name, numbers as rounded floats, in order."""
     def value(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and np.isnan(v)):
             return "None"
         if isinstance(v, (bool, np.bool_)):
             return str(bool(v))
