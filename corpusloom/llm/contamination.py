@@ -71,9 +71,9 @@ def _grams(s: Stream, q: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Index:
-    """Items as words and as q-grams sorted by hash, with the filter's bound for each window of words."""
+    """Item texts as words and as q-grams sorted by hash, with the filter's bound for each window of words."""
 
-    ids: list
+    ids: list  # of each text the ids of the items that have it
     q: int
     window: int
     hits: int
@@ -92,10 +92,15 @@ class Index:
 def build_index(ids: list, texts: list[str], *, q: int = 10, most_items: int = 30, window: int = 18, hits: int = 16, floor: int = 12) -> Index:
     """``window`` successive words of an item must come with at least ``hits`` of them unchanged.
 
-    A q-gram of more than ``most_items`` items says little and is not indexed. The bound of a window counts
-    its indexed ones, less those that the changed words of the budget and one place of insertion can touch,
-    and is at least ``floor``.
+    Equal texts are indexed once. A q-gram of more than ``most_items`` texts says little and is indexed only
+    in windows that would otherwise hold too few for their bound. The bound of a window counts its indexed
+    q-grams, less those that the changed words of the budget and one place of insertion can touch; it is at
+    least ``floor``, or all of a window that has fewer.
     """
+    held_by: dict[str, list] = {}
+    for i, t in zip(ids, texts):
+        held_by.setdefault(t, []).append(i)
+    ids, texts = list(held_by.values()), list(held_by)
     b = Block(np.arange(len(texts)), [_whole(t) for t in texts])
     s = _stream(b)
     at, h = _grams(s, q)
@@ -104,9 +109,10 @@ def build_index(ids: list, texts: list[str], *, q: int = 10, most_items: int = 3
     pairs = np.unique(inverse.astype(np.int64) * len(ids) + item)
     spread = np.bincount(pairs // max(1, len(ids)), minlength=inverse.max() + 1 if len(inverse) else 0)
     rare = spread[inverse] <= most_items if len(inverse) else np.zeros(0, bool)
-    indexed = np.zeros(len(s.cp) + 1, np.int64)
-    indexed[at[rare]] = 1
-    before = np.append(0, np.cumsum(indexed))
+    held_all, held_rare = np.zeros((2, len(s.cp) + 2), np.int64)
+    held_all[at + 1] = 1
+    held_rare[at[rare] + 1] = 1
+    held_all, held_rare = held_all.cumsum(), held_rare.cumsum()
     # words: kept characters with none dropped between them that is a blank or a mark of punctuation
     wordy = np.zeros(len(b.cp) + 1, bool)
     wordy[:-1] = (_kept()[b.cp] > 0) | (folding()[b.cp] == 0)
@@ -125,19 +131,31 @@ def build_index(ids: list, texts: list[str], *, q: int = 10, most_items: int = 3
         word_size[of, rank] = last - first
     need = np.full((len(ids), max(1, most)), np.iinfo(np.int32).max)
     span = np.zeros((2, len(ids), max(1, most)), np.int64)
+    budget, poor = np.zeros(len(ids), np.int64), np.zeros(len(s.cp) + 2, np.int64)
     for i in range(len(ids)):
         n = int(n_words[i])
         if size := min(window, n):
             starts, ends = word_at[i, : n - size + 1], word_at[i, size - 1 : n] + word_size[i, size - 1 : n] - q + 1
-            ends = np.maximum(ends, starts)
-            held = before[s.start[i] + ends] - before[s.start[i] + starts]
+            span[:, i, : len(starts)] = starts, ends = starts, np.maximum(ends, starts)
             touched = int(np.ceil(word_size[i, :n].mean())) + q - 1
-            need[i, : len(starts)] = np.maximum(floor, held - (size - -(-size * hits // window)) * touched - (q - 1))
-            span[:, i, : len(starts)] = starts, ends
-    order = np.argsort(h[rare], kind="stable")
+            budget[i] = (size - -(-size * hits // window)) * touched + q - 1
+            starts, ends = s.start[i] + starts, s.start[i] + ends
+            few = held_rare[ends] - held_rare[starts] < budget[i] + floor
+            np.add.at(poor, starts[few], 1)
+            np.add.at(poor, ends[few], -1)
+    indexed = rare | (poor.cumsum()[at] > 0)
+    before = np.zeros(len(s.cp) + 2, np.int64)
+    before[at[indexed] + 1] = 1
+    before = before.cumsum()
+    for i in range(len(ids)):
+        if size := min(window, int(n_words[i])):
+            starts, ends = s.start[i] + span[:, i, : n_words[i] - size + 1]
+            held = before[ends] - before[starts]
+            need[i, : len(starts)] = np.maximum(np.clip(held, 1, floor), held - budget[i])
+    order = np.argsort(h[indexed], kind="stable")
     bitmap = np.zeros(1 << 22, bool)
-    bitmap[h[rare] & np.uint64(len(bitmap) - 1)] = True
-    return Index(list(ids), q, window, hits, h[rare][order], item[rare][order].astype(np.int64), (at - s.start[item])[rare][order], need, span, bitmap, word_hash, word_at, word_size, n_words)
+    bitmap[h[indexed] & np.uint64(len(bitmap) - 1)] = True
+    return Index(ids, q, window, hits, h[indexed][order], item[indexed][order].astype(np.int64), (at - s.start[item])[indexed][order], need, span, bitmap, word_hash, word_at, word_size, n_words)
 
 
 def _candidates(s: Stream, x: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -347,8 +365,9 @@ def _scanner(shared, key: str, item_key: str, schema: T.StructType):
         for batch in batches:
             for b in blocks(pa.array([_whole(t) for t in batch.column(1).to_pylist()], pa.string())):
                 doc, item, words = _scan(b, x)
-                keys = batch.column(0).take(pa.array(b.rows[doc] if len(doc) else [], pa.int64()))
-                ids = pa.array([x.ids[i] for i in item])
+                same = np.array([len(x.ids[i]) for i in item], np.int64)
+                keys = batch.column(0).take(pa.array(np.repeat(b.rows[doc], same) if len(doc) else [], pa.int64()))
+                ids, words = pa.array([k for i in item for k in x.ids[i]]), np.repeat(words, same)
                 yield pa.RecordBatch.from_arrays([keys, ids.cast(_arrow(schema[item_key].dataType)), pa.array(words, pa.int32())], names=[key, item_key, "words"])
 
     return run

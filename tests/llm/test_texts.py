@@ -159,6 +159,19 @@ def test_leak_filter_loses_nothing():
     assert len(found) == len(texts)
 
 
+def test_leaks_of_passages_that_many_items_share(spark):
+    rng = random.Random(6)
+    own = ["".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(400)]
+    shared = " ".join(own[:20])
+    items = [(i, f"{shared} {' '.join(own[30 + 9 * i : 39 + 9 * i])}") for i in range(40)] + [(100 + i, ITEM) for i in range(40)]
+    changed = shared.split()
+    changed[5] = changed[14] = "other"
+    docs = [(1, FILL + shared + " " + FILL), (2, FILL + " ".join(changed[1:19])), (3, FILL + ITEM), (4, FILL + " ".join(own[:9]))]
+    got = contamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = {(d, i) for d in (1, 2) for i in range(40)} | {(3, 100 + i) for i in range(40)}
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
 PROSE = "The keeper of the old library had written that the price of salt was higher than before, and they did not believe him. It was a long winter in the valley. "
 LIST = "\n".join(f"well {i}, {i * 7 % 90}, {i * 31 % 700}" for i in range(30))
 
