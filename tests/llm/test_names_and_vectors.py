@@ -89,6 +89,21 @@ def test_neighbours_against_brute_force(spark):
     assert len(near5) == 90 and len(top & {(r["_key"], r["_other"]) for r in near5}) >= 0.9 * 90
 
 
+def test_pairs_near_the_threshold_with_many_leaves(spark):
+    rng = np.random.default_rng(1)
+    n, cos = 3000, rng.uniform(0.9005, 0.92, (3000, 1))
+    a, b = rng.normal(size=(2, n, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    x = np.concatenate([a, cos * a + np.sqrt(1 - cos**2) * b / np.linalg.norm(b, axis=1, keepdims=True)])
+    rows = [("m", str(i), r.tolist(), 64, 1, 0) for i, r in enumerate(x)]
+    members, classes = neighbours._prepared(neighbours.valid_vectors(_vectors(spark, rows)))
+    key = {r["_class"]: int(r["_key"]) for r in members.collect()}
+    found = neighbours.class_neighbours(classes, min_cosine=0.9, leaf_rows=48)
+    pairs = {tuple(sorted((key[r["_q"]], key[r["_p"]]))) for r in found.collect()}
+    assert sum((i, i + n) in pairs for i in range(n)) >= 0.98 * n
+
+
 def test_invalid_vectors_and_versions(spark):
     v = [1.0, 2.0, 3.0]
     rows = [("m", "a", v, 3, 1, 0), ("m", "b", v, None, 1, 0), ("m", "c", [1.0, 2.0], 3, 1, 0), ("m", "d", None, 3, 1, 0), ("m", "e", [0.0] * 3, 3, 1, 0), ("m", "f", [1.0, float("nan"), 1.0], 3, 1, 0), ("m", "g", [], 3, 1, 0), ("m", "h", v, 3, 1, 0), ("m", "h", [-1.0, 5.0, 0.0], 3, 2, 0), ("n", "a", v, 3, 1, 0), (None, "a", v, 3, 1, 0), ("m", None, v, 3, 1, 0), ("m", "a", v, 3, 1, 0), ("m", "i", [float("inf"), 1.0, 1.0], 3, 1, 0)]
