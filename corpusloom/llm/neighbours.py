@@ -2,9 +2,15 @@
 
 Vectors of unit length are projected by Gaussian weights to a few dimensions, in which a difference of
 length d has a squared length of d**2 times a chi-square variable. A kd-tree over the projections, fitted
-on a bounded sample, assigns every vector to a leaf. A query meets the leaves nearest first: it goes to all
-whose box may still hold a neighbour, and in a leaf the true similarity is computed for those only whose
-projected distance passes the chi-square test for the distance to be beaten.
+on a bounded sample, assigns every vector to a leaf. A query goes at once to all
+leaves whose box may hold a neighbour within a fixed distance: that of the least similarity asked for, or of
+the k-th in its home leaf. In a leaf the true similarity is computed for those only whose projected distance
+passes the chi-square test for that distance.
+
+This replaces the incremental search, which meets neighbours in the order of their projected distance and
+stops by the same test: that needs a query to return from each leaf before the next, a shuffle for each, where
+the fixed bound takes one for all. The bound is never nearer than where the incremental search would stop, so
+it costs similarities, not results.
 """
 
 from __future__ import annotations
