@@ -117,6 +117,9 @@ def replace_by_key(df: DataFrame, path: str, key: str) -> None:
 
 
 def export_books(chunks: DataFrame) -> DataFrame:
-    """``(book_id, chunks)``: the chunks of each book in order as JSON."""
-    items = F.sort_array(F.collect_list(F.struct("sequence", "chunk_id", "text")))
-    return chunks.groupBy("book_id").agg(F.to_json(items).alias("chunks"), F.count(F.lit(1)).alias("n_chunks"))
+    """``(book_id, sequence, chunk_id, text)``: the chunks of all books in order, a row each.
+
+    Parts are ranges of book and sequence, so that a large book spreads over several and none is gathered.
+    """
+    order = ["book_id", "sequence", "chunk_id"]
+    return chunks.select(*order, "text").repartitionByRange(*order).sortWithinPartitions(*order)

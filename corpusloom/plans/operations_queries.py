@@ -112,7 +112,13 @@ def audit_hashes(spark, sf):
 
 @query(f"SELECT book_id, count(*) AS n_chunks FROM {CHUNKS} GROUP BY book_id")
 def export_books(spark, sf):
-    return operations.export_books(chunks(spark, sf).select("book_id", "sequence", "chunk_id", "text")).select("book_id", "n_chunks")
+    return operations.export_books(chunks(spark, sf)).groupBy("book_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+@query(f"SELECT book_id, sequence, chunk_id, text FROM {CHUNKS}")
+def export_book_chunks(spark, sf):
+    """The export itself, of which ``export_books`` is the count."""
+    return operations.export_books(chunks(spark, sf))
 
 
 @query("SELECT user_id, item, last_at, position FROM (SELECT user_id, item, last_at, row_number() OVER (PARTITION BY user_id ORDER BY last_at DESC, item) AS position FROM (SELECT user_id, lower(trim(event_type)) AS item, max(ts) AS last_at FROM events GROUP BY ALL)) WHERE position <= 8")

@@ -227,3 +227,16 @@ def test_replace_by_key(spark, tmp_path):
     operations.replace_by_key(spark.createDataFrame([(1, "a"), (2, "a")], "k int, v string"), path, "k")
     operations.replace_by_key(spark.createDataFrame([(2, "b")], "k int, v string"), path, "k")
     assert sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "b")]
+
+
+def test_export_holds_the_texts_of_a_book_in_order_over_several_parts(spark):
+    rows = [(b, i, f"c{i:03d}", f"text {b} {i}") for b in (None, "a", "b") for i in range(100 if b == "b" else 2)]
+    df = spark.createDataFrame(rows[::-1], "book_id string, sequence int, chunk_id string, text string")
+    got = operations.export_books(df)
+    assert [tuple(r) for r in got.collect()] == rows
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows become one part
+    try:
+        parts = got.withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r["part"] for r in parts if r["book_id"] == "b"}) > 1
