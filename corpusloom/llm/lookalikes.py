@@ -95,18 +95,19 @@ def look_classes(df: DataFrame, *, key: str = "content_block_id", text: str = "o
     return rows.distinct()
 
 
-def look_alike_pairs(df: DataFrame, *, key: str = "content_block_id", text: str = "original_text", expand: int = 64) -> DataFrame:
+def look_alike_pairs(df: DataFrame, *, key: str = "content_block_id", text: str = "original_text", expand: int | None = None) -> DataFrame:
     """``(key_a, key_b)``, the smaller first: keys whose texts look the same but are different strings.
 
-    Every pair of different spellings of one look comes out. A spelling that at most ``expand`` keys share
-    comes out with each of them; of one shared by more, the smallest key stands for all (``look_classes``
-    names the members), so that a mass of copies does not multiply. Empty texts and texts of blanks only
+    Every pair comes out, so masses of copies of two spellings multiply; ``look_classes`` says the same in a
+    row for each key. With ``expand``, a spelling that more keys share is represented by the smallest. Empty texts and texts of blanks only
     look alike. A key with two spellings is not paired with itself.
     """
     rows = look_classes(df, key=key, text=text).select(field(key).cast("string").alias("_key"), "look", "spelling").filter(F.col("_key").isNotNull())
     spellings = rows.groupBy("look", "spelling").agg(F.min("_key").alias("_rep"), F.count(F.lit(1)).alias("_n"))
     several = spellings.groupBy("look").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("look")
-    shown = rows.join(several, "look", "left_semi").join(spellings, ["look", "spelling"]).filter((F.col("_n") <= expand) | (F.col("_key") == F.col("_rep")))
+    shown = rows.join(several, "look", "left_semi").join(spellings, ["look", "spelling"])
+    if expand is not None:
+        shown = shown.filter((F.col("_n") <= expand) | (F.col("_key") == F.col("_rep")))
     shown = shown.select("look", "spelling", "_key")
     a = shown.select("look", F.col("spelling").alias("_sa"), F.col("_key").alias("_a"))
     b = shown.select("look", F.col("spelling").alias("_sb"), F.col("_key").alias("_b"))

@@ -55,6 +55,11 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("key_a").alias("block_id_a"), F.col("key_b").alias("block_id_b"))
 
 
+def p4_looks(spark: SparkSession, sf: str) -> DataFrame:
+    """The look and the spelling of every block, as digests."""
+    return lookalikes.look_classes(table(spark, sf, "normalized_texts"))
+
+
 def p4_normalized(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.normalized(table(spark, sf, "normalized_texts"))
 

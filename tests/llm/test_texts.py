@@ -34,6 +34,13 @@ def test_look_alike_pairs(spark):
     assert lookalikes.look_alike_pairs(df.limit(0)).count() == 0
 
 
+def test_look_alike_pairs_of_many_copies(spark):
+    rows = [(f"a{i:02d}", "ab c") for i in range(65)] + [("b", "ab\u00a0c")]
+    df = spark.createDataFrame(rows, "content_block_id string, original_text string")
+    assert sorted(tuple(r) for r in lookalikes.look_alike_pairs(df).collect()) == [(f"a{i:02d}", "b") for i in range(65)]
+    assert lookalikes.look_classes(df).groupBy("look").count().collect()[0]["count"] == 66
+
+
 SAMPLES = ["", " ", "Hello  world\n\n don't we'll ''s 's", "نص عربي ١٢٣", "a" * 3000, "🙂👩\u200d🏫 ½²", "<|endoftext|>", "x'ld 'LL  \t\r\n end ", "\u0301\u0301'd"]
 
 
