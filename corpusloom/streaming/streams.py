@@ -51,8 +51,11 @@ def rate_windows(events: DataFrame, length: str = "60 seconds", late: str = "10
     return events.withWatermark("ts", late).groupBy(w).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("window_start"), "n")
 
 
-def first_seen(events: DataFrame, key: list[str], late: str = "10 minutes") -> DataFrame:
-    """Each key once, within the watermark."""
+def first_seen(events: DataFrame, key: list[str], late: str | None = None) -> DataFrame:
+    """Each key once, in whatever batch and order it comes; the state holds every key. With ``late`` only keys
+    within the watermark are held: rows later than it are dropped, and a key can come out again after it."""
+    if late is None:
+        return events.dropDuplicates(key)
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
 
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import library
 from corpusloom.plans import pipeline
+from corpusloom.streaming import streams
 
 
 def _verses(spark):
@@ -81,3 +82,11 @@ def test_rate_limiter():
     for _ in range(3):
         r.wait()
     assert slept == [1.0, 59.0]
+
+
+def test_first_seen_in_several_batches(spark, tmp_path):
+    for i, (ts, user) in enumerate([("2024-01-02 00:00:00", 1), ("2024-01-05 00:00:00", 2), ("2024-01-08 00:00:00", 1), ("2024-01-01 00:00:00", 3)]):
+        row = spark.sql(f"SELECT {i}L AS event_id, TIMESTAMP '{ts}' AS ts, {user}L AS user_id, 'a' AS event_type, 1D AS value, '' AS props")
+        row.coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    seen = streams.first_seen(streams.source(spark, str(tmp_path / "events"), files_a_batch=1), ["user_id", "event_type"])
+    assert sorted(r["user_id"] for r in streams.drain(seen, "append").collect()) == [1, 2, 3]
