@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,11 +13,22 @@ from pyspark.sql import types as T
 # Fixed values.
 ARABIC_DIGITS, EXTENDED_DIGITS, ASCII_DIGITS = "٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹", "0123456789"
 TATWEEL = "ـ"
-PROTECTED_MARKS = ["ﷺ", "ﷲ", "﷽", "۝", "۞", "﴾", "﴿", "ؐ"]
-HAMZA_FOLD = ("أإآٱؤ", "ااااو")
+PROTECTED_MARKS = ["\ufdf2", "\ufd3f", "\ufd3e", "\ufdfa", "\ufdfb", "بسم الله", "قال رسول الله", "رواه"]
+HAMZA_FOLD = ("أؤإآ", "اواا")
 FULL_FOLD = ("ةى", "هي")
-URDU_FOLD = ("ھی", "هي")
-URDU_ONLY = "ٹڈڑںہھےگچپ"
+URDU_FOLD = ("ھی", "ہے")
+URDU_QUERY_LETTERS = "ٹڈڑںہےئ"
+URDU_PAGE_LETTERS = "\u06be\u06ba\u06d2\u06cc\u0679\u0688\u06af\u06c1"
+ARABIC_RANGES = "\u0600-\u06ff\u0750-\u077f\ufb50-\ufdff\ufe70-\ufeff"
+LEADERS = ".\u2026\u0092\u00b7\u2024"
+BASMALA = ["بسم", "بِسْم", "بسملہ"]
+BASMALA_LINE, BASMALA_INSIDE = "الرحمن الرحيم", "بِسْمِ اللَّهِ"
+
+#: White space as a set of characters and as the inside of a character class.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+BLANK_CLASS = r"\t-\r\x1c- \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: Where a text is cut into lines.
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
 @F.pandas_udf(T.StringType())
@@ -29,9 +41,40 @@ def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
 
 
+@cache
+def _unstable(form: str) -> str:
+    """A character class of all that the form may change: marks, joining vowels, what has another form."""
+    def may(c: int) -> bool:
+        ch = chr(c)
+        return unicodedata.category(ch)[0] == "M" or 0x1160 <= c < 0x1200 or unicodedata.normalize(form, ch) != ch
+
+    found = [c for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000 and may(c)]
+    ranges: list[list[int]] = []
+    for c in found:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "\\x{E0100}-\\x{E01EF}]"
+
+
 def unicode_form(c: Column, form: str = "NFC") -> Column:
-    """The text in that form; ``none`` leaves it. Spark has no built-in for it."""
-    return {"NFC": _nfc, "NFKC": _nfkc}[form](c) if form != "none" else c
+    """The text in that form; ``none`` leaves it. Spark has no built-in for it, so that texts with a character
+    the form may change go through Python, and only these."""
+    if form == "none":
+        return c
+    there = c.rlike(_unstable(form))
+    return F.coalesce({"NFC": _nfc, "NFKC": _nfkc}[form](F.when(there, c)), c)
+
+
+def strip(c: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.btrim(c, F.lit(BLANKS))
+
+
+def lines_of(c: Column) -> Column:
+    """The lines of a text, cut at line breaks of every kind."""
+    return F.split(c, LINE_BREAK)
 
 
 def unify_breaks(c: Column) -> Column:
@@ -65,16 +108,15 @@ def fold_letters(c: Column, *, hamza: bool = False, full: bool = False, urdu: bo
 def normalize_text(c: Column, language: Column, config: str = "auto", form: str = "NFC") -> Column:
     """Layout, Unicode form, blanks, tatweel; then folds, unless the original is protected.
 
-    ``conservative`` folds nothing, ``search`` everything, ``auto`` what suits the language.
+    ``conservative`` folds nothing, ``search`` hamza and digits, ``full`` teh marbuta and alef maqsura besides,
+    ``auto`` is ``search`` for Arabic, digits only for Urdu and ``conservative`` for the rest.
     """
     base = F.translate(collapse_blanks(unicode_form(unify_breaks(c), form)), TATWEEL, "")
     if config == "conservative":
         return base
-    everything = fold_letters(base, hamza=True, full=True, urdu=True, digits=True)
-    if config == "search":
-        folded = everything
-    else:
-        folded = F.when(language == "ar", fold_letters(base, hamza=True)).when(language == "ur", fold_letters(base, urdu=True)).otherwise(base)
+    folded = fold_letters(base, hamza=True, full=config == "full", digits=True)
+    if config == "auto":
+        folded = F.when(language == "ar", folded).when(language == "ur", fold_digits(base)).otherwise(base)
     return F.when(is_protected(c), base).otherwise(folded)
 
 
@@ -96,12 +138,12 @@ def token_estimate(c: Column, language: Column) -> Column:
 
 
 def script_hint(c: Column) -> Column:
-    """ar, ur or en by which letters prevail; null without letters. Urdu needs 3 own letters or a twentieth."""
-    arabic = F.regexp_count(c, F.lit("[؀-ۿݐ-ݿ]"))
-    urdu = F.regexp_count(c, F.lit(f"[{URDU_ONLY}]"))
-    latin = F.regexp_count(c, F.lit("[A-Za-z]"))
+    """ur, ar or en by the letters; null without any. One Arabic letter decides against en; Urdu needs 3 own
+    letters, or one for each 20 Arabic ones if that is more."""
+    arabic = F.regexp_count(c, F.lit(f"[{ARABIC_RANGES}]"))
+    urdu = F.regexp_count(c, F.lit(f"[{URDU_PAGE_LETTERS}]"))
     is_urdu = urdu >= F.greatest(F.lit(3), F.floor(arabic / 20))
-    return F.when((arabic == 0) & (latin == 0), None).when(arabic >= latin, F.when(is_urdu, "ur").otherwise("ar")).otherwise("en")
+    return F.when(arabic > 0, F.when(is_urdu, "ur").otherwise("ar")).when(c.rlike("[A-Za-z]"), "en")
 
 
 def letters(c: Column) -> Column:
@@ -110,7 +152,7 @@ def letters(c: Column) -> Column:
 
 def visible(c: Column) -> Column:
     """Characters that are no white space."""
-    return F.length(F.regexp_replace(c, "[ \t\n\r\f\x0b]", ""))
+    return F.length(F.translate(c, BLANKS, ""))
 
 
 def extract_quality(c: Column) -> Column:
@@ -121,30 +163,40 @@ def extract_quality(c: Column) -> Column:
 
 
 def density_band(chars: Column) -> Column:
-    return F.when(chars == 0, "empty").when(chars <= 200, "low").when(chars <= 1200, "medium").otherwise("high")
+    return F.when(chars == 0, "none").when(chars <= 200, "low").when(chars <= 1200, "medium").otherwise("high")
 
 
 def ocr_notes(c: Column, confidence: Column) -> Column:
-    """Why a recognised page needs review: an array, empty if it does not."""
-    n = visible(c)
-    return F.array_compact(
-        F.array(
-            F.when(n == 0, "no_text"),
-            F.when(confidence < 50, "low_confidence"),
-            F.when((n > 0) & (n < 30), "very_short"),
-            F.when((n > 0) & (letters(c) < 0.5 * n), "low_alpha"),
+    """Why a recognised page needs review: an array, empty if it does not. An empty page has one reason only."""
+    n, share = visible(c), letters(c) / visible(c)
+    return F.when(n == 0, F.array(F.lit("no_text"))).otherwise(
+        F.array_compact(
+            F.array(
+                F.when(confidence < 50, F.concat(F.lit("low_confidence="), F.format_number(confidence, 1))),
+                F.when(n < 30, F.concat(F.lit("very_short_text="), n.cast("string"))),
+                F.when(share < 0.5, F.concat(F.lit("low_alpha_ratio="), F.format_number(share, 2))),
+            )
         )
     )
 
 
+def is_basmala(c: Column) -> Column:
+    line = F.lower(strip(c))
+    out = (line == BASMALA_LINE) | line.contains(BASMALA_INSIDE)
+    for start in BASMALA:
+        out = out | line.startswith(start)
+    return out
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, "[ \t\n\r\f\x0b ]+", " "))
 
 
 def clean_value(c: Column) -> Column:
-    """A field value without marks and blanks at its ends, inner blanks single."""
-    ends = "[ \t\n\r\\-–—؛،:;‎‏]+"
-    return squeeze(F.regexp_replace(F.regexp_replace(c, f"^{ends}", ""), f"{ends}$", ""))
+    """A field value without marks and blanks at its ends (dashes of any kind before, hyphens behind), inner
+    blanks single."""
+    marks = BLANK_CLASS + "؛،:;\u200e\u200f"
+    return squeeze(F.regexp_replace(F.regexp_replace(c, f"^[{marks}\\-–—]+", ""), f"[{marks}\\-]+$", ""))
 
 
 def slug(c: Column, most: int = 64) -> Column:
@@ -152,20 +204,21 @@ def slug(c: Column, most: int = 64) -> Column:
 
 
 def is_page_number(c: Column) -> Column:
-    return F.trim(c).rlike("^[0-9٠-٩۰-۹]{1,4}$")
+    return strip(c).rlike("^[0-9٠-٩۰-۹]{1,4}$")
 
 
 def is_toc_line(c: Column) -> Column:
     """A short line with three leader dots or ending in a number after them."""
-    line = F.trim(c)
-    leaders = F.regexp_count(line, F.lit("[.…·]"))
-    return (F.length(line) > 0) & (F.length(line) <= 140) & ((leaders >= 3) | F.regexp_replace(line, "[ \t]", "").rlike("[0-9٠-٩۰-۹]{1,4}$"))
+    line = strip(c)
+    leaders = F.length(line) - F.length(F.translate(line, LEADERS, ""))
+    return (F.length(line) > 0) & (F.length(line) <= 140) & ((leaders >= 3) | line.rlike("[0-9٠-٩۰-۹]$"))
 
 
 def is_footnote_start(c: Column) -> Column:
-    line = F.trim(c)
-    marker = line.rlike("^[(（\\[{]?[ ]*[0-9٠-٩۰-۹]{1,3}[)）\\]}]?[ ]*[:‏‎]?[ ]*[^ .0-9٠-٩۰-۹]")
-    return ~is_page_number(c) & (marker | line.rlike("^\\*{1,3}[ ]*[^ ]") | line.rlike("^[_\\-─—]{3,}$"))
+    line = strip(c)
+    gap = f"[{BLANK_CLASS}]*"
+    marker = line.rlike(f"^[(（\\[{{]?{gap}[0-9٠-٩۰-۹]{{1,3}}[)）\\]}}]?{gap}[:\u200f\u200e]?{gap}[^{BLANK_CLASS}.0-9٠-٩۰-۹]")
+    return ~is_page_number(c) & (marker | line.rlike(f"^\\*{{1,3}}{gap}[^{BLANK_CLASS}]") | line.rlike("^[_\\-\u2500\u2014]{3,}$"))
 
 
 def is_roman(c: Column) -> Column:
@@ -191,6 +244,20 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(every > 0, F.size(F.array_intersect(x, y)) / every).otherwise(F.lit(0.0))
 
 
-def citation(source_type: Column, book: Column, page: Column, chapter: Column, verse: Column) -> Column:
-    """The reference of a hit: chapter:verse, collection #number or book with page."""
-    return F.when(source_type == "quran", F.concat_ws(":", chapter.cast("string"), verse.cast("string"))).when(source_type == "hadith", F.concat(book, F.lit(" #"), verse.cast("string"))).otherwise(F.concat_ws(", ", book, F.when(page.isNotNull(), F.concat(F.lit("p. "), page.cast("string")))))
+def citation(source_type: Column, **at: Column) -> Column:
+    """The reference of a hit, of the columns given by name; a missing one is left out.
+
+    ``quran``: surah_name or surah, verse, language, translator. ``hadith``: collection, number, book.
+    Others: title or book_id, chapter, section, page, chunk_id.
+    """
+    null = F.lit(None).cast("string")
+
+    def of(name: str, before: str = "", after: str = "") -> Column:
+        c = at.get(name, null).cast("string")
+        return F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(before), c, F.lit(after)))
+
+    verse = F.concat(F.coalesce(of("surah_name"), of("surah"), F.lit("?")), F.lit(":"), F.coalesce(of("verse"), F.lit("?")))
+    told = F.when(of("language").isNotNull(), F.concat(F.lit(" ("), of("language"), F.lit(" by "), F.coalesce(of("translator"), F.lit("?")), F.lit(")")))
+    report = F.concat_ws(" ", F.coalesce(of("collection"), F.lit("collection")), of("number", "#"), of("book"))
+    passage = F.concat_ws(", ", F.coalesce(of("title"), of("book_id"), F.lit("book")), of("chapter", "ch. "), of("section"), of("page", "p. "), of("chunk_id"))
+    return F.when(source_type == "quran", F.concat(verse, F.coalesce(told, F.lit("")))).when(source_type == "hadith", report).otherwise(passage)

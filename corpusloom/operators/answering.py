@@ -51,11 +51,11 @@ def grounding(answer: Column, n_sources: Column, fraction: float = 0.6) -> Colum
     """A struct (grounded, note): whether the answer's marks exist and enough sentences carry one."""
     marks = F.transform(F.regexp_extract_all(answer, F.lit("\\[S(\\d+)\\]"), F.lit(1)), lambda m: m.cast("int"))
     outside = F.sort_array(F.array_distinct(F.filter(marks, lambda m: (m <= 0) | (m > n_sources))))
-    sentences = F.filter(F.split(answer, "(?<=[.!?؟۔])\\s+"), lambda s: F.trim(s) != "")
+    sentences = F.filter(F.split(answer, f"(?<=[.!?。「」])[{tx.BLANK_CLASS}]+"), lambda s: tx.strip(s) != "")
     marked = F.size(F.filter(sentences, lambda s: s.rlike("\\[S\\d+\\]")))
     notes = F.array_compact(
         F.array(
-            F.when(F.size(outside) > 0, F.concat(F.lit("markers out of range: "), F.array_join(outside.cast("array<string>"), ", "))),
+            F.when(F.size(outside) > 0, F.concat(F.lit("markers out of range: ["), F.array_join(outside.cast("array<string>"), ", "), F.lit("]"))),
             F.when((F.size(sentences) > 0) & (marked / F.size(sentences) < fraction), F.concat(F.lit("only "), marked.cast("string"), F.lit("/"), F.size(sentences).cast("string"), F.lit(" sentences carry a citation"))),
         )
     )

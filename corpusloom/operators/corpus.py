@@ -22,6 +22,10 @@ MARKERS = {
     "publisher": ["مطبعة", "مطبعه", "المطبعة", "دار", "مكتبة", "مکتبة", "ناشر", "پریس", "لرتب", "publisher"],
     "edition": ["الطبعة", "الطبعه"],
 }
+YEAR_WORDS = ["هجری", "هجري", "قمری", "قمرے", "سنة", "سنه", "سال", "ھ", "هـ"]
+HIJRI_YEAR, PLAIN_YEAR = f"([0-9]{{3,4}})[{tx.BLANK_CLASS}]*[هھ]", "(?<![0-9])(1[2-9][0-9]{2}|2[0-9]{3})(?![0-9])"
+MARKED_ISBN, BARE_ISBN = f"(?i)ISBN[{tx.BLANK_CLASS}]*[:：]?[{tx.BLANK_CLASS}]*([0-9][0-9Xx\\-–—{tx.BLANK_CLASS}]{{8,16}})", "(?<![0-9])97[89][0-9]{10}(?![0-9])"
+VOLUME = "(?i)(?:^|[-_. ])(vol|volume|juz|juz'|juzo)[-_. ]*(\\d+)(?:[-_. ]*)$"
 GENERIC_STEMS = ["book", "book1", "book2", "book3", "kitab", "كتاب", "document", "document1", "file", "scan", "scanned", "pdf", "image", "islam", "islamic", "slam", "untitled", "readme", "index", "notes", "license", "copying", "changelog", "تحریر"]
 
 
@@ -42,34 +46,55 @@ def ingest(files: DataFrame, registered: DataFrame | None = None) -> DataFrame:
     """``(path, category, size, sha256)`` with status, reason and target: registered, duplicate, quarantined.
 
     The first path of a content wins, unless it is known already; unknown formats and empty files are set
-    aside with a reason. Hashing spreads the work; a hot content costs one sort of its paths.
+    aside with a reason, under ``quarantine/`` by their name, with -1, -2 and so on before the extension where
+    several have one name. A registered target whose name stands for another content is a collision.
+
+    The first path of a digest is a minimum with partial sums, so a content with a third of all files costs
+    no more than others; only set-aside files of one name are ranked together.
     """
     reason = F.when(file_format(F.col("path")).isNull(), "unsupported format").when(F.col("size") == 0, "empty file")
-    out = files.withColumn("reason", reason)
-    first = Window.partitionBy("sha256", F.col("reason").isNull()).orderBy("path")
-    out = out.withColumn("_n", F.row_number().over(first))
+    name = F.regexp_extract("path", "([^/]+)$", 1)
+    out = files.withColumn("reason", reason).withColumn("_name", name)
+    good = out.filter("reason is null")
+    first = good.groupBy(F.col("sha256").alias("_sha")).agg(F.min("path").alias("_first"))
+    good = good.join(first, F.col("sha256").eqNullSafe(F.col("_sha")))
     if registered is not None:
         known = registered.select(F.col("sha256").alias("_known")).distinct()
-        out = out.join(known, out["sha256"] == F.col("_known"), "left")
+        good = good.join(known, F.col("sha256") == F.col("_known"), "left")
     else:
-        out = out.withColumn("_known", F.lit(None).cast("string"))
-    status = F.when(F.col("reason").isNotNull(), "quarantined").when(F.col("_known").isNotNull() | (F.col("_n") > 1), "duplicate").otherwise("registered")
-    name = F.regexp_extract("path", "([^/]+)$", 1)
-    return out.withColumn("status", status).withColumn("target", F.when(F.col("status") != "quarantined", storage_path(F.col("category"), F.col("sha256"), name))).drop("_n", "_known")
+        good = good.withColumn("_known", F.lit(None).cast("string"))
+    is_new = F.col("_known").isNull() & (F.col("path") == F.col("_first"))
+    good = good.withColumn("status", F.when(is_new, "registered").otherwise("duplicate")).withColumn("target", storage_path(F.col("category"), F.col("sha256"), F.col("_name")))
+    bad = out.filter("reason is not null").withColumn("_n", F.row_number().over(Window.partitionBy("_name").orderBy("path")) - 1)
+    stem, ext = F.regexp_extract("_name", "^(.*?)(\\.[^.]*)?$", 1), F.regexp_extract("_name", "^(.*?)(\\.[^.]*)?$", 2)
+    aside = F.concat(F.lit("quarantine/"), F.when(F.col("_n") == 0, F.col("_name")).otherwise(F.concat(stem, F.lit("-"), F.col("_n").cast("string"), ext)))
+    bad = bad.withColumn("status", F.lit("quarantined")).withColumn("target", aside)
+    names = [*files.columns, "reason", "status", "target"]
+    return good.select(*names).unionByName(bad.select(*names))
+
+
+def collisions(wanted: DataFrame, stored: DataFrame) -> DataFrame:
+    """Targets that hold another content already: ``(target, sha256, stored_sha256)``."""
+    there = stored.select("target", F.col("sha256").alias("stored_sha256"))
+    return wanted.join(there, "target").filter(~F.col("sha256").eqNullSafe(F.col("stored_sha256"))).select("target", "sha256", "stored_sha256")
 
 
 def inspect_pages(pages: DataFrame, file: str = "file") -> DataFrame:
-    """Per file the rollup of its pages ``(file, page, text, has_images)`` and its class.
+    """Per file the rollup of its pages ``(file, page, text, has_images[, error])`` and its class.
 
-    A page with 30 visible characters has text; of the others those with images are scanned. Scanned: 80 %
-    scanned or none with text. Text: 95 % with text and at most 2 % scanned. Mixed: the rest.
+    A page of 30 characters has text; of the others those with images are scanned, and those without any
+    character or image blank. A page with an error is none of these. Invalid: no page at all, or over half
+    and over five unreadable. Scanned: 80 % scanned or none with text. Text: 95 % with text and at most 2 %
+    scanned. Mixed: the rest.
     """
-    n = tx.visible(F.coalesce("text", F.lit("")))
-    p = pages.withColumn("_chars", n)
+    bad = F.col("error").isNotNull() if "error" in pages.columns else F.lit(False)
+    images = F.coalesce("has_images", F.lit(False))
+    p = pages.withColumn("_chars", F.when(~bad, F.length(F.coalesce("text", F.lit("")))).otherwise(0)).withColumn("_bad", bad)
     has_text = F.col("_chars") >= 30
-    scanned = ~has_text & F.coalesce("has_images", F.lit(False))
-    out = p.groupBy(file).agg(F.count(F.lit(1)).alias("pages"), F.count_if(has_text).alias("text_pages"), F.count_if(scanned).alias("scanned_pages"), F.count_if(~has_text & ~scanned).alias("blank_pages"), F.sum("_chars").alias("chars"))
-    kind = F.when((F.col("scanned_pages") >= 0.8 * F.col("pages")) | (F.col("text_pages") == 0), "scanned").when((F.col("text_pages") >= 0.95 * F.col("pages")) & (F.col("scanned_pages") <= 0.02 * F.col("pages")), "text").otherwise("mixed")
+    scanned = ~has_text & images & ~F.col("_bad")
+    out = p.groupBy(file).agg(F.count(F.lit(1)).alias("pages"), F.count_if(has_text).alias("text_pages"), F.count_if(scanned).alias("scanned_pages"), F.count_if((F.col("_chars") == 0) & ~images & ~F.col("_bad")).alias("blank_pages"), F.count_if("_bad").alias("unreadable_pages"), F.sum("_chars").alias("chars"))
+    n = F.col("pages")
+    kind = F.when((F.col("unreadable_pages") > 5) & (F.col("unreadable_pages") > 0.5 * n), "invalid").when((F.col("scanned_pages") >= 0.8 * n) | (F.col("text_pages") == 0), "scanned").when((F.col("text_pages") >= 0.95 * n) & (F.col("scanned_pages") <= 0.02 * n), "text").otherwise("mixed")
     return out.withColumn("kind", kind)
 
 
@@ -140,11 +165,11 @@ def overall_confidence(best: DataFrame) -> DataFrame:
 
 
 def review_gate(best: DataFrame, auto: bool) -> DataFrame:
-    """Per file: waiting without automatic review; with it only high facts are approved, and a title that
-    is not high blocks."""
-    title_high = F.max(F.when(F.col("field") == "title", F.col("confidence") == "high"))
-    approved = F.count_if(F.col("confidence") == "high")
-    out = best.groupBy("source_file_id").agg(title_high.alias("_t"), approved.alias("_a"))
+    """Per file: waiting without automatic review. With it the open facts (pending or in review) that are high
+    are approved; an open title that is not high blocks the file, as does a file without a title."""
+    is_open, high, title = F.col("status").isin("pending", "review"), F.col("confidence") == "high", F.col("field") == "title"
+    fine = F.max(F.when(title, ~is_open | high))  # a title that was approved before stays so
+    out = best.groupBy("source_file_id").agg(fine.alias("_t"), F.count_if(is_open & high).alias("_a"))
     verdict = F.when(F.lit(not auto), "waiting").when(F.coalesce("_t", F.lit(False)), "approved").otherwise("blocked")
     return out.select("source_file_id", F.when(F.lit(auto), F.col("_a")).otherwise(0).alias("n_approved"), verdict.alias("verdict"))
 
@@ -186,64 +211,63 @@ def unpivot_info(df: DataFrame, key: str) -> DataFrame:
 
 def filename_facts(df: DataFrame, key: str, name: str) -> DataFrame:
     """Of each file name a volume as medium edition and the cleaned stem as low title, if it says something."""
-    volume = "(?i)(?:^|[-_. ])(vol|volume|juz|juz'|juzo)[-_. ]*(\\d+)(?:[-_. ]*)$"
     stem = F.trim(F.regexp_replace(F.col(name), "\\.[^.]*$", ""))
-    no = F.regexp_extract(stem, volume, 2)
-    title = F.trim(F.regexp_replace(F.regexp_replace(stem, volume, " "), "[-_. ]+", " "))
+    no = F.regexp_extract(stem, VOLUME, 2)
+    title = F.trim(F.regexp_replace(F.regexp_replace(stem, VOLUME, " "), "[-_. ]+", " "))
     good = (F.length(title) >= 3) & (F.length(title) <= 200) & ~F.lower(title).isin(GENERIC_STEMS) & ~title.rlike("^[0-9]+$")
     facts = F.array_compact(F.array(F.when(no != "", F.struct(F.lit("edition").alias("field"), F.concat(F.lit("Vol. "), no).alias("value"), F.lit("medium").alias("confidence"))), F.when(good, F.struct(F.lit("title").alias("field"), title.alias("value"), F.lit("low").alias("confidence")))))
     return df.select(key, F.explode(facts).alias("f")).select(key, "f.*")
 
 
+def _marked_lines(pages: DataFrame, key: str) -> DataFrame:
+    """(key, page, at, line, field, value): every line of the pages; field and value where a marker opens it."""
+    rows = pages.select(key, "page", F.transform(tx.lines_of(F.col("text")), tx.strip).alias("_lines")).select(key, "page", "_lines", F.posexplode("_lines").alias("at", "line"))
+    after = tx.clean_value(F.get(F.filter(F.slice("_lines", F.col("at") + 2, F.lit(3)), lambda x: x != ""), F.lit(0)))
+    field, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, markers in reversed(MARKERS.items()):
+        pattern = "^(?:" + "|".join(sorted(markers, key=lambda m: -len(m))) + ")(?![\\p{L}\\p{N}])"
+        rest = tx.clean_value(F.col("line") if name == "edition" else F.regexp_replace("line", pattern, ""))
+        told = rest if name == "edition" else F.coalesce(F.nullif(rest, F.lit("")), after, F.lit(""))
+        hit = F.col("line").rlike(pattern) & (told != "")
+        field, value = F.when(hit, name).otherwise(field), F.when(hit, told).otherwise(value)
+    return rows.select(key, "page", "at", "line", field.alias("field"), value.alias("value"))
+
+
 def marked_facts(pages: DataFrame, key: str = "file") -> DataFrame:
     """Facts that lines of ``(file, page, text)`` announce by a marker at their start.
 
     The value is the rest of the line, or else the next line with text within three. The first marker kind
-    that fits a line counts.
+    that gives a value counts.
     """
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: F.lit(True))
-    rows = pages.select(key, "page", lines.alias("_lines")).select(key, "page", "_lines", F.posexplode("_lines").alias("at", "line"))
-    kind, value = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, markers in reversed(MARKERS.items()):
-        pattern = "^(?:" + "|".join(sorted(markers, key=lambda m: -len(m))) + ")(?![\\p{L}\\p{N}])"
-        hit = F.col("line").rlike(pattern)
-        kind = F.when(hit, name).otherwise(kind)
-        value = F.when(hit, tx.clean_value(F.col("line") if name == "edition" else F.regexp_replace("line", pattern, ""))).otherwise(value)
-    behind = F.filter(F.slice("_lines", F.col("at") + 2, F.lit(3)), lambda x: x != "")
-    out = rows.withColumn("field", kind).withColumn("_v", value).filter("field is not null")
-    full = F.when(F.col("_v") != "", F.col("_v")).otherwise(tx.clean_value(F.get(behind, F.lit(0))))
-    return out.select(key, "page", "at", "field", full.alias("value"), F.lit("high").alias("confidence")).filter("value <> ''")
+    return _marked_lines(pages, key).filter("field is not null").select(key, "page", "at", "field", "value", F.lit("high").alias("confidence"))
 
 
 def year_facts(pages: DataFrame, key: str = "file") -> DataFrame:
     """Per file the publication year: the first Hijri year or year with a keyword, else the first plain one."""
     line = F.col("line")
-    rows = pages.select(key, "page", F.posexplode(F.split("text", "\n")).alias("at", "raw")).withColumn("line", tx.fold_digits(F.trim("raw")))
-    hijri = F.regexp_extract(line, "([0-9]{3,4}) *[هھ]", 1)
-    plain = F.regexp_extract(line, "(?<![0-9])(1[2-9][0-9]{2}|2[0-9]{3})(?![0-9])", 1)
-    words = "هجری|هجري|قمری|قمرے|سنة|سنه|سال|ھ|هـ"
+    rows = pages.select(key, "page", F.posexplode(tx.lines_of(F.col("text"))).alias("at", "raw")).withColumn("line", tx.fold_digits(tx.strip(F.col("raw"))))
+    hijri = F.regexp_extract(line, HIJRI_YEAR, 1)
+    plain = F.regexp_extract(line, PLAIN_YEAR, 1)
     is_hijri = (hijri != "") & hijri.try_cast("int").between(100, 1699)
-    sure = F.when(is_hijri, F.concat(hijri, F.lit(" (AH)"))).when((plain != "") & line.rlike(words), plain)
+    sure = F.when(is_hijri, F.concat(hijri, F.lit(" (AH)"))).when((plain != "") & line.rlike("|".join(YEAR_WORDS)), plain)
     rows = rows.withColumn("_sure", sure).withColumn("_plain", F.when(plain != "", plain)).filter("_sure is not null or _plain is not null")
     best = F.min_by(F.struct(F.coalesce("_sure", "_plain").alias("value"), F.when(F.col("_sure").isNotNull(), "high").otherwise("medium").alias("confidence")), F.struct(F.col("_sure").isNull(), "page", "at"))
     return rows.groupBy(key).agg(best.alias("b")).select(key, F.lit("publication_year").alias("field"), "b.*")
 
 
 def isbn_facts(pages: DataFrame, key: str = "file") -> DataFrame:
-    """Per file the first ISBN: a marked one of 10 or 13 digits, or bare 13 digits from 978 or 979."""
-    marked = F.regexp_replace(F.regexp_extract("text", "(?i)ISBN *[:：]? *([0-9][0-9Xx \\-–—]{8,16})", 1), "[^0-9Xx]", "")
-    bare = F.regexp_extract(tx.fold_digits(F.col("text")), "(?<![0-9])97[89][0-9]{10}(?![0-9])", 0)
-    value = F.when(F.length(marked).isin(10, 13), marked).when(bare != "", bare)
-    rows = pages.select(key, "page", value.alias("value")).filter("value is not null")
-    return rows.groupBy(key).agg(F.min_by("value", "page").alias("value")).select(key, F.lit("isbn").alias("field"), "value", F.lit("high").alias("confidence"))
+    """Per file the first ISBN: on each page a marked one of 10 or 13 digits, or else bare 13 digits from 978 or 979."""
+    marked = F.filter(F.transform(tx.lines_of(F.col("text")), lambda x: F.regexp_replace(F.regexp_extract(x, MARKED_ISBN, 1), "[^0-9Xx]", "")), lambda x: F.length(x).isin(10, 13))
+    bare = F.regexp_extract(tx.fold_digits(F.col("text")), BARE_ISBN, 0)
+    rows = pages.select(key, "page", F.coalesce(F.get(marked, F.lit(0)), F.nullif(bare, F.lit(""))).alias("value")).filter("value is not null")
+    return rows.groupBy(key).agg(F.min_by("value", F.struct("page", "value")).alias("value")).select(key, F.lit("isbn").alias("field"), "value", F.lit("high").alias("confidence"))
 
 
 def title_guess(pages: DataFrame, key: str = "file") -> DataFrame:
-    """Per file the longest line of 3 to 250 characters of the first page that has one, no page number."""
-    rows = pages.select(key, "page", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.trim("line"))
-    basmala = F.col("line").startswith("بسم")
-    rows = rows.filter(F.length("line").between(3, 250) & ~tx.is_page_number(F.col("line")) & ~basmala)
-    best = F.max_by("line", F.struct(-F.col("page"), F.length("line"), F.lower("line")))
+    """Per file the longest line of 3 to 250 characters of the first page that has one; no page number, no
+    basmala, no line that a marker has used. Of equal lengths the last in lower case, then the first."""
+    rows = _marked_lines(pages, key).filter(F.length("line").between(3, 250) & F.col("field").isNull() & ~tx.is_page_number(F.col("line")) & ~tx.is_basmala(F.col("line")))
+    best = F.max_by("line", F.struct(-F.col("page"), F.length("line"), F.lower("line"), -F.col("at"), "line"))
     return rows.groupBy(key).agg(best.alias("value")).select(key, F.lit("title").alias("field"), "value", F.lit("medium").alias("confidence"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,12 +15,16 @@ from corpusloom.functions import text as tx
 
 @dataclass(frozen=True)
 class Query:
-    """What a user typed: words, quoted phrases and excluded words, normalised."""
+    """What a user typed: words, quoted phrases and excluded words, normalised.
+
+    ``terms`` are alternatives; with ``every`` each of ``groups`` is one, all words of which must match.
+    """
 
     terms: tuple[str, ...] = ()
     phrases: tuple[tuple[str, ...], ...] = ()
     excluded: tuple[str, ...] = ()
     every: bool = False
+    groups: tuple[tuple[str, ...], ...] = ()
 
     @property
     def empty(self) -> bool:
@@ -35,20 +40,60 @@ def words_of(text: str) -> list[str]:
 
 
 def parse_query(text: str, every: bool = False) -> Query:
-    """Quoted runs are phrases, ``-word`` excludes, the rest are terms; all phrases must match, and of the
-    terms any (or every) one."""
+    """Quoted runs are phrases, ``-word`` excludes, the rest are terms; all phrases must match, and of the terms
+    any one. With ``every`` all terms must match, and ``or`` between them parts alternatives."""
     phrases = [tuple(words_of(p)) for p in re.findall(r'"([^"]*)"', text)]
     rest = re.sub(r'"[^"]*"', " ", text).replace('"', " ").split()
     excluded = [w for t in rest if t.startswith("-") for w in words_of(t)]
-    terms = [w for t in rest if not t.startswith("-") for w in words_of(t)]
-    return Query(tuple(terms), tuple(p for p in phrases if p), tuple(excluded), every)
+    kept = [t for t in rest if not t.startswith("-")]
+    groups: list[list[str]] = [[]]
+    for i, t in enumerate(kept):
+        if every and t.lower() == "or" and groups[-1] and i + 1 < len(kept):
+            groups.append([])
+        else:
+            groups[-1] += words_of(t)
+    terms = [w for g in groups for w in g]
+    return Query(tuple(terms), tuple(p for p in phrases if p), tuple(excluded), every, tuple(tuple(g) for g in groups if g) if every else ())
 
 
 def query_language(text: str) -> str:
     """ar or ur by the letters of the query, otherwise en."""
-    if not re.search("[؀-ۿݐ-ݿ]", text):
+    if not re.search("[\u0600-\u06ff\u0750-\u077f]", text):
         return "en"
-    return "ur" if any(c in tx.URDU_ONLY for c in text) else "ar"
+    return "ur" if any(c in tx.URDU_QUERY_LETTERS for c in text) else "ar"
+
+
+_DIGITS = str.maketrans(tx.ARABIC_DIGITS + tx.EXTENDED_DIGITS, tx.ASCII_DIGITS * 2)
+
+
+def fold_word(word: str, language: str | None = None) -> str:
+    """A word of a query as ``content_fold`` leaves it in a text of that language (its own, if none is given)."""
+    language = language or query_language(word)
+    out = unicodedata.normalize("NFC", word).replace(tx.TATWEEL, "")
+    if language == "ar":
+        out = out.translate(str.maketrans(*tx.HAMZA_FOLD)).translate(_DIGITS)
+        out = unicodedata.normalize("NFC", re.sub("[\u0640\u064b-\u065f\u0670]", "", out)).translate(str.maketrans("ٱآأإى", "ااااي"))
+    return out.translate(_DIGITS) if language == "ur" else out
+
+
+def normalized_query(text: str, every: bool = False, language: str | None = None) -> Query:
+    """The query with every word folded as the contents are."""
+    q = parse_query(text, every)
+
+    def fold(words: tuple[str, ...]) -> tuple[str, ...]:
+        return tuple(f for w in words if (f := fold_word(w, language)))
+
+    return Query(fold(q.terms), tuple(fold(p) for p in q.phrases), fold(q.excluded), every, tuple(fold(g) for g in q.groups))
+
+
+def content_fold(text: Column, language: Column) -> Column:
+    """A text as it is indexed: normalised by its language, Arabic also without marks and with unified letters.
+
+    Protected wording is folded here too: the index is no place where it is shown.
+    """
+    base = F.translate(tx.collapse_blanks(tx.unicode_form(tx.unify_breaks(text))), tx.TATWEEL, "")
+    arabic = tx.search_fold(tx.fold_letters(base, hamza=True, digits=True))
+    return F.when(language == "ar", arabic).when(language == "ur", tx.fold_digits(base)).otherwise(base)
 
 
 def indexed(df: DataFrame, text: Column) -> DataFrame:
@@ -56,6 +101,14 @@ def indexed(df: DataFrame, text: Column) -> DataFrame:
     return df.withColumn("tokens", tx.tokens(text)).withColumn("padded", F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")))
 
 
+def _any(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, parts)
+
+
+def _all(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, parts)
+
+
 def matches(q: Query) -> Column:
     """The condition on ``padded``; an empty query matches nothing."""
     def has(words: tuple[str, ...]) -> Column:
@@ -63,9 +116,9 @@ def matches(q: Query) -> Column:
 
     parts = [has(p) for p in q.phrases]
     if q.terms:
-        parts.append(reduce((lambda a, b: a & b) if q.every else (lambda a, b: a | b), [has((t,)) for t in q.terms]))
+        parts.append(_any([_all([has((t,)) for t in g]) for g in q.groups]) if q.every else _any([has((t,)) for t in q.terms]))
     parts += [~has((t,)) for t in q.excluded]
-    return reduce(lambda a, b: a & b, parts) if not q.empty else F.lit(False)
+    return _all(parts) if not q.empty else F.lit(False)
 
 
 def may_match(q: Query, text: Column) -> Column:
@@ -73,8 +126,8 @@ def may_match(q: Query, text: Column) -> Column:
     low = F.lower(text)
     parts = [low.contains(w) for p in q.phrases for w in p]
     if q.terms:
-        parts.append(reduce((lambda a, b: a & b) if q.every else (lambda a, b: a | b), [low.contains(t) for t in q.terms]))
-    return reduce(lambda a, b: a & b, parts) if parts else F.lit(False)
+        parts.append(_any([_all([low.contains(t) for t in g]) for g in q.groups]) if q.every else _any([low.contains(t) for t in q.terms]))
+    return _all(parts) if parts else F.lit(False)
 
 
 def matching(df: DataFrame, q: Query, text: Column) -> DataFrame:
@@ -88,18 +141,39 @@ def term_rank(q: Query) -> Column:
 
 
 def cover_rank(q: Query) -> Column:
-    """Every shortest stretch that holds all words adds 0.1 per word over one plus the other words in it."""
-    words = list(dict.fromkeys(q.words))
-    k = len(words)
-    zero = F.struct(F.array_repeat(F.lit(0), k).alias("last"), F.lit(0).alias("start"), F.lit(0).alias("i"), F.lit(0.0).alias("rank"))
+    """Cover density: every shortest stretch that fulfils the query adds 0.1 over one plus its other words.
+
+    Terms that are alternatives are one slot, each phrase is one, and with ``every`` each term. Of the
+    alternatives of ``every`` only stretches with all terms count. A stretch begins after the one before it.
+    """
+    slots: list[tuple[str, ...] | frozenset[str]] = [*q.phrases]
+    slots += [frozenset([t]) for t in dict.fromkeys(q.terms)] if q.every and len(q.groups) <= 1 else ([frozenset(q.terms)] if q.terms else [])
+    if not slots:
+        return F.lit(0.0)
+    if len(slots) == 1 and isinstance(slots[0], frozenset):
+        return term_rank(q)
+    words, k, none = q.words, len(slots), F.lit(0)
+    zero = F.struct(F.array_repeat(none, k).alias("last"), F.array_repeat(none, k).alias("nth"), none.alias("start"), none.alias("i"), none.alias("n"), F.lit(0.0).alias("rank"))
 
     def step(acc: Column, token: Column) -> Column:
         i = acc["i"] + 1
-        last = F.array(*[F.when(token == w, i).otherwise(acc["last"][n]) for n, w in enumerate(words)])
+        n = acc["n"] + token.isin(*words).cast("int")
+        last, nth, event = [], [], F.lit(False)
+        for at, slot in enumerate(slots):
+            if isinstance(slot, frozenset):
+                here, size = token.isin(*slot), 1
+            else:
+                size = len(slot)
+                here = (token == slot[-1]) & (i >= size) & (F.slice(F.col("tokens"), F.greatest(i - size + 1, F.lit(1)), F.lit(size)) == F.array(*map(F.lit, slot)))
+            event = event | here
+            last.append(F.when(here, i - size + 1).otherwise(acc["last"][at]))
+            nth.append(F.when(here, n - size + 1).otherwise(acc["nth"][at]))
+        last, nth = F.array(*last), F.array(*nth)
         start = F.array_min(last)
-        new = token.isin(*words) & (start > acc["start"])
-        gain = F.when(new, F.lit(0.1 * k) / (1 + i - start + 1 - k)).otherwise(F.lit(0.0))
-        return F.struct(last.alias("last"), F.when(new, start).otherwise(acc["start"]).alias("start"), i.alias("i"), (acc["rank"] + gain).alias("rank"))
+        new = event & (start > acc["start"])
+        noise = (i - start) - (n - F.array_min(nth))
+        gain = F.when(new, F.lit(0.1) / (1 + noise)).otherwise(F.lit(0.0))
+        return F.struct(last.alias("last"), nth.alias("nth"), F.when(new, start).otherwise(acc["start"]).alias("start"), i.alias("i"), n.alias("n"), (acc["rank"] + gain).alias("rank"))
 
     return F.aggregate("tokens", zero, step)["rank"]
 

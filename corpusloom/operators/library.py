@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ def verse_search(verses: DataFrame, query: str, *, language: str | None = None,
     ref = F.concat_ws(":", F.col("chapter").cast("string"), F.col("verse").cast("string"))
     parts = []
     if language in (None, "", "ar", "other"):
-        asked = fulltext.Query(tuple(_fold(t) for t in q.terms), tuple(tuple(map(_fold, p)) for p in q.phrases), q.excluded, q.every)
+        asked = fulltext.Query(tuple(_fold(t) for t in q.terms), tuple(tuple(map(_fold, p)) for p in q.phrases), tuple(map(_fold, q.excluded)), q.every, tuple(tuple(map(_fold, g)) for g in q.groups))
         hits = fulltext.matching(folded, asked, F.col("_f"))
         parts.append(hits.select(ref.alias("citation"), "text", F.lit("ar").alias("language"), F.round(fulltext.term_rank(asked), 6).alias("rank")))
     if language in (None, "", "en", "ur", "other"):
@@ -83,9 +84,7 @@ def verse_search(verses: DataFrame, query: str, *, language: str | None = None,
 
 
 def _fold(word: str) -> str:
-    import unicodedata
-
-    bare = re.sub("[ـً-ٰٟ]", "", word)
+    bare = re.sub("[ـ\u064b-\u065f\u0670]", "", word)
     return unicodedata.normalize("NFC", bare).translate(str.maketrans("ٱآأإى", "ااااي"))
 
 
@@ -93,7 +92,7 @@ def report_search(reports: DataFrame, query: str, *, limit: int = 20) -> DataFra
     """Hits ``(citation, text, rank)`` of ``(collection, number, text, text_arabic)``: both texts are asked,
     both sides folded, whatever the language."""
     q = fulltext.parse_query(query)
-    asked = fulltext.Query(tuple(_fold(t) for t in q.terms), tuple(tuple(map(_fold, p)) for p in q.phrases), q.excluded, q.every)
+    asked = fulltext.Query(tuple(_fold(t) for t in q.terms), tuple(tuple(map(_fold, p)) for p in q.phrases), tuple(map(_fold, q.excluded)), q.every, tuple(tuple(map(_fold, g)) for g in q.groups))
     both = F.concat_ws(" ", tx.search_fold(F.col("text")), tx.search_fold(F.col("text_arabic")))
     hits = fulltext.matching(reports, asked, both)
     return hits.select(F.concat("collection", F.lit(" #"), F.col("number").cast("string")).alias("citation"), "text", F.round(fulltext.term_rank(asked), 6).alias("rank")).orderBy(F.desc("rank"), "citation").limit(limit)

@@ -22,13 +22,22 @@ HEADING_WORDS = {
     "subsection": ["المسألة", "المسئلة", "مسألة", "مسئلة", "مسئله", "مسئلہ", "الفرع", "فرع", "subsection", "ذيل"],
 }
 LEVEL = {"appendix": 1, "references": 1, "chapter": 1, "section": 2, "subsection": 3}
-# Ordinals and tens.
-ORDINALS = {"الأول": 1, "أول": 1, "اولى": 1, "الأولى": 1, "الثاني": 2, "دوم": 2, "الثالث": 3, "سوم": 3, "الرابع": 4, "چهارم": 4, "الخامس": 5, "پنجم": 5, "پانجم": 5, "السادس": 6, "ششم": 6, "السابع": 7, "هفتم": 7, "الثامن": 8, "هشتم": 8, "التاسع": 9, "نهم": 9, "دهم": 10, "الحادي": 11, "الثاني عشر": 12, "الثالث عشر": 13, "الرابع عشر": 14, "الخامس عشر": 15, "السادس عشر": 16, "السابع عشر": 17, "الثامن عشر": 18, "التاسع عشر": 19, "بيستم": 20}
-TENS = {"العشرون": 20, "الثلاثون": 30, "الأربعون": 40, "الخمسون": 50, "الستون": 60, "السبعون": 70, "الثمانون": 80, "التسعون": 90}
+# Ordinals, and the tens that a unit can be joined to.
+ORDINALS = {
+    "الحادي": 11, "الحادى": 11, "الثاني عشر": 12, "الثانى عشر": 12, "الثالث عشر": 13, "الرابع عشر": 14, "الخامس عشر": 15,
+    "السادس عشر": 16, "السابع عشر": 17, "الثامن عشر": 18, "التاسع عشر": 19, "العشرون": 20, "الثلاثون": 30, "الأربعون": 40,
+    "اربعون": 40, "الخمسون": 50, "الستون": 60, "السبعون": 70, "الثمانون": 80, "التسعون": 90,
+    "التاسع": 9, "الثامن": 8, "السابع": 7, "السادس": 6, "الخامس": 5, "الرابع": 4, "الثالث": 3, "الثاني": 2, "الثانى": 2,
+    "الأول": 1, "الاول": 1, "أول": 1, "اول": 1, "اولى": 1, "الأولى": 1,
+    "دهم": 10, "بيستم": 20, "چهارم": 4, "پنجم": 5, "پانجم": 5, "ششم": 6, "هفتم": 7, "هشتم": 8, "نهم": 9, "دوم": 2, "سوم": 3,
+}
+TENS = {"العشرون": 20, "الثلاثون": 30, "الاربعون": 40, "الخمسون": 50, "الستون": 60, "السبعون": 70, "الثمانون": 80, "التسعون": 90}
+# Letters and what they are compared as.
+LETTERS, LETTERS_AS = "أإآٱةۀیئؤکھہۃ", "ااااههييوكههه"
 SENTENCE_ENDS = "،؛:.؟!?—۔"
 _EDGES = " .:-–—‎‏"
 _DIGITS = str.maketrans(tx.ARABIC_DIGITS + tx.EXTENDED_DIGITS, tx.ASCII_DIGITS * 2)
-_LETTERS = str.maketrans("أإآٱةۀیئؤکھہۃ", "اااا" + "هه" + "ييوك" + "ههه")
+_LETTERS = str.maketrans(LETTERS, LETTERS_AS)
 
 
 def structural_fold(text: str) -> str:
@@ -40,7 +49,7 @@ def structural_fold(text: str) -> str:
 @cache
 def _tables() -> tuple[list[tuple[str, str]], dict[str, int], dict[str, int]]:
     words = [(kind, structural_fold(w)) for kind, ws in HEADING_WORDS.items() for w in ws]
-    return words, {structural_fold(k): v for k, v in (ORDINALS | TENS).items()}, {structural_fold(k): v for k, v in TENS.items()}
+    return words, {structural_fold(k): v for k, v in ORDINALS.items()}, {structural_fold(k): v for k, v in TENS.items()}
 
 
 def ordinal(text: str) -> int | None:
@@ -116,6 +125,11 @@ def _footnote(line: str) -> bool:
     return bool(text) and not _page_number(text) and bool(_FOOTNOTE.match(text.translate(_DIGITS)))
 
 
+def _basmala(line: str) -> bool:
+    low = line.lower()
+    return low.startswith(tuple(tx.BASMALA)) or low == tx.BASMALA_LINE or tx.BASMALA_INSIDE in low
+
+
 def segment(text: str, is_toc: bool) -> tuple[list[dict], int]:
     """Elements of one page in order, and how many page numbers were dropped."""
     lines, out, dropped = text.splitlines(), [], 0
@@ -138,7 +152,7 @@ def segment(text: str, is_toc: bool) -> tuple[list[dict], int]:
             open_kind = None
         elif open_kind == "paragraph":
             out[-1]["text"] += "\n" + raw
-        elif (found := candidate_heading(raw, lines[i - 1] if i else "", lines[i + 1] if i + 1 < len(lines) else "")) and not line.startswith("بسم"):
+        elif (found := candidate_heading(raw, lines[i - 1] if i else "", lines[i + 1] if i + 1 < len(lines) else "")) and not _basmala(line):
             out.append({"type": "heading", "text": raw, **found})
         else:
             out.append({"type": "paragraph", "text": raw})
@@ -148,7 +162,7 @@ def segment(text: str, is_toc: bool) -> tuple[list[dict], int]:
 
 def line_classes(pages: DataFrame, key: str = "book_id") -> DataFrame:
     """``(key, page, line_no, kind)`` of each line that is not blank, by built-in expressions only."""
-    rows = pages.select(key, "page", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter(F.trim("line") != "")
+    rows = pages.select(key, "page", F.posexplode(tx.lines_of(F.col("text"))).alias("line_no", "line")).filter(tx.strip(F.col("line")) != "")
     c = F.col("line")
     kind = F.when(tx.is_page_number(c), "page_number").when(tx.is_toc_line(c), "toc_line").when(tx.is_footnote_start(c), "footnote").otherwise("text")
     return rows.select(key, "page", "line_no", kind.alias("kind"))
@@ -156,7 +170,7 @@ def line_classes(pages: DataFrame, key: str = "book_id") -> DataFrame:
 
 def toc_pages(pages: DataFrame, key: str = "book_id", first: int = 8, ratio: float = 0.6) -> DataFrame:
     """``(key, page)`` among the first pages whose lines mostly read like a table of contents."""
-    rows = pages.filter(F.col("page") <= first).select(key, "page", F.explode(F.split("text", "\n")).alias("line")).filter(F.trim("line") != "")
+    rows = pages.filter(F.col("page") <= first).select(key, "page", F.explode(tx.lines_of(F.col("text"))).alias("line")).filter(tx.strip(F.col("line")) != "")
     body = rows.filter(~tx.is_page_number(F.col("line"))).groupBy(key, "page").agg(F.count(F.lit(1)).alias("n"), F.count_if(tx.is_toc_line(F.col("line"))).alias("toc"))
     return body.filter((F.col("n") >= 3) & (F.col("toc") >= 3) & (F.col("toc") >= ratio * F.col("n"))).select(key, "page")
 

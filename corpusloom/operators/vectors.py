@@ -8,7 +8,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,17 +97,36 @@ def latest_version(df: DataFrame, *, model: str, version: str) -> DataFrame:
     return df.groupBy(model).agg(F.max(version).alias(version))
 
 
-def fuse(keyword: DataFrame, vector: DataFrame, *, on: list[str], weight_fts: float = 0.5, weight_vector: float = 0.5, k: int | None = None) -> DataFrame:
-    """``on`` with fts, vec, score and retrievers: keyword ranks over their greatest, plus vector scores.
+def fuse(keyword: DataFrame, vector: DataFrame, *, on: list[str], weight_fts: float = 0.5, weight_vector: float = 0.5, k: int | None = None, min_score: float | None = None, fields: tuple[str, ...] = ()) -> DataFrame:
+    """``on`` with fts, vec, score, retrievers and ``fields``: keyword ranks over the greatest of their query,
+    plus vector scores.
 
-    Without a weight a path is not asked at all; a hit of one path only counts 0 in the other.
+    The last name of ``on`` is the item, those before it the query, each with its own greatest rank. Without a
+    weight a path is not asked at all; a hit of one path only counts 0 in the other. Each of ``fields`` is the
+    keyword hit's, or else the vector hit's. ``min_score`` and then ``k`` apply to each query.
     """
-    key = on
-    f = keyword.groupBy(*key).agg(F.max("rank").alias("rank")).filter(F.lit(weight_fts > 0))
-    v = vector.groupBy(*key).agg(F.max("score").alias("vec")).filter(F.lit(weight_vector > 0))
-    both = f.join(v, key, "full").withColumn("most", f.agg(F.max("rank")).scalar())
-    fts = F.when(F.col("most") > 0, F.col("rank") / F.col("most")).otherwise(F.lit(0.0))
+    per = on[:-1]
+
+    def best(df: DataFrame, score: str, name: str, weight: float) -> DataFrame:
+        top = [F.max_by(F.col(c), F.struct(F.col(c).isNotNull(), F.col(score), F.col(c))).alias(f"_{name}_{c}") for c in fields if c in df.columns]
+        return df.groupBy(*on).agg(F.max(score).alias(name), *top).filter(F.lit(weight > 0))
+
+    f, v = best(keyword, "rank", "rank", weight_fts), best(vector, "score", "vec", weight_vector)
+    if per:  # a row for each query
+        f = f.join(f.groupBy(*[F.col(c).alias(f"_q_{c}") for c in per]).agg(F.max("rank").alias("most")), [F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in per]).drop(*[f"_q_{c}" for c in per])
+    else:
+        f = f.withColumn("most", f.agg(F.max("rank")).scalar())
+    both = f.join(v, on, "full")
+    fts = F.when(F.col("most") > 0, F.col("rank") / F.col("most")).when(F.col("rank").isNotNull(), F.lit(0.0))
     score = F.round(weight_fts * F.coalesce(fts, F.lit(0.0)) + weight_vector * F.coalesce("vec", F.lit(0.0)), 9)
     names = F.array_join(F.array_compact(F.array(F.when(F.col("rank").isNotNull(), "fts"), F.when(F.col("vec").isNotNull(), "vector"))), "+")
-    out = both.select(*key, F.round(fts, 6).alias("fts"), F.round("vec", 6).alias("vec"), score.alias("score"), names.alias("retrievers"))
-    return out if k is None else out.orderBy(F.desc("score"), *key).limit(k)
+    carried = [F.coalesce(*[F.col(f"_{n}_{c}") for n in ("rank", "vec") if f"_{n}_{c}" in both.columns]).alias(c) for c in fields]
+    out = both.select(*on, F.round(fts, 6).alias("fts"), F.round("vec", 6).alias("vec"), score.alias("score"), names.alias("retrievers"), *carried)
+    if min_score is not None:
+        out = out.filter(F.col("score") >= min_score)
+    if k is None:
+        return out
+    if not per:
+        return out.orderBy(F.desc("score"), *on).limit(k)
+    w = Window.partitionBy(*per).orderBy(F.desc("score"), on[-1])
+    return out.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).drop("_k")

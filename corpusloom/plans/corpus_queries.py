@@ -22,9 +22,11 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.concat(F.lit("/in/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"), F.col("source").alias("category"), F.length(t).cast("long").alias("size"), F.sha2(t, 256).alias("sha256"))
 
 
-@query(f"""WITH r AS (SELECT *, CASE WHEN ends_with(path, '.xyz') THEN 'unsupported format' WHEN size = 0 THEN 'empty file' END AS reason FROM {_FILES}), n AS (SELECT *, row_number() OVER (PARTITION BY sha256, reason IS NULL ORDER BY path) AS k FROM r)
+@query(f"""WITH r AS (SELECT *, regexp_extract(path, '([^/]+)$', 1) AS name, CASE WHEN ends_with(path, '.xyz') THEN 'unsupported format' WHEN size = 0 THEN 'empty file' END AS reason FROM {_FILES}),
+    n AS (SELECT *, row_number() OVER (PARTITION BY sha256, reason IS NULL ORDER BY path) AS k, row_number() OVER (PARTITION BY name, reason IS NULL ORDER BY path) - 1 AS m FROM r)
     SELECT path, reason, CASE WHEN reason IS NOT NULL THEN 'quarantined' WHEN k > 1 THEN 'duplicate' ELSE 'registered' END AS status,
-    CASE WHEN reason IS NULL THEN concat_ws('/', 'raw', category, substring(sha256, 1, 2), substring(sha256, 3, 2), sha256, regexp_extract(path, '([^/]+)$', 1)) END AS target FROM n""")
+    CASE WHEN reason IS NULL THEN concat_ws('/', 'raw', category, substring(sha256, 1, 2), substring(sha256, 3, 2), sha256, name) WHEN m = 0 THEN 'quarantine/' || name
+    ELSE 'quarantine/' || regexp_extract(name, '^(.*?)(\\.[^.]*)?$', 1) || '-' || m || regexp_extract(name, '^(.*?)(\\.[^.]*)?$', 2) END AS target FROM n""")
 def ingest_routing(spark, sf):
     return corpus.ingest(_files(spark, sf)).select("path", "reason", "status", "target")
 
@@ -41,11 +43,8 @@ def _pages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").filter("book_id is not null").select(F.col("book_id").alias("file"), F.col("page_number").alias("page"), "text", (F.col("doc_id") % 3 == 0).alias("has_images"))
 
 
-_N = VISIBLE.format("coalesce(text, '')")
-
-
-@query(f"""WITH p AS (SELECT file, {_N} AS n, {_N} >= 30 AS has_text, {_N} < 30 AND has_images AS scanned FROM {_PAGES}),
-    r AS (SELECT file, count(*) AS pages, count(*) FILTER (has_text) AS text_pages, count(*) FILTER (scanned) AS scanned_pages, count(*) FILTER (NOT has_text AND NOT scanned) AS blank_pages, CAST(sum(n) AS BIGINT) AS chars FROM p GROUP BY file)
+@query(f"""WITH p AS (SELECT file, length(coalesce(text, '')) AS n, coalesce(has_images, false) AS images FROM {_PAGES}),
+    r AS (SELECT file, count(*) AS pages, count(*) FILTER (n >= 30) AS text_pages, count(*) FILTER (n < 30 AND images) AS scanned_pages, count(*) FILTER (n = 0 AND NOT images) AS blank_pages, CAST(0 AS BIGINT) AS unreadable_pages, CAST(sum(n) AS BIGINT) AS chars FROM p GROUP BY file)
     SELECT *, CASE WHEN scanned_pages >= 0.8 * pages OR text_pages = 0 THEN 'scanned' WHEN text_pages >= 0.95 * pages AND scanned_pages <= 0.02 * pages THEN 'text' ELSE 'mixed' END AS kind FROM r""")
 def doc_classification(spark, sf):
     return corpus.inspect_pages(_pages(spark, sf))
@@ -96,7 +95,8 @@ def overall_confidence(spark, sf):
     return corpus.overall_confidence(corpus.merge_candidates(_facts(spark, sf)))
 
 
-@query(f"SELECT source_file_id, count(*) FILTER (confidence = 'high') AS n_approved, CASE WHEN coalesce(bool_or(field = 'title' AND confidence = 'high'), false) THEN 'approved' ELSE 'blocked' END AS verdict FROM {_BEST} GROUP BY source_file_id")
+@query(f"""SELECT source_file_id, count(*) FILTER (status IN ('pending', 'review') AND confidence = 'high') AS n_approved,
+    CASE WHEN coalesce(bool_or(field = 'title' AND (status NOT IN ('pending', 'review') OR confidence = 'high')), false) THEN 'approved' ELSE 'blocked' END AS verdict FROM {_BEST} GROUP BY source_file_id""")
 def review_gate(spark, sf):
     return corpus.review_gate(corpus.merge_candidates(_facts(spark, sf)), auto=True)
 

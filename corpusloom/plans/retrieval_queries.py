@@ -72,8 +72,9 @@ def fts_exclude(spark, sf):
 
 @query(f"""WITH t AS (SELECT doc_id, u.t AS t, u.i AS i FROM (SELECT doc_id, unnest(list_transform(range(1, len(tokens) + 1), lambda i: {{'t': tokens[i], 'i': i}})) AS u FROM {_DOCS} WHERE {_hit('scribe')} AND {_hit('ledger')})),
     l AS (SELECT doc_id, t, i, max(CASE WHEN t = 'scribe' THEN i END) OVER w AS a, max(CASE WHEN t = 'ledger' THEN i END) OVER w AS b FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
-    c AS (SELECT doc_id, least(a, b) AS s, min(i) AS e FROM l WHERE a IS NOT NULL AND b IS NOT NULL AND t IN ('scribe', 'ledger') GROUP BY doc_id, least(a, b))
-    SELECT doc_id, round(sum(0.2 / (1 + (e - s + 1) - 2)), 6) AS rank FROM c GROUP BY doc_id""")
+    c AS (SELECT doc_id, least(a, b) AS s, min(i) AS e FROM l WHERE a IS NOT NULL AND b IS NOT NULL AND t IN ('scribe', 'ledger') GROUP BY doc_id, least(a, b)),
+    n AS (SELECT c.doc_id, c.s, c.e, count(*) AS words FROM c JOIN t ON t.doc_id = c.doc_id AND t.i BETWEEN c.s AND c.e AND t.t IN ('scribe', 'ledger') GROUP BY ALL)
+    SELECT doc_id, round(sum(0.1 / (1 + (e - s) - (words - 1))), 6) AS rank FROM n GROUP BY doc_id""")
 def fts_cover_and(spark, sf):
     q = fulltext.parse_query("scribe ledger", every=True)
     return fulltext.matching(_docs(spark, sf), q, F.col("text")).select("doc_id", F.round(fulltext.cover_rank(q), 6).alias("rank"))
@@ -182,8 +183,8 @@ def hash_embed(spark, sf):
     return cells.filter("x <> 0").select("item_id", "bucket", F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
-_FUSE = """WITH h AS (SELECT query_id, chunk_id, max(fts_score) AS f, max(vector_score) AS v FROM hybrid_hits GROUP BY ALL), k AS (SELECT *, max(f) OVER () AS most FROM h)
-    SELECT query_id, chunk_id, round(f / most, 6) AS fts, round(v, 6) AS vec, round({wf} * coalesce(f / most, 0) + {wv} * coalesce(v, 0), 9) AS score,
+_FUSE = """WITH h AS (SELECT query_id, chunk_id, max(fts_score) AS f, max(vector_score) AS v FROM hybrid_hits GROUP BY ALL), k AS (SELECT *, max(f) OVER (PARTITION BY query_id) AS most FROM h)
+    SELECT query_id, chunk_id, round(CASE WHEN most > 0 THEN f / most WHEN f IS NOT NULL THEN 0 END, 6) AS fts, round(v, 6) AS vec, round({wf} * coalesce(CASE WHEN most > 0 THEN f / most END, 0) + {wv} * coalesce(v, 0), 9) AS score,
     concat_ws('+', CASE WHEN f IS NOT NULL THEN 'fts' END, CASE WHEN v IS NOT NULL THEN 'vector' END) AS retrievers FROM k WHERE f IS NOT NULL OR v IS NOT NULL"""
 
 
@@ -192,12 +193,22 @@ def _fused(spark: SparkSession, sf: str, wf: float, wv: float) -> DataFrame:
     return vectors.fuse(h.filter("fts_score is not null").withColumn("rank", F.col("fts_score")), h.filter("vector_score is not null").drop("score").withColumnRenamed("vector_score", "score"), on=["query_id", "chunk_id"], weight_fts=wf, weight_vector=wv)
 
 
+@query(f"""SELECT query_id, chunk_id, score, retrievers, book_id, language, page FROM (SELECT f.*, p.book_id, p.language, p.page, row_number() OVER (PARTITION BY f.query_id ORDER BY score DESC, f.chunk_id) AS k FROM ({_FUSE.format(wf=0.5, wv=0.5)}) f
+    JOIN (SELECT query_id, chunk_id, max(book_id) AS book_id, max(language) AS language, max(page) AS page FROM hybrid_hits GROUP BY ALL) p ON f.query_id = p.query_id AND f.chunk_id = p.chunk_id WHERE score >= 0.2) WHERE k <= 20""")
+def hybrid_top(spark, sf):
+    """The best twenty of each query with where they stand, from whichever path knows it."""
+    h = table(spark, sf, "hybrid_hits").withColumn("rank", F.col("fts_score"))
+    near = h.drop("score", "rank").withColumnRenamed("vector_score", "score").filter("score is not null")
+    top = vectors.fuse(h.drop("score").filter("rank is not null"), near, on=["query_id", "chunk_id"], k=20, min_score=0.2, fields=("book_id", "language", "page"))
+    return top.select("query_id", "chunk_id", "score", "retrievers", "book_id", "language", "page")
+
+
 @query(_FUSE.format(wf=0.5, wv=0.5))
 def hybrid_fuse(spark, sf):
     return _fused(spark, sf, 0.5, 0.5)
 
 
-@query("WITH h AS (SELECT query_id, chunk_id, max(fts_score) AS f FROM hybrid_hits WHERE fts_score IS NOT NULL GROUP BY ALL) SELECT query_id, chunk_id, round(f / max(f) OVER (), 6) AS fts, CAST(NULL AS DOUBLE) AS vec, round(f / max(f) OVER (), 9) AS score, 'fts' AS retrievers FROM h")
+@query("WITH h AS (SELECT query_id, chunk_id, max(fts_score) AS f FROM hybrid_hits WHERE fts_score IS NOT NULL GROUP BY ALL), k AS (SELECT *, max(f) OVER (PARTITION BY query_id) AS most FROM h) SELECT query_id, chunk_id, round(CASE WHEN most > 0 THEN f / most ELSE 0 END, 6) AS fts, CAST(NULL AS DOUBLE) AS vec, round(CASE WHEN most > 0 THEN f / most ELSE 0 END, 9) AS score, 'fts' AS retrievers FROM k")
 def hybrid_keyword_only(spark, sf):
     return _fused(spark, sf, 1.0, 0.0)
 
@@ -244,11 +255,15 @@ def grounding_verdict(spark, sf):
     return answers.select("query_id", answering.grounding(F.col("answer"), F.lit(3)).alias("g")).select("query_id", "g.grounded", "g.note")
 
 
-@query("""SELECT DISTINCT hit_id, CASE WHEN domain = 'quran' THEN concat_ws(':', CAST(page AS VARCHAR), CAST(page AS VARCHAR)) WHEN domain = 'hadith' THEN title || ' #' || page ELSE concat_ws(', ', title, CASE WHEN page IS NOT NULL THEN 'p. ' || page END) END AS reference FROM search_hits""")
+@query("""SELECT DISTINCT hit_id, CASE WHEN domain = 'quran' THEN coalesce(nullif(title, ''), '?') || ':' || coalesce(CAST(page AS VARCHAR), '?') || CASE WHEN coalesce(language, '') <> '' THEN ' (' || language || ' by ' || coalesce(nullif(author, ''), '?') || ')' ELSE '' END
+    WHEN domain = 'hadith' THEN concat_ws(' ', coalesce(nullif(title, ''), 'collection'), '#' || page, nullif(category, ''))
+    ELSE concat_ws(', ', coalesce(nullif(title, ''), book_id), 'ch. ' || nullif(category, ''), 'p. ' || page, nullif(chunk_id, '')) END AS reference FROM search_hits""")
 def citations(spark, sf):
+    """References of hits; the table has no verse, chapter or collection, so other columns stand in for these."""
     h = table(spark, sf, "search_hits")
-    p = F.col("page")
-    return h.select("hit_id", tx.citation(F.col("domain"), F.col("title"), p, p, p).alias("reference")).distinct()
+    c = F.col
+    ref = tx.citation(c("domain"), surah_name=c("title"), verse=c("page"), language=c("language"), translator=c("author"), collection=c("title"), number=c("page"), book=c("category"), title=c("title"), book_id=c("book_id"), chapter=c("category"), page=c("page"), chunk_id=c("chunk_id"))
+    return h.select("hit_id", ref.alias("reference")).distinct()
 
 
 @query(r"""SELECT DISTINCT hit_id, regexp_extract(citation, '^(.+), p\. ([0-9]+)$', 1) AS book, CAST(nullif(regexp_extract(citation, '^(.+), p\. ([0-9]+)$', 2), '') AS INTEGER) AS page FROM search_hits WHERE citation IS NOT NULL""")

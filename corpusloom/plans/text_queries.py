@@ -14,7 +14,10 @@ BLANK = r"[ \t\n\r\f\x0b]"
 LAYOUT = r"regexp_replace(regexp_replace({0}, '\r\n|\r|\f', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
 COLLAPSE = r"regexp_replace(regexp_replace({0}, '[ \t\x0b\f\x{{A0}}]+', ' ', 'g'), '(?m)[ \t]+$', '', 'g')"
 TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}]+')"
-VISIBLE = r"length(regexp_replace({0}, '[ \t\n\r\f\x0b]', '', 'g'))"
+SPACE = r"\t-\r\x1c- \x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}"
+VISIBLE = "length(regexp_replace({0}, '[" + SPACE + "]', '', 'g'))"
+SPACES = SPACE.format()
+STRIP = "regexp_replace(regexp_replace({0}, '^[" + SPACE + "]+', ''), '[" + SPACE + "]+$', '')"
 
 
 def count(c: str, cls: str) -> str:
@@ -49,21 +52,24 @@ def collapse_blanks(spark, sf):
     return _texts(spark, sf).select("content_block_id", tx.collapse_blanks(t).alias("collapsed"), F.translate(t, tx.TATWEEL, "").alias("without_tatweel"))
 
 
-@query(f"""SELECT content_block_id, translate(original_text, 'أإآٱؤ', 'ااااو') AS hamza, translate(original_text, 'ةى', 'هي') AS full_fold, translate(original_text, 'ھی', 'هي') AS urdu,
+@query(f"""SELECT content_block_id, translate(original_text, 'أؤإآ', 'اواا') AS hamza, translate(original_text, 'ةى', 'هي') AS full_fold, translate(original_text, 'ھی', 'ہے') AS urdu,
     translate(original_text, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789') AS digits FROM {BLOCKS}""")
 def letter_folds(spark, sf):
     t = F.col("original_text")
     return _texts(spark, sf).select("content_block_id", tx.fold_letters(t, hamza=True).alias("hamza"), tx.fold_letters(t, full=True).alias("full_fold"), tx.fold_letters(t, urdu=True).alias("urdu"), tx.fold_digits(t).alias("digits"))
 
 
-_PROTECTED = " OR ".join(f"contains(original_text, '{m}')" for m in tx.PROTECTED_MARKS)
+_PROTECTED = " OR ".join(f"contains(original_text, '{m}')" for m in ["\ufdf2", "\ufd3f", "\ufd3e", "\ufdfa", "\ufdfb", "بسم الله", "قال رسول الله", "رواه"])
 _CODE = "CASE WHEN lower(trim(language)) IN ('ar','ara','arabic') THEN 'ar' WHEN lower(trim(language)) IN ('ur','urd','urdu') THEN 'ur' WHEN lower(trim(language)) IN ('en','eng','english') THEN 'en' ELSE 'other' END"
 _BASE = f"replace({COLLAPSE.format('nfc_normalize(' + LAYOUT.format('original_text') + ')')}, 'ـ', '')"
 
 
+_HAMZA = "translate(translate(base, 'أؤإآ', 'اواا'), '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789')"
+
+
 @query(f"""WITH b AS (SELECT content_block_id, {_CODE} AS code, {_BASE} AS base, ({_PROTECTED}) AS guarded FROM {BLOCKS})
-    SELECT content_block_id, code, guarded, CASE WHEN guarded THEN base WHEN code = 'ar' THEN translate(base, 'أإآٱؤ', 'ااااو') WHEN code = 'ur' THEN translate(base, 'ھی', 'هي') ELSE base END AS auto_text,
-    CASE WHEN guarded THEN base ELSE translate(translate(translate(translate(base, 'أإآٱؤ', 'ااااو'), 'ةى', 'هي'), 'ھی', 'هي'), '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789') END AS search_text FROM b""")
+    SELECT content_block_id, code, guarded, CASE WHEN guarded THEN base WHEN code = 'ar' THEN {_HAMZA} WHEN code = 'ur' THEN translate(base, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789') ELSE base END AS auto_text,
+    CASE WHEN guarded THEN base ELSE {_HAMZA} END AS search_text FROM b""")
 def normalize_texts(spark, sf):
     t = F.col("original_text")
     rows = _texts(spark, sf).withColumn("code", F.coalesce(tx.language_code(F.col("language")), F.lit("other")))
@@ -86,10 +92,11 @@ def token_estimate(spark, sf):
     return table(spark, sf, "documents").filter("text is not null").select("doc_id", tx.token_estimate(F.col("text"), F.col("lang")).alias("tokens"))
 
 
-_AR, _UR, _EN = count("text", "[؀-ۿݐ-ݿ]"), count("text", f"[{tx.URDU_ONLY}]"), count("text", "[A-Za-z]")
+_AR = count("text", r"[\x{600}-\x{6FF}\x{750}-\x{77F}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}]")
+_UR = count("text", r"[\x{6BE}\x{6BA}\x{6D2}\x{6CC}\x{679}\x{688}\x{6AF}\x{6C1}]")
 
 
-@query(f"SELECT doc_id, CASE WHEN {_AR} = 0 AND {_EN} = 0 THEN NULL WHEN {_AR} >= {_EN} THEN CASE WHEN {_UR} >= greatest(3, floor({_AR} / 20.0)) THEN 'ur' ELSE 'ar' END ELSE 'en' END AS script FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, CASE WHEN {_AR} > 0 THEN CASE WHEN {_UR} >= greatest(3, {_AR} // 20) THEN 'ur' ELSE 'ar' END WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' END AS script FROM documents WHERE text IS NOT NULL")
 def script_hint(spark, sf):
     return table(spark, sf, "documents").filter("text is not null").select("doc_id", tx.script_hint(F.col("text")).alias("script"))
 
@@ -98,22 +105,23 @@ _V, _L = VISIBLE.format("text"), LETTERS.format("text")
 
 
 @query(f"""SELECT doc_id, CASE WHEN text IS NULL OR {_V} = 0 THEN 'blank' WHEN {_L} < 0.5 * {_V} OR length(text) - length(replace(text, '?', '')) > 0.3 * {_V} THEN 'garbled' ELSE 'ok' END AS quality,
-    CASE WHEN n_chars = 0 THEN 'empty' WHEN n_chars <= 200 THEN 'low' WHEN n_chars <= 1200 THEN 'medium' ELSE 'high' END AS density, CAST({_L} AS BIGINT) AS n_letters FROM documents WHERE n_chars IS NOT NULL""")
+    CASE WHEN n_chars = 0 THEN 'none' WHEN n_chars <= 200 THEN 'low' WHEN n_chars <= 1200 THEN 'medium' ELSE 'high' END AS density, CAST({_L} AS BIGINT) AS n_letters FROM documents WHERE n_chars IS NOT NULL""")
 def text_quality(spark, sf):
     t = F.col("text")
     return table(spark, sf, "documents").filter("n_chars is not null").select("doc_id", tx.extract_quality(t).alias("quality"), tx.density_band(F.col("n_chars")).alias("density"), tx.letters(t).cast("long").alias("n_letters"))
 
 
-@query(f"""SELECT doc_id, concat_ws('; ', CASE WHEN {_V} = 0 THEN 'no_text' END, CASE WHEN n_chars % 100 < 50 THEN 'low_confidence' END, CASE WHEN {_V} > 0 AND {_V} < 30 THEN 'very_short' END,
-    CASE WHEN {_V} > 0 AND {_L} < 0.5 * {_V} THEN 'low_alpha' END) AS notes FROM documents WHERE text IS NOT NULL""")
+@query(f"""SELECT doc_id, CASE WHEN {_V} = 0 THEN 'no_text' ELSE concat_ws('; ', CASE WHEN n_chars % 100 < 50 THEN 'low_confidence=' || printf('%.1f', CAST(n_chars % 100 AS DOUBLE)) END, CASE WHEN {_V} < 30 THEN 'very_short_text=' || {_V} END,
+    CASE WHEN {_L} / {_V} < 0.5 THEN 'low_alpha_ratio=' || printf('%.2f', CAST({_L} / {_V} AS DOUBLE)) END) END AS notes FROM documents WHERE text IS NOT NULL""")
 def ocr_quality(spark, sf):
-    return table(spark, sf, "documents").filter("text is not null").select("doc_id", F.concat_ws("; ", tx.ocr_notes(F.col("text"), F.col("n_chars") % 100)).alias("notes"))
+    return table(spark, sf, "documents").filter("text is not null").select("doc_id", F.concat_ws("; ", tx.ocr_notes(F.col("text"), (F.col("n_chars") % 100).cast("double"))).alias("notes"))
 
 
-_LINES = "SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i) WHERE trim(l[i]) <> ''"
-_IS_NUMBER = "regexp_matches(trim(line), '^[0-9٠-٩۰-۹]{1,4}$')"
-_IS_TOC = "(length(trim(line)) > 0 AND length(trim(line)) <= 140 AND ((length(trim(line)) - length(regexp_replace(trim(line), '[.…·]', '', 'g'))) >= 3 OR regexp_matches(regexp_replace(trim(line), '[ \\t]', '', 'g'), '[0-9٠-٩۰-۹]{1,4}$')))"
-_IS_NOTE = "(regexp_matches(trim(line), '^[(（\\[{]?[ ]*[0-9٠-٩۰-۹]{1,3}[)）\\]}]?[ ]*[:‏‎]?[ ]*[^ .0-9٠-٩۰-۹]') OR regexp_matches(trim(line), '^\\*{1,3}[ ]*[^ ]') OR regexp_matches(trim(line), '^[_\\-─—]{3,}$'))"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_LINES = f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, {STRIP.format('l[i]')} AS line FROM (SELECT doc_id, regexp_split_to_array(text, '{LINE_BREAK}') AS l FROM documents WHERE text IS NOT NULL), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i) WHERE {STRIP.format('l[i]')} <> ''"
+_IS_NUMBER = "regexp_matches(line, '^[0-9٠-٩۰-۹]{1,4}$')"
+_IS_TOC = r"(length(line) <= 140 AND ((length(line) - length(regexp_replace(line, '[.\x{2026}\x{92}\x{B7}\x{2024}]', '', 'g'))) >= 3 OR regexp_matches(line, '[0-9٠-٩۰-۹]$')))"
+_IS_NOTE = f"(regexp_matches(line, '^[(（\\[{{]?[{SPACES}]*[0-9٠-٩۰-۹]{{1,3}}[)）\\]}}]?[{SPACES}]*[:\u200f\u200e]?[{SPACES}]*[^{SPACES}.0-9٠-٩۰-۹]') OR regexp_matches(line, '^\\*{{1,3}}[{SPACES}]*[^{SPACES}]') OR regexp_matches(line, '^[_\\-\u2500\u2014]{{3,}}$'))"
 
 
 @query(f"SELECT doc_id, line_no, CASE WHEN {_IS_NUMBER} THEN 'page_number' WHEN {_IS_TOC} THEN 'toc_line' WHEN {_IS_NOTE} THEN 'footnote' ELSE 'text' END AS kind FROM ({_LINES})")
@@ -143,9 +151,12 @@ def slugs(spark, sf):
     return table(spark, sf, "part").select("p_partkey", tx.slug(F.col("p_name")).alias("slug"))
 
 
-@query(r"""WITH m AS (SELECT DISTINCT id, field, value FROM metadata_candidates WHERE value IS NOT NULL)
-    SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(value, '^[ \t\n\r\-–—؛،:;""" + "‎‏" + r"""]+', ''), '[ \t\n\r\-–—؛،:;""" + "‎‏" + r"""]+$', ''), '[ \t\n\r\f\x0b]+', ' ', 'g')) AS cleaned,
-    regexp_matches(trim(value), '^[0-9٠-٩۰-۹]{1,4}$') AS is_number, CASE WHEN field = 'publication_year' AND regexp_extract(value, '([0-9]+)', 1) <> '' THEN CAST(regexp_extract(value, '([0-9]+)', 1) AS INTEGER) END AS year,
+_ENDS = f"{SPACES}؛،:;\u200e\u200f"
+
+
+@query(f"""WITH m AS (SELECT DISTINCT id, field, value FROM metadata_candidates WHERE value IS NOT NULL)
+    SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(value, '^[{_ENDS}\\-–—]+', ''), '[{_ENDS}\\-]+$', ''), '[{SPACES}]+', ' ', 'g')) AS cleaned,
+    regexp_matches(trim(value), '^[0-9٠-٩۰-۹]{{1,4}}$') AS is_number, CASE WHEN field = 'publication_year' AND regexp_extract(value, '([0-9]+)', 1) <> '' THEN CAST(regexp_extract(value, '([0-9]+)', 1) AS INTEGER) END AS year,
     CASE WHEN field = 'isbn' THEN right(regexp_replace(value, '[^0-9Xx]', '', 'g'), 13) END AS isbn FROM m""")
 def clean_values(spark, sf):
     rows = table(spark, sf, "metadata_candidates").select("id", "field", "value").filter("value is not null").distinct()

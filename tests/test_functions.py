@@ -14,7 +14,7 @@ def test_token_estimate(spark, text, lang, n):
     assert one(spark, tx.token_estimate(F.col("t"), F.col("l")), t=text, l=lang) == n
 
 
-@pytest.mark.parametrize("text,hint", [("نص عربي", "ar"), ("یہ ایک کتاب ہے گچپ", "ur"), ("plain text", "en"), ("123 !", None)])
+@pytest.mark.parametrize("text,hint", [("نص عربي", "ar"), ("یہ ایک کتاب ہے گچپ", "ur"), ("mostly Latin with one ب", "ar"), ("ﻛﺘﺎب", "ar"), ("plain text", "en"), ("123 !", None)])
 def test_script_hint(spark, text, hint):
     assert one(spark, tx.script_hint(F.col("t")), t=text) == hint
 
@@ -27,9 +27,23 @@ def test_layout(spark):
 def test_folds_leave_protected_text(spark):
     assert one(spark, tx.normalize_text(F.col("t"), F.lit("ar")), t="أحمد إلى") == "احمد الى"
     assert one(spark, tx.normalize_text(F.col("t"), F.lit("ar")), t="أحمد ﷺ") == "أحمد ﷺ"
+    assert one(spark, tx.normalize_text(F.col("t"), F.lit("ar")), t="رواه أحمد ١") == "رواه أحمد ١"
+    assert one(spark, tx.normalize_text(F.col("t"), F.lit("ar")), t="ٱمرأة ١ى") == "ٱمراة 1ى"
+    assert one(spark, tx.normalize_text(F.col("t"), F.lit("ar"), "full"), t="امرأة ١ى") == "امراه 1ي"
+    assert one(spark, tx.normalize_text(F.col("t"), F.lit("ur")), t="أھی ۱") == "أھی 1"
+    assert one(spark, tx.fold_letters(F.col("t"), urdu=True), t="ھی") == "ہے"
     assert one(spark, tx.normalize_text(F.col("t"), F.lit("en"), "conservative"), t="کتـاب") == "کتاب"
 
 
+@pytest.mark.parametrize("form", ["NFC", "NFKC"])
+def test_forms_reach_every_text_they_change(spark, form):
+    import unicodedata
+
+    texts = [chr(c) for c in range(0x80, 0x30000, 7) if not 0xD800 <= c < 0xE000] + ["e\u0301", "\u1100\u1161\u11a8", "ا\u0653", "ascii", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.unicode_form(F.col("t"), form).alias("f"))
+    assert all(unicodedata.normalize(form, r["t"]) == r["f"] for r in df.collect())
+
+
 def test_search_fold_drops_vowel_signs(spark):
     assert one(spark, tx.search_fold(F.col("t")), t="بِسْمِ ٱللَّهِ إلى") == "بسم الله الي"
 
@@ -39,7 +53,7 @@ def test_extract_quality(spark, text, quality):
     assert one(spark, tx.extract_quality(F.col("t")), t=text) == quality
 
 
-@pytest.mark.parametrize("text,conf,notes", [("a good long text that is quite all right", 90.0, []), ("", 90.0, ["no_text"]), ("short", 20.0, ["low_confidence", "very_short"]), ("1234567890 1234567890 1234567890 12", 90.0, ["low_alpha"])])
+@pytest.mark.parametrize("text,conf,notes", [("a good long text that is quite all right", 90.0, []), ("", 90.0, ["no_text"]), ("short", 20.0, ["low_confidence=20.0", "very_short_text=5"]), ("1234567890 1234567890 1234567890 12", 90.0, ["low_alpha_ratio=0.00"]), ("", 10.0, ["no_text"])])
 def test_ocr_notes(spark, text, conf, notes):
     assert one(spark, tx.ocr_notes(F.col("t"), F.col("c")), t=text, c=conf) == notes
 
@@ -64,5 +78,10 @@ def test_trigram_similarity(spark):
 
 def test_values(spark):
     assert one(spark, tx.clean_value(F.col("t")), t=" – : A  value ؛") == "A value"
+    assert one(spark, tx.clean_value(F.col("t")), t="- A value –") == "A value –"
+    refs = {"quran": "Baqarah:2 (en by T)", "hadith": "C #2 B", "book": "T, ch. X, p. 2, k"}
+    for kind, ref in refs.items():
+        c = F.lit
+        assert one(spark, tx.citation(F.col("t"), surah_name=c("Baqarah"), verse=c(2), language=c("en"), translator=c("T"), collection=c("C"), number=c(2), book=c("B"), title=c("T"), chapter=c("X"), section=c(None), page=c(2), chunk_id=c("k")), t=kind) == ref
     assert one(spark, tx.slug(F.col("t")), t="  Some Title: 2nd! ") == "some-title-2nd"
     assert one(spark, tx.squeeze(F.col("t")), t=" a \n b ") == "a b"
