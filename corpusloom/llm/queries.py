@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import contamination, fused_ranking, languages, lookalikes, name_variants, neighbours, prose, quality, splitting, tokenizing
@@ -27,6 +27,16 @@ def p1_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return _p1_pieces(spark, sf)
 
 
+def p1_joined(spark: SparkSession, sf: str) -> DataFrame:
+    """Each oversized text put together again from its pieces, as a digest, and what any of these does wrong."""
+    p = _p1_pieces(spark, sf)
+    w = Window.partitionBy("chunk_id").orderBy("piece")
+    rows = p.withColumn("_over", F.lag("end", 1).over(w) - F.col("start")).withColumn("_own", F.substr("text", F.coalesce("_over", F.lit(0)) + 1))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "_own"))), lambda x: x["_own"]), "")
+    wrong = F.count_if((F.col("tokens") > 512) | (F.col("_over") <= 0) | (F.col("_over") > 64 * 4) | (F.length("text") != F.col("end") - F.col("start")))
+    return rows.groupBy("chunk_id").agg(F.md5(text).alias("digest"), F.max("end").cast("long").alias("chars"), wrong.alias("wrong"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     ranked = fused_ranking.borda(table(spark, sf, "hybrid_hits"), EQUAL_SAY)
     return ranked.filter("position <= 5").select("query_id", "chunk_id")
@@ -148,6 +158,9 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": """
             SELECT chunk_id FROM (SELECT chunk_id, language, text, row_number() OVER (PARTITION BY chunk_id ORDER BY updated_at DESC, text DESC) k FROM content_chunks)
             WHERE k = 1 AND ceil(length(text) / CASE WHEN language IN ('ar', 'ur') THEN 3.0 ELSE 4.0 END) > 512""",
+        "p1_joined": """
+            SELECT chunk_id, md5(text) AS digest, length(text) AS chars, 0 AS wrong FROM (SELECT chunk_id, language, text, row_number() OVER (PARTITION BY chunk_id ORDER BY updated_at DESC, text DESC) k FROM content_chunks)
+            WHERE k = 1 AND ceil(length(text) / CASE WHEN language IN ('ar', 'ur') THEN 3.0 ELSE 4.0 END) > 512""",
         "p2_ranking": ranking,
         "p3_found": """
             WITH v AS (SELECT model_name, chunk_id, vector, row_number() OVER (PARTITION BY model_name, chunk_id ORDER BY updated_at DESC, vector DESC) k FROM chunk_vectors),

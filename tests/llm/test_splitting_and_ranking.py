@@ -21,6 +21,38 @@ def test_pieces_cover_the_text(text, most, overlap):
     assert joined == text
 
 
+@settings(max_examples=60, deadline=None)
+@given(TEXTS, st.integers(40, 300), st.integers(0, 19))
+def test_cuts_cost_as_little_as_any(text, most, overlap):
+    at, cost = splitting.boundaries(text, max(1, overlap // 2 or most // 4))
+    start, even = splitting.starts(at, cost, overlap), most * 0.8
+    assert all(x <= y for x, y in zip(start, start[1:]))
+
+    def price(i, j):
+        size = at[j] - (start[i] if i else 0)
+        return splitting.UNEVEN * (size / even - 1) ** 2 + cost[j] + splitting.PIECE if size <= most else float("inf")
+
+    least = [0.0]
+    for j in range(1, len(at)):
+        least.append(min(least[i] + price(i, j) for i in range(j)))
+    if least[-1] < float("inf"):
+        ends = splitting.best_cuts(at, cost, start, most, even)
+        assert sum(price(i, j) for i, j in zip(ends, ends[1:])) == pytest.approx(least[-1])
+
+
+@pytest.mark.parametrize("size", [40, 129, 385, 433, 1500])
+def test_sentences_of_any_length_overlap(size):
+    text = "".join(" ".join(["word"] * (size // 5)) + f" {i}. " for i in range(12000 // size))
+    parts = splitting.cut(text, 2048, 256)
+    assert len(parts) > 3 and all(128 <= b - c <= 256 for (_, b), (c, _) in zip(parts, parts[1:]))
+    assert all(text[b - 1] == " " and text[c - 1] == " " for (_, b), (c, _) in zip(parts, parts[1:]))
+
+
+def test_one_unbroken_word_overlaps():
+    parts = splitting.cut("x" * 9000, 2048, 256)
+    assert all(b - a <= 2048 for a, b in parts) and all(128 <= b - c <= 256 for (_, b), (c, _) in zip(parts, parts[1:]))
+
+
 def test_cuts_prefer_paragraphs():
     text = "First part. It goes on here.\n\n" * 8
     assert all(text[:b].endswith("\n\n") for _, b in splitting.cut(text, 100, 10))
