@@ -29,17 +29,19 @@ def borda(df: DataFrame, scores: dict[str, float], *, group: str = "query_id", i
 
     Scale: one shuffle by group for the collapse, ranks are windows on the same partitioning. Groups of
     more than ``hot_rows`` rows are ranked through counts per distinct value instead, whose running sums
-    go over blocks of a value range, so that no task holds such a group.
+    go over blocks of a value range, and placed by ranges of points and item, so that no task holds such a
+    group, nor all of its ties. The sizes of the groups stay a table; the driver learns only whether there is
+    a hot one.
     """
     names = list(scores)
     rows = df.select(field(group).alias("_g"), field(item).alias("_i"), *[_usable(field(c)).alias(f"_s{k}") for k, c in enumerate(names)])
-    counted = rows.groupBy("_g").count().filter(F.col("count") > hot_rows)
-    hot = [r[0] for r in counted.select("_g").collect()]  # at most (all rows / hot_rows) keys
+    hot = rows.groupBy(F.col("_g").alias("_hg")).agg(F.count(F.lit(1)).alias("_hn")).filter(F.col("_hn") > hot_rows)
     ranked = None
-    if len(hot) > 0:
-        is_hot = reduce(lambda a, b: a | b, [F.col("_g").eqNullSafe(F.lit(g)) for g in hot])
-        ranked = _points_hot(_collapsed(rows.filter(is_hot), len(names)), list(scores.values()))
-        rows = rows.filter(~is_hot)
+    if not hot.isEmpty():
+        hot = materialize(hot)
+        same = F.col("_g").eqNullSafe(F.col("_hg"))
+        ranked = _points_hot(_collapsed(rows.join(hot, same, "left_semi"), len(names)), list(scores.values()))
+        rows = rows.join(hot, same, "left_anti")
     cold = _points(_collapsed(rows, len(names), by_group=True), list(scores.values()))
     cold = cold.withColumn("_position", F.row_number().over(Window.partitionBy("_g").orderBy(F.desc("_points"), F.asc_nulls_first("_i"))).cast("long"))
     out = cold if ranked is None else cold.unionByName(ranked)
@@ -78,22 +80,21 @@ def _before(rows: DataFrame, value: str, order_desc: bool, blocks: int = 256) ->
     Blocks are ranges of the value between percentiles; only the block totals meet in one task per group.
     """
     cuts = rows.groupBy("_g").agg(F.percentile_approx(value, [i / blocks for i in range(1, blocks)], F.lit(10_000)).alias("_cuts"))
-    # one row per hot group: their number is bounded by all rows / hot_rows
     rows = rows.withColumn("_gk", F.coalesce(F.col("_g").cast("string"), F.lit("\0")))
     cuts = cuts.select(F.coalesce(F.col("_g").cast("string"), F.lit("\0")).alias("_gk"), "_cuts")
-    rows = rows.join(F.broadcast(cuts), "_gk").withColumn("_k", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
+    rows = rows.join(cuts, "_gk").withColumn("_k", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
     order = F.desc if order_desc else F.asc
     totals = rows.groupBy("_gk", "_k").agg(F.sum("_c").alias("_t"))
     totals = totals.withColumn("_o", F.coalesce(F.sum("_t").over(Window.partitionBy("_gk").orderBy(order("_k")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_t")
-    rows = rows.join(F.broadcast(totals), ["_gk", "_k"])  # blocks x hot groups rows
+    rows = rows.join(totals, ["_gk", "_k"])
     inner = Window.partitionBy("_gk", "_k").orderBy(order(value)).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("_b", F.col("_o") + F.coalesce(F.sum("_c").over(inner), F.lit(0))).drop("_gk", "_k", "_o")
 
 
 def _points_hot(rows: DataFrame, weights: list[float]) -> DataFrame:
     rows = materialize(rows)
-    total = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    out = rows.join(F.broadcast(total), rows["_g"].eqNullSafe(total["_g"])).drop(total["_g"])
+    total = rows.groupBy(F.col("_g").alias("_tg")).agg(F.count(F.lit(1)).alias("_n"))
+    out = rows.join(total, rows["_g"].eqNullSafe(total["_tg"])).drop("_tg")
     parts = []
     for k in range(len(weights)):
         s = f"_s{k}"
@@ -101,9 +102,16 @@ def _points_hot(rows: DataFrame, weights: list[float]) -> DataFrame:
         values = _before(values, s, True).select(F.col("_g").alias("_vg"), F.col(s).alias("_v"), (F.col("_b") + (F.col("_c") + 1) / 2).alias(f"_r{k}"))
         out = out.join(values, out["_g"].eqNullSafe(values["_vg"]) & (out[s] == values["_v"]), "left").drop("_vg", "_v")
         parts.append(_worth(F.coalesce(F.col(f"_r{k}"), (F.col("_n") + 1) / 2), F.col("_n")))
-    out = out.select("_g", "_i", _sum(parts, weights).alias("_points"))
-    sums = _before(out.groupBy("_g", "_points").agg(F.count(F.lit(1)).alias("_c")), "_points", True)
-    sums = sums.select(F.col("_g").alias("_vg"), F.col("_points").alias("_v"), "_b")
-    out = out.join(sums, out["_g"].eqNullSafe(sums["_vg"]) & (out["_points"] == sums["_v"])).drop("_vg", "_v")
-    ties = Window.partitionBy("_g", "_points").orderBy(F.asc_nulls_first("_i"))
-    return out.select("_g", "_i", "_points", (F.col("_b") + F.row_number().over(ties)).cast("long").alias("_position"))
+    return _placed(out.select("_g", "_i", _sum(parts, weights).alias("_points")))
+
+
+def _placed(points: DataFrame) -> DataFrame:
+    """Adds ``_position``: a sort by ranges, the rows before each range, and the place in it."""
+    order = [F.desc("_points"), F.asc_nulls_first("_i")]
+    ranged = materialize(points.repartitionByRange("_g", *order).withColumn("_part", F.spark_partition_id()))
+    size = ranged.groupBy(F.col("_g").alias("_sg"), F.col("_part").alias("_sp")).agg(F.count(F.lit(1)).alias("_c"))  # a row for each group and range
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("_sg").orderBy("_sp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    size = size.withColumn("_b", before)
+    out = ranged.join(size, ranged["_g"].eqNullSafe(size["_sg"]) & (ranged["_part"] == size["_sp"]))
+    nth = F.row_number().over(Window.partitionBy("_g", "_part").orderBy(*order))
+    return out.select("_g", "_i", "_points", (F.col("_b") + nth).cast("long").alias("_position"))
