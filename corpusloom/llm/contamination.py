@@ -26,8 +26,11 @@ from corpusloom.session import field
 _JOINED = re.compile("[Ĳĳŉǆǉǌﬀ-ﬆﬓ-ﬗﷲﷺﻵ-ﻼ…]")
 _SLOT = 16  # diagonals to a slot; a band is two neighbouring slots, so bands overlap by half
 _REACH = 24  # how far an alignment may leave the middle of its band
-_SLACK = 4  # words that a path can miss of a passage within the edit budget
+_SLACK = 4  # words that an alignment of whole words can miss of a passage within the edit budget
 _PART = 8  # shared q-grams from which a second stretch counts
+_FINE = 4  # letters to a q-gram where longer ones say too little
+_WORDS = 128  # words to a part of an item; parts overlap by two windows
+_NEVER = np.int32(2**31 - 1)
 
 
 def _whole(text: str | None) -> str:
@@ -43,6 +46,11 @@ def _kept() -> np.ndarray:
     return np.where((major[fold] == ord("L")) | (major[fold] == ord("N")), fold, 0).astype(np.uint32)
 
 
+@cache
+def _digit() -> np.ndarray:
+    return major_class() == ord("N")
+
+
 @dataclass
 class Stream:
     """The letters and digits of a block's texts, each text from ``start`` on."""
@@ -61,6 +69,18 @@ def _stream(b: Block) -> Stream:
     return Stream(folded[at], owner, np.searchsorted(owner, np.arange(len(b.texts) + 1)), at, prefix_sums(folded[at]))
 
 
+def _begins(b: Block, s: Stream) -> np.ndarray:
+    """For each letter whether a word begins with it: only a blank or a mark of punctuation parts words."""
+    parting = (_kept()[b.cp] == 0) & (folding()[b.cp] != 0)
+    gap = np.append(0, np.cumsum(parting))
+    return np.append(True, (s.owner[1:] != s.owner[:-1]) | (gap[s.at[1:]] != gap[s.at[:-1]])) if len(s.cp) else np.zeros(0, bool)
+
+
+def _ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... size[0] of them, then the same of the next."""
+    return np.repeat(first - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(int(size.sum()))
+
+
 def _grams(s: Stream, q: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(s.cp) - q + 1
     if n <= 0:
@@ -70,171 +90,235 @@ def _grams(s: Stream, q: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Index:
-    """Item texts as words and as q-grams sorted by hash, with the filter's bound for each window of words."""
+class Table:
+    """The q-grams of all parts, sorted by hash, and the filter's bound for each window of words."""
 
-    ids: list  # of each text the ids of the items that have it
     q: int
-    window: int
-    hits: int
     gram: np.ndarray
-    gram_item: np.ndarray
-    gram_at: np.ndarray
-    need: np.ndarray  # (items, windows): q-grams that an occurrence of the window shares at least
-    span: np.ndarray  # (2, items, windows): where the window's q-grams begin and end
+    part: np.ndarray
+    at: np.ndarray
+    need: np.ndarray  # (parts, windows): q-grams that an occurrence of the window shares at least
+    span: np.ndarray  # (2, parts, windows): where the window's q-grams begin and end
     bitmap: np.ndarray
-    word_hash: np.ndarray  # (items, most words), 0 beyond the last
+
+
+@dataclass
+class Index:
+    """Item texts in parts of at most ``_WORDS`` words, as words and as q-grams."""
+
+    ids: list  # of each part the ids of the items that have it
+    window: int
+    hits: int
+    tables: list[Table]
+    letters: np.ndarray  # of all parts, one after the other
+    first: np.ndarray  # where each part begins there
+    longest: int  # letters, rounded up to whole slots
+    word_hash: np.ndarray  # (parts, most words), 0 beyond the last
     word_at: np.ndarray
     word_size: np.ndarray
     n_words: np.ndarray
+    tiny: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: hash and part of texts of one word or too short for a q-gram
+
+
+def _table(s: Stream, q: int, start: np.ndarray, size: np.ndarray, text: np.ndarray, wanted: np.ndarray, bound: np.ndarray, word_at: np.ndarray, word_end: np.ndarray, most_items: int, floor: int) -> Table:
+    """``wanted`` are the windows that this table answers for, ``bound`` what the edit budget can take of each."""
+    n = np.maximum(size - q + 1, 0)
+    part = np.repeat(np.arange(len(start)), n)
+    inside = _ragged(np.zeros(len(start), np.int64), n)
+    h = slice_hash(s.sums, start[part] + inside, start[part] + inside + q)
+    origin = np.append(0, np.cumsum(n))
+    if len(h):
+        _, code = np.unique(h, return_inverse=True)
+        pairs = np.unique(code.astype(np.int64) * (int(text.max()) + 1) + text[part])
+        rare = np.bincount(pairs // (int(text.max()) + 1))[code] <= most_items
+    else:
+        rare = np.zeros(0, bool)
+    shape = wanted.shape
+    lo = np.minimum(word_at, np.maximum(n, 0)[:, None])
+    hi = np.clip(word_end - q + 1, lo, n[:, None])
+    before = np.append(0, np.cumsum(rare))
+    held = before[origin[:-1, None] + hi] - before[origin[:-1, None] + lo]
+    # a window with few rare q-grams has its frequent ones indexed too
+    poor = wanted & (held - bound < floor)
+    marks = np.zeros(len(h) + 1, np.int64)
+    np.add.at(marks, (origin[:-1, None] + lo)[poor], 1)
+    np.add.at(marks, (origin[:-1, None] + hi)[poor], -1)
+    covered = np.zeros(len(h) + 1, np.int64)
+    np.add.at(covered, (origin[:-1, None] + lo)[wanted], 1)
+    np.add.at(covered, (origin[:-1, None] + hi)[wanted], -1)
+    indexed = (rare & (covered.cumsum()[:-1] > 0)) | (marks.cumsum()[:-1] > 0)
+    before = np.append(0, np.cumsum(indexed))
+    held = before[origin[:-1, None] + hi] - before[origin[:-1, None] + lo]
+    need = np.where(wanted & (held > 0), np.maximum(held - bound, 1), _NEVER).astype(np.int32).reshape(shape)
+    order = np.argsort(h[indexed], kind="stable")
+    bitmap = np.zeros(1 << 22, bool)
+    bitmap[h[indexed] & np.uint64(len(bitmap) - 1)] = True
+    return Table(q, h[indexed][order], part[indexed][order], inside[indexed][order], need, np.stack([lo, hi]), bitmap)
 
 
 def build_index(ids: list, texts: list[str], *, q: int = 10, most_items: int = 30, window: int = 18, hits: int = 16, floor: int = 12) -> Index:
     """``window`` successive words of an item must come with at least ``hits`` of them unchanged.
 
-    Equal texts are indexed once. A q-gram of more than ``most_items`` texts says little and is indexed only
-    in windows that would otherwise hold too few for their bound. The bound of a window counts its indexed
-    q-grams, less those that the changed words of the budget and one place of insertion can touch; it is at
-    least ``floor``, or all of a window that has fewer.
+    Equal texts are indexed once; a long one in overlapping parts, so that every window lies in one. A q-gram of
+    more than ``most_items`` texts is indexed only in windows that without it would share fewer than ``floor``
+    above the edit budget. The bound of a window counts its indexed q-grams, less those that the budget can touch:
+    its longest words, as many as may be changed (in two stretches one less, so that the place between them is
+    paid for). Where the budget can touch all of them, q-grams of ``_FINE`` letters answer: of the unchanged
+    words so many stand together that one remains. Texts of one word or fewer letters must occur as they are, between the ends of words.
     """
     held_by: dict[str, list] = {}
     for i, t in zip(ids, texts):
         held_by.setdefault(t, []).append(i)
-    ids, texts = list(held_by.values()), list(held_by)
-    b = Block(np.arange(len(texts)), [_whole(t) for t in texts])
+    b = Block(np.arange(len(held_by)), [_whole(t) for t in held_by])
     s = _stream(b)
-    at, h = _grams(s, q)
-    item = s.owner[at]
-    _, inverse = np.unique(h, return_inverse=True)
-    pairs = np.unique(inverse.astype(np.int64) * len(ids) + item)
-    spread = np.bincount(pairs // max(1, len(ids)), minlength=inverse.max() + 1 if len(inverse) else 0)
-    rare = spread[inverse] <= most_items if len(inverse) else np.zeros(0, bool)
-    held_all, held_rare = np.zeros((2, len(s.cp) + 2), np.int64)
-    held_all[at + 1] = 1
-    held_rare[at[rare] + 1] = 1
-    held_all, held_rare = held_all.cumsum(), held_rare.cumsum()
-    # words: kept characters with none dropped between them that is a blank or a mark of punctuation
-    wordy = np.zeros(len(b.cp) + 1, bool)
-    wordy[:-1] = (_kept()[b.cp] > 0) | (folding()[b.cp] == 0)
-    gap = np.append(0, np.cumsum(~wordy[:-1]))
-    begin = np.append(True, (s.owner[1:] != s.owner[:-1]) | (gap[s.at[1:]] != gap[s.at[:-1]])) if len(s.cp) else np.zeros(0, bool)
-    first = np.flatnonzero(begin)
+    first = np.flatnonzero(_begins(b, s))
     last = np.append(first[1:], len(s.cp))
     of = s.owner[first] if len(first) else np.zeros(0, np.int64)
-    n_words = np.bincount(of, minlength=len(ids))
-    most = int(n_words.max()) if len(n_words) else 0
-    word_hash, word_at, word_size = np.zeros((len(ids), most), np.uint64), np.zeros((len(ids), most), np.int64), np.zeros((len(ids), most), np.int64)
-    rank = np.arange(len(first)) - np.searchsorted(of, of)
-    if len(first):
-        word_hash[of, rank] = slice_hash(s.sums, first, last)
-        word_at[of, rank] = first - s.start[of]
-        word_size[of, rank] = last - first
-    need = np.full((len(ids), max(1, most)), np.iinfo(np.int32).max)
-    span = np.zeros((2, len(ids), max(1, most)), np.int64)
-    budget, poor = np.zeros(len(ids), np.int64), np.zeros(len(s.cp) + 2, np.int64)
-    for i in range(len(ids)):
-        n = int(n_words[i])
-        if size := min(window, n):
-            starts, ends = word_at[i, : n - size + 1], word_at[i, size - 1 : n] + word_size[i, size - 1 : n] - q + 1
-            span[:, i, : len(starts)] = starts, ends = starts, np.maximum(ends, starts)
-            touched = int(np.ceil(word_size[i, :n].mean())) + q - 1
-            budget[i] = (size - -(-size * hits // window)) * touched + q - 1
-            starts, ends = s.start[i] + starts, s.start[i] + ends
-            few = held_rare[ends] - held_rare[starts] < budget[i] + floor
-            np.add.at(poor, starts[few], 1)
-            np.add.at(poor, ends[few], -1)
-    indexed = rare | (poor.cumsum()[at] > 0)
-    before = np.zeros(len(s.cp) + 2, np.int64)
-    before[at[indexed] + 1] = 1
-    before = before.cumsum()
-    for i in range(len(ids)):
-        if size := min(window, int(n_words[i])):
-            starts, ends = s.start[i] + span[:, i, : n_words[i] - size + 1]
-            held = before[ends] - before[starts]
-            need[i, : len(starts)] = np.maximum(np.clip(held, 1, floor), held - budget[i])
-    order = np.argsort(h[indexed], kind="stable")
-    bitmap = np.zeros(1 << 22, bool)
-    bitmap[h[indexed] & np.uint64(len(bitmap) - 1)] = True
-    return Index(ids, q, window, hits, h[indexed][order], item[indexed][order].astype(np.int64), (at - s.start[item])[indexed][order], need, span, bitmap, word_hash, word_at, word_size, n_words)
-
-
-def _candidates(s: Stream, x: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, item, diagonal and shared q-grams of each band worth a look."""
-    at, h = _grams(s, x.q)
-    seen = np.flatnonzero(x.bitmap[h & np.uint64(len(x.bitmap) - 1)])
+    last = np.minimum(last, s.start[of + 1]) if len(first) else last
+    bounds = np.searchsorted(of, np.arange(len(held_by) + 1))
+    cuts = [(i, w, min(w + _WORDS, hi)) for i, (lo, hi) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())) if hi > lo for w in range(lo, max(lo + 1, hi - 2 * window), _WORDS - 2 * window)]
+    text = np.array([c[0] for c in cuts], np.int64)
+    w0, w1 = (np.array([c[k] for c in cuts], np.int64) for k in (1, 2))
+    every = list(held_by.values())
+    n_words = w1 - w0
+    n, most = len(cuts), int(n_words.max()) if len(cuts) else 0
+    start = first[w0] if n else np.zeros(0, np.int64)
+    size = (last[w1 - 1] if n else start) - start
+    word_hash, word_at, word_size = np.zeros((n, most), np.uint64), np.zeros((n, most), np.int64), np.zeros((n, most), np.int64)
+    row, col = np.repeat(np.arange(n), n_words), _ragged(np.zeros(n, np.int64), n_words)
+    w = _ragged(w0, n_words)
+    if n:
+        word_hash[row, col] = slice_hash(s.sums, first[w], last[w])
+        word_at[row, col] = first[w] - start[row]
+        word_size[row, col] = last[w] - first[w]
+    # windows: where each begins and ends, and the letters of its longest words, as many as may be changed
+    least, may = np.minimum(window, n_words), np.zeros(n, np.int64)
+    n_windows = n_words - least + 1
+    plain = (size < _FINE) | (n_words == 1)
+    there = (np.arange(max(1, most)) < n_windows[:, None]) & ~plain[:, None]
+    begin, end, lost = (np.zeros((n, max(1, most)), np.int64) for _ in range(3))
+    for i in range(n):
+        k, m = int(least[i]), int(n_windows[i])
+        may[i] = k - -(-k * hits // window)
+        begin[i, :m], end[i, :m] = word_at[i, :m], word_at[i, k - 1 : k - 1 + m] + word_size[i, k - 1 : k - 1 + m]
+        if may[i]:
+            lost[i, :m] = np.partition(sliding_window_view(word_size[i, : int(n_words[i])], k), k - int(may[i]), axis=1)[:, -int(may[i]) :].sum(axis=1)
+
+    def table(size_of_gram: int, wanted: np.ndarray, rarity: int) -> Table:
+        bound = lost + may[:, None] * (size_of_gram - 1)
+        return _table(s, size_of_gram, start, size, text, wanted, bound, begin, end, rarity, floor)
+
+    tables = []
+    if n:
+        held = np.clip(end - begin - q + 1, 0, None)
+        sound = there & (held - lost - may[:, None] * (q - 1) >= 1)
+        tables = [table(q, sound, most_items)]
+        if (rest := there & ~sound).any():
+            tables.append(table(_FINE, rest, most_items))
+    tiny: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for length in np.unique(size[plain]).tolist():
+        at = np.flatnonzero(plain & (size == length))
+        h = slice_hash(s.sums, start[at], start[at] + length)
+        order = np.argsort(h)
+        tiny[length] = (h[order], at[order])
+    letters, begins = s.cp[_ragged(start, size)] if n else np.zeros(0, np.uint32), np.append(0, np.cumsum(size))
+    longest = -(-int(size.max(initial=0)) // _SLOT) * _SLOT
+    return Index([every[i] for i in text], window, hits, tables, letters, begins, longest, word_hash, word_at, word_size, n_words, tiny)
+
+
+def _survivors(key: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Of overlapping bands, whose keys follow each other, those to align: every dropped one has a neighbour that
+    stays and shares at least as much."""
+    after = key[1:] == key[:-1] + 1
+    stay, left = np.zeros(len(key), bool), np.ones(len(key), bool)
+    while left.any():
+        v = np.where(left, both, -1)
+        less = np.append(False, after & (v[:-1] >= v[1:]) & left[:-1]) | np.append(after & (v[1:] > v[:-1]), False)
+        top = left & ~less
+        stay |= top
+        left &= ~(top | np.append(False, after & top[:-1]) | np.append(after & top[1:], False))
+    return stay
+
+
+def _candidates(s: Stream, x: Index, t: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, part and diagonal of each band worth a look."""
+    none = (np.zeros(0, np.int64),) * 3
+    at, h = _grams(s, t.q)
+    seen = np.flatnonzero(t.bitmap[h & np.uint64(len(t.bitmap) - 1)])
     at, h = at[seen], h[seen]
-    lo = np.searchsorted(x.gram, h, "left")
-    n = np.searchsorted(x.gram, h, "right") - lo
-    total = int(n.sum())
-    if not total:
-        return (np.zeros(0, np.int64),) * 4
-    post = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(total)
+    lo = np.searchsorted(t.gram, h, "left")
+    n = np.searchsorted(t.gram, h, "right") - lo
+    if not n.sum():
+        return none
+    post = _ragged(lo, n)
     at = np.repeat(at, n)
-    doc, item = s.owner[at].astype(np.int64), x.gram_item[post]
-    slot = (at - s.start[doc] - x.gram_at[post] + (1 << 16)) // _SLOT
-    every = ((doc * len(x.ids) + item) << 32) + slot
+    doc, part = s.owner[at].astype(np.int64), t.part[post]
+    slot = (at - s.start[doc] - t.at[post] + x.longest) // _SLOT
+    width = int((len(s.cp) + x.longest) // _SLOT + 4)  # slots of a pair
+    every = (doc * len(x.ids) + part) * width + slot
     order = np.argsort(every, kind="stable")
-    key = every = every[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    count = np.diff(np.append(first, len(key)))
-    key = key[first]
+    every = every[order]
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+    count = np.diff(np.append(first, len(every)))
+    key = every[first]
     both = count.copy()
-    after = key[1:] == key[:-1] + 1
-    both[:-1] += np.where(after, count[1:], 0)
-    pair, slot = key >> 32, key & 0xFFFFFFFF
-    # of overlapping bands the one with more, the first of equals
-    better = np.zeros(len(key), bool)
-    better[1:] |= after & (both[:-1] >= both[1:])
-    better[:-1] |= after & (both[1:] > both[:-1])
-    pair, slot, both = pair[~better], slot[~better], both[~better]
+    both[:-1] += np.where(key[1:] == key[:-1] + 1, count[1:], 0)
+    stay = _survivors(key, both)
+    key, both = key[stay], both[stay]
+    pair, slot = key // width, key % width
     first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
     size = np.diff(np.append(first, len(pair)))
-    most = np.maximum.reduceat(both, first)
     # a passage lies in one band, or its two stretches in two: what the best and another one share together
-    least = x.need.min(axis=1)[pair % len(x.ids)]
-    best = np.repeat(most, size)
+    least = t.need.min(axis=1)[pair % len(x.ids)]
+    best = np.repeat(np.maximum.reduceat(both, first), size)
     rows = np.flatnonzero((best * 2 >= least) & (both + best >= least) & ((both >= _PART) | (both == best)))
-    pair, slot, both = pair[rows], slot[rows], both[rows]
+    pair, slot = pair[rows], slot[rows]
     if not len(pair):
-        return (np.zeros(0, np.int64),) * 4
-    # the same window by window: which q-grams of the item these bands share
-    lo, hi = np.searchsorted(every, (pair << 32) + slot), np.searchsorted(every, (pair << 32) + slot + 2)
+        return none
+    # the same window by window: which q-grams of the part these bands share
+    lo, hi = np.searchsorted(every, pair * width + slot), np.searchsorted(every, pair * width + slot + 2)
     n = hi - lo
-    post_of = np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))
     first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
     which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(pair))))
-    shared = np.zeros((len(first), int(x.span.max()) + 2), np.int32)
-    shared[np.repeat(which, n), x.gram_at[post[order][post_of]] + 1] = 1
-    np.cumsum(shared, axis=1, out=shared)
-    it = pair[first] % len(x.ids)
-    in_window = np.take_along_axis(shared, x.span[1, it], axis=1) - np.take_along_axis(shared, x.span[0, it], axis=1)
-    rows = np.flatnonzero((in_window >= x.need[it]).any(axis=1)[which])
-    return pair[rows] // len(x.ids), pair[rows] % len(x.ids), (slot[rows] + 1) * _SLOT - (1 << 16), both[rows]
-
-
-def _matches(s: Stream, x: Index, doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
-    """(band, word, shift): where a word of the item stands in the document."""
+    keep = np.zeros(len(pair), bool)
+    wide = int(t.span.max()) + 2
+    for a in range(0, len(first), 4096):  # bounds the memory where many pairs are worth a look
+        z = min(a + 4096, len(first))
+        i, j = int(first[a]), int(first[z]) if z < len(first) else len(pair)
+        shared = np.zeros((z - a, wide), np.int32)
+        shared[np.repeat(which[i:j] - a, n[i:j]), t.at[post[order][_ragged(lo[i:j], n[i:j])]] + 1] = 1
+        np.cumsum(shared, axis=1, out=shared)
+        it = pair[first[a:z]] % len(x.ids)
+        in_window = np.take_along_axis(shared, t.span[1, it], axis=1) - np.take_along_axis(shared, t.span[0, it], axis=1)
+        keep[i:j] = (in_window >= t.need[it]).any(axis=1)[which[i:j] - a]
+    rows = np.flatnonzero(keep)
+    return pair[rows] // len(x.ids), pair[rows] % len(x.ids), (slot[rows] + 1) * _SLOT - x.longest
+
+
+def _matches(s: Stream, x: Index, doc: np.ndarray, part: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """(band, word, shift): where a word of the part stands in the document."""
     shifts = np.arange(-_REACH, _REACH + 1)
-    words = int(x.n_words[item].max()) if len(doc) else 0
-    place = s.start[doc][:, None] + diagonal[:, None] + x.word_at[item][:, :words]
+    words = int(x.n_words[part].max()) if len(doc) else 0
+    place = s.start[doc][:, None] + diagonal[:, None] + x.word_at[part][:, :words]
     where = place[:, :, None] + shifts
-    end = where + x.word_size[item][:, :words, None]
-    fits = (where >= s.start[doc][:, None, None]) & (end <= s.start[doc + 1][:, None, None]) & (x.word_size[item][:, :words, None] > 0)
+    end = where + x.word_size[part][:, :words, None]
+    fits = (where >= s.start[doc][:, None, None]) & (end <= s.start[doc + 1][:, None, None]) & (x.word_size[part][:, :words, None] > 0)
     lo, hi = np.where(fits, where, 0), np.where(fits, end, 0)
-    return fits & (slice_hash(s.sums, lo, hi) == x.word_hash[item][:, :words, None])
+    return fits & (slice_hash(s.sums, lo, hi) == x.word_hash[part][:, :words, None])
 
 
-def _align(s: Stream, x: Index, doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
-    """For each band the item's words that stand in the document along the best path through the band.
+def _align(s: Stream, x: Index, doc: np.ndarray, part: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each band the part's words that stand in the document along the best path through the band, and the
+    path's shift at every word.
 
     A path has one shift for each word; it gains the characters of the words that match and pays for
     every change of shift.
     """
     shifts = np.arange(-_REACH, _REACH + 1)
     n, most = len(doc), x.word_hash.shape[1]
-    words = int(x.n_words[item].max()) if n else 0
-    match = _matches(s, x, doc, item, diagonal)
-    gain = match * x.word_size[item][:, :words, None].astype(np.float32)
+    words = int(x.n_words[part].max()) if n else 0
+    match = _matches(s, x, doc, part, diagonal)
+    gain = match * x.word_size[part][:, :words, None].astype(np.float32)
     change = np.float32(6.0)
     score = np.zeros((n, len(shifts)), np.float32)
     came = np.zeros((n, words, len(shifts)), np.int8)
@@ -245,19 +329,57 @@ def _align(s: Stream, x: Index, doc: np.ndarray, item: np.ndarray, diagonal: np.
         leave = jump[:, None] > score
         came[:, w] = np.where(leave, top[:, None], own)
         score = np.where(leave, jump[:, None], score) + gain[:, w]
-    found = np.zeros((n, most), bool)
+    found, path = np.zeros((n, most), bool), np.zeros((n, most), np.int8)
     k = score.argmax(axis=1)
     for w in range(words - 1, -1, -1):
         found[:, w] = match[np.arange(n), w, k]
+        path[:, w] = shifts[k]
         k = came[np.arange(n), w, k]
-    return found
+    return found, path
+
+
+def _slips(s: Stream, x: Index, doc: np.ndarray, part: np.ndarray, diagonal: np.ndarray, found: np.ndarray, path: np.ndarray, wide: int = 24) -> np.ndarray:
+    """Words that do not stand in the document as they are but with one letter changed, left out or put in, or
+    two swapped, where the path expects them. Words of 4 to ``wide`` letters without digits."""
+    size = x.word_size[part]
+    band, word = np.nonzero(~found & (size >= 4) & (size <= wide))
+    out = np.zeros_like(found)
+    if not len(band):
+        return out
+    length, rows = size[band, word], part[band]
+    col = np.arange(wide)
+    mine = np.minimum(x.first[rows][:, None] + x.word_at[rows, word][:, None] + col, len(x.letters) - 1)
+    a = np.where(col < length[:, None], x.letters[mine], 0)
+    k2 = path[band, word].astype(np.int64)
+    k1 = np.where(word > 0, path[band, np.maximum(word - 1, 0)], k2).astype(np.int64)
+    base = s.start[doc[band]] + diagonal[band] + x.word_at[rows, word]
+
+    def seen(at: np.ndarray) -> np.ndarray:
+        ok = (at >= s.start[doc[band]][:, None]) & (at < s.start[doc[band] + 1][:, None])
+        return np.where(ok, s.cp[np.clip(at, 0, len(s.cp) - 1)], 0)
+
+    head = seen((base + k1)[:, None] + col)
+    equal = (a == head) & (a > 0)
+    lead = np.where(equal.all(axis=1), wide, np.argmin(equal, axis=1))
+    back = np.clip(length[:, None] - 1 - col, 0, None)
+    tail = (np.take_along_axis(a, back, axis=1) == seen((base + k2 + length)[:, None] - 1 - col)) & (col < length[:, None])
+    trail = np.where(tail.all(axis=1), wide, np.argmin(tail, axis=1))
+    ok = (np.abs(k2 - k1) <= 1) & (lead + trail >= length - (k2 <= k1))
+    # two neighbours swapped
+    one = np.minimum(lead, wide - 2)[:, None]
+    swapped = (k1 == k2) & (lead + trail == length - 2) & (np.take_along_axis(a, one, 1) == np.take_along_axis(head, one + 1, 1))[:, 0] & (np.take_along_axis(a, one + 1, 1) == np.take_along_axis(head, one, 1))[:, 0]
+    ok = (ok | swapped) & ~_digit()[a].any(axis=1)
+    out[band[ok], word[ok]] = True
+    return out
 
 
-def _best_window(found: np.ndarray, n: int, window: int) -> int:
-    """Most words found among ``window`` successive ones (or all, of a shorter item)."""
-    size = min(window, n)
-    total = np.append(0, np.cumsum(found[:n]))
-    return int((total[size:] - total[:-size]).max()) if size else 0
+def _best_windows(found: np.ndarray, window: int) -> np.ndarray:
+    """For each row the most words found among ``window`` successive ones (or all, of a shorter part)."""
+    total = np.zeros((len(found), found.shape[1] + 1), np.int32)
+    np.cumsum(found, axis=1, out=total[:, 1:])
+    if found.shape[1] < window:
+        return total[:, -1]
+    return (total[:, window:] - total[:, :-window]).max(axis=1)
 
 
 def _best_joined(a: np.ndarray, b: np.ndarray, n: int, window: int, least: int = 4) -> int:
@@ -303,43 +425,74 @@ def _joined(x: Index) -> int:
 
 
 def _scan(b: Block, x: Index, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, part and words of every passage that the block holds."""
     s = _stream(b)
-    doc, item, diagonal, _ = _candidates(s, x)
-    found = [_align(s, x, doc[i : i + step], item[i : i + step], diagonal[i : i + step]) for i in range(0, len(doc), step)]
-    out = []
-    if found:
-        masks = np.concatenate(found)
-        pair = doc * len(x.ids) + item
+    bands = [_candidates(s, x, t) for t in x.tables]
+    doc, part, diagonal = (np.concatenate([c[k] for c in bands] or [np.zeros(0, np.int64)]) for k in range(3))
+    if len(bands) > 1:
+        order = np.lexsort((diagonal, part, doc))
+        doc, part, diagonal = doc[order], part[order], diagonal[order]
+    out = _tiny(b, s, x)
+    if len(doc):
+        every = [_align(s, x, doc[i : i + step], part[i : i + step], diagonal[i : i + step]) for i in range(0, len(doc), step)]
+        found, path = (np.concatenate([e[k] for e in every]) for k in range(2))
+        n = x.n_words[part]
+        need = np.where(n >= x.window, x.hits, -(-n * x.hits // x.window))
+        best = _best_windows(found, x.window)
+        near = np.flatnonzero((best < need) & (best >= need - _SLACK))
+        for i in range(0, len(near), step):
+            r = near[i : i + step]
+            loose = found[r] | _slips(s, x, doc[r], part[r], diagonal[r], found[r], path[r])
+            best[r] = np.maximum(best[r], _best_windows(loose, x.window))
+        near = near[best[near] < need[near]]
+        for i in range(0, len(near), step):
+            r = near[i : i + step]
+            for k, m in zip(r, _matches(s, x, doc[r], part[r], diagonal[r])):
+                best[k] = max(best[k], _chain(m[: n[k]], x.word_at[part[k], : n[k]], x.word_size[part[k], : n[k]], x.window, int(need[k])))
+        pair = doc * len(x.ids) + part
         edges = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-        for i, j in zip(edges, np.append(edges[1:], len(pair))):
-            n = int(x.n_words[item[i]])
-            need = x.hits if n >= x.window else -(-n * x.hits // x.window)
-            each = [_best_window(masks[k], n, x.window) for k in range(i, j)]
-            best = max(each)
-            near = [i + k for k, v in enumerate(each) if need - _SLACK <= v < need]
-            if best < need and near:
-                match = _matches(s, x, doc[near], item[near], diagonal[near])
-                best = max([best, *(_chain(m[:n], x.word_at[item[i], :n], x.word_size[item[i], :n], x.window, need) for m in match)])
-            if best < need and j - i > 1 and n >= x.window:
-                half = x.window // 2
-                solid = [k for k in range(i, j) if _best_window(masks[k], n, half) >= half - (x.window - _joined(x))]
-                pairs = {(min(k, c, key=diagonal.__getitem__), max(k, c, key=diagonal.__getitem__)) for k in solid for c in range(i, j) if diagonal[c] != diagonal[k]}
-                joined = max((_best_joined(masks[a], masks[c], n, x.window) for a, c in pairs), default=0)
-                best = joined if joined >= _joined(x) else best
-            if best >= need:
-                out.append((doc[i], item[i], best))
-    got = np.array(out, np.int64).reshape(-1, 3)
+        most = np.maximum.reduceat(best, edges)
+        half = x.window // 2
+        solid = _best_windows(found, half) >= half - (x.window - _joined(x))
+        ends = np.append(edges[1:], len(pair))
+        some = np.flatnonzero((most < need[edges]) & (ends - edges > 1) & (n[edges] >= x.window) & np.logical_or.reduceat(solid, edges))
+        for e in some:
+            i, j = int(edges[e]), int(ends[e])
+            pairs = {(min(k, c, key=diagonal.__getitem__), max(k, c, key=diagonal.__getitem__)) for k in range(i, j) if solid[k] for c in range(i, j) if diagonal[c] != diagonal[k]}
+            joined = max((_best_joined(found[f], found[c], int(n[i]), x.window) for f, c in pairs), default=0)
+            most[e] = joined if joined >= _joined(x) else most[e]
+        good = most >= need[edges]
+        out.append(np.stack([doc[edges[good]], part[edges[good]], most[good]], axis=1))
+    got = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
     return got[:, 0], got[:, 1], got[:, 2]
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 18, hits: int = 16, block_chars: int = 16_000_000) -> DataFrame:
+def _tiny(b: Block, s: Stream, x: Index) -> list[np.ndarray]:
+    """Texts of one word or fewer letters than a q-gram: as they are, from the beginning of a word to an end."""
+    out = []
+    if x.tiny:
+        begin = np.append(_begins(b, s), True)
+        for length, (known, part) in x.tiny.items():
+            at = np.flatnonzero(begin[: len(s.cp) - length + 1] & begin[length:]) if len(s.cp) >= length else np.zeros(0, np.int64)
+            at = at[s.owner[at] == s.owner[at + length - 1]]
+            h = slice_hash(s.sums, at, at + length)
+            lo = np.searchsorted(known, h, "left")
+            n = np.searchsorted(known, h, "right") - lo
+            rows = np.unique(np.stack([np.repeat(s.owner[at], n).astype(np.int64), part[_ragged(lo, n)]], axis=1), axis=0) if n.sum() else np.zeros((0, 2), np.int64)
+            out.append(np.column_stack([rows, x.n_words[rows[:, 1]]]))
+    return out
+
+
+def leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 18, hits: int = 16, block_chars: int = 4_000_000) -> DataFrame:
     """``(key, item_key, words)``: documents that hold an item or ``window`` successive words of it.
 
     ``words`` is the largest number of words that stand unchanged among ``window`` successive words of the
-    item; at least ``hits`` must, in two separate stretches half of the other words. Case, marks, width, look-alikes, punctuation, blanks and line breaks do
-    not count; other matter may stand between two stretches. Items of fewer words must come with the same
-    share of all their words; empty and null texts match nothing. Repeated documents each come out, and
-    repeated rows repeatedly.
+    item; at least ``hits`` must. Where it is not reached by unchanged words, words with one slip of the pen
+    count too. In two separate stretches half of the other words may be changed. Case, marks, width, look-alikes,
+    punctuation, blanks and line breaks do not count; other matter may stand between two stretches. Items of fewer
+    words must come with the same share of all their words, those of one word or under four letters as they are; empty and
+    null texts, and those without letters, match nothing. Repeated documents each come out, and repeated rows
+    repeatedly.
 
     Scale: one pass over the documents without a shuffle for each block of items. A block has at most about
     ``block_chars`` characters of items, which bounds what is sent to the workers, whatever their number.
@@ -359,15 +512,24 @@ def leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
     return out
 
 
+def _best(doc: np.ndarray, part: np.ndarray, words: np.ndarray, x: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the parts of one item the one with the most words."""
+    item = np.array([id(x.ids[i]) for i in part], np.int64)
+    order = np.lexsort((-words, item, doc))
+    doc, part, words, item = doc[order], part[order], words[order], item[order]
+    first = np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])) if len(doc) else np.zeros(0, bool)
+    return doc[first], part[first], words[first]
+
+
 def _scanner(shared, key: str, item_key: str, schema: T.StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x: Index = shared.value
         for batch in batches:
             for b in blocks(pa.array([_whole(t) for t in batch.column(1).to_pylist()], pa.string())):
-                doc, item, words = _scan(b, x)
-                same = np.array([len(x.ids[i]) for i in item], np.int64)
+                doc, part, words = _best(*_scan(b, x), x)
+                same = np.array([len(x.ids[i]) for i in part], np.int64)
                 keys = batch.column(0).take(pa.array(np.repeat(b.rows[doc], same) if len(doc) else [], pa.int64()))
-                ids, words = pa.array([k for i in item for k in x.ids[i]]), np.repeat(words, same)
+                ids, words = pa.array([k for i in part for k in x.ids[i]]), np.repeat(words, same)
                 yield pa.RecordBatch.from_arrays([keys, ids.cast(_arrow(schema[item_key].dataType)), pa.array(words, pa.int32())], names=[key, item_key, "words"])
 
     return run

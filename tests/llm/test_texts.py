@@ -166,6 +166,75 @@ def test_leak_filter_loses_nothing():
     assert len(found) == len(texts)
 
 
+def _words(n, seed, lengths=(1, 6)):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(*lengths))) for _ in range(n)]
+
+
+def _found(items, texts):
+    x = contamination.build_index(list(range(len(items))), items)
+    got = set()
+    for b in blocks(pa.array([contamination._whole(t) for t in texts], pa.string())):
+        doc, part, _ = contamination._best(*contamination._scan(b, x), x)
+        got |= {(int(b.rows[d]), i) for d, k in zip(doc, part) for i in x.ids[k]}
+    return got
+
+
+def test_short_items():
+    items = ["what is the capital of", "paris", "ab", "paris is in france", "?", " "]
+    texts = [FILL + "What is, the capital of Spain?", "comparison", "not PARIS!", "x ab y", "xab y", "they say paris is in france", "paris was in france", "a b"]
+    assert _found(items, texts) == {(0, 0), (2, 1), (5, 1), (6, 1), (3, 2), (7, 2), (5, 3)}
+
+
+def test_words_of_a_letter_or_two():
+    rng = random.Random(3)
+    words = [rng.choice("abcdefghiklmnoprstuvwz") + rng.choice(["", "a", "o", "x"]) for _ in range(30)]
+    changed = words[4:22]
+    changed[5], changed[11] = "qqq", "jj"
+    assert _found([" ".join(words)], [" ".join(["some", "talk", *changed, "and", "more"]), " ".join(words[:12])]) == {(0, 0)}
+
+
+def test_a_long_item_is_found_wherever_it_is_cut():
+    words = _words(12000, 5)
+    rng, texts = random.Random(6), []
+    for _ in range(60):
+        at = rng.randrange(len(words) - 18)
+        texts.append(FILL + " ".join(words[at : at + 18]) + " " + FILL)
+    texts.append(FILL + " ".join(words[-60:]))
+    assert len(" ".join(words)) > 66_000
+    assert _found([" ".join(words)], texts) == {(i, 0) for i in range(61)}
+
+
+def test_slips_of_the_pen():
+    words = _words(40, 8, (2, 5))
+    slips = {"change": lambda w: w[:2] + "q" + w[3:], "omit": lambda w: w[:1] + w[2:], "insert": lambda w: w[:2] + "x" + w[2:], "swap": lambda w: w[0] + w[2] + w[1] + w[3:]}
+    texts = [FILL + " ".join(f(w) if i % 6 == 5 else w for i, w in enumerate(words)) + " " + FILL for f in slips.values()]
+    assert _found([" ".join(words)], texts) == {(i, 0) for i in range(4)}
+
+
+def test_recall_of_altered_passages():
+    rng = random.Random(9)
+    items = [" ".join(_words(rng.randint(28, 60), 100 + k)) for k in range(40)]
+    texts, want = [], set()
+    for k, item in enumerate(items):
+        words = item.split()
+        for _ in range(10):
+            at = rng.randrange(len(words) - 17)
+            part = words[at : at + 18]
+            kind = rng.randrange(4)
+            if kind == 1:
+                for i in rng.sample(range(18), 2):
+                    part[i] = rng.choice(["other", "x", "longerword"])
+            if kind == 2:
+                part = [w.upper() + rng.choice(["", ",", "\u200b", "\n"]) for w in part]
+            if kind == 3:
+                part[9:9] = FILL.split()
+            want.add((len(texts), k))
+            texts.append(FILL + " ".join(part) + " " + FILL)
+    got = _found(items, texts)
+    assert len(got & want) >= 0.99 * len(want) and len(got - want) == 0
+
+
 def test_leaks_of_passages_that_many_items_share(spark):
     rng = random.Random(6)
     own = ["".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(400)]
