@@ -128,6 +128,47 @@ def test_segments_and_labels(model, spark):
     assert languages.train([], []).threshold == 1.0
 
 
+def test_quotations_and_mixed_sentences(model, spark):
+    quoted = "the teacher said to them all “le juge du village a écrit que le prix du sel était plus élevé” today"
+    short = f"the judge of the village wrote “le prix du sel” before the price was higher than that."
+    whole = "the judge of the village said “le juge du village a écrit que le prix était élevé.” before the price"
+    rows = [("a", quoted, "en"), ("b", short, "en"), ("d", whole, "en")]
+    df = spark.createDataFrame(rows, "row_id string, text string, label string")
+    got = {(r["row_id"], r["kind"], r["language"]): {k: t for k, t, _ in rows}[r["row_id"]][r["start"] : r["end"]] for r in languages.segments(df, model).collect()}
+    assert got["a", "sentence", "en"] == quoted and got["a", "quotation", "fr"].startswith("“le juge")
+    assert got["b", "sentence", "en"] == short and got["b", "quotation", "fr"] == "“le prix du sel”"
+    assert got["d", "sentence", "fr"].endswith("”")
+    assert sorted((r["row_id"], r["language"]) for r in languages.unnamed_languages(df.filter("row_id in ('a', 'b', 'd')"), model).collect()) == [("d", "fr")]
+
+
+def test_long_words_count_whole(model):
+    tokens = languages._Tokens(model)
+    assert tokens.sizes == [] and tokens["x" * 500] == [0] and tokens.sizes[0] > 1500
+
+
+# Sentences in languages that no model here is trained on.
+UNSEEN = ["El maestro de la aldea escribió que el precio de la sal era más alto que antes.", "No vinieron a la casa porque llovía mucho durante toda la noche.", "Der Lehrer des Dorfes schrieb, dass der Preis des Salzes höher war als zuvor.", "Sie kamen nicht nach Hause, weil es die ganze Nacht stark regnete.", "Il maestro del villaggio scrisse che il prezzo del sale era più alto di prima.", "O professor da aldeia escreveu que o preço do sal era mais alto do que antes.", "Köyün öğretmeni tuzun fiyatının eskisinden daha yüksek olduğunu yazdı.", "آموزگار روستا نوشت که بهای نمک از پیش بیشتر بود و مردم به خانه نیامدند.", "Учитель деревни написал, что цена соли была выше, чем раньше.", "De leraar van het dorp schreef dat de prijs van het zout hoger was dan voorheen.", "Nauczyciel we wsi napisał, że cena soli była wyższa niż przedtem.", "Ο δάσκαλος του χωριού έγραψε ότι η τιμή του αλατιού ήταν υψηλότερη."]
+
+
+def test_unseen_languages_are_mostly_rejected(spark, tmp_path):
+    from corpusloom.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    rows = queries._p6_rows(spark, folder)
+    trained = languages.train_from(rows, text="text", label="label")
+    assert languages.train_from(rows, text="text", label="label") is trained
+    trained.save(str(tmp_path / "model.npz"))
+    again = languages.load(str(tmp_path / "model.npz"))
+    assert np.array_equal(again.table, trained.table) and again.threshold == trained.threshold
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(UNSEEN)], "row_id string, text string")
+    accepted = languages.segments(df, again).filter("language is not null and kind = 'sentence'").count()
+    own = languages.segments(rows, again, key="row_id").filter("kind = 'sentence' and words >= 3")
+    mixed = spark.createDataFrame([("m", f"{EN} {FR}.")], "row_id string, text string")
+    part = languages.segments(mixed, again).filter("kind = 'part'").collect()
+    assert len(part) == 1 and {"fr": FR, "en": EN}[part[0]["language"]][:30] in f"{EN} {FR}."[part[0]["start"] :][:45]
+    assert accepted <= 6 and own.filter("language is null").count() <= 0.003 * own.count()
+
+
 ITEM = "In Ejrangrath a modest lexicon was hidden by the calligrapher until the great fire and on sheet 340 the scribe of Ejrolfjan lists the sharing of tools and a bitter primer"
 FILL = "The miller of another valley speaks at length about rain and wheat while nobody listens to him any more today. "
 
