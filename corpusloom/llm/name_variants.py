@@ -11,7 +11,7 @@ from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,9 +21,12 @@ from corpusloom.session import materialize
 PLACEHOLDERS = {"", "n a", "na", "none", "null", "nil", "unknown", "unknown author", "author unknown", "not known", "anonymous", "anon", "various", "various authors", "several", "s n", "sine nomine", "tba", "tbd", "no author", "not available", "not given", "collective", "et al", "test", "xxx"}
 HONORIFICS = {"dr", "prof", "professor", "mr", "mrs", "ms", "miss", "sir", "dame", "lord", "lady", "rev", "imam", "shaykh", "sheikh", "shaikh", "ustadh", "ustad", "mufti", "mawlana", "maulana", "allama", "allamah", "hafiz", "hajji", "haji", "qadi", "sayyid", "syed", "mullah", "jr", "sr", "phd"}
 PARTICLES = {"al", "el", "ul", "ibn", "bin", "ben'", "bint", "binti", "b'", "the", "of", "de", "von", "van"}
-GIVEN = {
-    "alexander": "alex sandy alec sasha lex", "benjamin": "ben benny benjy", "charles": "charlie chas chuck chaz", "daniel": "dan danny", "edward": "ed eddie ted ned teddy", "elizabeth": "beth liz eliza lizzie betty betsy libby", "gregory": "greg gregg", "katherine": "kate kathy katie kathryn catherine kat", "margaret": "maggie peggy meg madge", "nicholas": "nick nico nicky nicolas", "ottilie": "otty tilly ottie", "patricia": "pat trish patty tricia", "robert": "rob bob bobby robt robbie", "thomas": "tom thos tommy", "victoria": "vicky vicki tori", "william": "will bill wm billy willie",
-    "abdullah": "abdulla abdallah abdoullah", "fatimah": "fatima fatma fatema", "husayn": "hussein hossein hussain husain husein", "ibrahim": "ebrahim ibraheem ibrahem", "jaafar": "jafar jaffar jafer", "khadijah": "khadija khadeeja khadeejah", "laylah": "layla leila leyla laila", "muhammad": "mohammed md mohamed mohammad muhammed mohamad mhd", "nuruddin": "noureddine nureddin nooruddin nuraldin nurdin", "qasim": "qasem qassem kasim kassim qassim", "rashid": "rasheed rachid rashed", "sulayman": "suleiman soliman sulaiman sulayman", "tariq": "tarek tarik tareq", "uthman": "osman othman usman uthmaan", "yusuf": "yousef youssef yusef yousuf yousof", "zaynab": "zainab zeinab zaineb zeynep", "ziyad": "ziad zeyad",
+# Short and pet forms of common given names, and abbreviations of them; a form can belong to several names.
+NICKNAMES = {
+    "alexander": "alex al sandy alec sasha lex", "alexandra": "alex sandra sandy", "andrew": "andy drew", "anthony": "tony", "barbara": "barb babs", "benjamin": "ben benny benjy benj", "catherine": "cathy cate", "charles": "charlie chas chuck chaz", "christopher": "chris kit", "christine": "chris tina", "daniel": "dan danny", "david": "dave davy", "deborah": "deb debbie", "donald": "don", "dorothy": "dot dottie dolly",
+    "edward": "ed eddie ted ned teddy", "eleanor": "ellie nell nora", "elizabeth": "beth liz eliza lizzie betty betsy libby", "eugene": "gene", "frances": "fran fanny", "francis": "frank", "frederick": "fred freddy", "gerald": "gerry jerry", "george": "geo georgie", "gregory": "greg gregg", "harold": "hal harry", "helen": "nell nellie", "henry": "harry hank hal", "isabella": "bella izzy", "jacob": "jake", "james": "jim jimmy jamie jas", "jennifer": "jen jenny", "john": "jack johnny jno", "jonathan": "jon", "joseph": "joe joey jos", "josephine": "jo josie",
+    "katherine": "kate kathy katie kathryn kat", "kenneth": "ken kenny", "lawrence": "larry laurie", "leonard": "len lenny leo", "margaret": "maggie peggy meg madge", "martha": "patty", "mary": "molly polly", "matthew": "matt", "michael": "mike mick micky", "nathaniel": "nat nate", "nicholas": "nick nico nicky nicolas", "ottilie": "otty ottie tilly", "patricia": "pat trish patty tricia", "patrick": "pat paddy", "peter": "pete", "philip": "phil pip", "rebecca": "becky", "richard": "dick rick rich ricky", "robert": "rob bob bobby robt robbie", "ronald": "ron", "rosemary": "rosie", "samuel": "sam sammy saml", "samantha": "sam", "sarah": "sally", "stephen": "steve", "susan": "sue susie", "teresa": "terry tess", "theodore": "ted theo", "thomas": "tom thos tommy", "timothy": "tim", "victoria": "vicky vicki tori", "walter": "walt wally", "william": "will bill wm billy willie",
+    "muhammad": "md mhd mohd",
 }
 ORGANISATION = {"society": "soc", "press": "pr", "university": "univ", "library": "lib", "international": "intl int", "publishers": "pub publ publishing pubs publrs publisher", "company": "co", "institute": "inst", "studies": "stud", "manuscript": "ms mss manuscripts", "house": "", "sons": "", "books": "", "old": "", "dar": "darul", "maktabat": "maktaba maktabah", "foundation": "found fdn", "academy": "acad", "centre": "center ctr", "association": "assoc", "brothers": "bros", "editions": "edns", "printing": ""}
 #: Words that an organisation's name can do without.
@@ -34,8 +37,25 @@ SEPARATE = "\x1f"
 
 
 @cache
-def _given_names() -> dict[str, str]:
-    return {v: k for k, vs in GIVEN.items() for v in (k, *vs.split())}
+def _names_of() -> dict[str, frozenset[str]]:
+    """The names that a nickname, or a name itself, can stand for."""
+    out: dict[str, set[str]] = {}
+    for name, short in NICKNAMES.items():
+        for v in (name, *short.split()):
+            out.setdefault(v, set()).add(name)
+    return {k: frozenset(v) for k, v in out.items()}
+
+
+_SOUNDS = [(re.compile(a), b) for a, b in (("ph", "f"), ("kh|q", "k"), ("ch|sch", "sh"), ("th", "s"), (r"(?:[aeu]l|[aeu])d+[ie]n+e?$", "udin"), ("ee|ie(?=.)", "i"), ("oo|ou", "u"), ("e[iy]|ay", "ai"), (r"(?<=[^aeiouy])e$", ""), (r"(?<=[aeiouy])h$", ""), ("o", "u"), ("e", "a"), ("y", "i"), (r"(.)\1+", r"\1"))]
+
+
+@lru_cache(200_000)
+def sound(token: str) -> str:
+    """A given name with the usual freedoms of spelling taken out: doubled letters, long and weak vowels, k and q,
+    th and s, a last h. Rules, in this order, in place of lists of spellings."""
+    for pattern, by in _SOUNDS:
+        token = pattern.sub(by, token)
+    return token
 
 
 @cache
@@ -106,8 +126,8 @@ def parse(name: str | None) -> str | None:
         found = [t for t in re.findall(r"[^\W_]+", part) if t not in HONORIFICS and t not in PARTICLES]
         out: list[str] = []
         for t in found:
-            if t == "din" and out and out[-1] in ("nur", "noor"):
-                out[-1] = "nuruddin"
+            if t == "din" and out:  # a compound with the article, written apart
+                out[-1] += "uddin"
             else:
                 out.append(t)
         return out
@@ -120,18 +140,42 @@ def parse(name: str | None) -> str | None:
         family, given = every[-1:], every[:-1]
     if not family:
         return SEPARATE.join(["p", "", "", " ".join(tokens)])
-    given = [_given_names().get(t, t) for t in given]
+    given = [next(iter(names)) if len(names := _names_of().get(t, frozenset())) == 1 else t for t in given]
     return SEPARATE.join(["p", given[0] if given else "", " ".join(given[1:]), " ".join(_bare(t) for t in family)])
 
 
+@lru_cache(500_000)
 def token_similarity(a: str, b: str, slips: int = 1) -> float:
-    """1 for equal, 0.9 for an initial, for up to ``slips`` slips of the pen by their share of the length."""
+    """1 for names that are equal, sound equal or can be short for one name; 0.9 for an initial; for up to
+    ``slips`` slips of the pen, in spelling or sound, by their share of the length."""
     if a == b:
         return 1.0
     if len(a) == 1 or len(b) == 1:
-        return 0.9 if a[:1] == b[:1] else 0.0
-    d = edits(a, b)
-    return 1 - d / max(len(a), len(b)) if d <= slips and max(len(a), len(b)) >= 4 * d else 0.0
+        one, name = (a, b) if len(a) == 1 else (b, a)
+        return 0.9 if any(n[0] == one or {n[0], one} in ({"o", "u"}, {"i", "y"}, {"k", "q"}) for n in (name, *_names_of().get(name, ()))) else 0.0
+    if a in NICKNAMES and b in NICKNAMES:
+        return 0.0  # names of their own
+    x, y = _names_of().get(a, frozenset([a])), _names_of().get(b, frozenset([b]))
+    if x & y:
+        return 1.0
+    return max(_alike(m, n, slips) for m in x | {a} for n in y | {b})
+
+
+def _alike(a: str, b: str, slips: int) -> float:
+    x, y = sound(a), sound(b)
+    if x == y and min(len(a), len(b)) >= 5:
+        return 1.0
+
+    def near(a: str, b: str) -> float:
+        d, most = edits(a, b), max(len(a), len(b))
+        return 1 - d / most if d <= slips and most >= (4 if slips == 1 else 3) * d else 0.0
+
+    return max(near(a, b), near(x, y) if min(len(a), len(b)) >= 5 else 0.0)
+
+
+def _initial(name: str) -> str:
+    """What the first letters of spellings of one name have in common: vowels are one, and q is k."""
+    return "a" if name and name[0] in "aeiouy" else "k" if name[:1] == "q" else name[:1]
 
 
 def monge_elkan(a: list[str], b: list[str], slips: int = 1) -> float:
@@ -141,6 +185,17 @@ def monge_elkan(a: list[str], b: list[str], slips: int = 1) -> float:
     return sum(max(token_similarity(x, y, slips) for y in b) for x in a) / len(a) if a else 0.0
 
 
+def _parts_of(form: str) -> list[str]:
+    _, given, others, family = form.split(SEPARATE)
+    return [t for t in (given, *others.split(), *family.split()) if t]
+
+
+def rotated(a: str, b: str) -> bool:
+    """Whether one has the family name before, the other behind, with all parts written out and of equal sound."""
+    x, y = ([sound(t) for t in _parts_of(f)] for f in (a, b))
+    return len(x) == len(y) > 1 and min(map(len, x)) > 1 and x != y and (x[1:] + x[:1] == y or y[1:] + y[:1] == x)
+
+
 @lru_cache(500_000)
 def same_entity(a: str, b: str, slips: int = 1) -> bool:
     """Whether two canonical forms can name one entity: every part that both have must fit.
@@ -151,6 +206,8 @@ def same_entity(a: str, b: str, slips: int = 1) -> bool:
     kb, gb, ob, fb = b.split(SEPARATE)
     if ka != kb:
         return False
+    if ka == "p" and rotated(a, b):
+        return True
     fx, fy = fa.replace(" ", ""), fb.replace(" ", "")
     if not fx or not fy or (d := edits(fx, fy)) > (slips if min(len(fx), len(fy)) >= 5 else 0):
         return False
@@ -173,32 +230,40 @@ def bands(similarity: float, recall: float, rows: int) -> int:
 
 
 def _keys(forms: list[str], n_bands: int, rows: int, q: int) -> list[np.ndarray]:
-    """Band hashes of the padded q-grams of each family name, mixed with kind and initial, and a few hashes
-    of the exact family name with what is left of the given name after one deletion at its beginning."""
+    """Band hashes of the padded q-grams of each family name, mixed with the kind and the initial (vowels count as
+    one; several where the name can be short for several), a few hashes of the exact family name with what is left of the given name after one deletion at its
+    beginning, and one of all parts whatever their order."""
     rng = np.random.default_rng(5)
     a = rng.integers(1, 1 << 63, n_bands * rows, dtype=np.int64).astype(np.uint64) | np.uint64(1)
     b = rng.integers(0, 1 << 63, n_bands * rows, dtype=np.int64).astype(np.uint64)
-    grams, sizes, heads, extra = [], [], [], []
+    grams, sizes, heads, form_of, extra = [], [], [], [], []
     for f in forms:
         kind, given, others, family = f.split(SEPARATE)
         w = "#" * (q - 1) + family + "#" * (q - 1)
         g = {w[i : i + q] for i in range(len(w) - q + 1)}
         grams += [zlib.crc32(x.encode()) for x in g]
         sizes.append(len(g))
-        head = (kind + given[:1] + (others if kind == "o" else "")).encode()
-        heads.append(zlib.crc32(head) << 20)
-        extra.append([zlib.crc32(f"{family}/{given[:i] + given[i + 1 :]}".encode()) | 1 << 40 for i in range(2)] + [zlib.crc32(f"{family}/{given}".encode()) | 1 << 40] if len(given) > 2 else [])
+        firsts = {_initial(n) for n in (given, sound(given), *_names_of().get(given, ()))}
+        for first in sorted(firsts):
+            heads.append(zlib.crc32((kind + first + (others if kind == "o" else "")).encode()) << 20)
+            form_of.append(len(sizes) - 1)
+        left = [f"{family}/{given[:i] + given[i + 1 :]}" for i in range(2)] + [f"{family}/{given}"] if len(given) > 2 else []
+        parts = sorted(sound(t) for t in _parts_of(f)) if kind == "p" else []
+        extra.append([zlib.crc32(x.encode()) | 1 << 40 for x in left] + ([zlib.crc32(" ".join(parts).encode()) | 1 << 41] if len(parts) > 1 else []))
     h = np.array(grams, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    first = np.append(0, np.cumsum(sizes)[:-1])
-    out = np.zeros((len(forms), n_bands), np.uint64)
+    first, of = np.append(0, np.cumsum(sizes)[:-1]), np.array(form_of)
+    out = np.zeros((len(heads), n_bands), np.uint64)
     for k in range(n_bands):
         out[:, k] = np.array(heads, np.uint64) + np.uint64(k)
         for r in range(rows):
             x = h * a[k * rows + r] + b[k * rows + r]
             low = np.minimum.reduceat(x ^ (x >> np.uint64(32)), first)
-            out[:, k] = (out[:, k] ^ low) * np.uint64(0xBF58476D1CE4E5B9)
+            out[:, k] = (out[:, k] ^ low[of]) * np.uint64(0xBF58476D1CE4E5B9)
             out[:, k] ^= out[:, k] >> np.uint64(29)
-    return [np.append(o.view(np.int64), np.array(e, np.int64)) for o, e in zip(out, extra)]
+    bands_of: list[list[np.ndarray]] = [[] for _ in forms]
+    for i, row in zip(form_of, out.view(np.int64)):
+        bands_of[i].append(row)
+    return [np.concatenate([*bands, np.array(e, np.int64)]) for bands, e in zip(bands_of, extra)]
 
 
 @F.pandas_udf(T.StringType())
@@ -216,6 +281,12 @@ def _compatible(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([x == y or same_entity(x, y, 2) for x, y in zip(a, b)], dtype=bool)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _heard(names: pd.Series) -> pd.Series:
+    """All that a given name is compared by: itself, its sound, and names that it can be short for."""
+    return names.map(lambda n: sorted({n, sound(n), *_names_of().get(n, ())}))
+
+
 def forms(names: DataFrame, column: str = "name") -> DataFrame:
     """Distinct ``(name, form)``; placeholders, blanks and nulls are left out."""
     rows = names.select(F.col(column).cast("string").alias("name")).distinct()
@@ -226,9 +297,10 @@ def candidate_pairs(nodes: DataFrame, *, similarity: float = 0.38, recall: float
     """Distinct ``(a, b)``, a < b: forms that share a key.
 
     The bands are as many as the collision curve asks for that ``recall`` at that ``similarity``, the one of
-    a short family name with one slip. Keys of more than ``hot`` forms are refined: forms with a full given
-    name meet where a deletion of one letter of it is equal, which is all that one slip allows; forms with
-    an initial or none meet all.
+    a short family name with one slip. Keys of more than ``hot`` forms are refined without loss: forms
+    with a full given name meet where it, its sound or its name is equal but for one letter, which is all that a slip allows; those
+    without one, as all organisations, where the family name or core is; only a bare initial meets all names
+    that begin like it, as it may stand for each.
     """
     n = bands(similarity, recall, rows)
 
@@ -237,19 +309,26 @@ def candidate_pairs(nodes: DataFrame, *, similarity: float = 0.38, recall: float
             if len(batch):
                 yield pd.DataFrame({"form": batch["form"], "key": _keys(list(batch["form"]), n, rows, q)}).explode("key").astype({"key": "int64"})
 
-    keyed = nodes.select("form").mapInPandas(run, "form string, key long").distinct()
+    spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a form makes many keys, so small inputs are spread too
+    keyed = nodes.select("form").repartition(spread, "form").mapInPandas(run, "form string, key long").distinct()
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     keyed = keyed.join(sizes, "key")
-    given = F.split("form", SEPARATE)[1]
-    full = F.length(given) > 1
+    part = F.split("form", SEPARATE)
+    given, family = part[1], F.replace(part[3], F.lit(" "), F.lit(""))
     cold, warm = keyed.filter(F.col("n") <= hot).select("form", F.col("key").cast("string").alias("key")), keyed.filter(F.col("n") > hot)
-    left = F.transform(F.sequence(F.lit(0), F.length(given)), lambda i: F.concat_ws("/", F.col("key").cast("string"), F.concat(F.substring(given, F.lit(1), i), F.substring(given, i + 2, F.length(given)))))
-    fine = warm.filter(full).select("form", F.explode(F.array_distinct(left)).alias("key"))
+
+    def less_one(c: Column) -> Column:
+        """The key with the name, and with the name less each one letter: names an edit apart share one."""
+        left = F.transform(F.sequence(F.lit(0), F.length(c)), lambda i: F.concat_ws("/", F.col("key").cast("string"), F.concat(F.substring(c, F.lit(1), i), F.substring(c, i + 2, F.length(c)))))
+        return F.explode(F.array_distinct(left)).alias("key")
+
+    full = warm.filter(F.length(given) > 1).select("form", "key", F.explode(_heard(given)).alias("heard"))
+    fine = full.select("form", less_one(F.col("heard"))).unionByName(warm.filter(F.length(given) == 0).select("form", less_one(family)))
     cells = cold.unionByName(fine)
     a, b = cells.withColumnRenamed("form", "a"), cells.withColumnRenamed("form", "b")
     pairs = a.join(b, "key").filter("a < b").select("a", "b")
-    few = warm.filter(~full).select("key", F.col("form").alias("a"))
-    rest = few.join(warm.select("key", F.col("form").alias("b")), "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    few, some = warm.filter(F.length(given) == 1), warm.filter(F.length(given) > 0)
+    rest = few.select("key", F.col("form").alias("a")).join(some.select("key", F.col("form").alias("b")), "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.unionByName(rest).distinct()
 
 

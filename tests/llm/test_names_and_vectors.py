@@ -1,11 +1,13 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import name_variants, neighbours
 
-SAME = [("Elizabeth bin Yusuf al-Miskigozun", "al-Miskigozun, Elizabeth bin Yusuf"), ("Dr. Benjamin Numkekoros", "BENJAMIN NUMKEKOROS"), ("William Tugtomudug", "Bill Tugtomudug"), ("Lotmūgulūn, Vicky", "Victoria ibn Khadijah Lotmugulun"), ("V. S. Rimzulokig", "Victoria Sulayman Rimzulokig"), ("Yusuf Zeglozufub", "Yousef Zeglozufub"), ("Kesbuzigek University Press", "Kesbuzigek Univ. Pr."), ("University Press (Kesbuzigek)", "The Kesbuzigek University Press"), ("Yusuf Relrumofil", "Ysuuf Relrumofil"), ("Ed al-Bubgizunos", "Edward al-Būbgizunos"), ("Zaynab Tariq allonzezodos", "Zaynab Tariq al-Lonzezodos")]
-OTHER = [("Rashid Ribdatagen", "Jaafar Ribdatagen"), ("R. Ribdatagen", "Jaafar Ribdatagen"), ("Kesbuzigek University Press", "Kesbuzigek & Sons, Publishers"), ("Benjamin bin Laylah Darbunibal", "Benjamin bin Yusuf Darbunibal"), ("Thomas Nizmadudog", "Thomas Reslufutun")]
+SAME = [("Elizabeth bin Yusuf al-Miskigozun", "al-Miskigozun, Elizabeth bin Yusuf"), ("Dr. Benjamin Numkekoros", "BENJAMIN NUMKEKOROS"), ("William Tugtomudug", "Bill Tugtomudug"), ("Lotmūgulūn, Vicky", "Victoria ibn Khadijah Lotmugulun"), ("V. S. Rimzulokig", "Victoria Sulayman Rimzulokig"), ("Yusuf Zeglozufub", "Yousef Zeglozufub"), ("Kesbuzigek University Press", "Kesbuzigek Univ. Pr."), ("University Press (Kesbuzigek)", "The Kesbuzigek University Press"), ("Yusuf Relrumofil", "Ysuuf Relrumofil"), ("Ed al-Bubgizunos", "Edward al-Būbgizunos"), ("Zaynab Tariq allonzezodos", "Zaynab Tariq al-Lonzezodos"), ("Jim Nizmadudog", "James Nizmadudog"), ("Mike Bergarut", "Michael Bergarut"), ("Dick Bergarut", "Richard Bergarut"), ("Dot Reslufutun", "Dorothy Reslufutun"), ("Jenny Lotmug", "Jennifer Lotmug"), ("Alex Marrigon", "Alexandra Marrigon"), ("Alex Marrigon", "Alexander Marrigon"), ("Marrigon Alexandra Jane", "Alexandra Jane Marrigon"), ("Karimov Nadia", "Nadia Karimov"), ("Nur al-Din Haqqigar", "Noureddine Haqqigar"), ("U. Gazrutetaz", "Osman Gazrutetaz")]
+OTHER = [("Rashid Ribdatagen", "Jaafar Ribdatagen"), ("R. Ribdatagen", "Jaafar Ribdatagen"), ("Kesbuzigek University Press", "Kesbuzigek & Sons, Publishers"), ("Benjamin bin Laylah Darbunibal", "Benjamin bin Yusuf Darbunibal"), ("Thomas Nizmadudog", "Thomas Reslufutun"), ("Alexandra Marrigon", "Alexander Marrigon"), ("Hasan Bergarut", "Husayn Bergarut"), ("Ellen Bergarut", "Alan Bergarut"), ("Yusuf bin Tariq Bergarut", "Tariq bin Yusuf Bergarut"), ("Edward Bergarut", "A. Bergarut")]
 
 
 @pytest.mark.parametrize("a,b", SAME)
@@ -36,7 +38,7 @@ def test_pairs(spark):
     names = [x for p in SAME for x in p] + ["Rashid Ribdatagen", "Jaafar Ribdatagen", "n/a", None, "", "Rashid Ribdatagen"]
     df = spark.createDataFrame([(n, "x") for n in names], "name string, form string")
     got = {(r["name_a"], r["name_b"]) for r in name_variants.variant_pairs(df).collect()}
-    want = {tuple(sorted(p)) for p in SAME}
+    want = {tuple(sorted(p)) for p in SAME if not p[0].startswith("Alex Marrigon")}
     assert want <= got and ("Jaafar Ribdatagen", "Rashid Ribdatagen") not in got
     assert all(a < b for a, b in got)
     assert name_variants.variant_pairs(df.limit(0)).count() == 0
@@ -44,12 +46,42 @@ def test_pairs(spark):
 
 def test_hot_keys_lose_nothing(spark):
     given = ["Thomas", "Thomsa", "Tom", "T.", "Tariq", "Tariiq", "Tarik", "Theodora", "Thelonius"]
-    nodes = name_variants.forms(spark.createDataFrame([(f"{g} Nizmadudog",) for g in given], "name string")).select("form").distinct()
+    orgs = [f"{c} University Press" for c in ("Nizmadudog", "Nizmaduog", "Nizmadudogg", "Nizmadudok", "Nizmodudag")]
+    nodes = name_variants.forms(spark.createDataFrame([(f"{g} Nizmadudog",) for g in given] + [(o,) for o in orgs] + [("Nizmadudog",), ("Nizmaddog",)], "name string")).select("form").distinct()
     wide, fine = (set(map(tuple, name_variants.candidate_pairs(nodes, hot=h).collect())) for h in (500, 2))
     close = {p for p in wide if name_variants.same_entity(*p)}
     assert close <= fine
 
 
+def _made(rng, n, vowels="aeiou"):
+    return "".join(rng.choice("bdfgklmnprstvz") + rng.choice(vowels) for _ in range(n)) + rng.choice("nrstl")
+
+
+def test_recall_on_names_that_no_list_has(spark):
+    """Invented people with slips, initials, titles, moved parts and other spellings of sounds."""
+    rng = random.Random(12)
+    loose = [("k", "q"), ("i", "ee"), ("u", "oo"), ("f", "ph"), ("s", "ss")]
+    want, names, owner = set(), set(), {}
+    for k in range(300):
+        given, middle, family = _made(rng, 3).capitalize(), _made(rng, 2).capitalize(), _made(rng, 4).capitalize()
+        name = f"{given} {middle} {family}"
+        at = rng.randrange(1, len(family) - 2)
+        swap = family[:at] + family[at + 1] + family[at] + family[at + 2 :]
+        drop = given[:2] + given[3:]
+        heard = given.lower()
+        for a, b in loose:
+            heard = heard.replace(a, b, 1)
+        forms = [f"{given} {middle} {swap}", f"{drop} {middle} {family}", f"{given[0]}. {middle[0]}. {family}", f"{family}, {given} {middle}", f"{family.upper()} {given} {middle}", f"Dr. {given} {family}", f"{heard.capitalize()} {middle} {family}"]
+        for other in forms:
+            if other != name:
+                want.add(tuple(sorted((name, other))))
+                names |= {name, other}
+                owner[name] = owner[other] = k
+    got = {(r["name_a"], r["name_b"]) for r in name_variants.variant_pairs(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert len(want & got) >= 0.97 * len(want), sorted(want - got)[:8]
+    assert sum(owner[a] != owner[b] for a, b in got) == 0
+
+
 def test_stars_equal_the_sequential_ones(spark):
     rng = np.random.default_rng(1)
     edges = {tuple(sorted(map(str, rng.choice(30, 2, replace=False)))) for _ in range(45)}
