@@ -17,12 +17,16 @@ from corpusloom.session import field
 # Letters of one script drawn like a letter of another, each with its prototype.
 GREEK = {"Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "α": "a", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "χ": "x", "ϲ": "c", "ϳ": "j"}
 CYRILLIC = {"А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ԛ": "Q", "Ԝ": "W", "а": "a", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "ѵ": "v"}
+ARMENIAN = {"Տ": "S", "Օ": "O", "Ս": "U", "օ": "o", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "յ": "j"}
+COPTIC = {"Ⲁ": "A", "Ⲃ": "B", "Ⲉ": "E", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X"}
+CHEROKEE = {"Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z"}
+LISU = {"ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z"}
 LATIN = {"ı": "i", "ɑ": "a", "ɡ": "g", "ſ": "f"}
 ARABIC = {"ك": "ک", "ي": "ی", "ى": "ی", "ه": "ہ", "ھ": "ہ", "ە": "ہ"}
 DIGITS = {"۰": "٠", "۱": "١", "۲": "٢", "۳": "٣", "۷": "٧", "۸": "٨", "۹": "٩"}
 
-#: Tags of compatibility decompositions that keep the look but for width, ligature or joining form.
-SAME_LOOK = {"<wide>", "<narrow>", "<compat>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>"}
+#: Tags of compatibility decompositions that keep the look but for width, weight, slant, ligature or joining form.
+SAME_LOOK = {"<font>", "<wide>", "<narrow>", "<compat>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>"}
 #: Characters without a look of their own, besides those of category Cf: fillers and variation selectors.
 UNSEEN = [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0x180B, 0x180E)]
 
@@ -44,7 +48,7 @@ def prototypes() -> dict[int, str]:
         table[c] = ""
     for c in WHITE_SPACE:
         table[c] = " "
-    for pairs in (GREEK, CYRILLIC, LATIN, ARABIC, DIGITS):
+    for pairs in (GREEK, CYRILLIC, ARMENIAN, COPTIC, CHEROKEE, LISU, LATIN, ARABIC, DIGITS):
         table |= {ord(a): b for a, b in pairs.items()}
     for c in list(table):  # to the end of chains, e.g. a presentation form of a letter with a prototype
         while (new := unicodedata.normalize("NFD", table[c]).translate(table)) != table[c]:
@@ -56,12 +60,12 @@ def skeleton(text: str) -> str:
     """Decompose, replace every character by its prototype, decompose again; blanks become one, ends none.
 
     Equal skeletons mean equal looks: width, kind and number of blanks and invisible characters do not
-    count, letter case, accents, vowel signs, hamza, values of digits, punctuation and words do.
+    count, letter case, accents, vowel signs, hamza, values of digits, punctuation and words do; so that l, I
+    and 1 stay apart, which are two letters and a digit.
     """
-    if text.isascii():
-        return " ".join(text.split())
-    out = unicodedata.normalize("NFD", text).translate(prototypes())
-    return " ".join(unicodedata.normalize("NFD", out).split())
+    out = text if text.isascii() else unicodedata.normalize("NFD", text)
+    out = out.translate(prototypes())
+    return " ".join((out if out.isascii() else unicodedata.normalize("NFD", out)).split())
 
 
 def one_form(text: str) -> str:
@@ -80,8 +84,9 @@ def _one_form(texts: pd.Series) -> pd.Series:
 
 
 def normalized(df: DataFrame, *, key: str = "content_block_id", text: str = "original_text") -> DataFrame:
-    """``(key, normalized_text)`` for each distinct row: texts of equal look get equal strings, null stays null."""
-    return df.select(field(key).alias(key), _one_form(field(text).cast("string")).alias("normalized_text")).distinct()
+    """``(key, normalized_text)`` of each row: texts of equal look get equal strings, null stays null. Repeated
+    rows come out repeatedly; no text is shuffled."""
+    return df.select(field(key).alias(key), _one_form(field(text).cast("string")).alias("normalized_text"))
 
 
 def look_classes(df: DataFrame, *, key: str = "content_block_id", text: str = "original_text") -> DataFrame:
