@@ -2,15 +2,14 @@
 
 Vectors of unit length are projected by Gaussian weights to a few dimensions, in which a difference of
 length d has a squared length of d**2 times a chi-square variable. A kd-tree over the projections, fitted
-on a bounded sample, assigns every vector to a leaf. A query goes at once to all
-leaves whose box may hold a neighbour within a fixed distance: that of the least similarity asked for, or of
-the k-th in its home leaf. In a leaf the true similarity is computed for those only whose projected distance
-passes the chi-square test for that distance.
-
-This replaces the incremental search, which meets neighbours in the order of their projected distance and
-stops by the same test: that needs a query to return from each leaf before the next, a shuffle for each, where
-the fixed bound takes one for all. The bound is never nearer than where the incremental search would stop, so
-it costs similarities, not results.
+on a bounded sample, assigns every vector to a leaf. A query first meets its home leaf, where its projected
+neighbours are verified in the order of their projected distance, first a few, then all up to where by the
+chi-square test none can be among the k nearest of these. What it has found there is the
+distance to beat: it goes on to those leaves whose box may hold something nearer, and stops in each by the same
+test. With a least similarity that is the distance to beat from the start, and one round suffices.
+
+Whole leaves are met at once, not one after the other: a query that returned from each leaf before the next
+would cost a shuffle for each.
 """
 
 from __future__ import annotations
@@ -67,6 +66,7 @@ class Tree:
     axis: np.ndarray
     cut: np.ndarray
     first: int
+    cells: int
 
     def home(self, x: np.ndarray) -> np.ndarray:
         node = np.zeros(len(x), np.int64)
@@ -95,7 +95,10 @@ class Tree:
 
 
 def _fit(x: np.ndarray, n: int, leaf_rows: int, first: int) -> Tree:
+    """Leaves of about ``leaf_rows`` of n vectors, but none of fewer than 16 of the sample; larger leaves are
+    parted by hash into cells of that size, all of which a query meets."""
     depth = max(0, math.ceil(math.log2(max(1, n / leaf_rows))))
+    depth = min(depth, max(0, int(math.log2(max(1, len(x) / 16)))))
     axis, cut = np.zeros(max(1, 2**depth - 1), np.int64), np.zeros(max(1, 2**depth - 1), np.float32)
     part = {0: x}
     for node in range(2**depth - 1):
@@ -105,7 +108,7 @@ def _fit(x: np.ndarray, n: int, leaf_rows: int, first: int) -> Tree:
             cut[node] = np.median(rows[:, axis[node]])
         right = rows[:, axis[node]] > cut[node]
         part[2 * node + 1], part[2 * node + 2] = rows[~right], rows[right]
-    return Tree(depth, axis, cut, first)
+    return Tree(depth, axis, cut, first, max(1, math.ceil(n / (2**depth * leaf_rows * 1.5))))
 
 
 def valid_vectors(df: DataFrame, *, key: str = "chunk_id", model: str = "model_name", vector: str = "vector", dimensions: str = "dimensions", version: str = "updated_at") -> DataFrame:
@@ -156,10 +159,13 @@ def _search(points: DataFrame, queries: DataFrame, trees: dict[str | None, Tree]
 
     ``queries`` has ``_squared``, the squared distance to be beaten; ``reach`` is "home", "all", "away"
     (all but home) or "after" (home and the leaves after it). With "after", where every point is a query,
-    a pair of leaves is visited once and its finds count for both sides. Points and queries of a leaf meet in a sorted stream, so that a task holds the points
-    of one leaf and one batch of queries, however many there are.
+    a pair of leaves is visited once and its finds count for both sides. Points and queries of a cell meet in a
+    sorted stream, so that a task holds the points of one cell and one batch of queries, however many there are.
+    A point travels once; a query, once for each leaf in reach, in 16 bits a number (similarities are off by
+    about 0.00001).
     """
     threshold = chi_square_quantile(p, DIMENSIONS)
+    most = max(t.cells for t in trees.values())
 
     def place(is_query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,21 +180,26 @@ def _search(points: DataFrame, queries: DataFrame, trees: dict[str | None, Tree]
                         bound = rows.column(3).to_numpy() if is_query else np.zeros(len(x))
                         home = leaf = tree.home(proj)
                         row = np.arange(len(x))
-                        if is_query and reach != "home":
-                            row, leaf = tree.reached(proj, bound, max(p, 0.995))
-                            if reach != "all":
-                                keep = leaf != home[row] if reach == "away" else leaf >= home[row]
-                                row, leaf = row[keep], leaf[keep]
+                        if is_query:
+                            if reach != "home":
+                                row, leaf = tree.reached(proj, bound, max(p, 0.995))
+                                if reach != "all":
+                                    keep = leaf != home[row] if reach == "away" else leaf >= home[row]
+                                    row, leaf = row[keep], leaf[keep]
+                            cell = np.tile(np.arange(tree.cells), len(row))
+                            row, leaf = np.repeat(row, tree.cells), np.repeat(leaf, tree.cells)
+                        else:
+                            cell = rows.column(1).to_numpy() % tree.cells
                         at_row = pa.array(row)
-                        small = pa.array([r.tobytes() for r in (x.astype(np.float16) if is_query else x)], pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name, pa.string()), len(row)), pa.array(leaf, pa.int32()), pa.array(np.full(len(row), is_query)), rows.column(1).take(at_row), small.take(at_row), pa.array(bound[row].astype(np.float32)), pa.array(leaf == home[row])], names=["_model", "_leaf", "_query", "_class", "_unit", "_squared", "_own"])
+                        small = pa.array([r.tobytes() for r in (np.round(x * 32767).astype(np.int16) if is_query else x)], pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name, pa.string()), len(row)), pa.array(leaf * most + cell, pa.int64()), pa.array(np.full(len(row), is_query)), rows.column(1).take(at_row), small.take(at_row), pa.array(bound[row].astype(np.float32)), pa.array(leaf == home[row])], names=["_model", "_leaf", "_query", "_class", "_unit", "_squared", "_own"])
 
         return run
 
-    shape = "_model string, _leaf int, _query boolean, _class long, _unit binary, _squared float, _own boolean"
+    shape = "_model string, _leaf long, _query boolean, _class long, _unit binary, _squared float, _own boolean"
     both = points.select("_model", "_class", "_unit").mapInArrow(place(False), shape).unionByName(queries.select("_model", "_class", "_unit", "_squared").mapInArrow(place(True), shape))
-    n_leaves = sum(2**t.depth for t in trees.values())
-    met = both.repartition(max(1, min(n_leaves, 4096)), "_leaf").sortWithinPartitions("_leaf", "_query")
+    n_cells = sum(2**t.depth * t.cells for t in trees.values())
+    met = both.repartition(max(1, min(n_cells, 4096)), "_leaf").sortWithinPartitions("_leaf", "_query")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaf, held, ids, unit, proj = None, [], None, None, None
@@ -206,34 +217,66 @@ def _search(points: DataFrame, queries: DataFrame, trees: dict[str | None, Tree]
                     continue
                 if unit is None:
                     ids, unit = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                    held = [held[0]]
                     proj = project(unit)  # with half of the squared length, so that one product gives the distance
                     proj = np.ascontiguousarray(np.hstack([proj, -(proj**2).sum(axis=1, keepdims=True) / 2]).T)
                 name = part.column(0)[0].as_py()
                 for s in range(0, len(part), 128):
                     some = part.slice(s, 128)
-                    found = _verified(some.column(3).to_numpy(), _matrix(some.column(4), np.float16).astype(np.float32), some.column(5).to_numpy(), ids, unit, proj, k, threshold, some.column(6).to_numpy(zero_copy_only=False) if reach == "after" else None)
+                    asked = some.column(3).to_numpy(), _matrix(some.column(4), np.int16).astype(np.float32) / np.float32(32767), some.column(5).to_numpy()
+                    if reach == "after":
+                        found = _within(*asked, ids, unit, proj, k, threshold, some.column(6).to_numpy(zero_copy_only=False))
+                    else:
+                        found = _incremental(*asked, ids, unit, proj, k, threshold)
                     if len(found[0]):
                         yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name, pa.string()), len(found[0])), *map(pa.array, found)], names=["_model", "_q", "_p", "_cos"])
 
     return met.mapInArrow(verify, "_model string, _q long, _p long, _cos double")
 
 
-def _verified(q_ids: np.ndarray, q: np.ndarray, squared: np.ndarray, ids: np.ndarray, unit: np.ndarray, proj: np.ndarray, k: int, threshold: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _true(q: np.ndarray, unit: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The similarities of rows r of q and rows c of unit."""
+    return np.concatenate([np.einsum("ij,ij->i", q[r[s : s + 65536]], unit[c[s : s + 65536]]) for s in range(0, len(r), 65536)]) if len(r) else np.zeros(0, np.float32)
+
+
+def _within(q_ids: np.ndarray, q: np.ndarray, squared: np.ndarray, ids: np.ndarray, unit: np.ndarray, proj: np.ndarray, k: int, threshold: float, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All within the distance, the best k of each query and of each point met from another leaf."""
     qp = project(q)
     least = ((qp**2).sum(axis=1) - squared * threshold) / 2
     near = np.hstack([qp, np.ones((len(qp), 1), np.float32)]) @ proj >= least[:, None].astype(np.float32)
     r, c = np.divmod(np.flatnonzero(near), near.shape[1])
-    if len(r) * 4 > near.size:
-        cos = (q @ unit.T)[r, c]
-    else:
-        cos = np.concatenate([np.einsum("ij,ij->i", q[r[s : s + 65536]], unit[c[s : s + 65536]]) for s in range(0, len(r), 65536)]) if len(r) else np.zeros(0, np.float32)
-    keep = (cos >= 1 - squared[r] / 2 - 1e-3) & (q_ids[r] != ids[c])
+    cos = (q @ unit.T)[r, c] if len(r) * 4 > near.size else _true(q, unit, r, c)
+    keep = (cos >= 1 - squared[r] / 2 - 1e-4) & (q_ids[r] != ids[c])
+    r, c, cos = r[keep], c[keep], cos[keep]
+    a, b, score = _top(q_ids[r], ids[c], cos, k)
+    abroad = ~own[r]  # the points found by queries from another leaf have found these in turn
+    back = _top(ids[c[abroad]], q_ids[r[abroad]], cos[abroad], k)
+    a, b, score = (np.append(x, y) for x, y in zip((a, b, score), back))
+    return a, b, score.astype(np.float64)
+
+
+def _incremental(q_ids: np.ndarray, q: np.ndarray, squared: np.ndarray, ids: np.ndarray, unit: np.ndarray, proj: np.ndarray, k: int, threshold: float, first: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best k of each query: the ``first`` neighbours by projected distance are verified, then by the k-th best
+    of these, or the distance to beat, all others that the chi-square test allows for it; it allows no more."""
+    qp = project(q)
+    far = (qp**2).sum(axis=1, keepdims=True) - 2 * (np.hstack([qp, np.ones((len(qp), 1), np.float32)]) @ proj)  # squared projected distances
+    n = far.shape[1]
+    bound = np.minimum(squared, 4.0)
+    some = np.argpartition(far, first, axis=1)[:, :first] if first < n else np.broadcast_to(np.arange(n), far.shape)
+    r, c = np.repeat(np.arange(len(q)), some.shape[1]), some.ravel()
+    cos = _true(q, unit, r, c)
+    other = q_ids[r] != ids[c]
+    sq = np.where(other, np.maximum(2 - 2 * cos, 0), 4.0).reshape(some.shape)
+    if some.shape[1] >= k:
+        bound = np.minimum(bound, np.partition(sq, k - 1, axis=1)[:, k - 1])
+    near = far <= (threshold * bound)[:, None]
+    near[r, c] = False
+    r2, c2 = np.divmod(np.flatnonzero(near), n)
+    cos2 = (q @ unit.T)[r2, c2] if len(r2) * 4 > near.size else _true(q, unit, r2, c2)
+    r, c, cos = np.append(r, r2), np.append(c, c2), np.append(cos, cos2)
+    keep = (q_ids[r] != ids[c]) & (cos >= 1 - np.minimum(squared, bound)[r] / 2 - 1e-4)
     r, c, cos = r[keep], c[keep], cos[keep]
     a, b, score = _top(q_ids[r], ids[c], cos, k)
-    if own is not None:  # the points found by queries from another leaf have found these in turn
-        abroad = ~own[r]
-        back = _top(ids[c[abroad]], q_ids[r[abroad]], cos[abroad], k)
-        a, b, score = (np.append(x, y) for x, y in zip((a, b, score), back))
     return a, b, score.astype(np.float64)
 
 
@@ -249,11 +292,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k)
 
 
-def _cosine(a: pa.Array, b: pa.Array) -> np.ndarray:
-    return np.array([float(np.frombuffer(x, np.float32).astype(float) @ np.frombuffer(y, np.float32).astype(float)) for x, y in zip(a.to_pylist(), b.to_pylist())])
-
-
-def class_neighbours(classes: DataFrame, *, k: int = 5, min_cosine: float | None = None, queries: DataFrame | None = None, p: float = 0.99, leaf_rows: int = 8192, sample_rows: int = 20_000) -> DataFrame:
+def class_neighbours(classes: DataFrame, *, k: int = 5, min_cosine: float | None = None, queries: DataFrame | None = None, p: float = 0.99, leaf_rows: int = 16_384, sample_rows: int = 20_000) -> DataFrame:
     """(_model, _q, _p, _cos, _rank): the k most similar other classes of each class of directions.
 
     ``classes`` has (_model, _class, _unit) and must be materialised. With ``min_cosine`` only pairs at
@@ -284,57 +323,47 @@ def class_neighbours(classes: DataFrame, *, k: int = 5, min_cosine: float | None
     return _best(near.drop("_rank").unionByName(_search(classes, asked, trees, k, p, "away")), k)
 
 
-def _exact(found: DataFrame, classes: DataFrame) -> DataFrame:
-    """The similarities again, from the full precision of both vectors."""
-    a = classes.select(F.col("_model").alias("_ma"), F.col("_class").alias("_ca"), F.col("_unit").alias("_ua"))
-    b = classes.select(F.col("_model").alias("_mb"), F.col("_class").alias("_cb"), F.col("_unit").alias("_ub"))
-    both = found.join(a, F.col("_model").eqNullSafe(F.col("_ma")) & (F.col("_q") == F.col("_ca"))).join(b, F.col("_model").eqNullSafe(F.col("_mb")) & (F.col("_p") == F.col("_cb")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            yield pa.RecordBatch.from_arrays([*t.columns[:4], pa.array(_cosine(t.column(4), t.column(5)))], names=["_model", "_q", "_p", "_rank", "_cos"])
-
-    return both.select("_model", "_q", "_p", "_rank", "_ua", "_ub").mapInArrow(run, "_model string, _q long, _p long, _rank int, _cos double")
-
-
-def _prepared(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (_model, _class, _key) and classes (_model, _class, _n, _unit), both materialised."""
+def _prepared(vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (_model, _class, _key) of all classes of directions, classes (_model, _class, _unit) and the sizes
+    (_model, _class, _n) of those of several members. Only keys travel to find the copies; the vectors themselves
+    only if the copies are too many for Spark to send them to all."""
     units = materialize(_units(vectors))
-    classes = units.groupBy("_model", "_class").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_key", "_unit")).alias("_m"))
-    return units.select("_model", "_class", "_key"), materialize(classes.select("_model", "_class", "_n", F.col("_m._unit").alias("_unit")))
+    members = units.select("_model", "_class", "_key")
+    several = materialize(members.groupBy("_model", "_class").agg(F.count(F.lit(1)).alias("_n"), F.min("_key").alias("_first")).filter("_n > 1"))
+    copies = members.join(several, ["_model", "_class"]).filter(F.col("_key") != F.col("_first")).select("_model", "_key")
+    classes = units.join(copies, ["_model", "_key"], "left_anti").select("_model", "_class", "_unit")
+    return members, materialize(classes), several.select("_model", "_class", "_n")
 
 
 def neighbours(vectors: DataFrame, *, k: int = 5, min_cosine: float | None = None, queries: DataFrame | None = None, p: float = 0.99, bucket: int = 10_000) -> DataFrame:
     """(_model, _key, _other, _cos): for each key of a model its k most similar other keys of the model.
 
     ``vectors`` is what ``valid_vectors`` gives; ``queries`` (_model, _key) restricts who is asked for, not
-    who is found. Keys of one direction form a class with similarity 1. In a class of more than k + 1 keys
-    each key is linked with k neighbours in the order of keys (within blocks of about ``bucket`` keys), so
-    that a mass of copies makes k links a key and no more. Ties go to the smaller class hash, then key.
+    who is found. Keys of one direction form a class with similarity 1; each gets all the others of a class of up
+    to k + 1, and k of a larger one, which are all as near: those next to it in the order of keys (within blocks of
+    about ``bucket`` keys). Ties between classes go to the smaller class hash, then key.
     """
-    members, classes = _prepared(vectors)
+    members, classes, several = _prepared(vectors)
     asked_members = members if queries is None else members.join(queries.distinct(), ["_model", "_key"], "left_semi")
-    asked = classes if queries is None else classes.join(asked_members.select("_model", "_class").distinct(), ["_model", "_class"], "left_semi")
-    found = _exact(class_neighbours(classes, k=k, min_cosine=min_cosine, queries=None if queries is None else asked.select("_model", "_class", "_unit"), p=p), classes)
+    asked = None if queries is None else classes.join(asked_members.select("_model", "_class").distinct(), ["_model", "_class"], "left_semi").select("_model", "_class", "_unit")
+    found = class_neighbours(classes, k=k, min_cosine=min_cosine, queries=asked, p=p)
     if min_cosine is not None:
         found = found.filter(F.col("_cos") >= min_cosine)
-    sizes = classes.select("_model", "_class", "_n")
     # other classes: as many members as the query's own class leaves room for
-    q = sizes.select("_model", F.col("_class").alias("_q"), F.col("_n").alias("_qn"))
-    o = sizes.select("_model", F.col("_class").alias("_p"), F.col("_n").alias("_pn"))
+    q = several.select("_model", F.col("_class").alias("_q"), F.col("_n").alias("_qn"))
+    o = several.select("_model", F.col("_class").alias("_p"), F.col("_n").alias("_pn"))
+    sized = found.join(q, ["_model", "_q"], "left").join(o, ["_model", "_p"], "left").fillna(1, ["_qn", "_pn"])
     before = F.coalesce(F.sum("_pn").over(Window.partitionBy("_model", "_q").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    room = found.join(q, ["_model", "_q"]).join(o, ["_model", "_p"]).withColumn("_room", k - (F.col("_qn") - 1) - before).filter("_room > 0")
-    first = members.join(sizes.select("_model", "_class"), ["_model", "_class"]).withColumn("_at", F.row_number().over(Window.partitionBy("_model", "_class").orderBy("_key"))).filter(F.col("_at") <= k)
+    room = sized.withColumn("_room", k - (F.col("_qn") - 1) - before).filter("_room > 0").select("_model", "_q", "_p", "_cos", "_room")
+    w = Window.partitionBy("_model", "_class").orderBy("_key")
+    first = members.withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= k)
     away = room.join(first.select("_model", F.col("_class").alias("_p"), F.col("_key").alias("_other"), "_at"), ["_model", "_p"]).filter(F.col("_at") <= F.col("_room"))
     away = away.join(asked_members.select("_model", F.col("_class").alias("_q"), "_key"), ["_model", "_q"]).select("_model", "_key", "_other", "_cos")
     # the own class
-    own = members.join(sizes.filter("_n > 1"), ["_model", "_class"])
-    few = own.filter(F.col("_n") <= k + 1)
-    near = few.select("_model", "_class", "_key").join(few.select("_model", "_class", F.col("_key").alias("_other")), ["_model", "_class"]).filter("_key <> _other").select("_model", "_key", "_other")
-    many = own.filter(F.col("_n") > k + 1).withColumn("_b", F.pmod(F.xxhash64("_key"), F.ceil(F.col("_n") / bucket)))
+    own = members.join(several, ["_model", "_class"]).withColumn("_b", F.pmod(F.xxhash64("_key"), F.ceil(F.col("_n") / bucket)))
     w = Window.partitionBy("_model", "_class", "_b").orderBy("_key")
-    links = many.withColumn("_next", F.array(*[F.lead("_key", i).over(w) for i in range(1, k + 1)])).select("_model", "_key", F.explode(F.array_compact("_next")).alias("_other"))
-    near = near.unionByName(links).unionByName(links.select("_model", F.col("_other").alias("_key"), F.col("_key").alias("_other")))
+    near = F.slice(F.array_compact(F.array(*[F.lead("_key", i).over(w) for i in range(1, k + 1)], *[F.lag("_key", i).over(w) for i in range(1, k + 1)])), 1, k)
+    near = own.withColumn("_near", near).select("_model", "_key", F.explode("_near").alias("_other"))
     if queries is not None:
         near = near.join(queries.distinct(), ["_model", "_key"], "left_semi")
     return away.unionByName(near.withColumn("_cos", F.lit(1.0)))
