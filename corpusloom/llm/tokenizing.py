@@ -112,13 +112,21 @@ class Merger(dict):
 
     def __init__(self, ranks: dict[bytes, int], most: int = 200_000):
         super().__init__()
-        self.ranks, self.most, self.ids = ranks, most, []
+        self.ranks, self.most, self.ids, self._widths = ranks, most, [], None
 
     def __missing__(self, word: bytes) -> int:
         self.ids.append(np.array(self.merge(word), np.int32))
         self[word] = at = len(self.ids) - 1
         return at
 
+    def widths(self) -> np.ndarray:
+        """Bytes by id."""
+        if self._widths is None:
+            self._widths = np.zeros(max(self.ranks.values()) + 1, np.int64)
+            for piece, i in self.ranks.items():
+                self._widths[i] = len(piece)
+        return self._widths
+
     def trim(self) -> None:
         if len(self) > self.most:
             self.clear()
@@ -149,14 +157,24 @@ class Merger(dict):
         return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-@cache
-def merger(vocabulary: str) -> Merger:
+def _bytes(vocabulary: str) -> bytes:
     with open(vocabulary, "rb") as f:
-        return Merger({base64.b64decode(a): int(r) for a, r in (line.split() for line in f if line.strip())})
+        return f.read()
+
+
+_MERGERS: dict[str, Merger] = {}
+
+
+def merger(vocabulary: str, content: bytes | None = None) -> Merger:
+    """Of that vocabulary, kept while the process lives; read from the path where no content is given."""
+    if vocabulary not in _MERGERS:
+        lines = (content if content is not None else _bytes(vocabulary)).splitlines()
+        _MERGERS[vocabulary] = Merger({base64.b64decode(a): int(r) for a, r in (line.split() for line in lines if line.strip())})
+    return _MERGERS[vocabulary]
 
 
 def encode_block(b: Block, m: Merger) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all texts, the number of ids before each text, and the byte offset of each id in its text."""
+    """Ids of all texts, the number of ids before each text, and the byte at which each id begins in its text."""
     at = np.flatnonzero(word_starts(symbols(b)))
     cp, n = b.cp, len(b.cp)
     byte = np.zeros(n + 1, np.int64)
@@ -174,28 +192,35 @@ def encode_block(b: Block, m: Merger) -> tuple[np.ndarray, np.ndarray, np.ndarra
     known = np.concatenate(m.ids) if m.ids else np.zeros(0, np.int32)
     ids = known[np.repeat(first[which] - done[:-1], per_word) + np.arange(done[-1])]
     before = done[np.searchsorted(at, b.start)]
+    # where the ids begin: the bytes of the ids before them, of all texts, less those of the texts before theirs
+    width = m.widths()[ids]
+    begins = np.append(0, np.cumsum(width))[:-1] - np.repeat(byte[b.start[:-1]], np.diff(before))
     m.trim()
-    return ids, before, cut
+    return ids, before, begins
 
 
-def encode(df: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row ``(key, ids)`` for each row of ``df``.
+def encode(df: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text", offsets: bool = False) -> DataFrame:
+    """One row ``(key, ids)``, with ``offsets`` also ``(begins)``, for each row of ``df``.
 
     Null and empty texts give an empty list; blank text is text. No special token is produced, their
-    spellings are ordinary text. Repeated rows stay repeated; other columns of ``df`` are not read.
-    No shuffle: the cost is one pass over the text column.
+    spellings are ordinary text. ``begins`` holds the byte of the UTF-8 text at which each id begins, from which
+    any slice of the ids can be traced to its place and decoded. Repeated rows stay repeated; other columns of
+    ``df`` are not read. No shuffle: the cost is one pass over the text column. The vocabulary is read once here
+    and sent along, so that executors need no copy of the file.
     """
     source = df.select(field(key).alias("_key"), field(text).cast("string").alias("_text"))
-    schema = T.StructType([T.StructField(key, source.schema["_key"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
+    numbers = T.ArrayType(T.IntegerType(), False)
+    schema = T.StructType([T.StructField(key, source.schema["_key"].dataType), T.StructField("ids", numbers), *([T.StructField("begins", numbers)] if offsets else [])])
+    sent = df.sparkSession.sparkContext.broadcast(_bytes(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = merger(vocabulary)
+        m = merger(vocabulary, sent.value)
         for batch in batches:
             keys = batch.column(0)
             for b in blocks(batch.column(1)):
-                ids, before, _ = encode_block(b, m)
-                lists = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([keys.slice(int(b.rows[0]), len(b.rows)), lists], names=[key, "ids"])
+                ids, before, begins = encode_block(b, m)
+                lists = [pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(x, pa.int32())) for x in ((ids, begins) if offsets else (ids,))]
+                yield pa.RecordBatch.from_arrays([keys.slice(int(b.rows[0]), len(b.rows)), *lists], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
