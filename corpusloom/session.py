@@ -35,15 +35,23 @@ def field(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder, so that lost executors cost nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all machines share; a temporary one only where a single
+    process runs everything (a test)."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return tempfile.mkdtemp(prefix="corpusloom-shared-")
+
 
-    The folder comes from ``spark.checkpoint.dir``; only a session without it (a test) gets its own.
-    """
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared checkpoint folder, so that lost executors cost nothing."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
