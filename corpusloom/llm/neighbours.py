@@ -123,7 +123,8 @@ def valid_vectors(df: DataFrame, *, key: str = "chunk_id", model: str = "model_n
     said = rows.groupBy("_model", F.coalesce(F.col("_d"), length).alias("_size")).agg(F.count("_d").alias("_c"), F.count(F.lit(1)).alias("_n")).filter("_size is not null")
     sizes = said.groupBy("_model").agg(F.max(F.struct("_c", "_n", "_size")).alias("_m")).select(F.col("_model").alias("_sm"), F.col("_m._size").alias("_size"))
     last = rows.filter("_key is not null and _model is not null").groupBy("_model", "_key").agg(F.max(F.struct("_v", "_vector")).alias("_m")).select("_model", "_key", F.col("_m._vector").alias("_vector"))
-    ok = last.join(sizes, F.col("_model").eqNullSafe(F.col("_sm"))).filter(F.size("_vector") == F.col("_size"))
+    # a row for each embedding model, so that the vectors need not be brought together by model
+    ok = last.join(F.broadcast(sizes), F.col("_model").eqNullSafe(F.col("_sm"))).filter(F.size("_vector") == F.col("_size"))
     finite = F.forall("_vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return ok.filter(finite & F.exists("_vector", lambda x: x != 0)).select("_model", "_key", "_vector")
 
@@ -295,7 +296,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 def class_neighbours(classes: DataFrame, *, k: int = 5, min_cosine: float | None = None, queries: DataFrame | None = None, p: float = 0.99, leaf_rows: int = 16_384, sample_rows: int = 20_000) -> DataFrame:
     """(_model, _q, _p, _cos, _rank): the k most similar other classes of each class of directions.
 
-    ``classes`` has (_model, _class, _unit) and must be materialised. With ``min_cosine`` only pairs at
+    ``classes`` has (_model, _class, _unit) and must be cheap to read again. With ``min_cosine`` only pairs at
     least that similar count, and one round with that distance suffices. Without it a first round in the
     home leaf gives each query the distance to beat. ``p`` is the probability of the chi-square test that a
     neighbour at the distance to beat is not missed; nearer ones are missed less. The tree is fitted on at
@@ -323,16 +324,18 @@ def class_neighbours(classes: DataFrame, *, k: int = 5, min_cosine: float | None
     return _best(near.drop("_rank").unionByName(_search(classes, asked, trees, k, p, "away")), k)
 
 
-def _prepared(vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members (_model, _class, _key) of all classes of directions, classes (_model, _class, _unit) and the sizes
-    (_model, _class, _n) of those of several members. Only keys travel to find the copies; the vectors themselves
-    only if the copies are too many for Spark to send them to all."""
+def _prepared(vectors: DataFrame, few: int = 100_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (_model, _class, _key) of all classes of directions, classes (_model, _class, _unit) and the members
+    of those of several (_model, _class, _key, _n). Only keys travel to find the copies; up to ``few`` of them, by
+    count, are then sent to all, so that the vectors stay where they are."""
     units = materialize(_units(vectors))
     members = units.select("_model", "_class", "_key")
-    several = materialize(members.groupBy("_model", "_class").agg(F.count(F.lit(1)).alias("_n"), F.min("_key").alias("_first")).filter("_n > 1"))
-    copies = members.join(several, ["_model", "_class"]).filter(F.col("_key") != F.col("_first")).select("_model", "_key")
+    several = members.groupBy("_model", "_class").agg(F.count(F.lit(1)).alias("_n"), F.min("_key").alias("_first")).filter("_n > 1")
+    shared = materialize(members.join(several, ["_model", "_class"]))
+    copies = shared.filter(F.col("_key") != F.col("_first")).select("_model", "_key")
+    copies = F.broadcast(copies) if copies.count() <= few else copies
     classes = units.join(copies, ["_model", "_key"], "left_anti").select("_model", "_class", "_unit")
-    return members, materialize(classes), several.select("_model", "_class", "_n")
+    return members, classes, shared.drop("_first")
 
 
 def neighbours(vectors: DataFrame, *, k: int = 5, min_cosine: float | None = None, queries: DataFrame | None = None, p: float = 0.99, bucket: int = 10_000) -> DataFrame:
@@ -343,7 +346,8 @@ def neighbours(vectors: DataFrame, *, k: int = 5, min_cosine: float | None = Non
     to k + 1, and k of a larger one, which are all as near: those next to it in the order of keys (within blocks of
     about ``bucket`` keys). Ties between classes go to the smaller class hash, then key.
     """
-    members, classes, several = _prepared(vectors)
+    members, classes, shared = _prepared(vectors)
+    several = shared.select("_model", "_class", "_n").distinct()
     asked_members = members if queries is None else members.join(queries.distinct(), ["_model", "_key"], "left_semi")
     asked = None if queries is None else classes.join(asked_members.select("_model", "_class").distinct(), ["_model", "_class"], "left_semi").select("_model", "_class", "_unit")
     found = class_neighbours(classes, k=k, min_cosine=min_cosine, queries=asked, p=p)
@@ -360,7 +364,7 @@ def neighbours(vectors: DataFrame, *, k: int = 5, min_cosine: float | None = Non
     away = room.join(first.select("_model", F.col("_class").alias("_p"), F.col("_key").alias("_other"), "_at"), ["_model", "_p"]).filter(F.col("_at") <= F.col("_room"))
     away = away.join(asked_members.select("_model", F.col("_class").alias("_q"), "_key"), ["_model", "_q"]).select("_model", "_key", "_other", "_cos")
     # the own class
-    own = members.join(several, ["_model", "_class"]).withColumn("_b", F.pmod(F.xxhash64("_key"), F.ceil(F.col("_n") / bucket)))
+    own = shared.withColumn("_b", F.pmod(F.xxhash64("_key"), F.ceil(F.col("_n") / bucket)))
     w = Window.partitionBy("_model", "_class", "_b").orderBy("_key")
     near = F.slice(F.array_compact(F.array(*[F.lead("_key", i).over(w) for i in range(1, k + 1)], *[F.lag("_key", i).over(w) for i in range(1, k + 1)])), 1, k)
     near = own.withColumn("_near", near).select("_model", "_key", F.explode("_near").alias("_other"))
