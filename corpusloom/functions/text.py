@@ -189,7 +189,8 @@ def is_basmala(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, "[ \t\n\r\f\x0b ]+", " "))
+    """White space of any kind single, and none at the ends."""
+    return F.trim(F.regexp_replace(c, f"[{BLANK_CLASS}]+", " "))
 
 
 def clean_value(c: Column) -> Column:

@@ -92,10 +92,28 @@ def _quote(question: str, context: list[tuple[int, str]]) -> str:
 
 
 def parse_citation(c: Column) -> Column:
-    """A struct (kind, first, second) of ``chapter:verse`` or ``collection #number``; null for others."""
-    verse, item = "^([0-9]+):([0-9]+)", "^(.+) #([0-9]+)$"
+    """A struct (kind, first, second) of ``chapter:verse``, ``collection #number`` or ``book, p. page``; null for
+    others."""
+    verse, item, page = "^([0-9]+):([0-9]+)", "^(.+) #([0-9]+)$", "^(.+), p\\. ([0-9]+)$"
 
     def parts(kind: str, pattern: str) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.regexp_extract(c, pattern, 1).alias("first"), F.regexp_extract(c, pattern, 2).cast("int").alias("second"))
 
-    return F.when(c.rlike(verse), parts("verse", verse)).when(c.rlike(item), parts("item", item))
+    return F.when(c.rlike(verse), parts("verse", verse)).when(c.rlike(item), parts("item", item)).when(c.rlike(page), parts("page", page))
+
+
+def rehydrate(hits: DataFrame, records: DataFrame, on: str, fields: list[str]) -> DataFrame:
+    """Hits with each field as the stored record has it, or as the hit says where there is no record."""
+    stored = records.select(F.col(on).alias("_on"), *[F.col(f).alias(f"_{f}") for f in fields])
+    out = hits.join(stored, hits[on] == F.col("_on"), "left")
+    return out.select(*[F.coalesce(F.col(f"_{c}"), hits[c]).alias(c) if c in fields else hits[c] for c in hits.columns])
+
+
+@dataclass(frozen=True)
+class Backend:
+    """Where an answer's passages come from: any function from question and limit to (chunk_id, score, text)."""
+
+    search: Callable[[str, int], DataFrame]
+
+    def retrieve(self, question: str, config: AnswerConfig = AnswerConfig()) -> DataFrame:
+        return retrieve(self.search(question, config.k), config)

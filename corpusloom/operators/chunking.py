@@ -98,6 +98,33 @@ def build_chunks(units: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataF
     return made.withColumn("chunk_id", chunk_id(F.col("source"), F.col("chapter_no"), F.col("section_no"), F.col("page_start"), F.col("chunk_index")))
 
 
+def units_of_blocks(blocks: DataFrame, normalized: DataFrame | None = None) -> DataFrame:
+    """Paragraph rows of blocks ``(source, block_id, type, chapter_no, section_no, page, sequence, text, language)``.
+
+    Only paragraphs are chunked. With ``normalized`` (block_id, normalized_text) a block's normalised text takes
+    the place of its own, and ``is_normalized`` says so. Sequences count within a page, so both order the book.
+    """
+    from corpusloom.functions.text import token_estimate
+
+    rows = blocks.filter("type = 'paragraph'")
+    if normalized is not None:
+        rows = rows.join(normalized.select("block_id", "normalized_text"), "block_id", "left")
+    else:
+        rows = rows.withColumn("normalized_text", F.lit(None).cast("string"))
+    text = F.coalesce("normalized_text", "text")
+    order = F.coalesce(F.col("page"), F.lit(0)).cast("long") * 1_000_000 + F.col("sequence")
+    return rows.select("source", "block_id", "chapter_no", "section_no", "page", order.alias("sequence"), text.alias("text"), token_estimate(text, F.col("language")).alias("tokens"), F.col("normalized_text").isNotNull().alias("is_normalized"))
+
+
+def with_places(chunks: DataFrame, chapters: DataFrame, sections: DataFrame) -> DataFrame:
+    """Chunks with the ids of their chapter and section: by number of the chapter in the book, and of the section in
+    that chapter; unknown numbers have none."""
+    c = chapters.select("source", "chapter_no", "chapter_id").distinct()
+    out = chunks.join(c, ["source", "chapter_no"], "left")
+    s = sections.select("source", "chapter_no", "section_no", "section_id").distinct()
+    return out.join(s, ["source", "chapter_no", "section_no"], "left")
+
+
 def paragraphs(df: DataFrame, *, source: str, text: str, language: str, page: str | None = None) -> DataFrame:
     """Paragraph rows of whole texts: the lines that are not blank, in order."""
     from corpusloom.functions.text import token_estimate

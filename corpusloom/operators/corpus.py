@@ -135,6 +135,18 @@ def recognise(pages: DataFrame, engine: Callable[[], Callable[[str, int], tuple[
     return done.withColumn("status", status).withColumn("notes", F.when(F.col("error").isNull(), F.concat_ws("; ", notes)))
 
 
+def word_confidence(words: DataFrame, key: list[str]) -> DataFrame:
+    """Mean confidence of the words ``(word, confidence)`` of each key that say something: blank words and negative
+    confidences do not count, and a key without any other has none."""
+    good = (tx.strip(F.coalesce("word", F.lit(""))) != "") & (F.col("confidence") >= 0)
+    return words.groupBy(*key).agg(F.avg(F.when(good, F.col("confidence"))).alias("confidence"))
+
+
+def batch(df: DataFrame, limit: int | None, by: str = "created_at", key: str = "id") -> DataFrame:
+    """The oldest ``limit`` sources, or all."""
+    return df if limit is None else df.orderBy(by, key).limit(limit)
+
+
 def ocr_rollup(pages: DataFrame) -> DataFrame:
     return pages.groupBy("file").agg(F.count_if(F.col("status") == "ok").alias("ocr"), F.count_if(F.col("status") == "review").alias("review"), F.count_if(F.col("status") == "failed").alias("failed"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
 
@@ -251,7 +263,7 @@ def year_facts(pages: DataFrame, key: str = "file") -> DataFrame:
     is_hijri = (hijri != "") & hijri.try_cast("int").between(100, 1699)
     sure = F.when(is_hijri, F.concat(hijri, F.lit(" (AH)"))).when((plain != "") & line.rlike("|".join(YEAR_WORDS)), plain)
     rows = rows.withColumn("_sure", sure).withColumn("_plain", F.when(plain != "", plain)).filter("_sure is not null or _plain is not null")
-    best = F.min_by(F.struct(F.coalesce("_sure", "_plain").alias("value"), F.when(F.col("_sure").isNotNull(), "high").otherwise("medium").alias("confidence")), F.struct(F.col("_sure").isNull(), "page", "at"))
+    best = F.min_by(F.struct(F.coalesce("_sure", "_plain").alias("value"), F.when(F.col("_sure").isNotNull(), "high").otherwise("medium").alias("confidence")), F.struct(F.col("_sure").isNull(), "page", "at", F.coalesce("_sure", "_plain")))
     return rows.groupBy(key).agg(best.alias("b")).select(key, F.lit("publication_year").alias("field"), "b.*")
 
 

@@ -140,42 +140,72 @@ def term_rank(q: Query) -> Column:
     return F.size(F.filter("tokens", lambda t: t.isin(*q.words))) * F.lit(0.1)
 
 
+def events_of(q: Query) -> Column:
+    """The words of the query in ``tokens``, with their places from 1 on."""
+    return F.filter(F.transform("tokens", lambda t, i: F.struct((i + 1).alias("pos"), t.alias("term"))), lambda e: e["term"].isin(*q.words))
+
+
+def _follows(phrase: tuple[str, ...], events: Column, n: Column) -> Column:
+    """Whether the events up to the n-th end in the phrase, its words one behind the other."""
+    size = len(phrase)
+    if size == 1:
+        return F.get(events, n - 1)["term"] == phrase[0]
+    part = F.slice(events, F.greatest(n - size + 1, F.lit(1)), F.lit(size))
+    near = F.get(events, n - 1)["pos"] - F.get(events, n - size)["pos"] == size - 1
+    return (n >= size) & near & (F.transform(part, lambda e: e["term"]) == F.array(*map(F.lit, phrase)))
+
+
+def matches_at(q: Query) -> Column:
+    """The condition on ``events``; excluded words are not among these."""
+    events = F.col("events")
+
+    def has(term: str) -> Column:
+        return F.exists(events, lambda e: e["term"] == term)
+
+    parts = [F.exists(F.sequence(F.lit(1), F.size(events)), lambda n: _follows(p, events, n)) for p in q.phrases]
+    if q.terms:
+        parts.append(_any([_all([has(t) for t in g]) for g in q.groups]) if q.every else _any([has(t) for t in dict.fromkeys(q.terms)]))
+    return _all(parts)
+
+
 def cover_rank(q: Query) -> Column:
+    """``cover_rank_at`` of the words in ``tokens``."""
+    return cover_rank_at(q, events_of(q))
+
+
+def cover_rank_at(q: Query, events: Column | None = None) -> Column:
     """Cover density: every shortest stretch that fulfils the query adds 0.1 over one plus its other words.
 
     Terms that are alternatives are one slot, each phrase is one, and with ``every`` each term. Of the
     alternatives of ``every`` only stretches with all terms count. A stretch begins after the one before it.
     """
+    events = F.col("events") if events is None else events
     slots: list[tuple[str, ...] | frozenset[str]] = [*q.phrases]
     slots += [frozenset([t]) for t in dict.fromkeys(q.terms)] if q.every and len(q.groups) <= 1 else ([frozenset(q.terms)] if q.terms else [])
     if not slots:
         return F.lit(0.0)
     if len(slots) == 1 and isinstance(slots[0], frozenset):
-        return term_rank(q)
-    words, k, none = q.words, len(slots), F.lit(0)
-    zero = F.struct(F.array_repeat(none, k).alias("last"), F.array_repeat(none, k).alias("nth"), none.alias("start"), none.alias("i"), none.alias("n"), F.lit(0.0).alias("rank"))
-
-    def step(acc: Column, token: Column) -> Column:
-        i = acc["i"] + 1
-        n = acc["n"] + token.isin(*words).cast("int")
-        last, nth, event = [], [], F.lit(False)
+        return F.size(events) * F.lit(0.1)
+    k, none = len(slots), F.lit(0)
+    zero = F.struct(F.array_repeat(none, k).alias("last"), F.array_repeat(none, k).alias("nth"), none.alias("start"), none.alias("n"), F.lit(0.0).alias("rank"))
+
+    def step(acc: Column, event: Column) -> Column:
+        i, n = event["pos"], acc["n"] + 1
+        last, nth, new_one = [], [], F.lit(False)
         for at, slot in enumerate(slots):
-            if isinstance(slot, frozenset):
-                here, size = token.isin(*slot), 1
-            else:
-                size = len(slot)
-                here = (token == slot[-1]) & (i >= size) & (F.slice(F.col("tokens"), F.greatest(i - size + 1, F.lit(1)), F.lit(size)) == F.array(*map(F.lit, slot)))
-            event = event | here
+            size = 1 if isinstance(slot, frozenset) else len(slot)
+            here = event["term"].isin(*slot) if isinstance(slot, frozenset) else _follows(slot, events, n)
+            new_one = new_one | here
             last.append(F.when(here, i - size + 1).otherwise(acc["last"][at]))
             nth.append(F.when(here, n - size + 1).otherwise(acc["nth"][at]))
         last, nth = F.array(*last), F.array(*nth)
         start = F.array_min(last)
-        new = event & (start > acc["start"])
+        new = new_one & (start > acc["start"])
         noise = (i - start) - (n - F.array_min(nth))
         gain = F.when(new, F.lit(0.1) / (1 + noise)).otherwise(F.lit(0.0))
-        return F.struct(last.alias("last"), nth.alias("nth"), F.when(new, start).otherwise(acc["start"]).alias("start"), i.alias("i"), n.alias("n"), (acc["rank"] + gain).alias("rank"))
+        return F.struct(last.alias("last"), nth.alias("nth"), F.when(new, start).otherwise(acc["start"]).alias("start"), n.alias("n"), (acc["rank"] + gain).alias("rank"))
 
-    return F.aggregate("tokens", zero, step)["rank"]
+    return F.aggregate(events, zero, step)["rank"]
 
 
 def excerpt(text: Column, terms: list[str], before: int = 90, after: int = 180) -> Column:

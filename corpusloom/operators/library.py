@@ -107,6 +107,42 @@ def snippet(text: Column, terms: list[str], words: int = 24) -> Column:
     return F.regexp_replace(F.array_join(F.slice(parts, start + 1, F.lit(words)), " "), pattern, "<mark>$1</mark>")
 
 
+def merged_hits(hits: DataFrame, query: str, limit: int, *, rank: str = "rank", domain: str = "domain", key: str = "hit_id") -> DataFrame:
+    """The best hits of each query over all domains, numbered: by rank as it is, then domain and key."""
+    w = Window.partitionBy(query).orderBy(F.desc(rank), domain, key)
+    return hits.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit)
+
+
+def terms_of(query: str) -> list[str]:
+    """The distinct words of a query as typed, lower-cased."""
+    return list(dict.fromkeys(query.strip().lower().split()))
+
+
+def all_terms(haystack: Column, terms: list[str]) -> Column:
+    """Whether every term stands in the text, whatever the case."""
+    return F.forall(F.array(*map(F.lit, terms)), lambda t: F.contains(F.lower(haystack), t))
+
+
+def book_score(title: Column, author: Column, description: Column, terms: list[str]) -> Column:
+    """30 for any term in the title, 20 and 10 for the first one in author and description, and one for each term."""
+    def low(c: Column) -> Column:
+        return F.lower(F.coalesce(c, F.lit("")))
+
+    first = terms[0] if terms else ""
+    some = F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(low(title), t))
+    return F.when(some, 30).otherwise(0) + F.when(F.contains(low(author), F.lit(first)), 20).otherwise(0) + F.when(F.contains(low(description), F.lit(first)), 10).otherwise(0) + len(terms)
+
+
+def chapter_score(chapter: Column, terms: list[str]) -> Column:
+    """14 for any term in the chapter's title, 8 where only the book's has them."""
+    return F.when(F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(F.lower(chapter), t)), 14).otherwise(8)
+
+
+def page_score(page: Column) -> Column:
+    """6, and one more for the first two pages."""
+    return F.when(page <= 2, 7).otherwise(6)
+
+
 def sort_mode(mode: str) -> list[Column]:
     """Orders of a book list; each ends in the id."""
     first = {"recent": F.desc("updated_at"), "title": F.lower(F.col("title")), "pages": F.desc_nulls_last("page_count")}
@@ -140,6 +176,11 @@ def review_blocks(blocks: DataFrame, decisions: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("action") == "approve", "published").when(F.col("action") == "reject", "quarantined").otherwise(F.col("status"))).drop("action")
 
 
+def linked(left: DataFrame, links: DataFrame, right: DataFrame, on_left: str, on_right: str) -> DataFrame:
+    """Both sides of a many-to-many relation, a row for each distinct link."""
+    return left.join(links.select(on_left, on_right).distinct(), on_left).join(right, on_right)
+
+
 def stage_report(df: DataFrame, stage: str, key: str) -> DataFrame:
     """``(key, stage, report, summary)``: the row as JSON and as one line of text."""
     names = [c for c in df.columns if c != key]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import importlib
 import math
 import time
 from collections.abc import Callable, Iterator
@@ -50,6 +51,21 @@ PROVIDERS: dict[str, Callable[[int], Callable[[list[str]], list[list[float]]]]]
 }
 
 
+def provider_of(name: str) -> Callable[[int], Callable[[list[str]], list[list[float]]]]:
+    """A registered provider, or the one at ``package.module:name``: from a number of dimensions to a function from
+    texts to vectors (a class with ``embed``, or a plain function)."""
+    if name in PROVIDERS:
+        return PROVIDERS[name]
+    module, colon, attribute = name.partition(":")
+    if not colon:
+        raise ValueError(f"unknown provider {name!r}: one of {sorted(PROVIDERS)} or package.module:name")
+    try:
+        made = getattr(importlib.import_module(module), attribute)
+    except (ImportError, AttributeError) as e:
+        raise ValueError(f"the provider {name!r} cannot be loaded: {e}") from e
+    return lambda dimensions: made().embed if isinstance(made, type) else made(dimensions)
+
+
 def with_retry(call: Callable[[list[str]], list[list[float]]], retries: int = 3, base: float = 0.5, sleep: Callable[[float], None] = time.sleep) -> Callable[[list[str]], list[list[float]]]:
     """Repeats a failing call after pauses that double."""
     def run(texts: list[str]) -> list[list[float]]:
@@ -67,7 +83,7 @@ def with_retry(call: Callable[[list[str]], list[list[float]]], retries: int = 3,
 
 def embed(df: DataFrame, *, text: str, provider: str = "hashing", dimensions: int = 64, batch: int = 64, column: str = "vector") -> DataFrame:
     """Adds vectors, ``batch`` texts a call; a vector of another size fails the job as a whole."""
-    make = PROVIDERS[provider]
+    make = provider_of(provider)
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

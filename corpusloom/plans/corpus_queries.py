@@ -9,7 +9,7 @@ from corpusloom.functions import text as tx
 from corpusloom.operators import chunking, corpus, operations
 from corpusloom.plans.registry import query
 from corpusloom.plans.retrieval_queries import CHUNKS, chunks
-from corpusloom.plans.text_queries import LETTERS, VISIBLE
+from corpusloom.plans.text_queries import ENDS, LETTERS, LINE_BREAK, SPACES, STRIP, VISIBLE
 from corpusloom.session import table
 
 _EXT = "CASE doc_id % 5 WHEN 0 THEN 'PDF' WHEN 1 THEN 'txt' WHEN 2 THEN 'htm' WHEN 3 THEN 'xyz' ELSE 'md' END"
@@ -118,14 +118,45 @@ def author_dimension(spark, sf):
     return corpus.get_or_create(spark.createDataFrame([], "id string, name string"), names)
 
 
-@query()
+_MARKERS = {"author": "تأليف|تألیف|تاليف|تالیف|المؤلف|المولف|by", "editor": "تحقيق|تحقیق|المحقق|تصحيح|تصحیح|مصحح|المصحح|edited by", "translator": "ترجمة|ترجمه|مترجم|المترجم|translated by", "publisher": "مطبعة|مطبعه|المطبعة|دار|مكتبة|مکتبة|ناشر|پریس|لرتب|publisher", "edition": "الطبعة|الطبعه"}
+_ALL_LINES = f"(SELECT file, page, CAST(i - 1 AS INTEGER) AS pos, list_transform(a, lambda x: {STRIP.format('x')}) AS lines, {STRIP.format('a[i]')} AS line, a[i] AS raw FROM (SELECT file, page, regexp_split_to_array(text, '{LINE_BREAK}') AS a FROM {_PAGES} WHERE text IS NOT NULL), LATERAL (SELECT unnest(range(1, len(a) + 1)) AS i))"
+
+
+def _clean(c: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(regexp_replace({c}, '^[{ENDS}\\-–—]+', ''), '[{ENDS}\\-]+$', ''), '[{SPACES}]+', ' ', 'g'))"
+
+
+def _value(field: str, markers: str) -> str:
+    if field == "edition":
+        return _clean("line")
+    after = f"list_filter(lines[pos + 2 : pos + 4], lambda x: x <> '')[1]"
+    rest = _clean(f"regexp_replace(line, '^({markers})', '')")
+    return f"coalesce(nullif({rest}, ''), {_clean(after)}, '')"
+
+
+_MARKED = "(SELECT file, page, pos, line, CASE " + " ".join(f"WHEN regexp_matches(line, '^({m})($|[^\\p{{L}}\\p{{N}}])') AND {_value(f, m)} <> '' THEN '{f}'" for f, m in _MARKERS.items()) + " END AS field, CASE " + " ".join(f"WHEN regexp_matches(line, '^({m})($|[^\\p{{L}}\\p{{N}}])') AND {_value(f, m)} <> '' THEN {_value(f, m)}" for f, m in _MARKERS.items()) + f" END AS value FROM {_ALL_LINES})"
+
+
+@query(f"SELECT file, page, pos AS \"at\", field, value, 'high' AS confidence FROM {_MARKED} WHERE field IS NOT NULL")
 def marked_facts(spark, sf):
     return corpus.marked_facts(_pages(spark, sf))
 
 
-@query()
+_ASCII = "translate({0}, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789')"
+_PLAIN = "(^|[^0-9])(1[2-9][0-9][0-9]|2[0-9][0-9][0-9])($|[^0-9])"
+_ISBN = f"(?i)ISBN[{SPACES}]*[:：]?[{SPACES}]*([0-9][0-9Xx\\-–—{SPACES}]{{8,16}})"
+
+
+@query(f"""WITH y AS (SELECT file, page, pos, line, regexp_extract(line, '([0-9]{{3,4}})[{SPACES}]*[هھ]', 1) AS h, regexp_extract(line, '{_PLAIN}', 2) AS p FROM (SELECT file, page, pos, {_ASCII.format('line')} AS line FROM {_ALL_LINES})),
+    s AS (SELECT file, page, pos, CASE WHEN h <> '' AND CAST(h AS INTEGER) BETWEEN 100 AND 1699 THEN h || ' (AH)' WHEN p <> '' AND regexp_matches(line, 'هجری|هجري|قمری|قمرے|سنة|سنه|سال|ھ|هـ') THEN p END AS sure, nullif(p, '') AS plain FROM y),
+    years AS (SELECT file, arg_min(coalesce(sure, plain), (sure IS NULL, page, pos, coalesce(sure, plain))) AS value, arg_min(CASE WHEN sure IS NOT NULL THEN 'high' ELSE 'medium' END, (sure IS NULL, page, pos, coalesce(sure, plain))) AS confidence FROM s WHERE (sure IS NOT NULL OR plain IS NOT NULL) AND page IS NOT NULL GROUP BY file),
+    m AS (SELECT file, page, text, list_filter(list_transform(regexp_split_to_array(text, '{LINE_BREAK}'), lambda x: regexp_replace(regexp_extract(x, '{_ISBN}', 1), '[^0-9Xx]', '', 'g')), lambda v: length(v) IN (10, 13))[1] AS marked, regexp_extract({_ASCII.format('text')}, '(^|[^0-9])(97[89][0-9]{{10}})($|[^0-9])', 2) AS bare FROM {_PAGES}),
+    books AS (SELECT file, arg_min(coalesce(marked, nullif(bare, '')), (page, coalesce(marked, nullif(bare, '')))) AS value FROM m WHERE coalesce(marked, nullif(bare, '')) IS NOT NULL AND page IS NOT NULL GROUP BY file),
+    titles AS (SELECT file, line AS value FROM (SELECT file, line, row_number() OVER (PARTITION BY file ORDER BY page, length(line) DESC, lower(line) DESC, pos, line DESC) AS k FROM {_MARKED} WHERE field IS NULL AND length(line) BETWEEN 3 AND 250 AND NOT regexp_matches(line, '^[0-9٠-٩۰-۹]{{1,4}}$')
+        AND NOT (starts_with(lower(line), 'بسم') OR starts_with(lower(line), 'بِسْم') OR starts_with(lower(line), 'بسملہ') OR lower(line) = 'الرحمن الرحيم' OR contains(lower(line), 'بِسْمِ اللَّهِ')) AND page IS NOT NULL) WHERE k = 1)
+    SELECT file, 'publication_year' AS field, value, confidence FROM years UNION ALL SELECT file, 'isbn', value, 'high' FROM books UNION ALL SELECT file, 'title', value, 'medium' FROM titles""")
 def page_facts(spark, sf):
-    p = _pages(spark, sf)
+    p = _pages(spark, sf).filter("page is not null")
     return corpus.year_facts(p).unionByName(corpus.isbn_facts(p)).unionByName(corpus.title_guess(p))
 
 
@@ -150,13 +181,27 @@ def seed_conflicts(spark, sf):
     return corpus.seed(docs.filter("doc_id % 2 = 0"), changed, ["doc_id"], "text").select("doc_id", "action")
 
 
-@query()
+def _chunks_sql(most: int, overlap: int) -> str:
+    """A chunk is a range of paragraphs; the walk keeps where the open one begins."""
+    return f"""WITH RECURSIVE l AS (SELECT doc_id, lang, page_number, i, string_split(text, chr(10))[i] AS line FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i) WHERE text IS NOT NULL),
+    w AS (SELECT CAST(doc_id AS VARCHAR) AS source, page_number AS page, doc_id || '-' || i AS block_id, CAST(greatest(1, ceil(length(line) / CASE WHEN lang IN ('ar', 'ur') THEN 3.0 ELSE 4.0 END)) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l WHERE trim(line) <> ''),
+    u AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY k) AS run, sum(tokens) OVER (PARTITION BY source ORDER BY k) - tokens AS before FROM w),
+    s AS (SELECT source, k, CAST(1 AS BIGINT) AS start, CAST(0 AS BIGINT) AS c FROM u WHERE k = 1 UNION ALL
+        SELECT x.source, x.k, CASE WHEN NOT x.full THEN x.start WHEN x.tokens > {most} THEN x.k ELSE coalesce(CASE WHEN x.tail IS NOT NULL AND x.run - t.before + 2 * (x.k - t.k) <= {most} THEN t.k END, x.k) END, CASE WHEN x.full THEN x.c + 1 ELSE x.c END
+        FROM (SELECT u.source, u.k, u.tokens, u.run, s.start, s.c, (u.tokens > {most} OR u.before - b.before + 2 * (s.k - s.start) + u.tokens + 2 > {most}) AS full, (SELECT min(v.k) FROM u v WHERE v.source = u.source AND v.k >= s.start AND v.k < u.k AND u.before - v.before <= {overlap}) AS tail
+            FROM s JOIN u ON u.source = s.source AND u.k = s.k + 1 JOIN u b ON b.source = s.source AND b.k = s.start) x LEFT JOIN u t ON t.source = x.source AND t.k = x.tail),
+    r AS (SELECT source, c, min(start) AS start, max(k) AS stop FROM s GROUP BY ALL)
+    SELECT r.source, CAST(NULL AS INTEGER) AS chapter_no, CAST(NULL AS INTEGER) AS section_no, min(u.page) AS page_start, max(u.page) AS page_end, CAST(sum(u.tokens) + 2 * (count(*) - 1) AS BIGINT) AS token_count, list(u.block_id ORDER BY u.k) AS block_ids, r.c AS chunk_index,
+        sha256(r.source || ':0:0:' || coalesce(min(u.page), 0) || ':' || r.c) AS chunk_id FROM r JOIN u ON u.source = r.source AND u.k BETWEEN r.start AND r.stop GROUP BY r.source, r.c"""
+
+
+@query(_chunks_sql(256, 0))
 def chunk_greedy(spark, sf):
     units = chunking.paragraphs(table(spark, sf, "documents"), source="doc_id", text="text", language="lang", page="page_number")
     return chunking.build_chunks(units, chunking.ChunkConfig(256, 0)).drop("text")
 
 
-@query()
+@query(_chunks_sql(256, 64))
 def chunk_overlap(spark, sf):
     units = chunking.paragraphs(table(spark, sf, "documents"), source="doc_id", text="text", language="lang", page="page_number")
     return chunking.build_chunks(units, chunking.ChunkConfig(256, 64)).drop("text")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import corpus, fulltext, library, structure, vectors
-from corpusloom.plans.corpus_queries import _pages
+from corpusloom.plans.corpus_queries import _PAGES, _pages
 from corpusloom.plans.registry import query
 from corpusloom.plans.retrieval_queries import _DOCS, _docs, _hit
+from corpusloom.plans.text_queries import SPACES
 from corpusloom.session import table
 
 _HITS = "(SELECT DISTINCT hit_id, domain, rank, language, author, category, book_id, source_file_id, page FROM search_hits)"
@@ -37,7 +38,13 @@ def citation_urls(spark, sf):
     return _hits(spark, sf).select("hit_id", library.book_link(F.col("book_id"), F.col("page")).alias("link"))
 
 
-@query()
+_MARK = r"regexp_replace({0}, '(?i)(^|[^\p{{L}}\p{{N}}>])(treasurer|lamps)($|[^\p{{L}}\p{{N}}<])', '\1<mark>\2</mark>\3', 'g')"
+
+
+@query(f"""WITH p AS (SELECT doc_id, string_split(trim(regexp_replace(text, '[{SPACES}]+', ' ', 'g')), ' ') AS w FROM {_DOCS} WHERE {_hit('treasurer')} OR {_hit('lamps')}),
+    f AS (SELECT doc_id, w, coalesce(list_min(list_filter(range(1, len(w) + 1), lambda i: regexp_matches(w[i], '(?i)(^|[^\\p{{L}}\\p{{N}}])(treasurer|lamps)($|[^\\p{{L}}\\p{{N}}])'))) - 1, 0) AS spot FROM p),
+    s AS (SELECT doc_id, array_to_string(w[greatest(0, spot - 8) + 1 : greatest(0, spot - 8) + 24], ' ') AS t FROM f)
+    SELECT doc_id, {_MARK.format(_MARK.format('t'))} AS snippet FROM s""")
 def snippets(spark, sf):
     q = fulltext.parse_query("treasurer lamps")
     return fulltext.matching(_docs(spark, sf), q, F.col("text")).select("doc_id", library.snippet(F.col("text"), ["treasurer", "lamps"]).alias("snippet"))
@@ -80,7 +87,11 @@ def embed_counters(spark, sf):
     return vectors.embedding_plan(now, old).groupBy("action").agg(n.alias("n"), F.ceil(n / 64).cast("long").alias("batches"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT file, length(coalesce(text, '')) AS n, coalesce(has_images, false) AS images FROM {_PAGES}),
+    r AS (SELECT file, count(*) AS pages, count(*) FILTER (n >= 30) AS text_pages, count(*) FILTER (n < 30 AND images) AS scanned_pages, count(*) FILTER (n = 0 AND NOT images) AS blank_pages, 0 AS unreadable_pages, CAST(sum(n) AS BIGINT) AS chars FROM p GROUP BY file),
+    k AS (SELECT *, CASE WHEN scanned_pages >= 0.8 * pages OR text_pages = 0 THEN 'scanned' WHEN text_pages >= 0.95 * pages AND scanned_pages <= 0.02 * pages THEN 'text' ELSE 'mixed' END AS kind FROM r)
+    SELECT file, 'inspect' AS stage, printf('{{"pages":%d,"text_pages":%d,"scanned_pages":%d,"blank_pages":%d,"unreadable_pages":%d,"chars":%d,"kind":"%s"}}', pages, text_pages, scanned_pages, blank_pages, unreadable_pages, chars, kind) AS report,
+    printf('inspect: pages: %d, text_pages: %d, scanned_pages: %d, blank_pages: %d, unreadable_pages: %d, chars: %d, kind: %s', pages, text_pages, scanned_pages, blank_pages, unreadable_pages, chars, kind) AS summary FROM k""")
 def inspect_reports(spark, sf):
     return library.stage_report(corpus.inspect_pages(_pages(spark, sf)), "inspect", "file")
 

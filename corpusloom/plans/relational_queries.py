@@ -65,9 +65,11 @@ def distinct_extra(spark, sf):
     return table(spark, sf, "part").groupBy("p_brand").agg(F.countDistinct("p_type").alias("types"), F.countDistinct("p_size").alias("sizes"))
 
 
-@query()
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, quantile_disc(l_quantity, 0.5) AS median, true AS parts_near, true AS median_near FROM lineitem GROUP BY l_returnflag")
 def approx_extra(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("median"))
+    """Sketched counts and medians, and whether they are within 10 % and 1 of the exact ones."""
+    rows = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("a"), F.countDistinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("m"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_quantity)").alias("median"))
+    return rows.select("l_returnflag", "parts", "median", (F.abs(F.col("a") - F.col("parts")) <= 0.1 * F.col("parts")).alias("parts_near"), (F.abs(F.col("m") - F.col("median")) <= 1).alias("median_near"))
 
 
 @query("SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.k')) AS with_k FROM events GROUP BY event_type")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import answering, fulltext, operations, vectors
+from corpusloom.operators import answering, fulltext, library, operations, vectors
 from corpusloom.plans.registry import query
-from corpusloom.plans.text_queries import TOKENS
+from corpusloom.plans.text_queries import SPACES, TOKENS
 from corpusloom.session import table
 
 
@@ -137,18 +137,16 @@ def search_multi_domain(spark, sf):
     return content.unionByName(books).unionByName(parts).orderBy(F.desc("rank"), "o", "key").limit(15).drop("o")
 
 
-@query("""SELECT hit_id, domain, rank FROM (SELECT DISTINCT hit_id, domain, rank, language, author, category, source_file_id, citation FROM search_hits)
-    WHERE category = 'fiqh' AND lower(coalesce(language, '')) IN ('en', 'eng', 'english', 'en-gb') AND author ILIKE '%al-%' AND starts_with(source_file_id, 'sf-000000')""")
+@query("""SELECT hit_id, domain, rank FROM (SELECT DISTINCT hit_id, domain, rank, language, author, category, source_file_id FROM search_hits)
+    WHERE category = 'fiqh' AND lower(coalesce(language, '')) IN ('en', 'eng', 'english') AND author ILIKE '%al-%' AND starts_with(source_file_id, 'sf-000000')""")
 def scope_filters(spark, sf):
     hits = table(spark, sf, "search_hits").select("hit_id", "domain", "rank", "language", "author", "category", "source_file_id").distinct()
-    keep = (F.col("category") == "fiqh") & F.lower(F.coalesce("language", F.lit(""))).isin("en", "eng", "english", "en-gb") & F.col("author").ilike("%al-%") & F.col("source_file_id").startswith("sf-000000")
-    return hits.filter(keep).select("hit_id", "domain", "rank")
+    return library.scope(hits, language="en", alias=True, category="fiqh", author="al-", sha="sf-000000", columns={"sha": "source_file_id"}).select("hit_id", "domain", "rank")
 
 
 @query("""SELECT query_id, domain, hit_id, rank, position FROM (SELECT query_id, domain, hit_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, domain, hit_id) AS position FROM (SELECT DISTINCT query_id, domain, hit_id, rank FROM search_hits)) WHERE position <= 3""")
 def merged_hits(spark, sf):
-    w = Window.partitionBy("query_id").orderBy(F.desc("rank"), "domain", "hit_id")
-    return table(spark, sf, "search_hits").select("query_id", "domain", "hit_id", "rank").distinct().withColumn("position", F.row_number().over(w)).filter("position <= 3")
+    return library.merged_hits(table(spark, sf, "search_hits").select("query_id", "domain", "hit_id", "rank").distinct(), "query_id", 3)
 
 
 def _asked(spark: SparkSession, sf: str) -> list[float]:
@@ -240,7 +238,7 @@ def rag_retrieve(spark, sf):
     return _sources(spark, sf).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "source_no")
 
 
-_SQUEEZED = "trim(regexp_replace(CASE WHEN length(text) > 2000 THEN left(text, 2000) || '…' ELSE text END, '[ \\t\\n\\r\\f\\x0b" + " " + "]+', ' ', 'g'))"
+_SQUEEZED = "trim(regexp_replace(CASE WHEN length(text) > 2000 THEN left(text, 2000) || '…' ELSE text END, '[" + SPACES + "]+', ' ', 'g'))"
 
 
 @query(f"""SELECT query_id, string_agg('[S' || source_no || '] ' || {_SQUEEZED}, chr(10) ORDER BY source_no) || chr(10) || chr(10) || 'The above excerpts (from ' || string_agg('[S' || source_no || ']', ', ' ORDER BY source_no) || ') are the retrieved support for the question.' AS answer
@@ -249,10 +247,21 @@ def extractive_answer(spark, sf):
     return answering.extractive_answer(_sources(spark, sf), ["query_id"])
 
 
-@query()
+_MARKS = r"list_transform(regexp_extract_all(answer, '\[S(\d+)\]', 1), lambda m: CAST(m AS INTEGER))"
+_SENTENCES = r"list_filter(string_split(regexp_replace(answer, '([.!?。「」])[" + SPACES + r"]+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_matches(s, '[^" + SPACES + "]'))"
+
+
+@query(f"""WITH a AS (SELECT query_id, string_agg('[S' || source_no || '] ' || {_SQUEEZED}, chr(10) ORDER BY source_no) || chr(10) || chr(10) || 'The above excerpts (from ' || string_agg('[S' || source_no || ']', ', ' ORDER BY source_no) || ') are the retrieved support for the question.' AS answer
+    FROM ({_SOURCES}) WHERE source_no <= 3 GROUP BY query_id),
+    g AS (SELECT query_id, {_MARKS} AS marks, {_SENTENCES} AS sentences FROM a),
+    n AS (SELECT query_id, len(marks) AS n, list_sort(list_distinct(list_filter(marks, lambda m: m <= 0 OR m > 2))) AS outside, len(sentences) AS every, len(list_filter(sentences, lambda s: regexp_matches(s, '\\[S[0-9]+\\]'))) AS marked FROM g),
+    t AS (SELECT query_id, CASE WHEN n = 0 THEN 'answer cites no sources' ELSE coalesce(nullif(concat_ws('; ', CASE WHEN len(outside) > 0 THEN 'markers out of range: [' || array_to_string(outside, ', ') || ']' END,
+        CASE WHEN every > 0 AND marked / every < 0.6 THEN 'only ' || marked || '/' || every || ' sentences carry a citation' END), ''), 'all claims are cited') END AS note FROM n)
+    SELECT query_id, note = 'all claims are cited' AS grounded, note FROM t""")
 def grounding_verdict(spark, sf):
+    """As if two sources had been given, so that a third mark is out of range."""
     answers = answering.extractive_answer(_sources(spark, sf), ["query_id"])
-    return answers.select("query_id", answering.grounding(F.col("answer"), F.lit(3)).alias("g")).select("query_id", "g.grounded", "g.note")
+    return answers.select("query_id", answering.grounding(F.col("answer"), F.lit(2)).alias("g")).select("query_id", "g.grounded", "g.note")
 
 
 @query("""SELECT DISTINCT hit_id, CASE WHEN domain = 'quran' THEN coalesce(nullif(title, ''), '?') || ':' || coalesce(CAST(page AS VARCHAR), '?') || CASE WHEN coalesce(language, '') <> '' THEN ' (' || language || ' by ' || coalesce(nullif(author, ''), '?') || ')' ELSE '' END
@@ -266,32 +275,46 @@ def citations(spark, sf):
     return h.select("hit_id", ref.alias("reference")).distinct()
 
 
-@query(r"""SELECT DISTINCT hit_id, regexp_extract(citation, '^(.+), p\. ([0-9]+)$', 1) AS book, CAST(nullif(regexp_extract(citation, '^(.+), p\. ([0-9]+)$', 2), '') AS INTEGER) AS page FROM search_hits WHERE citation IS NOT NULL""")
+@query(r"""SELECT DISTINCT hit_id, CASE WHEN regexp_matches(citation, '^[0-9]+:[0-9]+') THEN 'verse' WHEN regexp_matches(citation, '^.+ #[0-9]+$') THEN 'item' WHEN regexp_matches(citation, '^.+, p\. [0-9]+$') THEN 'page' END AS kind,
+    CASE WHEN regexp_matches(citation, '^[0-9]+:[0-9]+') THEN regexp_extract(citation, '^([0-9]+):([0-9]+)', 1) WHEN regexp_matches(citation, '^.+ #[0-9]+$') THEN regexp_extract(citation, '^(.+) #([0-9]+)$', 1) WHEN regexp_matches(citation, '^.+, p\. [0-9]+$') THEN regexp_extract(citation, '^(.+), p\. ([0-9]+)$', 1) END AS first,
+    CAST(CASE WHEN regexp_matches(citation, '^[0-9]+:[0-9]+') THEN regexp_extract(citation, '^([0-9]+):([0-9]+)', 2) WHEN regexp_matches(citation, '^.+ #[0-9]+$') THEN regexp_extract(citation, '^(.+) #([0-9]+)$', 2) WHEN regexp_matches(citation, '^.+, p\. [0-9]+$') THEN regexp_extract(citation, '^(.+), p\. ([0-9]+)$', 2) END AS INTEGER) AS second
+    FROM search_hits WHERE citation IS NOT NULL""")
 def citation_links(spark, sf):
-    pattern = "^(.+), p\\. ([0-9]+)$"
-    c = F.col("citation")
-    number = F.regexp_extract(c, pattern, 2)
-    return table(spark, sf, "search_hits").filter(c.isNotNull()).select("hit_id", F.regexp_extract(c, pattern, 1).alias("book"), F.when(number != "", number.cast("int")).alias("page")).distinct()
+    rows = table(spark, sf, "search_hits").filter("citation is not null").withColumn("c", answering.parse_citation(F.col("citation")))
+    return rows.select("hit_id", "c.kind", "c.first", "c.second").distinct()
 
 
-@query("""SELECT h.hit_id, coalesce(b.title, h.title) AS title, coalesce(b.category_id, h.category) AS category, h.page FROM (SELECT DISTINCT hit_id, title, category, page, book_id FROM search_hits) h LEFT JOIN (SELECT DISTINCT id, title, category_id FROM books) b ON h.book_id = b.id""")
+@query("""SELECT h.hit_id, coalesce(b.title, h.title) AS title, coalesce(b.category_id, h.category) AS category, h.page, h.book_id FROM (SELECT DISTINCT hit_id, title, category, page, book_id FROM search_hits) h LEFT JOIN (SELECT DISTINCT id, title, category_id FROM books) b ON h.book_id = b.id""")
 def citation_rehydrate(spark, sf):
-    h = table(spark, sf, "search_hits").select("hit_id", F.col("title").alias("ht"), "category", "page", "book_id").distinct()
-    b = table(spark, sf, "books").select(F.col("id").alias("book_id"), "title", "category_id").distinct()
-    return h.join(b, "book_id", "left").select("hit_id", F.coalesce("title", "ht").alias("title"), F.coalesce("category_id", "category").alias("category"), "page")
+    h = table(spark, sf, "search_hits").select("hit_id", "title", "category", "page", "book_id").distinct()
+    b = table(spark, sf, "books").select(F.col("id").alias("book_id"), "title", F.col("category_id").alias("category")).distinct()
+    return answering.rehydrate(h, b, "book_id", ["title", "category"])
 
 
 @query("""SELECT *, total > 20 AS has_more FROM (SELECT id, title, row_number() OVER (ORDER BY lower(title), id) AS position, (SELECT count(*) FROM (SELECT DISTINCT id, title FROM books WHERE language = 'en')) AS total FROM (SELECT DISTINCT id, title FROM books WHERE language = 'en')) WHERE position BETWEEN 11 AND 20""")
 def browse_page(spark, sf):
-    books = table(spark, sf, "books").filter("language = 'en'").select("id", "title").distinct()
+    books = operations.browse(table(spark, sf, "books"), language="en", text=["title", "subtitle"]).select("id", "title").distinct()
     return operations.page_of(books, [F.lower("title"), F.col("id")], 2, 10).select("id", "title", F.col("position").cast("long").alias("position"), "total", "has_more")
 
 
-@query("""SELECT id, CASE WHEN contains(lower(title), 'scribe') THEN 30 ELSE 0 END + CASE WHEN contains(lower(coalesce(subtitle, '')), 'scribe') THEN 10 ELSE 0 END + 2 AS score FROM (SELECT DISTINCT id, title, subtitle FROM books)
-    WHERE contains(lower(title || ' ' || coalesce(subtitle, '')), 'the') AND contains(lower(title || ' ' || coalesce(subtitle, '')), 'of')""")
+@query("SELECT id, title FROM (SELECT DISTINCT id, title, subtitle, category_id FROM books) WHERE category_id = 'fiqh' AND contains(lower(concat_ws(' ', title, subtitle)), 'of')")
+def browse_text(spark, sf):
+    books = table(spark, sf, "books").withColumn("category", F.col("category_id"))
+    return operations.browse(books, category="fiqh", contains="Of", text=["title", "subtitle"]).select("id", "title").distinct()
+
+
+@query("""SELECT id, CASE WHEN contains(lower(title), 'the') OR contains(lower(title), 'of') THEN 30 ELSE 0 END + CASE WHEN contains(coalesce(lower(author), ''), 'the') THEN 20 ELSE 0 END + CASE WHEN contains(coalesce(lower(subtitle), ''), 'the') THEN 10 ELSE 0 END + 2 AS score
+    FROM (SELECT b.id, b.title, b.subtitle, a.author FROM (SELECT DISTINCT id, title, subtitle, source_file_id FROM books) b LEFT JOIN (SELECT source_file_id, min(value) AS author FROM metadata_candidates WHERE field = 'author' GROUP BY 1) a USING (source_file_id))
+    WHERE contains(lower(concat_ws(' ', title, author, subtitle)), 'the') AND contains(lower(concat_ws(' ', title, author, subtitle)), 'of')""")
 def demo_scoring(spark, sf):
-    terms = ["the", "of"]
-    hay = F.lower(F.concat("title", F.lit(" "), F.coalesce("subtitle", F.lit(""))))
-    books = table(spark, sf, "books").select("id", "title", "subtitle").distinct()
-    score = F.when(F.lower("title").contains("scribe"), 30).otherwise(0) + F.when(F.lower(F.coalesce("subtitle", F.lit(""))).contains("scribe"), 10).otherwise(0) + len(terms)
-    return books.filter(F.forall(F.array(*map(F.lit, terms)), lambda t: hay.contains(t))).select("id", score.alias("score"))
+    terms = library.terms_of("The  of the")
+    authors = table(spark, sf, "metadata_candidates").filter("field = 'author'").groupBy("source_file_id").agg(F.min("value").alias("author"))
+    books = table(spark, sf, "books").select("id", "title", "subtitle", "source_file_id").distinct().join(authors, "source_file_id", "left")
+    c = F.col
+    return books.filter(library.all_terms(F.concat_ws(" ", "title", "author", "subtitle"), terms)).select("id", library.book_score(c("title"), c("author"), c("subtitle"), terms).alias("score"))
+
+
+@query(f"""SELECT chunk_id, CASE WHEN coalesce(nullif(page_start, 0), page_end) <= 2 THEN 7 ELSE 6 END AS score FROM {CHUNKS} WHERE contains(lower(text), 'salt') AND contains(lower(text), 'well')""")
+def demo_pages(spark, sf):
+    rows = chunks(spark, sf).filter(library.all_terms(F.col("text"), library.terms_of("Salt well")))
+    return rows.select("chunk_id", library.page_score(F.coalesce(F.nullif(F.col("page_start"), F.lit(0)), F.col("page_end"))).alias("score"))

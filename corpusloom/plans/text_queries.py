@@ -151,11 +151,11 @@ def slugs(spark, sf):
     return table(spark, sf, "part").select("p_partkey", tx.slug(F.col("p_name")).alias("slug"))
 
 
-_ENDS = f"{SPACES}؛،:;\u200e\u200f"
+ENDS = f"{SPACES}؛،:;\u200e\u200f"
 
 
 @query(f"""WITH m AS (SELECT DISTINCT id, field, value FROM metadata_candidates WHERE value IS NOT NULL)
-    SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(value, '^[{_ENDS}\\-–—]+', ''), '[{_ENDS}\\-]+$', ''), '[{SPACES}]+', ' ', 'g')) AS cleaned,
+    SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(value, '^[{ENDS}\\-–—]+', ''), '[{ENDS}\\-]+$', ''), '[{SPACES}]+', ' ', 'g')) AS cleaned,
     regexp_matches(trim(value), '^[0-9٠-٩۰-۹]{{1,4}}$') AS is_number, CASE WHEN field = 'publication_year' AND regexp_extract(value, '([0-9]+)', 1) <> '' THEN CAST(regexp_extract(value, '([0-9]+)', 1) AS INTEGER) END AS year,
     CASE WHEN field = 'isbn' THEN right(regexp_replace(value, '[^0-9Xx]', '', 'g'), 13) END AS isbn FROM m""")
 def clean_values(spark, sf):

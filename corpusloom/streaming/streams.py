@@ -24,8 +24,9 @@ def source(spark: SparkSession, path: str, schema: str = EVENTS, files_a_batch:
     return reader.parquet(path)
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """All that is there now, processed to the end into Parquet in the shared folder, and read back."""
+def drain(stream: DataFrame, mode: str, key: str | None = None) -> DataFrame:
+    """All that is there now, processed to the end into Parquet in the shared folder, and read back; in update mode
+    with a key the last row of each."""
     spark = stream.sparkSession
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
@@ -38,6 +39,9 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
     if mode == "complete":  # the last epoch holds all
         last = out.agg(F.max("epoch").alias("_e"))
         out = out.join(F.broadcast(last), out["epoch"] == F.col("_e")).drop("_e")
+    if mode == "update" and key is not None:  # the last epoch of each key
+        rest = [c for c in out.columns if c not in (key, "epoch")]
+        return out.groupBy(key).agg(F.max_by(F.struct(*rest), "epoch").alias("_r")).select(key, "_r.*")
     return out.drop("epoch")
 
 
@@ -59,9 +63,29 @@ def first_seen(events: DataFrame, key: list[str], late: str | None = None) -> Da
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
 
 
-def progress(events: DataFrame, guard_ms: int = 4000) -> DataFrame:
-    """``(user_id, value)`` after each batch: a smaller value within 4 s of the stored one is an echo."""
+def taps(events: DataFrame, key: str, step: str) -> DataFrame:
+    """A counter of each key that steps up and down and never falls below 0, after each batch."""
+    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n = state.get[0] if state.exists else 0
+        for x in pd.concat(list(parts)).sort_values(["ts", step])[step]:
+            n = max(0, n + int(x))
+        state.update((n,))
+        yield pd.DataFrame({key: [k[0]], "n": [n]})
+
+    kind = events.schema[key].dataType.simpleString()
+    return events.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, n long", "n long", "update", GroupStateTimeout.NoTimeout)
+
+
+def progress(events: DataFrame, guard_ms: int = 4000, forget: str | None = None) -> DataFrame:
+    """``(user_id, value)`` after each batch: a smaller value within 4 s of the stored one is an echo.
+
+    The state holds a value for each user; with ``forget`` (milliseconds as text) it is dropped after a user has been
+    silent for so long, who then begins anew.
+    """
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         value, at = state.get if state.exists else (None, None)
         rows = pd.concat(list(parts)).sort_values(["ts", "value"])
         for ts, v in zip(rows["ts"], rows["value"]):
@@ -69,9 +93,12 @@ def progress(events: DataFrame, guard_ms: int = 4000) -> DataFrame:
             if value is None or v >= value or ms - at >= guard_ms:
                 value, at = float(v), ms
         state.update((value, at))
+        if forget is not None:
+            state.setTimeoutDuration(int(forget))
         yield pd.DataFrame({"user_id": [key[0]], "value": [value]})
 
-    return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, value double", "value double, at long", "update", GroupStateTimeout.NoTimeout)
+    limit = GroupStateTimeout.NoTimeout if forget is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, value double", "value double, at long", "update", limit)
 
 
 def new_only(batch: DataFrame, ledger: DataFrame, key: str) -> DataFrame:

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import answering, chunking, corpus, fulltext, operations, structure, vectors
+from corpusloom.operators import answering, chunking, corpus, fulltext, operations, postings, structure, vectors
 from corpusloom.sources import files
 
 
@@ -58,6 +58,20 @@ def test_cover_rank_prefers_near_words(spark):
     assert every.groups == (("a",), ("b", "c"))
 
 
+@pytest.mark.parametrize("text,every", [("well", False), ("well salt", False), ("well salt", True), ('"the well" salt', False), ('"the well" "of salt"', False), ("well or price salt", True), ("well -price", False), ('"the price of salt"', False), ("كتاب", False), ("", False)])
+def test_the_index_finds_what_a_scan_finds(spark, tmp_path, text, every):
+    docs = spark.createDataFrame([(1, "The well, the well of salt", "en"), (2, "price of the well and the price of salt", "en"), (3, "salt salt the price of salt", "en"), (4, None, "en"), (5, "", "en"), (6, "الكِتَاب والكتاب كِتَابٌ", "ar"), (7, "well " * 50, None)], "id long, text string, lang string")
+    path = str(tmp_path / "index")
+    postings.write_index(postings.postings(docs, key="id", text=F.col("text"), language=F.col("lang")), path)
+    q = fulltext.normalized_query(text, every)
+    got = {r["key"]: r["rank"] for r in postings.search(postings.read_index(spark, path), q).collect()}
+    folded = docs.withColumn("text", fulltext.content_fold(F.col("text"), F.col("lang")))
+    want = {r["id"]: r["rank"] for r in fulltext.search(folded, q, text=F.col("text"), keys=["id"], rank="cover").collect()}
+    assert got == want and (bool(got) == bool(text))
+    plan = postings.found(postings.read_index(spark, path), q)._jdf.queryExecution().executedPlan().toString()
+    assert q.empty or "bucket" in plan.split("PartitionFilters")[1][:60]
+
+
 def test_excerpt_and_highlight(spark):
     df = spark.createDataFrame([("x" * 200 + " Needle & <b> " + "y" * 300,)], "t string")
     r = df.select(fulltext.excerpt(F.col("t"), ["needle"]).alias("e"), fulltext.highlight(F.col("t"), ["needle"]).alias("h")).first()
