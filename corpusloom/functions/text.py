@@ -43,18 +43,19 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 @cache
 def _unstable(form: str) -> str:
-    """A character class of all that the form may change: marks, joining vowels, what has another form."""
+    """A character class of all that the form may change: marks, joining vowels, what has another form; rounded up
+    to few ranges, but for the scripts up to U+0780, as a class costs the more the more ranges it has."""
     def may(c: int) -> bool:
         ch = chr(c)
         return unicodedata.category(ch)[0] == "M" or 0x1160 <= c < 0x1200 or unicodedata.normalize(form, ch) != ch
 
-    found = [c for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000 and may(c)]
     ranges: list[list[int]] = []
-    for c in found:
-        if ranges and ranges[-1][1] == c - 1:
-            ranges[-1][1] = c
-        else:
-            ranges.append([c, c])
+    for c in range(0x80, 0x30000):
+        if not 0xD800 <= c < 0xE000 and may(c):
+            if ranges and c - ranges[-1][1] <= (1 if c < 0x780 else 0x200):
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
     return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "\\x{E0100}-\\x{E01EF}]"
 
 
@@ -63,7 +64,8 @@ def unicode_form(c: Column, form: str = "NFC") -> Column:
     the form may change go through Python, and only these."""
     if form == "none":
         return c
-    there = c.rlike(_unstable(form))
+    first = {"NFC": "[^\\x00-\\x{2ff}]", "NFKC": "[^\\x00-\\x7f]"}[form]  # quick to rule out
+    there = F.when(c.rlike(first), c.rlike(_unstable(form))).otherwise(F.lit(False))
     return F.coalesce({"NFC": _nfc, "NFKC": _nfkc}[form](F.when(there, c)), c)
 
 

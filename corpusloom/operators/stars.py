@@ -76,7 +76,7 @@ def content_search(index: DataFrame, chunks: DataFrame, c: Catalog, query: str,
     ranked = postings.found(index, q).select(F.col("key").alias("chunk_id"), F.round(fulltext.cover_rank_at(q), 6).alias("rank"))
     names = ["chunk_id", "book_id", "chapter_id", "section_id", "page_start", "page_end", "language"]
     best = ranked.join(scoped_chunks(chunks, c, scope).select(*names), "chunk_id").join(books_in(c).select("book_id"), "book_id", "left_semi").orderBy(F.desc("rank"), "chunk_id").limit(limit)
-    out = _placed(best, c, Scope()).join(chunks.select("chunk_id", "text"), "chunk_id")
+    out = _placed(best, c, Scope()).join(chunks.select("chunk_id", "text"), "chunk_id").orderBy(F.desc("rank"), "chunk_id")
     return out.select(F.lit("content").alias("domain"), "rank", "chunk_id", "text", "book", "author", "category", "chapter", "section", "page", "language", "book_id", "chapter_id", "section_id", "file_id", "sha256", "format", F.col("chunk_id").alias("citation"))
 
 
@@ -121,7 +121,7 @@ def vector_search(embedded: DataFrame, chunks: DataFrame, c: Catalog, vector: li
     names = ["chunk_id", "book_id", "chapter_id", "section_id", "page_start", "page_end", "language"]
     rows = rows.select("chunk_id", "vector").join(scoped_chunks(chunks, c, scope).select(*names), "chunk_id")
     best = vectors.nearest(rows, vector, column="vector", key="chunk_id", k=limit, min_score=min_score).drop("vector")
-    out = _placed(best, c, Scope()).join(chunks.select("chunk_id", "text"), "chunk_id")
+    out = _placed(best, c, Scope()).join(chunks.select("chunk_id", "text"), "chunk_id").orderBy(F.desc("score"), "chunk_id")
     return out.select("score", "chunk_id", "text", "book", "author", "category", "chapter", "section", "page", "language", "book_id", "chapter_id", "section_id", "file_id", "sha256", "format")
 
 

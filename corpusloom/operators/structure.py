@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,57 +176,100 @@ def toc_pages(pages: DataFrame, key: str = "book_id", first: int = 8, ratio: flo
     return body.filter((F.col("n") >= 3) & (F.col("toc") >= 3) & (F.col("toc") >= ratio * F.col("n"))).select(key, "page")
 
 
-def plan(pages: list[tuple[int, str, bool]]) -> list[dict]:
-    """Blocks of one book with chapter, section and subsection numbers.
+class Plan:
+    """Numbers of chapter, section and subsection along the elements of one book, in order.
 
     Chapter -1 is the table of contents, 0 what comes before the first chapter. A heading that repeats the
     open title on a later page is a running header and left out. An explicit number wins and raises the
     counter; sections count anew in each chapter. Paragraphs under a references heading are references.
     """
-    out: list[dict] = []
-    at = {1: 0, 2: 0, 3: 0}
-    opened: dict[int, tuple[str, int]] = {}
-    references = False
-    for page, text, is_toc in pages:
-        for e in segment(text, is_toc)[0]:
-            review = False
-            if e["type"] == "heading" and e["level"]:
-                level, folded = e["level"], structural_fold(e["title"])
-                if level in opened and opened[level] == (folded, opened[level][1]) and opened[level][1] < page:
-                    continue
-                review = level > 1 and at[level - 1] == 0
-                at[level] = e["number"] if e.get("number") is not None else at[level] + 1
-                for lower in range(level + 1, 4):
-                    at[lower] = 0
-                    opened.pop(lower, None)
-                opened[level] = (folded, page)
-                if level == 1:
-                    references = e["kind"] == "references"
-            elif e["type"] == "heading":
-                review = True
-            kind = "reference" if e["type"] == "paragraph" and references else e["type"]
-            number = {k: v or None for k, v in at.items()}
-            out.append({"page": page, "type": kind, "text": e["text"], "chapter_no": -1 if is_toc else at[1], "section_no": None if is_toc else number[2], "subsection_no": None if is_toc else number[3], "review": review})
-    return out
+
+    def __init__(self) -> None:
+        self.at = {1: 0, 2: 0, 3: 0}
+        self.opened: dict[int, tuple[str, int]] = {}
+        self.references = False
+
+    def add(self, page: int, is_toc: bool, e: dict) -> dict | None:
+        at, opened, review = self.at, self.opened, False
+        if e["type"] == "heading" and e["level"]:
+            level, folded = e["level"], structural_fold(e["title"])
+            if level in opened and opened[level] == (folded, opened[level][1]) and opened[level][1] < page:
+                return None
+            review = level > 1 and at[level - 1] == 0
+            at[level] = e["number"] if e.get("number") is not None else at[level] + 1
+            for lower in range(level + 1, 4):
+                at[lower] = 0
+                opened.pop(lower, None)
+            opened[level] = (folded, page)
+            if level == 1:
+                self.references = e["kind"] == "references"
+        elif e["type"] == "heading":
+            review = True
+        kind = "reference" if e["type"] == "paragraph" and self.references else e["type"]
+        return {"page": page, "type": kind, "text": e["text"], "chapter_no": -1 if is_toc else at[1], "section_no": None if is_toc else at[2] or None, "subsection_no": None if is_toc else at[3] or None, "review": review}
 
 
 def structure_books(pages: DataFrame, key: str = "book_id") -> DataFrame:
-    """Blocks of every book from ``(key, page, text)``.
+    """Blocks of every book from ``(key, page, text)``: type, text, place in the plan, sequence within the page.
 
-    The plan is a fold over the pages of a book in order, so a book is one group; books are independent.
+    Pages are cut into elements wherever they are; only then the elements of a book meet, in order, and a task
+    walks along its books holding nothing but the open titles, so that no book has to fit in memory. Pages of one
+    number follow each other by the digest of their texts.
     """
     toc = toc_pages(pages, key).withColumn("_toc", F.lit(True))
-    rows = pages.join(toc, [key, "page"], "left").select(F.col(key).cast("string").alias("book"), "page", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("_toc", F.lit(False)).alias("toc"))
-    schema = "book string, page int, sequence int, type string, text string, chapter_no int, section_no int, subsection_no int, review boolean"
+    rows = pages.join(toc, [key, "page"], "left").select(F.col(key).cast("string").alias("book"), F.col("page").cast("int").alias("page"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("_toc", F.lit(False)).alias("toc"))
+    found = "book string, page int, toc boolean, digest string, nth int, type string, text string, level int, title string, number int, kind string"
+    names = [c.split()[0] for c in found.split(", ")]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            out = []
+            for book, page, text, is_toc, digest in zip(g["book"], g["page"], g["text"], g["toc"], g["digest"]):
+                for i, e in enumerate(segment(text, is_toc)[0]):
+                    out.append((book, page, is_toc, digest, i, e["type"], e["text"], e.get("level"), e.get("title"), e.get("number"), e.get("kind")))
+            yield pd.DataFrame(out, columns=names).astype({"page": "Int32", "level": "Int32", "number": "Int32"})
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["page", "text"])
-        blocks = pd.DataFrame(plan(list(zip(g["page"].astype(int), g["text"], g["toc"]))), columns=["page", "type", "text", "chapter_no", "section_no", "subsection_no", "review"])
-        blocks["sequence"] = blocks.groupby("page").cumcount() + 1
-        blocks["book"] = g["book"].iloc[0]
-        return blocks[[c.split()[0] for c in schema.split(", ")]]
+    schema = "book string, page int, sequence int, type string, text string, chapter_no int, section_no int, subsection_no int, review boolean"
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    arrow = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
 
-    return rows.groupBy("book").applyInPandas(one, schema).withColumnRenamed("book", key)
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, page, sequence, plan = object(), None, 0, Plan()
+        for batch in batches:
+            out = []
+            for e in batch.to_pylist():
+                if e["book"] != book:
+                    book, page, plan = e["book"], None, Plan()
+                if e["page"] != page:
+                    page, sequence = e["page"], 0
+                if (block := plan.add(e["page"] or 0, e["toc"], e)) is not None:
+                    sequence += 1
+                    out.append(block | {"book": book, "page": e["page"], "sequence": sequence})
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    elements = rows.withColumn("digest", F.sha2("text", 256)).mapInPandas(cut, found)
+    ordered = elements.repartition("book").sortWithinPartitions("book", F.asc_nulls_first("page"), "digest", "nth")
+    return ordered.mapInArrow(walk, schema).withColumnRenamed("book", key)
+
+
+def tables(blocks: DataFrame, key: str = "book_id") -> dict[str, DataFrame]:
+    """What a structured book is stored as: chapters, sections, subsections, pages, paragraphs and blocks, with ids
+    from the natural keys, so that a second run writes the same."""
+    def named(kind: str, *keys: str) -> DataFrame:
+        rows = blocks.filter(" and ".join(f"{k} is not null" for k in keys if k != key) or "true")
+        title = F.min_by(F.when(F.col("type") == "heading", F.col("text")), F.struct((F.col("type") != "heading"), "page", "sequence"))
+        out = rows.groupBy(*keys).agg(title.alias("title"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
+        return out.withColumn("id", F.sha2(F.concat_ws(":", F.lit(kind), *keys), 256))
+
+    numbered = blocks.withColumn("id", F.sha2(F.concat_ws(":", F.lit("block"), key, "page", "sequence"), 256))
+    return {
+        "chapters": named("chapter", key, "chapter_no"),
+        "sections": named("section", key, "chapter_no", "section_no"),
+        "subsections": named("subsection", key, "chapter_no", "section_no", "subsection_no"),
+        "pages": blocks.groupBy(key, "page").agg(F.count(F.lit(1)).alias("blocks")),
+        "paragraphs": numbered.filter("type = 'paragraph'").select("id", key, "page", "sequence", "text"),
+        "blocks": numbered,
+    }
 
 
 def headings(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import answering, chunking, corpus, fulltext, operations, postings, structure, vectors
+from corpusloom.operators import answering, chunking, corpus, fulltext, operations, postings, stars, structure, vectors
 from corpusloom.sources import files
 
 
@@ -196,6 +196,88 @@ def test_structure_plan(spark):
     assert {r["type"] for r in got if r["page"] == 2} == {"toc_entry"}
 
 
+def test_structure_tables(spark):
+    pages = [("b", 1, "Chapter 1 The Well\nFirst text.\n1.1 Depth\nMore."), ("b", 2, "Chapter 2 The Roof\nText."), (None, None, "Lonely text."), ("e", 1, None)]
+    blocks = structure.structure_books(spark.createDataFrame(pages, "book_id string, page int, text string"))
+    made = structure.tables(blocks)
+    assert [(r["chapter_no"], r["title"]) for r in made["chapters"].filter("book_id = 'b'").orderBy("chapter_no").collect()] == [(1, "Chapter 1 The Well"), (2, "Chapter 2 The Roof")]
+    assert made["sections"].count() == 1 and made["subsections"].count() == 0 and made["paragraphs"].count() == 4
+    assert made["blocks"].select("id").distinct().count() == made["blocks"].count() and made["pages"].count() == 3
+
+
+def test_blocks_become_units_with_normalised_text(spark):
+    blocks = spark.createDataFrame([("s", "a", "paragraph", 1, 1, 1, 2, "one", "en"), ("s", "b", "paragraph", 1, 1, 1, 1, "two", "en"), ("s", "c", "heading", 1, 1, 1, 3, "three", "en"), ("s", "d", "paragraph", 1, 2, 2, 1, "four", None)], "source string, block_id string, type string, chapter_no int, section_no int, page int, sequence int, text string, language string")
+    units = chunking.units_of_blocks(blocks, spark.createDataFrame([("b", "TWO")], "block_id string, normalized_text string"))
+    got = chunking.build_chunks(units)
+    assert [r["text"] for r in got.orderBy("chunk_index").collect()] == ["TWO\n\none", "four"]
+    assert {r["block_id"]: r["is_normalized"] for r in units.collect()} == {"a": False, "b": True, "d": False}
+    chapters = spark.createDataFrame([("s", 1, "ch")], "source string, chapter_no int, chapter_id string")
+    sections = spark.createDataFrame([("s", 1, 2, "se"), ("s", 2, 1, "other")], "source string, chapter_no int, section_no int, section_id string")
+    placed = chunking.with_places(got, chapters, sections).orderBy("chunk_index").collect()
+    assert [(r["chapter_id"], r["section_id"]) for r in placed] == [("ch", None), ("ch", "se")]
+
+
+def test_small_stage_operators(spark):
+    words = spark.createDataFrame([("f", 1, "a", 90.0), ("f", 1, "b", 70.0), ("f", 1, " ", 10.0), ("f", 1, "c", -1.0), ("f", 2, None, 50.0)], "file string, page int, word string, confidence double")
+    assert {r["page"]: r["confidence"] for r in corpus.word_confidence(words, ["file", "page"]).collect()} == {1: 80.0, 2: None}
+    files = spark.createDataFrame([("b", 2), ("a", 1), ("c", None)], "id string, created_at int")
+    assert [r["id"] for r in corpus.batch(files, 2).collect()] == ["c", "a"] and corpus.batch(files, None).count() == 3
+    wanted, stored = (spark.createDataFrame(rows, "target string, sha256 string") for rows in ([("t", "1"), ("u", "2")], [("t", "9"), ("u", "2")]))
+    assert [tuple(r) for r in corpus.collisions(wanted, stored).collect()] == [("t", "1", "9")]
+    with pytest.raises(ValueError):
+        vectors.provider_of("nothing")
+    assert vectors.provider_of("collections:OrderedDict") and vectors.provider_of("hashing")(8)(["x"])
+    with pytest.raises(ValueError):
+        vectors.provider_of("no.such.module:Thing")
+
+
+def test_quarantined_names_do_not_collide(spark):
+    rows = [(f"/in/{d}/x.xyz", "g", 1, f"s{d}") for d in range(3)]
+    got = [r["target"] for r in corpus.ingest(spark.createDataFrame(rows, "path string, category string, size long, sha256 string")).orderBy("path").collect()]
+    assert got == ["quarantine/x.xyz", "quarantine/x-1.xyz", "quarantine/x-2.xyz"]
+
+
+def _catalog(spark):
+    frame = spark.createDataFrame
+    return stars.Catalog(
+        frame([("b1", "The Well", None, "en", "f1", "a1", "k1"), ("b2", "The Roof of Salt", "on wells", None, "f2", None, None)], "book_id string, title string, subtitle string, language string, file_id string, author_id string, category_id string"),
+        frame([("f1", "abc", "pdf"), ("f2", "bcd", "txt")], "file_id string, sha256 string, format string"),
+        frame([("a1", "A. Well")], "author_id string, author string"),
+        frame([("k1", "fiqh")], "category_id string, category string"),
+        frame([("c1", "b1", 1, "Of salt"), ("c2", "b2", 1, "Of salt and water")], "chapter_id string, book_id string, chapter_no int, chapter string"),
+        frame([("s1", "c1", "b1", 1, "Salt in wells")], "section_id string, chapter_id string, book_id string, section_no int, section string"),
+    )
+
+
+def test_searches_say_where_their_hits_stand(spark):
+    c = _catalog(spark)
+    rows = [("k1", "b1", "c1", "s1", 0, 7, "en", "salt of the well", 1), ("k2", "b2", None, None, 3, 4, "ur", "salt salt", 1), ("k3", "b9", None, None, None, None, "en", "salt of no book", 1), ("k4", "b1", None, None, None, None, "en", None, 1), ("k5", "b2", "zz", None, None, None, "en", "", 1)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, book_id string, chapter_id string, section_id string, page_start int, page_end int, language string, text string, rank int").drop("rank")
+    index = postings.postings(chunks, key="chunk_id", text=F.col("text"), language=F.col("language"))
+    hits = stars.content_search(index, chunks, c, "Salt").collect()
+    assert [(r["chunk_id"], r["rank"], r["page"], r["author"], r["category"], r["chapter"], r["section"], r["sha256"]) for r in hits] == [("k2", 0.2, 3, None, None, None, None, "bcd"), ("k1", 0.1, 7, "A. Well", "fiqh", "Of salt", "Salt in wells", "abc")]
+    assert [r["chunk_id"] for r in stars.content_search(index, chunks, c, "salt", scope=stars.Scope(category="fiqh")).collect()] == ["k1"]
+    assert [r["chunk_id"] for r in stars.content_search(index, chunks, c, "salt", scope=stars.Scope(language="ur", sha="b")).collect()] == ["k2"]
+    assert stars.content_search(index, chunks, c, "").count() == 0
+    assert [r["book_id"] for r in stars.book_search(c, "well").collect()] == ["b1", "b2"]
+    assert [r["book_id"] for r in stars.book_search(c, "well", scope=stars.Scope(language="en", author="a.")).collect()] == ["b1"]
+    assert [r["chapter_id"] for r in stars.chapter_search(c, "of SALT".lower()).collect()] == ["c1", "c2"]
+    assert [(r["section_id"], r["chapter"], r["book"]) for r in stars.section_search(c, "wells").collect()] == [("s1", "Of salt", "The Well")]
+    embedded = spark.createDataFrame([("k1", "m", "1", [1.0, 0.0]), ("k1", "m", "2", [0.0, 1.0]), ("k2", "m", "2", [1.0, 0.1]), ("k2", "n", "9", [0.0, 1.0])], "chunk_id string, model_name string, model_version string, vector array<float>")
+    near = stars.vector_search(embedded, chunks, c, [0.0, 1.0], model="m").collect()
+    assert [(r["chunk_id"], r["score"], r["book"]) for r in near][0] == ("k1", 1.0, "The Well") and len(near) == 2
+    assert stars.vector_search(embedded, chunks, c, [0.0, 1.0], model="none").count() == 0
+    both = {r["chunk_id"]: (r["retrievers"], r["format"]) for r in stars.hybrid_search(index, embedded, chunks, c, "salt", [0.0, 1.0], model="m").collect()}
+    assert both == {"k1": ("fts+vector", "pdf"), "k2": ("fts+vector", "txt")}
+    assert stars.hybrid_search(index, embedded, chunks, c, "salt", None, model="m").first()["score"] == 1.0 * 0.5
+    refs = {r["chunk_id"]: r["reference"] for r in stars.citations(chunks, c).collect()}
+    assert refs["k1"] == "The Well, ch. Of salt, Salt in wells, p. 7, k1" and refs["k3"] == "b9, k3"
+    with pytest.raises(TypeError):
+        stars.cite(chunks, "rumour")
+    verse = stars.cite(spark.createDataFrame([(2, 3, "en", "T")], "s int, v int, l string, t string"), "translation", surah="s", verse="v", language="l", translator="t")
+    assert verse.first()["reference"] == "2:3 (en by T)"
+
+
 def test_grounding(spark):
     rows = [("Yes [S1]. No [S2].", 2, True), ("Nothing here.", 2, False), ("See [S9].", 2, False), ("One [S1]. Two. Three.", 1, False), ("x", 0, False)]
     df = spark.createDataFrame(rows, "a string, n int, ok boolean").select("ok", answering.grounding(F.col("a"), F.col("n")).alias("g"))
