@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.textblocks import WHITE_SPACE
-from corpusloom.session import field
+from corpusloom.session import field, materialize
 
 # Letters of one script drawn like a letter of another, each with its prototype.
 GREEK = {"Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "α": "a", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "χ": "x", "ϲ": "c", "ϳ": "j"}
@@ -107,13 +107,12 @@ def look_alike_pairs(df: DataFrame, *, key: str = "content_block_id", text: str
     row for each key. With ``expand``, a spelling that more keys share is represented by the smallest. Empty texts and texts of blanks only
     look alike. A key with two spellings is not paired with itself.
     """
-    rows = look_classes(df, key=key, text=text).select(field(key).cast("string").alias("_key"), "look", "spelling").filter(F.col("_key").isNotNull())
-    spellings = rows.groupBy("look", "spelling").agg(F.min("_key").alias("_rep"), F.count(F.lit(1)).alias("_n"))
-    several = spellings.groupBy("look").agg(F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("look")
-    shown = rows.join(several, "look", "left_semi").join(spellings, ["look", "spelling"])
+    rows = materialize(look_classes(df, key=key, text=text).select(field(key).cast("string").alias("_key"), "look", "spelling").filter(F.col("_key").isNotNull()))  # digests
+    several = rows.groupBy("look").agg(F.min("spelling").alias("_first"), F.max("spelling").alias("_last")).filter("_first <> _last").select("look")
+    shown = rows.join(several, "look", "left_semi")
     if expand is not None:
-        shown = shown.filter((F.col("_n") <= expand) | (F.col("_key") == F.col("_rep")))
-    shown = shown.select("look", "spelling", "_key")
+        size = shown.groupBy("look", "spelling").agg(F.min("_key").alias("_rep"), F.count(F.lit(1)).alias("_n"))
+        shown = shown.join(size, ["look", "spelling"]).filter((F.col("_n") <= expand) | (F.col("_key") == F.col("_rep"))).select("look", "spelling", "_key")
     a = shown.select("look", F.col("spelling").alias("_sa"), F.col("_key").alias("_a"))
     b = shown.select("look", F.col("spelling").alias("_sb"), F.col("_key").alias("_b"))
     pairs = a.join(b, "look").filter((F.col("_sa") != F.col("_sb")) & (F.col("_a") < F.col("_b")))
