@@ -187,12 +187,17 @@ def review_gate(best: DataFrame, auto: bool) -> DataFrame:
 
 
 def publish(best: DataFrame) -> DataFrame:
-    """One catalog row for each file with an approved title; its other approved fields beside it."""
+    """One catalog row for each file with an approved title; its other approved fields beside it.
+
+    A language counts only as one of the four codes; a Hijri year is kept as printed and noted, as is an editor.
+    """
     ok = best.filter("status = 'approved'")
-    fields = ["title", "subtitle", "author", "translator", "publisher", "publication_year", "isbn", "language"]
-    wide = ok.groupBy("source_file_id").pivot("field", fields).agg(F.first("value"))
+    fields = ["title", "subtitle", "author", "translator", "editor", "publisher", "publication_year", "isbn", "language", "category"]
+    wide = ok.groupBy("source_file_id").pivot("field", fields).agg(F.first("value")).filter("title is not null")
     year = F.regexp_extract("publication_year", "([0-9]+)", 1)
-    return wide.filter("title is not null").withColumn("year", F.when(year != "", year).cast("int")).withColumn("isbn", F.right(F.regexp_replace("isbn", "[^0-9Xx]", ""), F.lit(13)))
+    hijri = (year != "") & F.contains("publication_year", F.lit("(AH)"))
+    notes = F.concat_ws(" ", F.when(hijri, "publication year as printed (Hijri)"), F.when(F.col("editor").isNotNull(), F.concat(F.lit("editor: "), F.col("editor"))))
+    return wide.withColumn("year", F.when(year != "", year).cast("int")).withColumn("isbn", F.right(F.regexp_replace("isbn", "[^0-9Xx]", ""), F.lit(13))).withColumn("language", F.when(F.col("language").isin("ar", "ur", "en", "other"), F.col("language"))).withColumn("notes", F.nullif(notes, F.lit("")))
 
 
 def upsert_candidates(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -215,6 +220,15 @@ def get_or_create(existing: DataFrame, names: DataFrame, column: str = "name") -
     return existing.select("id", column).unionByName(new.select(F.sha2(column, 256).alias("id"), column))
 
 
+def get_or_create_category(existing: DataFrame, names: DataFrame) -> DataFrame:
+    """Categories ``(code, name)`` with the new names. A name that is there stays; one whose code is there is taken as
+    that category; the code of a new one is its slug, or the name where nothing of it is left."""
+    slug = tx.slug(F.col("name"))
+    new = names.select("name").filter(F.col("name").isNotNull()).distinct().join(existing.select("name"), "name", "left_anti").withColumn("code", F.when(slug != "", slug).otherwise(F.col("name")))
+    new = new.join(existing.select("code"), "code", "left_anti").groupBy("code").agg(F.min("name").alias("name"))  # of new names with one code the first
+    return existing.select("code", "name").unionByName(new)
+
+
 def unpivot_info(df: DataFrame, key: str) -> DataFrame:
     """Facts of a document's own info: title and author high, subject a medium description."""
     rows = df.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tx.clean_value(F.col(c)).alias("value"), F.lit(conf).alias("confidence")) for c, f, conf in (("title", "title", "high"), ("author", "author", "high"), ("subject", "description", "medium"))])).alias("f"))

@@ -123,3 +123,10 @@ def export_books(chunks: DataFrame) -> DataFrame:
     """
     order = ["book_id", "sequence", "chunk_id"]
     return chunks.select(*order, "text").repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def export_paths(books: DataFrame) -> DataFrame:
+    """``(book_id, title, path)``: where the export of a book goes, by its title with blanks as ``_``, 60 characters at
+    most, in a folder of its id, so that equal titles do not overwrite each other."""
+    stem = F.coalesce(F.nullif(F.left(F.translate("title", " ", "_"), F.lit(60)), F.lit("")), F.left("book_id", F.lit(12)))
+    return books.select("book_id", "title", F.concat("book_id", F.lit("/"), stem, F.lit(".json")).alias("path"))

@@ -101,10 +101,11 @@ def review_gate(spark, sf):
     return corpus.review_gate(corpus.merge_candidates(_facts(spark, sf)), auto=True)
 
 
-@query(f"""WITH w AS (SELECT source_file_id, max(value) FILTER (field = 'title') AS title, max(value) FILTER (field = 'author') AS author, max(value) FILTER (field = 'publisher') AS publisher, max(value) FILTER (field = 'publication_year') AS y FROM {_BEST} WHERE status = 'approved' GROUP BY source_file_id)
-    SELECT source_file_id, title, author, publisher, CASE WHEN regexp_extract(y, '([0-9]+)', 1) <> '' THEN CAST(regexp_extract(y, '([0-9]+)', 1) AS INTEGER) END AS year FROM w WHERE title IS NOT NULL""")
+@query(f"""WITH w AS (SELECT source_file_id, max(value) FILTER (field = 'title') AS title, max(value) FILTER (field = 'author') AS author, max(value) FILTER (field = 'editor') AS editor, max(value) FILTER (field = 'publisher') AS publisher, max(value) FILTER (field = 'publication_year') AS y, max(value) FILTER (field = 'language') AS l FROM {_BEST} WHERE status = 'approved' GROUP BY source_file_id)
+    SELECT source_file_id, title, author, publisher, CASE WHEN l IN ('ar', 'ur', 'en', 'other') THEN l END AS language, CASE WHEN regexp_extract(y, '([0-9]+)', 1) <> '' THEN CAST(regexp_extract(y, '([0-9]+)', 1) AS INTEGER) END AS year,
+    nullif(concat_ws(' ', CASE WHEN regexp_extract(y, '([0-9]+)', 1) <> '' AND contains(y, '(AH)') THEN 'publication year as printed (Hijri)' END, 'editor: ' || editor), '') AS notes FROM w WHERE title IS NOT NULL""")
 def publish_catalog(spark, sf):
-    return corpus.publish(corpus.merge_candidates(_facts(spark, sf))).select("source_file_id", "title", "author", "publisher", "year")
+    return corpus.publish(corpus.merge_candidates(_facts(spark, sf))).select("source_file_id", "title", "author", "publisher", "language", "year", "notes")
 
 
 @query("SELECT field, confidence, source, count(*) AS n FROM (SELECT DISTINCT * FROM metadata_candidates) GROUP BY ALL")
@@ -233,3 +234,52 @@ def chunk_totals(spark, sf):
     r = table(spark, sf, "chunk_results").filter("error is null").select("book_id", "chunk_count", "token_total").distinct()
     c = chunks(spark, sf).groupBy("book_id").agg(F.count(F.lit(1)).alias("found"), F.sum("token_count").alias("found_tokens"))
     return r.join(c, "book_id", "left").select("book_id", "chunk_count", "found", "token_total", "found_tokens", F.col("token_total").eqNullSafe(F.col("found_tokens")).alias("fits"))
+
+
+@query("""WITH n AS (SELECT DISTINCT value AS name FROM metadata_candidates WHERE field = 'publisher' AND value IS NOT NULL), e AS (SELECT trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-')[:64] AS code, min(name) AS name FROM n WHERE lower(name) < 'm' GROUP BY 1 HAVING code <> ''),
+    w AS (SELECT name, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-')[:64] AS slug FROM n WHERE name NOT IN (SELECT name FROM e)), c AS (SELECT CASE WHEN slug <> '' THEN slug ELSE name END AS code, name FROM w)
+    SELECT code, name FROM e UNION ALL SELECT code, min(name) FROM c WHERE code NOT IN (SELECT code FROM e) GROUP BY code""")
+def category_dimension(spark, sf):
+    names = _facts(spark, sf).filter("field = 'publisher' and value is not null").select(F.col("value").alias("name")).distinct()
+    old = names.filter("lower(name) < 'm'").groupBy(tx.slug(F.col("name")).alias("code")).agg(F.min("name").alias("name")).filter("code <> ''")
+    return corpus.get_or_create_category(old, names)
+
+
+@query("""WITH o AS (SELECT DISTINCT id, source_file_id, field, value, uncertain, status, source FROM metadata_candidates), n AS (SELECT id, source_file_id, field, value, false AS uncertain, source FROM o WHERE ascii(right(id, 1)) % 3 <> 0)
+    SELECT n.id, n.uncertain OR coalesce(p.uncertain, false) AS uncertain, coalesce(p.status, CASE WHEN n.source = 'user_provided' THEN 'approved' ELSE 'review' END) AS status FROM n LEFT JOIN (SELECT * FROM o WHERE ascii(right(id, 1)) % 2 = 0) p ON n.id = p.id""")
+def stale_candidates(spark, sf):
+    """A second extraction that misses some facts and finds others anew."""
+    rows = table(spark, sf, "metadata_candidates").select("id", "source_file_id", "field", "value", "uncertain", "status", "source").distinct()
+    last = F.ascii(F.right("id", F.lit(1)))
+    new = rows.filter(last % 3 != 0).drop("status").withColumn("uncertain", F.lit(False))
+    return corpus.upsert_candidates(rows.filter(last % 2 == 0), new, ["id"]).select("id", "uncertain", "status")
+
+
+@query(f"""WITH d AS (SELECT source_file_id, CASE ascii(right(source_file_id, 1)) % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' ELSE 'correct' END AS action FROM (SELECT DISTINCT source_file_id FROM metadata_candidates))
+    SELECT b.source_file_id, b.field, CASE WHEN b.field = 'title' AND action = 'correct' THEN 'mended' ELSE b.value END AS value, CASE WHEN b.field <> 'title' THEN b.status WHEN action = 'reject' THEN 'rejected' ELSE 'approved' END AS status FROM {_BEST} b JOIN d USING (source_file_id)""")
+def review_decisions(spark, sf):
+    best = corpus.merge_candidates(_facts(spark, sf))
+    what = F.element_at(F.array(*map(F.lit, ["approve", "reject", "correct"])), (F.ascii(F.right("source_file_id", F.lit(1))) % 3 + 1).cast("int"))
+    decisions = best.select("source_file_id").distinct().select("source_file_id", F.lit("title").alias("field"), what.alias("action"), F.lit("mended").alias("new_value"))
+    return corpus.apply_decisions(best, decisions).select("source_file_id", "field", "value", "status")
+
+
+@query("""SELECT id, 'title' AS field, title AS value, 'high' AS confidence FROM (SELECT DISTINCT id, trim(title) AS title FROM books) WHERE title <> '' UNION ALL SELECT id, 'description', subtitle, 'medium' FROM (SELECT DISTINCT id, trim(subtitle) AS subtitle FROM books) WHERE subtitle <> ''""")
+def document_info(spark, sf):
+    info = table(spark, sf, "books").select("id", "title", F.lit("").alias("author"), F.col("subtitle").alias("subject")).distinct()
+    return corpus.unpivot_info(info, "id")
+
+
+@query("""SELECT doc_id, CAST(sum(c) AS DOUBLE) / count(*) AS confidence FROM (SELECT doc_id, (length(w) * 17) % 101 AS c FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM documents WHERE text IS NOT NULL)) WHERE c >= 0 GROUP BY doc_id""")
+def ocr_word_confidence(spark, sf):
+    """As if every word had been recognised with a confidence by its length."""
+    words = table(spark, sf, "documents").select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("word"))
+    return corpus.word_confidence(words.withColumn("confidence", ((F.length("word") * 17) % 101).cast("double")), ["doc_id"])
+
+
+@query("""WITH p AS (SELECT book_id AS file, CASE WHEN doc_id % 4 = 0 THEN 'failed' WHEN doc_id % 4 = 1 THEN 'review' ELSE 'ok' END AS status, CASE WHEN doc_id % 4 <> 0 THEN CAST(doc_id % 100 AS DOUBLE) END AS confidence FROM documents WHERE book_id IS NOT NULL)
+    SELECT file, count(*) FILTER (status = 'ok') AS ocr, count(*) FILTER (status = 'review') AS review, count(*) FILTER (status = 'failed') AS failed, round(avg(confidence), 4) AS mean_confidence FROM p GROUP BY file""")
+def ocr_rollup(spark, sf):
+    d = F.col("doc_id") % 4
+    p = table(spark, sf, "documents").filter("book_id is not null").select(F.col("book_id").alias("file"), F.when(d == 0, "failed").when(d == 1, "review").otherwise("ok").alias("status"), F.when(d != 0, (F.col("doc_id") % 100).cast("double")).alias("confidence"))
+    return corpus.ocr_rollup(p)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as tx
 from corpusloom.operators import corpus, fulltext, library, structure, vectors
 from corpusloom.plans.corpus_queries import _PAGES, _pages
 from corpusloom.plans.registry import query
@@ -104,11 +105,49 @@ def books_by_pages(spark, sf):
     return page_of(books, library.sort_mode("pages"), 1, 15).select("id", "title", "page_count", F.col("position").cast("long").alias("position"))
 
 
-@query("SELECT b.language, t.field, count(*) AS n FROM (SELECT DISTINCT id, language, source_file_id FROM books) b JOIN (SELECT DISTINCT id, source_file_id, field FROM metadata_candidates) t ON b.source_file_id = t.source_file_id GROUP BY ALL")
+@query("SELECT language, field, count(*) AS n FROM (SELECT DISTINCT b.id, b.language, t.field FROM (SELECT DISTINCT id, language, source_file_id FROM books) b JOIN (SELECT DISTINCT source_file_id, field FROM metadata_candidates) t ON b.source_file_id = t.source_file_id) GROUP BY ALL")
 def books_by_fact(spark, sf):
+    """Books and fields as two sides of a many-to-many relation."""
     b = table(spark, sf, "books").select("id", "language", "source_file_id").distinct()
-    t = table(spark, sf, "metadata_candidates").select(F.col("id").alias("tid"), "source_file_id", "field").distinct()
-    return b.join(t, "source_file_id").groupBy("language", "field").agg(F.count(F.lit(1)).alias("n"))
+    t = table(spark, sf, "metadata_candidates").select("source_file_id", "field").distinct()
+    links = b.select("id", "source_file_id").join(t, "source_file_id")
+    return library.linked(b, links, t.select("field").distinct(), "id", "field").groupBy("language", "field").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _verses(spark, sf):
+    """Evaluation items as verses: the text as the original of every third, as its translation of all."""
+    i = F.col("item_id")
+    return table(spark, sf, "eval_items").select((i % 114 + 1).cast("int").alias("chapter"), i.cast("int").alias("verse"), F.when(i % 3 == 0, F.col("text")).alias("text"), F.col("text").alias("translation"), F.lit("T. R.").alias("translator"), F.col("lang").alias("language"))
+
+
+_WORDS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}]+')"
+_FOLD = "translate(nfc_normalize(regexp_replace({0}, '[\u0640\u064b-\u065f\u0670]', '', 'g')), 'ٱآأإى', 'ااااي')"
+
+
+@query(f"""WITH v AS (SELECT CAST(item_id % 114 + 1 AS VARCHAR) || ':' || item_id AS ref, item_id, text, lang FROM eval_items),
+    o AS (SELECT ref AS citation, text, 'ar' AS language, round(len(list_filter({_WORDS.format(_FOLD.format('text'))}, lambda t: t IN ('scribe', 'salt'))) * 0.1, 6) AS rank FROM v WHERE item_id % 3 = 0),
+    t AS (SELECT ref || ' (T. R.)' AS citation, text, lang AS language, round(len(list_filter({_WORDS.format('text')}, lambda t: t IN ('scribe', 'salt'))) * 0.1, 6) AS rank FROM v)
+    SELECT * FROM (SELECT * FROM o UNION ALL SELECT * FROM t) WHERE rank > 0 ORDER BY rank DESC, citation LIMIT 40""")
+def verse_search(spark, sf):
+    return library.verse_search(_verses(spark, sf), "scribe salt", limit=40)
+
+
+@query(f"""WITH r AS (SELECT split || ' #' || item_id AS citation, text, {_WORDS.format(_FOLD.format("text || ' ' || coalesce(question, '')"))} AS w FROM eval_items)
+    SELECT citation, text, round(len(list_filter(w, lambda t: t IN ('scribe', 'salt'))) * 0.1, 6) AS rank FROM r WHERE list_contains(w, 'scribe') OR list_contains(w, 'salt') ORDER BY rank DESC, citation LIMIT 30""")
+def report_search(spark, sf):
+    rows = table(spark, sf, "eval_items").select(F.col("split").alias("collection"), F.col("item_id").alias("number"), "text", F.col("question").alias("text_arabic"))
+    return library.report_search(rows, "scribe salt", limit=30)
+
+
+@query(f"SELECT count(DISTINCT w) AS words, count(*) AS places FROM (SELECT unnest({_WORDS.format('text')}) AS w FROM documents)")
+def distinct_terms(spark, sf):
+    words = table(spark, sf, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("w"))
+    return words.agg(F.countDistinct("w").alias("words"), F.count(F.lit(1)).alias("places"))
+
+
+@query(r"SELECT p_partkey, regexp_matches(upper(left(p_name, 2)), '^(M{0,3})(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$') AS roman FROM part")
+def roman_numerals(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", tx.is_roman(F.upper(F.left("p_name", F.lit(2)))).alias("roman"))
 
 
 @query("SELECT c.chunk_id, c.sequence FROM (SELECT chunk_id, sequence, source_file_id, row_number() OVER (PARTITION BY chunk_id ORDER BY updated_at DESC, id DESC) AS k FROM content_chunks) c WHERE k = 1 AND starts_with(source_file_id, 'sf-0000000') ORDER BY sequence, chunk_id LIMIT 30")

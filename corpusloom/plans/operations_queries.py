@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import operations
+from corpusloom.operators import corpus, library, operations
 from corpusloom.plans.registry import query
 from corpusloom.plans.retrieval_queries import CHUNKS, chunks
 from corpusloom.session import table
@@ -142,3 +142,21 @@ def review_queue(spark, sf):
 def books_cube(spark, sf):
     rows = table(spark, sf, "books").filter("category_id is not null and language is not null").select("id", "category_id", "language").distinct()
     return rows.cube("category_id", "language").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT book_id, title, book_id || '/' || coalesce(nullif(left(replace(title, ' ', '_'), 60), ''), left(book_id, 12)) || '.json' AS path FROM (SELECT DISTINCT id AS book_id, title FROM books)")
+def export_paths(spark, sf):
+    return operations.export_paths(table(spark, sf, "books").select(F.col("id").alias("book_id"), "title").distinct())
+
+
+@query("SELECT id FROM (SELECT DISTINCT id, created_at FROM books) ORDER BY created_at, id LIMIT 25")
+def batch_limit(spark, sf):
+    return corpus.batch(table(spark, sf, "books").select("id", "created_at").distinct(), 25).select("id")
+
+
+@query("SELECT o.o_orderkey AS id FROM orders o WHERE o.o_orderkey % 5 = 0 OR o.o_orderkey % 3 <> 0")
+def text_layer(spark, sf):
+    """Orders as files: those divisible by 5 were never inspected, of the others those divisible by 3 have no text."""
+    files = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    jobs = files.filter("id % 5 <> 0").select("id", F.concat(F.lit('{"text_pages": '), F.when(F.col("id") % 3 == 0, "0").otherwise("4"), F.lit("}")).alias("manifest"))
+    return library.text_layer(files, jobs, "id")

@@ -30,9 +30,13 @@ def html_text(c):
 
 
 def read_page_folder(spark: SparkSession, path: str) -> DataFrame:
-    """``(page, text, quality)`` of an extracted book: its index.json, so that blank pages stay, as ''."""
+    """``(page, text, quality)`` of an extracted book: by its index.json, so that blank pages stay, as ''; without one
+    the pages that are there, by the numbers of their files, of unknown quality."""
+    texts = read_texts(spark, f"{path}/pages").select(F.regexp_extract("path", "([0-9]+)\\.txt$", 1).try_cast("int").alias("page"), "text").filter("page is not null")
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/index.json")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return texts.withColumn("quality", F.lit(None).cast("string"))
     index = spark.read.option("multiLine", "true").json(f"{path}/index.json").select(F.explode("page_files").alias("p")).select(F.col("p.page").cast("int").alias("page"), F.col("p.quality").alias("quality"))
-    texts = read_texts(spark, f"{path}/pages").select(F.regexp_extract("path", "([0-9]+)\\.txt$", 1).cast("int").alias("page"), "text")
     return index.join(texts, "page", "left").select("page", F.coalesce("text", F.lit("")).alias("text"), "quality")
 
 
@@ -80,3 +84,22 @@ def write_pages(pages: DataFrame, path: str) -> None:
     """Good pages as Parquet by book, and an index of all with their sizes and quality."""
     pages.filter("quality = 'ok'").write.mode("overwrite").partitionBy("book_id").parquet(f"{path}/pages")
     pages.select("book_id", "page", F.length("text").alias("chars"), "quality").write.mode("overwrite").parquet(f"{path}/index")
+
+
+def render_pages(files: DataFrame, render: Callable[[bytes, int], bytes], pages: DataFrame) -> DataFrame:
+    """``(path, page, image, error)`` of the pages asked for, ``(path, page)``, through any renderer of a file's content
+    and a page number; a failure is a row. The pages of a file are rendered where its content is."""
+    wanted = pages.groupBy("path").agg(F.sort_array(F.collect_set("page")).alias("pages"))  # numbers only
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for path, content, asked in zip(rows["path"], rows["content"], rows["pages"]):
+                for page in asked:
+                    try:
+                        out.append((path, int(page), render(bytes(content), int(page)), None))
+                    except Exception as e:
+                        out.append((path, int(page), None, str(e)))
+            yield pd.DataFrame(out, columns=["path", "page", "image", "error"])
+
+    return files.join(wanted, "path").select("path", "content", "pages").mapInPandas(run, "path string, page int, image binary, error string")
