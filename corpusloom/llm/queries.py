@@ -139,11 +139,16 @@ def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: shipped(f) for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
+    from corpusloom.llm import properties
+
+    every = globals() | vars(properties)
+    return {name: shipped(f) for name, f in every.items() if name[0] == "p" and name[1].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL where SQL can say it; the others are tested against brute force, round trips or held-out rows."""
+    from corpusloom.llm import properties
+
     points = " + ".join(
         f"CASE WHEN n > 1 THEN (n - CASE WHEN {s} IS NULL THEN (n + 1) / 2.0 ELSE rank() OVER (PARTITION BY query_id ORDER BY {s} DESC NULLS LAST)"
         f" + (count(*) OVER (PARTITION BY query_id, {s}) - 1) / 2.0 END) / (n - 1) ELSE 0.5 END"
@@ -154,7 +159,7 @@ def oracle_sql() -> dict[str, str]:
         c AS (SELECT *, count(*) OVER (PARTITION BY query_id) n FROM h),
         p AS (SELECT query_id, chunk_id, round({points}, 9) points FROM c)
         SELECT query_id, chunk_id, points, row_number() OVER (PARTITION BY query_id ORDER BY points DESC, chunk_id) AS position FROM p"""
-    return {
+    return properties.oracle_sql() | {
         "p1_found": """
             SELECT chunk_id FROM (SELECT chunk_id, language, text, row_number() OVER (PARTITION BY chunk_id ORDER BY updated_at DESC, text DESC) k FROM content_chunks)
             WHERE k = 1 AND ceil(length(text) / CASE WHEN language IN ('ar', 'ur') THEN 3.0 ELSE 4.0 END) > 512""",
