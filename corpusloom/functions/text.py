@@ -134,6 +134,13 @@ def language_code(c: Column) -> Column:
     return F.when(name.isin("ar", "ara", "arabic"), "ar").when(name.isin("ur", "urd", "urdu"), "ur").when(name.isin("en", "eng", "english"), "en").otherwise("other")
 
 
+def search_config(language: Column) -> Column:
+    """The analyser of a language code: arabic, english or simple. All three cut words alike here; stemming, which
+    tells them apart elsewhere, is a plug-in."""
+    code = F.lower(language)
+    return F.when(code == "ar", "arabic").when(code == "en", "english").otherwise("simple")
+
+
 def token_estimate(c: Column, language: Column) -> Column:
     """At least 1: code points over 3 for Arabic and Urdu, over 4 else, rounded up."""
     return F.greatest(F.lit(1), F.ceil(F.length(c) / F.when(language.isin("ar", "ur"), 3).otherwise(4))).cast("long")

@@ -130,3 +130,11 @@ def export_paths(books: DataFrame) -> DataFrame:
     most, in a folder of its id, so that equal titles do not overwrite each other."""
     stem = F.coalesce(F.nullif(F.left(F.translate("title", " ", "_"), F.lit(60)), F.lit("")), F.left("book_id", F.lit(12)))
     return books.select("book_id", "title", F.concat("book_id", F.lit("/"), stem, F.lit(".json")).alias("path"))
+
+
+def recent_calls(events: DataFrame, by: str, at: str = "ts", seconds: int = 60) -> DataFrame:
+    """Adds ``recent``: how many calls of the same caller, itself included, came in the last so many seconds, those
+    exactly so long ago not counted. A caller's calls are one partition, sorted, of which a window is held."""
+    now = F.unix_micros(F.col(at).cast("timestamp"))
+    w = Window.partitionBy(by).orderBy(now).rangeBetween(-seconds * 1_000_000 + 1, Window.currentRow)
+    return events.withColumn("recent", F.count(F.lit(1)).over(w))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as tx
 from corpusloom.operators import fulltext
 
-BUCKETS = 64
+#: Folders of the index; within one, files and row groups are ranges of words, which their statistics rule out.
+BUCKETS = 16
 
 
 def bucket_of(term: Column) -> Column:
@@ -21,11 +22,13 @@ def _bucket(term: str) -> int:
     return zlib.crc32(term.encode()) % BUCKETS
 
 
-def postings(docs: DataFrame, *, key: str, text: Column, language: Column) -> DataFrame:
-    """``(bucket, term, key, pos)``: a row for each word of each document, folded by its language.
+def postings(docs: DataFrame, *, key: str, text: Column, language: Column, title: Column | None = None) -> DataFrame:
+    """``(bucket, term, key, pos)``: a row for each word of each document, its title before its text, folded by its
+    language.
 
     Null and empty texts have none; documents that repeat a key add up. No shuffle.
     """
+    text = text if title is None else F.concat(F.coalesce(title, F.lit("")), F.lit(" "), text)
     words = docs.select(F.col(key).alias("key"), F.posexplode(tx.tokens(fulltext.content_fold(text, language))).alias("pos", "term"))
     return words.select(bucket_of(F.col("term")).alias("bucket"), "term", "key", (F.col("pos") + 1).alias("pos"))
 

@@ -160,3 +160,8 @@ def text_layer(spark, sf):
     files = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
     jobs = files.filter("id % 5 <> 0").select("id", F.concat(F.lit('{"text_pages": '), F.when(F.col("id") % 3 == 0, "0").otherwise("4"), F.lit("}")).alias("manifest"))
     return library.text_layer(files, jobs, "id")
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) AS recent FROM events")
+def calls_in_last_minute(spark, sf):
+    return operations.recent_calls(table(spark, sf, "events"), "event_type").select("event_id", "recent")

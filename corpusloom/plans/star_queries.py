@@ -44,13 +44,18 @@ def catalog(spark: SparkSession, sf: str) -> stars.Catalog:
 
 
 def _index(spark: SparkSession, sf: str) -> DataFrame:
-    """The postings of all chunks, written to the shared folder and read back."""
+    """The postings of all chunks with the titles of their books, written to the shared folder and read back."""
     path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    postings.write_index(postings.postings(chunks(spark, sf), key="chunk_id", text=F.col("text"), language=F.col("language")), path)
+    titles = table(spark, sf, "books").select(F.col("id").alias("book_id"), F.col("title")).distinct()
+    rows = chunks(spark, sf).select("chunk_id", "book_id", "text", "language").join(titles, "book_id", "left")
+    postings.write_index(postings.postings(rows, key="chunk_id", text=F.col("text"), language=F.col("language"), title=F.col("title")), path)
     return postings.read_index(spark, path)
 
 
-@query(f"SELECT term, count(DISTINCT chunk_id) AS documents, count(*) AS places FROM (SELECT chunk_id, unnest({TOKENS.format('(' + _FOLDED + ')')}) AS term FROM {CHUNKS}) GROUP BY term")
+_TITLED = f"(SELECT c.* EXCLUDE (text), c.text AS body, coalesce(b.title, '') || ' ' || c.text AS text FROM {CHUNKS} c LEFT JOIN (SELECT DISTINCT id, title FROM books) b ON c.book_id = b.id)"
+
+
+@query(f"SELECT term, count(DISTINCT chunk_id) AS documents, count(*) AS places FROM (SELECT chunk_id, unnest({TOKENS.format('(' + _FOLDED + ')')}) AS term FROM {_TITLED}) GROUP BY term")
 def index_documents(spark, sf):
     return postings.index_counts(_index(spark, sf))
 
@@ -59,8 +64,8 @@ _PLACE = f"JOIN {_BOOKS} b ON h.book_id = b.book_id LEFT JOIN {_CHAPTERS} ch ON
 _PAGE = "coalesce(nullif(h.page_start, 0), h.page_end)"
 
 
-@query(f"""WITH t AS (SELECT *, {TOKENS.format('(' + _FOLDED + ')')} AS tokens FROM {CHUNKS} WHERE language = 'en'), h AS (SELECT *, round(len(list_filter(tokens, lambda t: t IN ('merchant', 'salt'))) * 0.1, 6) AS rank FROM t)
-    SELECT 'content' AS domain, rank, h.chunk_id, h.text, b.title AS book, b.author, b.category, ch.chapter, se.section, {_PAGE} AS page, h.language, h.book_id, h.chapter_id, h.section_id, b.file_id, b.sha256, b.format, h.chunk_id AS citation
+@query(f"""WITH t AS (SELECT *, {TOKENS.format('(' + _FOLDED + ')')} AS tokens FROM {_TITLED} WHERE language = 'en'), h AS (SELECT *, round(len(list_filter(tokens, lambda t: t IN ('merchant', 'salt'))) * 0.1, 6) AS rank FROM t)
+    SELECT 'content' AS domain, rank, h.chunk_id, h.body AS text, b.title AS book, b.author, b.category, ch.chapter, se.section, {_PAGE} AS page, h.language, h.book_id, h.chapter_id, h.section_id, b.file_id, b.sha256, b.format, h.chunk_id AS citation
     FROM h {_PLACE} WHERE rank > 0 AND b.format = 'pdf' ORDER BY rank DESC, h.chunk_id LIMIT 50""")
 def content_star(spark, sf):
     return stars.content_search(_index(spark, sf), chunks(spark, sf), catalog(spark, sf), "Merchant salt", scope=stars.Scope(language="en", source_format="pdf"), limit=50)
@@ -114,7 +119,7 @@ def chunk_citations(spark, sf):
     return stars.citations(chunks(spark, sf), catalog(spark, sf))
 
 
-@query(f"""WITH t AS (SELECT chunk_id, {TOKENS.format('(' + _FOLDED + ')')} AS tokens FROM {CHUNKS}), h AS (SELECT chunk_id, round(len(list_filter(tokens, lambda t: t IN ('scribe', 'ledger'))) * 0.1, 6) AS rank FROM t), f AS (SELECT * FROM h WHERE rank > 0 ORDER BY rank DESC, chunk_id LIMIT 30),
+@query(f"""WITH t AS (SELECT chunk_id, {TOKENS.format('(' + _FOLDED + ')')} AS tokens FROM {_TITLED}), h AS (SELECT chunk_id, round(len(list_filter(tokens, lambda t: t IN ('scribe', 'ledger'))) * 0.1, 6) AS rank FROM t), f AS (SELECT * FROM h WHERE rank > 0 ORDER BY rank DESC, chunk_id LIMIT 30),
     v AS (SELECT v.chunk_id, round(list_cosine_similarity(CAST(v.vector AS DOUBLE[]), CAST({_ASKED} AS DOUBLE[])), 6) AS score FROM {_VECTORS} v JOIN (SELECT chunk_id FROM {CHUNKS}) c ON v.chunk_id = c.chunk_id WHERE v.model_name = 'hash-grams' AND v.model_version = (SELECT max(model_version) FROM {_VECTORS} WHERE model_name = 'hash-grams') AND len(v.vector) = 64 AND {_FINITE} ORDER BY score DESC, v.chunk_id LIMIT 30),
     m AS (SELECT coalesce(f.chunk_id, v.chunk_id) AS chunk_id, f.rank / (SELECT max(rank) FROM f) AS fts, v.score AS vec FROM f FULL JOIN v ON f.chunk_id = v.chunk_id)
     SELECT m.chunk_id, round(fts, 6) AS fts, round(vec, 6) AS vec, round(0.5 * coalesce(fts, 0) + 0.5 * coalesce(vec, 0), 9) AS score, concat_ws('+', CASE WHEN fts IS NOT NULL THEN 'fts' END, CASE WHEN vec IS NOT NULL THEN 'vector' END) AS retrievers, b.title AS book, b.category, h.language, {_PAGE} AS page

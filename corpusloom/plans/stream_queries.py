@@ -19,6 +19,12 @@ def stream_rate_windows(spark, sf):
     return streams.drain(streams.rate_windows(streams.source(spark, f"{sf}/events.parquet")), "complete")
 
 
+@query("SELECT window_start, count(*) AS n FROM (SELECT time_bucket(INTERVAL '20 seconds', ts) - INTERVAL '20 seconds' * unnest([0, 1, 2]) AS window_start FROM events) GROUP BY window_start")
+def stream_sliding_quota(spark, sf):
+    """Calls of every 60 seconds, each 20 seconds anew."""
+    return streams.drain(streams.rate_windows(streams.source(spark, f"{sf}/events.parquet"), slide="20 seconds"), "complete")
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_first_seen(spark, sf):
     return streams.drain(streams.first_seen(streams.source(spark, f"{sf}/events.parquet"), ["user_id", "event_type"]).select("user_id", "event_type"), "append")

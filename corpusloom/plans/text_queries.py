@@ -169,3 +169,8 @@ def clean_values(spark, sf):
 def language_aliases(spark, sf):
     rows = table(spark, sf, "search_hits").select(F.col("language").alias("label"), F.coalesce(tx.language_code(F.col("language")), F.lit("other")).alias("code"))
     return rows.groupBy("label", "code").count().withColumnRenamed("count", "n")
+
+
+@query("SELECT label, CASE lower(label) WHEN 'ar' THEN 'arabic' WHEN 'en' THEN 'english' ELSE 'simple' END AS config, count(*) AS n FROM (SELECT language AS label FROM search_hits) GROUP BY ALL")
+def search_configs(spark, sf):
+    return table(spark, sf, "search_hits").groupBy(F.col("language").alias("label"), tx.search_config(F.col("language")).alias("config")).agg(F.count(F.lit(1)).alias("n"))

@@ -49,9 +49,9 @@ def counters(events: DataFrame, by: list[str]) -> DataFrame:
     return events.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def rate_windows(events: DataFrame, length: str = "60 seconds", late: str = "10 minutes") -> DataFrame:
-    """Calls per window, for a quota; windows close when the watermark has passed."""
-    w = F.window("ts", length)
+def rate_windows(events: DataFrame, length: str = "60 seconds", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """Calls per window, for a quota; windows follow each other, or slide, and close when the watermark has passed."""
+    w = F.window("ts", length, slide) if slide else F.window("ts", length)
     return events.withWatermark("ts", late).groupBy(w).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("window_start"), "n")
 
 

@@ -294,6 +294,28 @@ def test_answer(spark):
     assert answering.answer(spark, "salt", chunks, embedded=embedded)["sources"][0] == "b"
 
 
+def test_any_backend_answers(spark):
+    rows = [("a", 0.9, "The well."), ("b", 0.2, "Salt."), (None, 0.8, "no id"), ("c", 0.7, " ")]
+    stub = answering.Backend(lambda question, limit: spark.createDataFrame(rows, "chunk_id string, score double, text string"))
+    got = stub.retrieve("well", answering.AnswerConfig(min_score=0.5)).collect()
+    assert [(r["chunk_id"], r["source_no"]) for r in got] == [("a", 1)]
+
+
+def test_page_images_and_folders_without_an_index(spark, tmp_path):
+    def render(content, page):
+        if page == 2:
+            raise ValueError("no such page")
+        return content + bytes([page])
+
+    made = spark.createDataFrame([("f", bytearray(b"x")), ("g", bytearray(b"y"))], "path string, content binary")
+    got = files.render_pages(made, render, spark.createDataFrame([("f", 1), ("f", 2), ("f", 1)], "path string, page int")).orderBy("page").collect()
+    assert [(r["page"], bytes(r["image"]) if r["image"] else None, r["error"]) for r in got] == [(1, b"x\x01", None), (2, None, "no such page")]
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages" / "0007.txt").write_text("seven")
+    (tmp_path / "pages" / "notes.txt").write_text("no page")
+    assert [(r["page"], r["text"], r["quality"]) for r in files.read_page_folder(spark, str(tmp_path)).collect()] == [(7, "seven", None)]
+
+
 def test_ledger_pending_and_audit(spark):
     old = spark.createDataFrame([("a", "failed", 1), ("b", "succeeded", 1)], "source string, status string, version int")
     new = spark.createDataFrame([("a", "succeeded", 2)], "source string, status string, version int")
