@@ -135,6 +135,44 @@ def toc_pages(spark, sf):
     return structure.toc_pages(table(spark, sf, "documents").select("doc_id", F.lit(1).alias("page"), "text"), "doc_id")
 
 
+_HEADINGS = [
+    ("appendix", 1, "الملحق|ملحق|المستدرك|ضميمہ|ضميمه|ضمیمہ|appendix|annexe|annex"),
+    ("references", 1, "المراجع|المصادر|الفهارس|المصادر والمراجع|فهرست المراجع|فهرست|bibliography|references|حوالہ جات|حوالي|ذخائر"),
+    ("chapter", 1, "الباب|باب|الكتاب|كتاب|المجلد|الجزء|جزء|القسم|بخش|part|chapter"),
+    ("section", 2, "الفصل|فصل|مطلب|مبحث|عنوان|section|سبق"),
+    ("subsection", 3, "المسألة|المسئلة|مسألة|مسئلة|مسئله|مسئلہ|الفرع|فرع|subsection|ذيل"),
+]
+_STRUCTURAL = "lower(translate(regexp_replace(nfc_normalize({0}), '[\u0640\u064b-\u065f\u0670\u06d6-\u06ed]', '', 'g'), 'أإآٱةۀیئؤکھہۃ', 'ااااههييوكههه'))"
+
+
+def _opens(words: str) -> str:
+    return f"regexp_matches({_STRUCTURAL.format('line')}, '^(' || {_STRUCTURAL.format(repr(words))} || ')($|[^\\p{{L}}\\p{{N}}])')"
+
+
+_DOTTED = "regexp_extract(translate(line, '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789'), '^[0-9]+([.][ ]*[0-9]+)+')"
+_KIND = "CASE " + " ".join(f"WHEN {_opens(w)} THEN '{k}'" for k, _, w in _HEADINGS) + f" WHEN {_DOTTED} <> '' THEN 'numbered' END"
+_LEVEL = "CASE " + " ".join(f"WHEN {_opens(w)} THEN {n}" for _, n, w in _HEADINGS) + f" WHEN {_DOTTED} <> '' THEN CASE WHEN length({_DOTTED}) - length(replace({_DOTTED}, '.', '')) >= 2 THEN 3 ELSE 2 END END"
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, line_no, level, kind FROM (SELECT doc_id, line_no, {_KIND} AS kind, {_LEVEL} AS level FROM ({_LINES}) WHERE length(line) <= 500) WHERE kind IS NOT NULL")
+def heading_lines(spark, sf):
+    """Which lines are headings, of what kind and level."""
+    return structure.headings(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "line_no", "level", "kind")
+
+
+@query(f"""WITH l AS (SELECT d.book_id, l.line, {_KIND} AS kind FROM ({_LINES}) l JOIN documents d ON d.doc_id = l.doc_id WHERE d.book_id IS NOT NULL)
+    SELECT book_id, count(*) AS lines, sum(length(line)) AS chars FROM l WHERE NOT {_IS_NUMBER} AND book_id NOT IN (SELECT book_id FROM l WHERE kind IS NOT NULL) GROUP BY book_id""")
+def structure_lines(spark, sf):
+    """Every line of a book's pages is in one of its blocks, but for page numbers; of books without headings, whose
+    titles cannot be left out as repeated."""
+    docs = table(spark, sf, "documents").filter("book_id is not null")
+    titled = structure.headings(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    books = docs.join(titled, "doc_id", "left_semi").select("book_id").distinct()
+    pages = docs.select("book_id", F.coalesce("page_number", F.lit(0)).alias("page"), "text").join(books, "book_id", "left_anti")
+    lines = structure.structure_books(pages).select("book_id", F.explode(tx.lines_of(F.col("text"))).alias("line")).select("book_id", tx.strip(F.col("line")).alias("line"))
+    return lines.groupBy("book_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"))
+
+
 @query()
 def document_headings(spark, sf):
     return structure.headings(table(spark, sf, "documents"), "doc_id", "text")
