@@ -104,7 +104,7 @@ def p6_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_documents(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _p6_rows(spark, sf).distinct()
+    rows = _p6_rows(spark, sf)  # copies of a row change no share
     return languages.document_languages(languages.segments(rows, languages.train_from(rows, text="text", label="label")))
 
 
