@@ -161,7 +161,7 @@ def heading_lines(spark, sf):
 
 
 @query(f"""WITH l AS (SELECT d.book_id, l.line, {_KIND} AS kind FROM ({_LINES}) l JOIN documents d ON d.doc_id = l.doc_id WHERE d.book_id IS NOT NULL)
-    SELECT book_id, count(*) AS lines, sum(length(line)) AS chars FROM l WHERE NOT {_IS_NUMBER} AND book_id NOT IN (SELECT book_id FROM l WHERE kind IS NOT NULL) GROUP BY book_id""")
+    SELECT book_id, count(*) AS lines, sum(length(line)) AS chars FROM l WHERE NOT {_IS_NUMBER} AND book_id NOT IN (SELECT book_id FROM l WHERE kind IS NOT NULL AND length(line) <= 500) GROUP BY book_id""")
 def structure_lines(spark, sf):
     """Every line of a book's pages is in one of its blocks, but for page numbers; of books without headings, whose
     titles cannot be left out as repeated."""
