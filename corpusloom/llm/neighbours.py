@@ -112,43 +112,53 @@ def _fit(x: np.ndarray, n: int, leaf_rows: int, first: int) -> Tree:
 
 
 def valid_vectors(df: DataFrame, *, key: str = "chunk_id", model: str = "model_name", vector: str = "vector", dimensions: str = "dimensions", version: str = "updated_at") -> DataFrame:
-    """``(_model, _key, _vector)``: of each model and key the latest vector, if it is valid.
+    """``(_model, _key, _version, _vector)``: all versions of the vectors of each model and key, null in place of an
+    invalid one. Of each key the latest version counts, and nothing if that is invalid.
 
     A valid vector has as many numbers as most rows of its model state in ``dimensions`` (nulls state
     nothing, of equal counts the larger; of a model without any, as most of its vectors have), all finite,
-    not all zero. Null keys and models have no vector. Equal versions: the greater vector.
+    not all zero. Null keys and models have no vector. Of equal versions the one with the greater hash of its
+    direction counts.
     """
-    rows = df.select(field(model).cast("string").alias("_model"), field(key).cast("string").alias("_key"), field(vector).cast("array<float>").alias("_vector"), field(dimensions).cast("int").alias("_d"), field(version).alias("_v"))
+    rows = df.select(field(model).cast("string").alias("_model"), field(key).cast("string").alias("_key"), field(vector).cast("array<float>").alias("_vector"), field(dimensions).cast("int").alias("_d"), field(version).alias("_version"))
     length = F.when(F.size("_vector") > 0, F.size("_vector"))
     said = rows.groupBy("_model", F.coalesce(F.col("_d"), length).alias("_size")).agg(F.count("_d").alias("_c"), F.count(F.lit(1)).alias("_n")).filter("_size is not null")
     sizes = said.groupBy("_model").agg(F.max(F.struct("_c", "_n", "_size")).alias("_m")).select(F.col("_model").alias("_sm"), F.col("_m._size").alias("_size"))
-    last = rows.filter("_key is not null and _model is not null").groupBy("_model", "_key").agg(F.max(F.struct("_v", "_vector")).alias("_m")).select("_model", "_key", F.col("_m._vector").alias("_vector"))
-    # a row for each embedding model, so that the vectors need not be brought together by model
-    ok = last.join(F.broadcast(sizes), F.col("_model").eqNullSafe(F.col("_sm"))).filter(F.size("_vector") == F.col("_size"))
     finite = F.forall("_vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return ok.filter(finite & F.exists("_vector", lambda x: x != 0)).select("_model", "_key", "_vector")
+    good = (F.size("_vector") == F.col("_size")) & finite & F.exists("_vector", lambda x: x != 0)
+    # a row for each embedding model, so that the vectors need not be brought together by model
+    all_rows = rows.filter("_key is not null and _model is not null").join(F.broadcast(sizes), F.col("_model") == F.col("_sm"), "left")
+    return all_rows.select("_model", "_key", "_version", F.when(good, F.col("_vector")).alias("_vector"))
 
 
 def _units(vectors: DataFrame) -> DataFrame:
-    """(_model, _key, _class, _unit): unit vectors, and a hash that equals for equal directions."""
+    """(_model, _key, _version, _class, _unit): unit vectors, and a hash that equals for equal directions; both null
+    where there is no vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(2)
-            sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, int)
+            lists = b.column(3)
+            there = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
+            classes, units = np.zeros(len(lists), np.int64), np.full(len(lists), None, object)
+            some = lists.take(pa.array(there))
+            sizes = np.diff(some.offsets.to_numpy()) if len(some) else np.zeros(0, int)
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                v = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+                v = some.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
                 v /= np.abs(v).max(axis=1, keepdims=True)
                 v /= np.linalg.norm(v, axis=1, keepdims=True)
                 coarse = np.round(v * 16384).astype(np.int64).view(np.uint64)
                 salt = np.random.default_rng(int(size)).integers(1, 1 << 63, int(size)).astype(np.uint64) | np.uint64(1)
                 h = (coarse * salt).sum(axis=1, dtype=np.uint64)
                 h ^= h >> np.uint64(31)
-                raw = v.astype(np.float32)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(h.view(np.int64)), pa.array([r.tobytes() for r in raw], pa.binary())], names=["_model", "_key", "_class", "_unit"])
+                classes[there[at]] = h.view(np.int64)
+                for i, r in zip(there[at], v.astype(np.float32)):
+                    units[i] = r.tobytes()
+            gone = ~lists.is_valid().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(classes, mask=gone), pa.array(units, pa.binary())], names=["_model", "_key", "_version", "_class", "_unit"])
 
-    return vectors.mapInArrow(run, "_model string, _key string, _class long, _unit binary")
+    kind = vectors.schema["_version"].dataType.simpleString()
+    return vectors.select("_model", "_key", "_version", "_vector").mapInArrow(run, f"_model string, _key string, _version {kind}, _class long, _unit binary")
 
 
 def _matrix(column: pa.Array, kind: type) -> np.ndarray:
@@ -324,18 +334,26 @@ def class_neighbours(classes: DataFrame, *, k: int = 5, min_cosine: float | None
     return _best(near.drop("_rank").unionByName(_search(classes, asked, trees, k, p, "away")), k)
 
 
-def _prepared(vectors: DataFrame, few: int = 100_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A stored frame, to be sent to all if it has at most so many rows, so that what it is joined with stays where
+    it is; a larger one is joined as Spark sees fit."""
+    stored = materialize(df)
+    return F.broadcast(stored) if stored.count() <= most else stored
+
+
+def _prepared(vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (_model, _class, _key) of all classes of directions, classes (_model, _class, _unit) and the members
-    of those of several (_model, _class, _key, _n). Only keys travel to find the copies; up to ``few`` of them, by
-    count, are then sent to all, so that the vectors stay where they are."""
-    units = materialize(_units(vectors))
-    members = units.select("_model", "_class", "_key")
-    several = members.groupBy("_model", "_class").agg(F.count(F.lit(1)).alias("_n"), F.min("_key").alias("_first")).filter("_n > 1")
-    shared = materialize(members.join(several, ["_model", "_class"]))
-    copies = shared.filter(F.col("_key") != F.col("_first")).select("_model", "_key")
-    copies = F.broadcast(copies) if copies.count() <= few else copies
-    classes = units.join(copies, ["_model", "_key"], "left_anti").select("_model", "_class", "_unit")
-    return members, classes, shared.drop("_first")
+    of those of several (_model, _class, _key, _n). Only keys travel, to find older versions and copies."""
+    units = materialize(_units(vectors).withColumn("_row", F.monotonically_increasing_id()))  # the ids are fixed with it
+    last = F.max(F.struct("_version", "_class", "_row")).alias("_m")
+    again = _few(units.groupBy("_model", "_key").agg(F.count(F.lit(1)).alias("_c"), last).filter("_c > 1").select("_model", "_key", F.col("_m._row").alias("_last")))
+    now = units.join(again, ["_model", "_key"], "left").filter("(_last is null or _row = _last) and _class is not null").select("_model", "_key", "_class", "_unit", "_row")
+    members = now.select("_model", "_class", "_key")
+    copies = now.groupBy("_model", "_class").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_key", "_row")).alias("_m")).filter("_n > 1").select("_model", "_class", "_n", F.col("_m._row").alias("_first"))
+    copies = _few(copies)
+    shared = members.join(copies, ["_model", "_class"]).select("_model", "_class", "_key", "_n")
+    classes = now.join(copies, ["_model", "_class"], "left").filter("_first is null or _row = _first").select("_model", "_class", "_unit")
+    return members, classes, shared
 
 
 def neighbours(vectors: DataFrame, *, k: int = 5, min_cosine: float | None = None, queries: DataFrame | None = None, p: float = 0.99, bucket: int = 10_000) -> DataFrame:
@@ -358,11 +376,13 @@ def neighbours(vectors: DataFrame, *, k: int = 5, min_cosine: float | None = Non
     o = several.select("_model", F.col("_class").alias("_p"), F.col("_n").alias("_pn"))
     sized = found.join(q, ["_model", "_q"], "left").join(o, ["_model", "_p"], "left").fillna(1, ["_qn", "_pn"])
     before = F.coalesce(F.sum("_pn").over(Window.partitionBy("_model", "_q").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    room = sized.withColumn("_room", k - (F.col("_qn") - 1) - before).filter("_room > 0").select("_model", "_q", "_p", "_cos", "_room")
-    w = Window.partitionBy("_model", "_class").orderBy("_key")
-    first = members.withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= k)
-    away = room.join(first.select("_model", F.col("_class").alias("_p"), F.col("_key").alias("_other"), "_at"), ["_model", "_p"]).filter(F.col("_at") <= F.col("_room"))
-    away = away.join(asked_members.select("_model", F.col("_class").alias("_q"), "_key"), ["_model", "_q"]).select("_model", "_key", "_other", "_cos")
+    room = _few(sized.withColumn("_room", k - (F.col("_qn") - 1) - before).filter("_room > 0").select("_model", "_q", "_p", "_cos", "_room"))
+    # the first members of the classes found; of a class of one, which most are, its only one
+    w = Window.partitionBy("_model", "_p").orderBy("_other")
+    wanted = _few(room.select("_model", "_p").distinct())
+    first = members.select("_model", F.col("_class").alias("_p"), F.col("_key").alias("_other")).join(wanted, ["_model", "_p"], "left_semi").withColumn("_at", F.row_number().over(w)).filter(F.col("_at") <= k)
+    away = _few(first).join(room, ["_model", "_p"]).filter(F.col("_at") <= F.col("_room"))
+    away = asked_members.select("_model", F.col("_class").alias("_q"), "_key").join(_few(away.select("_model", "_q", "_other", "_cos")), ["_model", "_q"]).select("_model", "_key", "_other", "_cos")
     # the own class
     own = shared.withColumn("_b", F.pmod(F.xxhash64("_key"), F.ceil(F.col("_n") / bucket)))
     w = Window.partitionBy("_model", "_class", "_b").orderBy("_key")
