@@ -229,41 +229,49 @@ def bands(similarity: float, recall: float, rows: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-def _keys(forms: list[str], n_bands: int, rows: int, q: int) -> list[np.ndarray]:
-    """Band hashes of the padded q-grams of each family name, mixed with the kind and the initial (vowels count as
-    one; several where the name can be short for several), a few hashes of the exact family name with what is left of the given name after one deletion at its
-    beginning, and one of all parts whatever their order."""
+def _family_keys(families: list[str], heads: list[str], n_bands: int, rows: int, q: int) -> np.ndarray:
+    """(families, bands): hashes of the padded q-grams of each family name, mixed with its head."""
     rng = np.random.default_rng(5)
     a = rng.integers(1, 1 << 63, n_bands * rows, dtype=np.int64).astype(np.uint64) | np.uint64(1)
     b = rng.integers(0, 1 << 63, n_bands * rows, dtype=np.int64).astype(np.uint64)
-    grams, sizes, heads, form_of, extra = [], [], [], [], []
-    for f in forms:
-        kind, given, others, family = f.split(SEPARATE)
+    grams, sizes = [], []
+    for family in families:
         w = "#" * (q - 1) + family + "#" * (q - 1)
         g = {w[i : i + q] for i in range(len(w) - q + 1)}
         grams += [zlib.crc32(x.encode()) for x in g]
         sizes.append(len(g))
-        firsts = {_initial(n) for n in (given, sound(given), *_names_of().get(given, ()))}
-        for first in sorted(firsts):
-            heads.append(zlib.crc32((kind + first + (others if kind == "o" else "")).encode()) << 20)
-            form_of.append(len(sizes) - 1)
-        left = [f"{family}/{given[:i] + given[i + 1 :]}" for i in range(2)] + [f"{family}/{given}"] if len(given) > 2 else []
-        parts = sorted(sound(t) for t in _parts_of(f)) if kind == "p" else []
-        extra.append([zlib.crc32(x.encode()) | 1 << 40 for x in left] + ([zlib.crc32(" ".join(parts).encode()) | 1 << 41] if len(parts) > 1 else []))
     h = np.array(grams, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    first, of = np.append(0, np.cumsum(sizes)[:-1]), np.array(form_of)
-    out = np.zeros((len(heads), n_bands), np.uint64)
+    first = np.append(0, np.cumsum(sizes)[:-1])
+    head = np.array([zlib.crc32(x.encode()) << 20 for x in heads], np.uint64)
+    out = np.zeros((len(families), n_bands), np.uint64)
     for k in range(n_bands):
-        out[:, k] = np.array(heads, np.uint64) + np.uint64(k)
+        out[:, k] = head + np.uint64(k)
         for r in range(rows):
             x = h * a[k * rows + r] + b[k * rows + r]
             low = np.minimum.reduceat(x ^ (x >> np.uint64(32)), first)
-            out[:, k] = (out[:, k] ^ low[of]) * np.uint64(0xBF58476D1CE4E5B9)
+            out[:, k] = (out[:, k] ^ low) * np.uint64(0xBF58476D1CE4E5B9)
             out[:, k] ^= out[:, k] >> np.uint64(29)
-    bands_of: list[list[np.ndarray]] = [[] for _ in forms]
-    for i, row in zip(form_of, out.view(np.int64)):
-        bands_of[i].append(row)
-    return [np.concatenate([*bands, np.array(e, np.int64)]) for bands, e in zip(bands_of, extra)]
+    return out.view(np.int64)
+
+
+def _heads(form: str) -> list[str]:
+    """Kind and initial under which a form is looked up (vowels count as one initial; several where the name sounds
+    otherwise or can be short for others); of an organisation its kind words."""
+    kind, given, others, _ = form.split(SEPARATE)
+    if kind == "o":
+        return [kind + others]
+    return sorted({kind + _initial(n) for n in (given, sound(given), *_names_of().get(given, ()))})
+
+
+def _own_keys(form: str) -> list[str]:
+    """Keys of a person's form that do not hang on the initial: the family name with what is left of the given name
+    after a deletion at its beginning, and all parts whatever their order."""
+    kind, given, _, family = form.split(SEPARATE)
+    if kind == "o":
+        return []
+    left = [f"{family}/{x}" for x in (given[1:], given[0] + given[2:], given)] if len(given) > 2 else []
+    parts = sorted(sound(t) for t in _parts_of(form))
+    return left + ([" ".join(parts)] if len(parts) > 1 else [])
 
 
 @F.pandas_udf(T.StringType())
@@ -293,43 +301,81 @@ def forms(names: DataFrame, column: str = "name") -> DataFrame:
     return rows.withColumn("form", _parsed("name")).filter("form is not null")
 
 
-def candidate_pairs(nodes: DataFrame, *, similarity: float = 0.38, recall: float = 0.98, rows: int = 3, q: int = 3, hot: int = 500) -> DataFrame:
-    """Distinct ``(a, b)``, a < b: forms that share a key.
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _letters(names: pd.Series) -> pd.Series:
+    """All that an initial can be to stand for a name."""
+    alike = {"o": "u", "u": "o", "i": "y", "y": "i", "k": "q", "q": "k"}
+    return names.map(lambda n: sorted({c for x in (n, *_names_of().get(n, ())) if x for c in (x[0], alike.get(x[0], x[0]))}))
+
+
+@F.pandas_udf(T.BooleanType())
+def _near_families(a: pd.Series, b: pd.Series) -> pd.Series:
+    def near(x: str, y: str) -> bool:
+        return edits(x, y) <= (1 if min(len(x), len(y)) >= 5 else 0)
+
+    return pd.Series([near(x.split(SEPARATE)[1].replace(" ", ""), y.split(SEPARATE)[1].replace(" ", "")) for x, y in zip(a, b)], dtype=bool)
 
-    The bands are as many as the collision curve asks for that ``recall`` at that ``similarity``, the one of
-    a short family name with one slip. Keys of more than ``hot`` forms are refined without loss: forms
-    with a full given name meet where it, its sound or its name is equal but for one letter, which is all that a slip allows; those
-    without one, as all organisations, where the family name or core is; only a bare initial meets all names
-    that begin like it, as it may stand for each.
+
+def _less_one(key: Column, c: Column) -> Column:
+    """The key with the name, and with the name less each one letter: names an edit apart share one."""
+    left = F.transform(F.sequence(F.lit(0), F.length(c)), lambda i: F.concat_ws("/", key, F.concat(F.substring(c, F.lit(1), i), F.substring(c, i + 2, F.length(c)))))
+    return F.explode(F.array_distinct(left)).alias("key")
+
+
+def _paired(cells: DataFrame) -> DataFrame:
+    a, b = cells.select("key", F.col("form").alias("a")), cells.select("key", F.col("form").alias("b"))
+    return a.join(b, "key").filter("a < b").select("a", "b")
+
+
+def candidate_pairs(nodes: DataFrame, *, similarity: float = 0.38, recall: float = 0.98, rows: int = 3, q: int = 3, hot: int = 500) -> DataFrame:
+    """Distinct ``(a, b)``, a < b: forms that may name one entity.
+
+    Family names (and cores of organisations) are banded, each distinct one once under each of its heads, by as many
+    bands as the collision curve asks for that ``recall`` at that ``similarity``, the one of a short family name with
+    one slip; pairs that meet and are an edit apart at most stand. Within a family name and between two of a pair,
+    forms with a full given name meet where it, its sound or its name is equal but for one letter, which is all that a
+    slip allows; a bare initial meets all names that begin like it, as it may stand for each; forms without given names
+    meet each other. So a family name with a third of all forms costs no more than its forms. Keys of more than
+    ``hot`` family names are refined without loss: there those meet that are equal but for one letter.
     """
     n = bands(similarity, recall, rows)
+    spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a name makes many keys, so small inputs are spread too
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(f, head + SEPARATE + f.split(SEPARATE)[3]) for f in batch["form"] for head in _heads(f)], columns=["form", "node"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def band(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield pd.DataFrame({"form": batch["form"], "key": _keys(list(batch["form"]), n, rows, q)}).explode("key").astype({"key": "int64"})
+                parts = [x.split(SEPARATE) for x in batch["node"]]
+                keys = _family_keys([p[1] for p in parts], [p[0] for p in parts], n, rows, q)
+                yield pd.DataFrame({"node": np.repeat(batch["node"].to_numpy(), n), "key": keys.ravel()})
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([(f, k) for f in batch["form"] for k in _own_keys(f)], columns=["form", "key"])
 
-    spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a form makes many keys, so small inputs are spread too
-    keyed = nodes.select("form").repartition(spread, "form").mapInPandas(run, "form string, key long").distinct()
+    placed = materialize(nodes.select("form").repartition(spread, "form").mapInPandas(place, "form string, node string"))
+    keyed = placed.select("node").distinct().repartition(spread, "node").mapInPandas(band, "node string, key long").distinct()
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     keyed = keyed.join(sizes, "key")
-    part = F.split("form", SEPARATE)
-    given, family = part[1], F.replace(part[3], F.lit(" "), F.lit(""))
-    cold, warm = keyed.filter(F.col("n") <= hot).select("form", F.col("key").cast("string").alias("key")), keyed.filter(F.col("n") > hot)
-
-    def less_one(c: Column) -> Column:
-        """The key with the name, and with the name less each one letter: names an edit apart share one."""
-        left = F.transform(F.sequence(F.lit(0), F.length(c)), lambda i: F.concat_ws("/", F.col("key").cast("string"), F.concat(F.substring(c, F.lit(1), i), F.substring(c, i + 2, F.length(c)))))
-        return F.explode(F.array_distinct(left)).alias("key")
-
-    full = warm.filter(F.length(given) > 1).select("form", "key", F.explode(_heard(given)).alias("heard"))
-    fine = full.select("form", less_one(F.col("heard"))).unionByName(warm.filter(F.length(given) == 0).select("form", less_one(family)))
-    cells = cold.unionByName(fine)
-    a, b = cells.withColumnRenamed("form", "a"), cells.withColumnRenamed("form", "b")
-    pairs = a.join(b, "key").filter("a < b").select("a", "b")
-    few, some = warm.filter(F.length(given) == 1), warm.filter(F.length(given) > 0)
-    rest = few.select("key", F.col("form").alias("a")).join(some.select("key", F.col("form").alias("b")), "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.unionByName(rest).distinct()
+    text = F.col("key").cast("string")
+    cells = keyed.filter(F.col("n") <= hot).select(F.col("node").alias("form"), text.alias("key")).unionByName(keyed.filter(F.col("n") > hot).select(F.col("node").alias("form"), _less_one(text, F.replace(F.split("node", SEPARATE)[1], F.lit(" "), F.lit("")))))
+    families = materialize(_paired(cells).distinct().filter(_near_families("a", "b")))
+    # every node with the pairs it is in, itself with itself among them
+    pair = F.md5(F.concat_ws("|", "a", "b")).alias("pair")
+    links = families.select(F.col("a").alias("node"), pair).unionByName(families.select(F.col("b").alias("node"), pair))
+    alone = placed.select("form", F.md5(F.concat_ws("|", "node", "node")).alias("pair"))
+    met = placed.join(links, "node").select("form", "pair").unionByName(alone).withColumn("given", F.split("form", SEPARATE)[1])
+    size = F.length("given")
+    full = met.filter(size > 1).select("form", "pair", F.explode(_heard("given")).alias("heard")).select("form", _less_one(F.col("pair"), F.col("heard")))
+    none = met.filter(size == 0).select("form", F.col("pair").alias("key"))
+    written = nodes.select("form").mapInPandas(own, "form string, key string")
+    few = met.filter(size == 1).select(F.concat_ws("/", "pair", "given").alias("key"), F.col("form").alias("a"))
+    some = met.filter(size > 0).select("pair", F.col("form").alias("b"), F.explode(_letters("given")).alias("letter")).select(F.concat_ws("/", "pair", "letter").alias("key"), "b")
+    rest = few.join(some, "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return _paired(full.unionByName(none).unionByName(written).distinct()).unionByName(rest).distinct()
 
 
 def star_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
