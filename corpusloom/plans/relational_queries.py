@@ -67,9 +67,15 @@ def distinct_extra(spark, sf):
 
 @query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, quantile_disc(l_quantity, 0.5) AS median, true AS parts_near, true AS median_near FROM lineitem GROUP BY l_returnflag")
 def approx_extra(spark, sf):
-    """Sketched counts and medians, and whether they are within 10 % and 1 of the exact ones."""
-    rows = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("a"), F.countDistinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("m"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_quantity)").alias("median"))
-    return rows.select("l_returnflag", "parts", "median", (F.abs(F.col("a") - F.col("parts")) <= 0.1 * F.col("parts")).alias("parts_near"), (F.abs(F.col("m") - F.col("median")) <= 1).alias("median_near"))
+    """Sketched counts and medians, and whether they are within 10 % and 1 of the exact ones (none within none).
+
+    The exact count has a branch of its own: in one with the others, each pair of flag and part would carry a sketch.
+    The sketch of ``approx_count_distinct`` (4.6 % standard error) misses 10 % too often; this one has 1.6 %."""
+    rows = table(spark, sf, "lineitem")
+    near = rows.groupBy("l_returnflag").agg(F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")).alias("a"), F.percentile_approx("l_quantity", 0.5).alias("m"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_quantity)").alias("median"))
+    exact = rows.groupBy(F.col("l_returnflag").alias("flag")).agg(F.countDistinct("l_partkey").alias("parts"))
+    both = near.join(exact, F.col("l_returnflag").eqNullSafe(F.col("flag")))
+    return both.select("l_returnflag", "parts", "median", (F.abs(F.col("a") - F.col("parts")) <= 0.1 * F.col("parts")).alias("parts_near"), (F.col("m").eqNullSafe(F.col("median")) | (F.abs(F.col("m") - F.col("median")) <= 1)).alias("median_near"))
 
 
 @query("SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.k')) AS with_k FROM events GROUP BY event_type")
